@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, quality, topk
+from . import license_scan, media, mixing, packing, ppm, quality, topk
 from .common import python_path, table
 
 
@@ -16,11 +16,20 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    python_path(spark)
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     python_path(spark)
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -35,5 +44,5 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_topk, op5_quality, op7_mixing, op8_packing, op10_media)}
-SQL: dict[str, str] = {"op2_topk": topk.OP2_SQL, "op7_mixing": mixing.OP7_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_topk, op4_ppm, op5_quality, op6_licenses, op7_mixing, op8_packing, op10_media)}
+SQL: dict[str, str] = {"op2_topk": topk.OP2_SQL, "op6_licenses": license_scan.OP6_SQL, "op7_mixing": mixing.OP7_SQL}
