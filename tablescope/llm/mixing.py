@@ -25,10 +25,11 @@ def quality_weight(text: Column) -> Column:
 
 
 def sized(docs: DataFrame, weight: Column | None = None) -> DataFrame:
-    """doc_id, source, size, u and quality weight of each row; the text goes no further."""
+    """row (a hash of all columns), doc_id, source, size and sampling key of each row; the text goes no further."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     uniform = (F.conv(F.substring(F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(_TWO52)
     return docs.select(
+        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("size"),
@@ -59,7 +60,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, weight: Column | None = None) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies and taken (copies * size) for each row.
+    """row, doc_id, size, source, source_size, target, copies and taken (copies * size) for each row.
 
     A document is taken whole or not: the last one of the fractional epoch is taken if that comes nearer to the target.
     A source's rows are ranked in parts of the square root of their number, cut by their keys, so that no task holds a
@@ -80,7 +81,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(before.drop("words"), ["k", "part"])
     over = F.col("part_before") + F.col("inside") + F.col("size") / 2.0
     copies = (F.col("whole") + F.when((F.col("whole") < epochs) & (over <= F.col("rest")), 1).otherwise(0)).cast("long")
-    return rows.withColumn("copies", copies).select("doc_id", "size", "source", F.col("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.withColumn("copies", copies).select("row", "doc_id", "size", "source", F.col("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """docs' columns, each row as often as the mix takes it; rows equal in all columns share what they take together."""
+    rows = [F.col(f"`{c}`") for c in docs.columns]
+    copies = mix(docs).groupBy("row").agg(F.sum("copies").cast("int").alias("__copies")).where("__copies > 0").withColumnRenamed("row", "__row")
+    once = docs.withColumn("__row", F.xxhash64(*rows)).join(copies, "__row").dropDuplicates(["__row"])
+    return once.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*rows)
 
 
 OP7_SQL = r"""

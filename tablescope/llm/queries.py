@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, media, mixing, packing, ppm, quality, topk
-from .common import python_path, table
+from . import license_scan, line_dedup, media, mixing, near_dedup, packing, ppm, quality, topk
+from .common import python_path, table, texts
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    python_path(spark)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     python_path(spark)
     return ppm.score(table(spark, sf_dir, "documents"))
@@ -44,5 +49,12 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_topk, op4_ppm, op5_quality, op6_licenses, op7_mixing, op8_packing, op10_media)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and what is left of its text, in characters and as a digest."""
+    python_path(spark)
+    left = line_dedup.dedup_lines(texts(table(spark, sf_dir, "documents")))
+    return left.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_topk, op3_near_dedup, op4_ppm, op5_quality, op6_licenses, op7_mixing, op8_packing, op9_line_dedup, op10_media)}
 SQL: dict[str, str] = {"op2_topk": topk.OP2_SQL, "op6_licenses": license_scan.OP6_SQL, "op7_mixing": mixing.OP7_SQL}
