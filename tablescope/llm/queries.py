@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, media, mixing, near_dedup, packing, ppm, quality, topk
+from . import license_scan, line_dedup, media, mixing, near_dedup, packing, ppm, quality, repeats, topk
 from .common import python_path, table, texts
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    python_path(spark)
+    return repeats.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     python_path(spark)
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
@@ -56,5 +61,5 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_topk, op3_near_dedup, op4_ppm, op5_quality, op6_licenses, op7_mixing, op8_packing, op9_line_dedup, op10_media)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeats, op2_topk, op3_near_dedup, op4_ppm, op5_quality, op6_licenses, op7_mixing, op8_packing, op9_line_dedup, op10_media)}
 SQL: dict[str, str] = {"op2_topk": topk.OP2_SQL, "op6_licenses": license_scan.OP6_SQL, "op7_mixing": mixing.OP7_SQL}
