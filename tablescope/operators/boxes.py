@@ -33,12 +33,13 @@ def greedy_matches(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
     from ..functions.markup import greedy_match
 
     found = pairs(a, b).select("sample", "idx", "other", g.iou(F.col("box"), F.col("other_box")).alias("iou")).where(F.col("iou") >= least)
+    lists = found.groupBy("sample").agg(F.collect_list(F.struct("iou", "idx", "other")).alias("found"))  # a sample's pairs
 
-    def each(part: pd.DataFrame) -> pd.DataFrame:
-        taken = greedy_match(list(zip(part["iou"], part["idx"], part["other"], strict=True)), least)
-        return pd.DataFrame({"sample": part["sample"].iloc[0], "idx": [p for p, _ in taken], "other": [t for _, t in taken]})
+    def each(column: pd.Series) -> pd.Series:
+        return column.map(lambda some: [{"idx": p, "other": t} for p, t in greedy_match([(x["iou"], x["idx"], x["other"]) for x in some], least)])
 
-    return found.groupBy("sample").applyInPandas(each, "sample long, idx int, other int")
+    taken = F.pandas_udf(each, "array<struct<idx: int, other: int>>")
+    return lists.select("sample", F.inline(taken("found")))
 
 
 def match_rates(a: DataFrame, b: DataFrame, matches: DataFrame) -> DataFrame:
