@@ -145,6 +145,7 @@ class Packer:
     def __init__(self, histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 128, small: int | None = None) -> None:
         self.capacity, self.left = capacity, Counter({n: c for n, c in histogram.items() if c > 0})
         self.used: Counter = Counter()
+        self.spare: Counter = Counter()
         self.runs: list[list] = []
         large = sorted((n for n in self.left if n > (capacity // 8 if small is None else small)), reverse=True)
         total = sum(self.left[n] for n in large)
@@ -176,25 +177,36 @@ class Packer:
         sizes = list(merged)
         queues = [merged[s] for s in sizes]
         for bins, pattern in patterns(sizes, [sum(c for _, c in q) for q in queues], self.capacity):
-            wanted = [k for k, copies in enumerate(pattern) for _ in range(copies)]
-            # A pattern with copies of one size needs as many bins' worth of it; the run ends where any length does.
-            while bins and all(queues[k] for k in wanted):
-                heads = Counter(wanted)
-                some = min([bins, *(queues[k][0][1] // c for k, c in heads.items())])
-                slots, free, ok = [], self.capacity, True
-                if some == 0:  # a length with fewer pieces left than copies: one bin from whatever comes next
-                    some, ok = 1, all(sum(c for _, c in queues[k]) >= n for k, n in heads.items())
-                if not ok:
-                    break
-                for k in wanted:
-                    n = queues[k][0][0]
-                    slots.append(self.take(n, some))
-                    free -= n
-                    queues[k][0][1] -= some
-                    if not queues[k][0][1]:
+            wanted = [k for k, copies in sorted(enumerate(pattern), key=lambda x: -sizes[x[0]]) for _ in range(copies)]
+            while bins and wanted:
+                slots, free = [], self.capacity
+                for k in wanted[:-1]:
+                    while queues[k] and not self.left[queues[k][0][0]]:
                         queues[k].pop(0)
-                self.runs.append([some, free, slots])
+                    if not queues[k]:
+                        break
+                    slots.append(queues[k][0][0])
+                    free -= slots[-1]
+                # pieces are shorter than their group's length, so that the last one may be longer than its own
+                last = self.longest(free, slots)
+                if len(slots) < len(wanted) - 1 or last is None:
+                    break
+                need = Counter([*slots, last])
+                some = min([bins, *(self.left[n] // c for n, c in need.items())])
+                if some == 0:  # fewer of a length than the bin has: the next ones of its group stand in
+                    for n, c in need.items():
+                        if self.left[n] < c:
+                            self.spare[n] = self.left.pop(n)
+                    continue
+                self.runs.append([some, free - last, [self.take(n, some) for n in (*slots, last)]])
                 bins -= some
+        for n, c in self.spare.items():
+            self.left[n] += c
+
+    def longest(self, room: int, others: list[int]) -> int | None:
+        """The longest length that is left, besides the others', and fits."""
+        taken = Counter(others)
+        return next((n for n in range(room, 0, -1) if self.left[n] > taken[n]), None)
 
     def best_fit(self) -> None:
         """What is left, longest first, each into the fullest bin with room for it, or a new one."""
