@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import text as t
 from ..operators import boxes as b
+from ..operators import reconstruct, sets, tables
 from ..operators import scores as s
-from ..operators import sets, tables
 from ..streaming import polls
 from .relations import BOXES_SQL, SCORES_SQL, TABLES_SQL, boxes, scores, shifted, table
 from .relations import tables as markup_tables
@@ -323,6 +323,35 @@ def q35_text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("conv_id", t.metrics_column(F.col("a"), F.col("b")).alias("m")).select("conv_id", "m.*")
 
 
+def _cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Boxes on a grid of three columns, every fourth one missing, and the images' sizes."""
+    idx = F.col("idx")
+    box = g.box(*((F.col(f"box.{c}") + F.pmod(idx, F.lit(3)) * (60 if c[0] == "x" else 0) + F.floor(idx / 3) * (40 if c[0] == "y" else 0)).cast("double") for c in ("x0", "y0", "x1", "y1")))
+    row, column = F.floor(idx / 3).cast("int"), F.pmod(idx, F.lit(3)).cast("int")
+    cells = boxes(spark, sf_dir).select("sample", idx.alias("cell_idx"), row.alias("r0"), (row + 1).alias("r1"), column.alias("c0"), (column + 1).alias("c1"), F.when(idx % 4 != 2, box).alias("box"))
+    return cells, cells.select("sample").distinct().select("sample", F.lit(260).alias("width"), F.lit(260).alias("height"))
+
+
+def _reconstructed(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    cells, extents = _cells(spark, sf_dir)
+    return reconstruct.diagnostics(reconstruct.with_boxes(cells, extents, method), extents).groupBy("causes").agg(F.count("*").alias("tables"), F.sum("reconstructed").alias("reconstructed"), F.sum("overlaps").alias("overlaps"))
+
+
+@query()
+def q36_boxes_from_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reconstructed(spark, sf_dir, "edges")
+
+
+@query()
+def q37_boxes_from_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reconstructed(spark, sf_dir, "centres")
+
+
+@query()
+def q38_boxes_from_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reconstructed(spark, sf_dir, "bands")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The comparison of two runs by class, beside the comparison over all."""
     pairs = _pairs(spark, sf_dir)
