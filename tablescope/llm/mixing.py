@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import written
+
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 EPOCHS = 2
@@ -66,7 +68,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     A source's rows are ranked in parts of the square root of their number, cut by their keys, so that no task holds a
     whole source. Null and empty texts have size 0 and take nothing; a null source is a source; equal keys follow doc_id.
     """
-    sizes = sized(docs, weight)
+    sizes = written(sized(docs, weight), "sizes")  # read four times: the texts are read once
     per = targets(sizes, weights, share, epochs).withColumn("parts", F.ceil(F.sqrt(F.col("docs").cast("double"))).cast("long"))
     per = per.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     per = per.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
