@@ -38,8 +38,12 @@ class Encoder:
     with the separator used here, are encoded whole.
     """
 
-    def __init__(self, ranks_path: str, pattern: str) -> None:
+    def __init__(self, ranks_path: str, pattern: str, whole_path: str) -> None:
         import tiktoken
+        from tokenizers import Tokenizer
+
+        self.full = Tokenizer.from_file(whole_path)
+        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -51,6 +55,8 @@ class Encoder:
         return np.asarray(self.encode(text), "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if any(s in text for s in self.special):  # such a string is one id there
+            return np.asarray(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self.runs(text) or "\0" in text:
             return self.whole(text)
         parts = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
@@ -75,7 +81,7 @@ def encoder(name: str = "byte_bpe_50k") -> Encoder:
     if name not in _ENCODERS:
         import public_tokenizers
 
-        _ENCODERS[name] = Encoder(public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN)
+        _ENCODERS[name] = Encoder(public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path(f"{name}.json"))
     return _ENCODERS[name]
 
 
