@@ -165,6 +165,25 @@ def test_large_groups_stay_whole(spark):
     assert {(r["class_id"], r["class_size"]) for r in near_dedup.near_duplicates(rows).collect()} == {(0, 700)}
 
 
+@pytest.mark.parametrize(("group", "members"), [(256, 8)])
+def test_chains_keep_all_links(spark, monkeypatch, group, members):
+    """Texts that only their neighbours in a chain resemble, in groups cut into very small parts."""
+    monkeypatch.setattr(near_dedup, "GROUP", group)
+    monkeypatch.setattr(near_dedup, "MEMBERS", members)
+    rng, texts = random.Random(3), []
+    for _ in range(3):
+        words = [f"w{rng.random()}" for _ in range(120)]
+        for k in range(20):
+            texts.append(" ".join(words))
+            words = [f"w{rng.random()}" if 0 <= j - k * 13 % 110 < 5 else w for j, w in enumerate(words)]
+    rng.shuffle(texts)
+    roots, least = classes_by_force(texts), {}
+    for k, r in enumerate(roots):
+        least.setdefault(r, k)
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == {k: least[r] for k, r in enumerate(roots)}
+
+
 def test_keep_one(small, empty):
     some = small.where("NOT (doc_id = 7 AND n_chars = 1)")  # whose class has the same name as that of the other row of its id
     kept = near_dedup.keep_one(some)
@@ -202,23 +221,24 @@ def test_word_scores_equal_brute_force(small):
 
 def test_model_is_a_distribution_and_equals_its_definition():
     texts = [b"abracadabra", b"abab", b""]
-    context, symbol, _ = ppm.symbols(texts)
+    context, symbol, _ = ppm.symbols(texts, 5)
 
-    def counts(c):
-        keys, n = np.unique(c.astype(np.int64) * 512 + symbol, return_counts=True)
+    def counts(k):
+        keys, n = np.unique((context & ((1 << 8 * k) - 1)) * 512 + symbol, return_counts=True)
         return keys >> 9, keys & 511, n
 
-    model = ppm.Model(counts(context), counts(context & 0xFFFF))
-    rows, *_ = model.ready()
-    assert np.allclose((10.0 ** rows.astype(float)).sum(1), 1, atol=1e-5)
+    model = ppm.Model([counts(k) for k in (2, 3, 4, 5)])
+    rows, code, *_ = model.ready()
+    p = 10.0 ** rows.astype(float)
+    assert np.allclose(p.sum(1) + (257 - len(set(code[code > 0])) - 1) * p[:, 0], 1, atol=1e-5)
 
     def by_definition(held: bytes, at: int, s: int) -> float:
         out, reach = set(), 1.0
-        for k in (3, 2, 1, 0):
+        for k in (5, 4, 3, 2, 1, 0):
             seen = Counter()
             for t in texts:
-                whole = b"\0\0\0" + t
-                for i in range(3, len(whole) + 1):
+                whole = b"\0" * 5 + t
+                for i in range(5, len(whole) + 1):
                     if whole[i - k : i] == held[at - k : at]:
                         seen[whole[i] if i < len(whole) else 256] += 1
             seen = Counter({x: n for x, n in seen.items() if x not in out})
@@ -230,8 +250,8 @@ def test_model_is_a_distribution_and_equals_its_definition():
         return math.log10(reach / (257 - len(out)))
 
     for text in (b"abra", b"", b"xyz", b"cadab\x00"):
-        held = b"\0\0\0" + text
-        want = sum(by_definition(held, i, held[i] if i < len(held) else 256) for i in range(3, len(held) + 1))
+        held = b"\0" * 5 + text
+        want = sum(by_definition(held, i, held[i] if i < len(held) else 256) for i in range(5, len(held) + 1))
         assert abs(model.score([text])[0] - want) < 1e-4
 
 
@@ -324,7 +344,7 @@ def test_pieces_and_places(spark, small, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    odd = ["  a", "a  b", "a   b\n\n c", "\n", "a\n b\t\tc", "don't we'll\n'tis 12 345", "x\ty z\r\nq", " lead", "trail ", "nul\0l", "<|endo", "中文 字 \U0001f600", "a b"]
+    odd = ["  a", "a  b", "a   b\n\n c", "\n", "a\n b\t\tc", "don't we'll\n'tis 12 345", "x\ty z\r\nq", " lead", "trail ", "nul\0l", "<|endo", "a <|endoftext|> b", "中文 字 \U0001f600", "a b"]
     rows = small.select("doc_id", "text").unionByName(spark.createDataFrame([(200 + k, t) for k, t in enumerate(odd)], "doc_id long, text string"))
     want = Counter()
     for r in rows.collect():
