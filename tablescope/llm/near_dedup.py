@@ -9,13 +9,15 @@ Jaccard similarity. A process stops once it is later than all registers, so that
 Texts that agree in all registers of a band are candidates. Components of candidates bound where a link can be; inside
 them pairs that share a band are verified by the exact multiset overlap until they are known to be connected. Components
 of more than GROUP texts are split: links are verified within the parts first, then, for every band, between up to MEMBERS
-texts of each class found so far. Classes are the components of verified links.
+texts of each class found so far. These rounds only save work: in the last one all texts of a bucket that still is of several
+classes meet, in pairs of blocks, each pair of texts in the first band that it shares. Classes are the components of verified
+links.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 GROUP = 256
 MEMBERS = 8
+SALTS = 16
 
 
 def shingles(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,8 +147,8 @@ def overlap(a: tuple, b: tuple) -> float:
     return shared / (a[2] + b[2] - shared)
 
 
-def linked(nodes: list[int], keys: np.ndarray, bags: list[tuple], same: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
-    """Verified links that connect all that share a band and overlap, given what is connected already (equal `same`); and the class of each."""
+def linked(nodes: list[int], keys: np.ndarray, bags: list[tuple], same: list[int], ok: Callable[[int, int], bool] = lambda x, y: True) -> tuple[list[tuple[int, int]], list[int]]:
+    """Verified links that connect all that share a band and overlap, given what is connected already (equal `same`), among pairs that are `ok`; and the class of each."""
     up = list(range(len(nodes)))
 
     def root(k: int) -> int:
@@ -165,7 +168,7 @@ def linked(nodes: list[int], keys: np.ndarray, bags: list[tuple], same: list[int
         for some in buckets.values():
             for i, x in enumerate(some):
                 for y in some[:i]:
-                    if root(x) != root(y) and (y, x) not in tried:
+                    if root(x) != root(y) and (y, x) not in tried and ok(x, y):
                         tried.add((y, x))
                         if overlap(bags[x], bags[y]) >= THRESHOLD:
                             up[root(x)] = root(y)
@@ -184,6 +187,22 @@ def _bags(table: pa.Table) -> list[tuple]:
     return out
 
 
+def bagged(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds items and times, the multiset of `text`, to the named columns."""
+
+    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunked(batches):
+            rows = encoded(part.column("text"))
+            doc, item, times = shingles(rows)
+            edge = np.searchsorted(doc, np.arange(len(rows) + 1))
+            columns = [part.column(c).combine_chunks() for c in names]
+            items = pa.array([item[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())
+            many = pa.array([times[a:b].astype(np.int64).tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*columns, items, many], names=[*names, "items", "times"])
+
+    return bag
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """row, doc_id, class_id (the smallest doc_id of the class) and class_size of each row of docs (row, doc_id, text).
 
@@ -200,18 +219,7 @@ def classes(docs: DataFrame) -> DataFrame:
     chosen = placed.join(nodes, "node").select("row", "node", "label", "size", "part", "bands")
     texts_of = docs.select("row", "text").join(chosen, "row")
 
-    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunked(batches):
-            rows = encoded(part.column("text"))
-            doc, item, times = shingles(rows)
-            edge = np.searchsorted(doc, np.arange(len(rows) + 1))
-            names = ["node", "label", "size", "part", "bands"]
-            columns = [part.column(c).combine_chunks() for c in names]
-            items = pa.array([item[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())
-            many = pa.array([times[a:b].astype(np.int64).tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*columns, items, many], names=[*names, "items", "times"])
-
-    bags = texts_of.select("node", "label", "size", "part", "bands", "text").mapInArrow(bag, f"node long, label long, size long, part long, bands array<long>, {BAG}")
+    bags = texts_of.select("node", "label", "size", "part", "bands", "text").mapInArrow(bagged(["node", "label", "size", "part", "bands"]), f"node long, label long, size long, part long, bands array<long>, {BAG}")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("class", pa.int64()), ("bands", pa.list_(pa.int64())), ("items", pa.binary()), ("times", pa.binary())])
 
     def within(group: pa.Table) -> pa.Table:
@@ -244,8 +252,38 @@ def classes(docs: DataFrame) -> DataFrame:
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     second = meet.select("bucket", "part", "node", "class", "items", "times").groupBy("bucket", "part").applyInArrow(between, "a long, b long")
-    links = first.where("b IS NOT NULL").select("a", "b").union(second)
+    links = written(first.where("b IS NOT NULL").select("a", "b").union(second), "links")
     found = components(links, "classes")
+
+    # the last round: all texts of buckets that are still of several classes
+    large = placed.where(F.col("size") > GROUP).select("node").join(nodes, "node").join(found, "node", "left").select("node", "row", "bands", F.coalesce("label", "node").alias("class"))
+    large = written(large, "large-groups")
+    at = large.select("node", "class", F.posexplode("bands").alias("band", "key")).select("node", "class", "band", F.xxhash64("band", "key").alias("bucket"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
+    mixed = at.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("n")).where("least <> most").select("bucket", "n")
+    mixed = written(mixed, "mixed-buckets")
+    if mixed.limit(1).count():
+        every_salt = mixed.select("bucket", F.ceil(F.col("n") * 2 / GROUP).cast("long").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("salt"))
+        block = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).alias("block")
+        meet = at.join(every_salt, ["bucket", "salt"]).select("node", "band", "bucket", block, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        meet = meet.select("node", "band", "bucket", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        needed = meet.select("node").distinct().join(large, "node")
+        names = ["node", "class", "bands"]
+        full = docs.select("row", "text").join(needed, "row").select(*names, "text").mapInArrow(bagged(names), f"node long, class long, bands array<long>, {BAG}")
+
+        def rest(group: pa.Table) -> pa.Table:
+            group = group.sort_by("node")
+            nodes_, keys = group.column("node").to_pylist(), np.asarray(group.column("bands").to_pylist(), np.int64)
+            blocks, band = group.column("block").to_pylist(), group.column("band")[0].as_py()
+            one = group.column("i")[0] == group.column("j")[0]
+
+            def ok(x: int, y: int) -> bool:  # once: not inside a block again, and in the first band alone
+                return (one or blocks[x] != blocks[y]) and not (keys[x, :band] == keys[y, :band]).any()
+
+            pairs, _ = linked(nodes_, np.zeros((len(nodes_), 1), np.int64), _bags(group), group.column("class").to_pylist(), ok)
+            return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+        third = meet.join(full, "node").groupBy("bucket", "i", "j").applyInArrow(rest, "a long, b long")
+        found = components(links.union(third), "classes")
     named = every.select("row", "doc_id", "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     whole = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("kept"), F.count("*").alias("class_size"))
     joined = named.join(whole, "label")

@@ -184,6 +184,30 @@ def test_chains_keep_all_links(spark, monkeypatch, group, members):
     assert {r["doc_id"]: r["class_id"] for r in got.collect()} == {k: least[r] for k, r in enumerate(roots)}
 
 
+@pytest.mark.parametrize(("group", "members"), [(4, 1), (16, 2)])
+def test_split_groups_are_exact(spark, monkeypatch, group, members):
+    """Chains, and letters about 0.75 alike, whose links only members that the first rounds leave behind have."""
+    monkeypatch.setattr(near_dedup, "GROUP", group)
+    monkeypatch.setattr(near_dedup, "MEMBERS", members)
+    rng, texts = random.Random(3), []
+    for _ in range(3):
+        words = [f"w{rng.random()}" for _ in range(120)]
+        for k in range(25):
+            texts.append(" ".join(words))
+            words = [f"w{rng.random()}" if 0 <= j - k * 13 % 110 < 5 else w for j, w in enumerate(words)]
+    form = [f"f{rng.random()}" for _ in range(120)]
+    for _ in range(30):
+        at = rng.randint(0, 100)
+        letter = [f"w{rng.random()}" if at <= j < at + 5 else w for j, w in enumerate(form)]
+        texts += [" ".join(letter), " ".join([*letter[:-1], "end"])]
+    rng.shuffle(texts)
+    roots, least = classes_by_force(texts), {}
+    for k, r in enumerate(roots):
+        least.setdefault(r, k)
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == {k: least[r] for k, r in enumerate(roots)}
+
+
 def test_keep_one(small, empty):
     some = small.where("NOT (doc_id = 7 AND n_chars = 1)")  # whose class has the same name as that of the other row of its id
     kept = near_dedup.keep_one(some)
