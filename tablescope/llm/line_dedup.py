@@ -2,7 +2,7 @@
 
 A text's lines are cut into chunks where a rolling hash over the last WINDOW lines' hashes has TAIL zero bits, so that
 boundaries depend on the lines near them alone and come back after insertions and deletions elsewhere. A chunk of at
-least MIN_LINES lines and MIN_BYTES bytes whose bytes occur more than once in the corpus stays at its first place (by
+least MIN_LINES lines, of however few bytes, whose bytes occur more than once in the corpus stays at its first place (by
 document, then place) and goes from all others. Equal hashes are only candidates: chunks are removed after their bytes
 have been compared with the kept one's.
 
@@ -25,7 +25,7 @@ from .common import chunked, encoded, mix, run_hashes, written
 WINDOW = 2
 TAIL = 1
 MIN_LINES, MAX_LINES = 2, 16
-MIN_BYTES = 80
+MIN_BYTES = 0
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,7 +59,7 @@ def cuts(data: bytes) -> list[tuple[int, int, int, int]]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """row, doc_id, start, name and bytes (without a last newline) of each chunk that is long enough to be removed."""
+    """row, doc_id, start, name and bytes (without a last newline) of each chunk of several lines."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())

@@ -435,6 +435,17 @@ def test_line_chunks_equal_brute_force(small):
     assert got == want
 
 
+def test_repeated_chunks_of_short_lines_go(spark):
+    rng = random.Random(4)
+    passage = "\n".join(" ".join(f"{rng.randint(10000, 99999)}" for _ in range(4)) for _ in range(20))
+    alone = [f"only here {k}" for k in range(3)]
+    docs = [(0, passage), (1, passage), (2, "\n".join([alone[0], passage, alone[1]])), (3, alone[2])]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0] == passage and got[3] == alone[2]
+    assert len(got[1].splitlines()) <= 1  # a chunk of a single line is none of several
+    assert alone[0] in got[2] and alone[1] in got[2] and len(got[2]) < 0.5 * len(passage)
+
+
 def test_boundaries_survive_shifts():
     rng = random.Random(1)
     lines = [prose(rng, 6) for _ in range(200)]
