@@ -3,9 +3,9 @@
 The pretrained model's trie holds, for contexts of up to ORDER bytes, how often each byte or the end followed in all
 training texts. A symbol seen n_s times in a context with n symbols of d kinds costs n_s / (n + d); else an escape of
 d / (n + d) leads to the next shorter context, where symbols of the longer one are excluded; below the empty context all
-of the 257 symbols left are equally likely. Counts cover all training texts; of each order from three on the contexts of the
-highest counts are kept, up to CONTEXTS, as a trie's memory is a parameter of the method, and the shorter ones are bounded
-by their number (256 ** 2). So the model that executors get has a stated bound at any size of the corpus.
+of the 257 symbols left are equally likely. Counts cover all training texts and all their contexts: those of order three on
+stay partitioned by their last three bytes, and texts' symbols meet them there; order 2 is bounded by its number (256 ** 2).
+`Model` is the same in memory, for counts that fit.
 
 `adaptive` scores one text with a trie that learns while it reads.
 
@@ -25,12 +25,11 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, Words, chunked, encoded, partitions, texts, written
+from .common import LOWER, SPACED, Words, chunked, encoded, mix, partitions, texts, written
 
 ORDER = 5
 END = 256
 SYMBOLS = 257
-CONTEXTS = 24576
 HELD_OUT = 2
 
 
@@ -212,33 +211,103 @@ def counted(rows: DataFrame) -> Counts:
     return tuple(found[c].to_numpy().astype(np.int64) for c in ("context", "symbol", "n"))
 
 
-def train(docs: DataFrame, contexts: int = CONTEXTS, order: int = ORDER) -> Model:
-    """The model of all texts of docs.
+def levels(keys: np.ndarray, n: np.ndarray, two: Counts) -> list[tuple[np.ndarray, ...]]:
+    """For each of the sorted (context * 512 + symbol) of order ORDER, by order from the longest: its count, its context's sum, kinds and the sum of what longer contexts exclude.
 
-    Counts of one order are those of the next order's contexts, so that the most frequent of these are known before their
-    symbols are counted: each order beyond three is one more reading of the texts, which sends what the kept contexts need.
+    `keys` holds all of the corpus for its contexts' last three bytes, `two` all counts of order 2.
     """
-    sent = docs.sparkSession.sparkContext.broadcast
-    counts = written(grams(docs, 3), "grams")
-    most = counts.groupBy("context").agg(F.sum("n").alias("of")).orderBy(F.desc("of"), "context").limit(contexts).select("context")
-    three = counted(counts.join(F.broadcast(most), "context"))  # `contexts` * 257 rows at most, as below; 65,536 * 257 for order 2
-    two = counted(counts.groupBy(F.col("context").bitwiseAND(0xFFFF).alias("context"), "symbol").agg(F.sum("n").alias("n")))
-    orders, kept = [two, three], np.unique(three[0])
-    for k in range(4, order + 1):
-        if k == 4:  # a text of three bytes and a symbol is a context of four bytes
-            longer = counts.where(F.col("symbol") < END).select((F.col("context") * 256 + F.col("symbol")).alias("longer"), "n")
-            longer = longer.join(F.broadcast(most.withColumnRenamed("context", "shorter")), F.col("longer").bitwiseAND(0xFFFFFF) == F.col("shorter"))
-            chosen = np.asarray([r["longer"] for r in longer.orderBy(F.desc("n"), "longer").limit(contexts).select("longer").collect()], np.int64)
-        else:
-            context, symbol, n = orders[-1]
-            real = symbol < END
-            longer, n = (context * 256 + symbol)[real], n[real]
-            ok = np.isin(longer & ((1 << 8 * (k - 1)) - 1), kept)
-            chosen = longer[ok][np.lexsort((longer[ok], -n[ok]))[:contexts]]
-        kept = np.sort(chosen)
-        orders.append(counted(grams(docs, k, sent(kept))))
-        kept = np.unique(orders[-1][0])
-    return Model(orders)
+    context, symbol = keys >> 9, keys & 511
+    tables = {}  # order: (keys, counts, place of each of `keys`)
+    for k in range(ORDER, 2, -1):
+        key, at = np.unique((context & ((1 << 8 * k) - 1)) * 512 + symbol, return_inverse=True)
+        tables[k] = key, np.bincount(at, n, len(key))
+    for k in (2, 1, 0):
+        key, at = np.unique((two[0] & ((1 << 8 * k) - 1)) * 512 + two[1], return_inverse=True)
+        tables[k] = key, np.bincount(at, two[2], len(key))
+
+    def find(all_: np.ndarray, values: np.ndarray, of: np.ndarray) -> np.ndarray:
+        if not len(all_):
+            return np.zeros(len(of))
+        place = np.minimum(np.searchsorted(all_, of), len(all_) - 1)
+        return np.where(all_[place] == of, values[place], 0)
+
+    out, excluded = [], np.zeros(len(keys))
+    for k in range(ORDER, -1, -1):
+        key, count = tables[k]
+        here = context & ((1 << 8 * k) - 1)
+        some, at = np.unique(key >> 9, return_inverse=True)
+        out.append((find(key, count, here * 512 + symbol), find(some, np.bincount(at, count, len(some)), here), find(some, np.bincount(at, count > 0, len(some)), here), excluded))
+        if k:  # what this context's symbols count in the next shorter one
+            shorter = ((key >> 9) & ((1 << 8 * (k - 1)) - 1)) * 512 + (key & 511)
+            excluded = find(some, np.bincount(at, (count > 0) * find(*tables[k - 1], shorter), len(some)), here)
+    return out
+
+
+def gram_logs(keys: np.ndarray, n: np.ndarray, two: Counts) -> np.ndarray:
+    """log10 probability of each symbol after its context, as `logs` has it; the sets of longer contexts lie in those of shorter ones."""
+    p, reach, done, before = np.zeros(len(keys)), np.ones(len(keys)), np.zeros(len(keys), bool), np.zeros(len(keys))
+    for count, total, found, excluded in levels(keys, n, two):
+        kinds, rest = found - before, total - excluded
+        left = SYMBOLS - before > kinds
+        hit = ~done & (count > 0)
+        p = np.where(hit, reach * count / np.where(left, np.maximum(rest + kinds, 1), np.maximum(rest, 1)), p)
+        done |= hit
+        reach = np.where(rest + kinds > 0, np.where(left, reach * kinds / np.maximum(rest + kinds, 1), 0), reach)
+        before = found
+    p = np.where(done, p, reach / np.maximum(SYMBOLS - before, 1))
+    return np.log10(np.maximum(p, 1e-300))
+
+
+def text_scores(docs: DataFrame) -> DataFrame:
+    """key and score of each row of docs (key, train, text), under the counts of all contexts of the training texts.
+
+    A bucket holds all contexts of a share of the last three bytes; a chunk of texts sends it each different symbol in
+    context once, and gets their logs back. Only counts of order 2, bounded by their number, are sent to all.
+    """
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(4, partitions(docs.sparkSession), size >> 24)
+    two = docs.sparkSession.sparkContext.broadcast(counted(grams(docs.where("train"), 2)))
+    schema = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("values", pa.binary()), ("texts", pa.list_(pa.binary()))])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = 0
+        for part in chunked(batches):
+            rows = encoded(part.column("text"))
+            context, symbol, text = symbols(rows)
+            trained = np.asarray(part.column("train")).astype(np.int64)
+            key, at = np.unique(context * 512 + symbol, return_inverse=True)
+            n = np.bincount(at, trained[text], len(key)).astype(np.int64)
+            bucket = (mix((key >> 9 & 0xFFFFFF).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            name, parts = (TaskContext.get().partitionId() << 32) + parts, parts + 1
+            out = [{"bucket": k, "chunk": name, "keys": key[order[a:b]].tobytes(), "values": narrow(n[order[a:b]]), "texts": None} for k, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if a < b]
+            out.append({"bucket": -1 - name, "chunk": name, "keys": np.asarray(part.column("key")).astype(np.int64).tobytes(), "values": None, "texts": rows})
+            yield from pa.Table.from_pylist(out, schema).to_batches()
+
+    def count(group: pa.Table) -> pa.Table:
+        if group.column("bucket")[0].as_py() < 0:
+            return group
+        keys = [np.frombuffer(k, np.int64) for k in group.column("keys").to_pylist()]
+        n = np.concatenate([wide(v, len(k)) for v, k in zip(group.column("values").to_pylist(), keys, strict=True)])
+        every, at = np.unique(np.concatenate(keys), return_inverse=True)
+        found = gram_logs(every, np.bincount(at, n, len(every)), two.value)[at].astype(np.float32)
+        cut = np.cumsum([0, *map(len, keys)])
+        return group.set_column(3, "values", pa.array([found[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()))
+
+    def merge(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        texts_ = next(r for r in rows if r["texts"] is not None)
+        keys = np.concatenate([np.frombuffer(r["keys"], np.int64) for r in rows if r["texts"] is None])
+        values = np.concatenate([np.frombuffer(r["values"], np.float32) for r in rows if r["texts"] is None])
+        order = np.argsort(keys)
+        context, symbol, text = symbols(texts_["texts"])
+        logs_ = values[order][np.searchsorted(keys[order], context * 512 + symbol)].astype(np.float64)
+        return pa.table({"key": pa.array(np.frombuffer(texts_["keys"], np.int64)), "score": pa.array(np.bincount(text, logs_, len(texts_["texts"])))})
+
+    kinds = "bucket long, chunk long, keys binary, values binary, texts array<binary>"
+    answered = docs.select("key", "train", "text").mapInArrow(send, kinds).groupBy("bucket").applyInArrow(count, kinds)
+    return answered.groupBy("chunk").applyInArrow(merge, "key long, score double")
 
 
 # Word counts
@@ -337,16 +406,14 @@ def wide(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, {0: np.uint8, 1: np.uint8, 2: np.uint16, 8: np.uint64}[len(data) // n if n else 0]).astype(np.int64)
 
 
-def score(docs: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
+def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
     A null text is empty and has its end alone. Without training texts every symbol is equally likely and no word is
     known. Rows repeated with id and text count as often as they are there and get equal values; no rows, no rows.
     """
-    spark = docs.sparkSession
     rows = texts(docs).withColumn("key", F.xxhash64("doc_id", "text")).withColumn("train", remainder() != HELD_OUT)
     learned = rows.where("train")
-    model = spark.sparkContext.broadcast(train(learned, contexts))  # counts of `contexts` contexts of each order, and 65,536, at most
     sums = written(word_sums(rows), "word-sums")
     whole = sums.where("key IS NULL").agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("v"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()
     ends = learned.select("doc_id").count()
@@ -361,11 +428,12 @@ def score(docs: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
             last = np.cumsum(np.fromiter(map(len, texts_), np.int64, len(texts_)) + 1)
             words = np.diff(np.concatenate(([0], begins[last - 1]))) if len(texts_) else np.zeros(0, np.int64)
             got = [part.column(c).combine_chunks() for c in ("doc_id", "train", "key")]
-            yield pa.RecordBatch.from_arrays([*got, pa.array(words + 1), pa.array(model.value.score(texts_))], names=["doc_id", "train", "key", "n_tokens", "score"])
+            yield pa.RecordBatch.from_arrays([*got, pa.array(words + 1)], names=["doc_id", "train", "key", "n_tokens"])
 
-    scored = rows.mapInArrow(each, "doc_id long, train boolean, key long, n_tokens long, score double")
+    scored = rows.mapInArrow(each, "doc_id long, train boolean, key long, n_tokens long")
+    by_key = text_scores(rows).groupBy("key").agg(F.avg("score").alias("score"))
     each_key = sums.where("key IS NOT NULL").groupBy("key").agg(F.avg("logs").alias("logs"), F.max("known").alias("known"))
     base = F.coalesce("logs", F.lit(0.0)) + F.lit(float(np.log10(ends + 1))) - F.col("n_tokens") * F.lit(float(np.log10(tokens + kinds + 1)))
-    return scored.join(each_key, "key", "left").select(
+    return scored.join(each_key, "key", "left").join(by_key, "key", "left").select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.coalesce("known", F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), "score"
     )

@@ -279,6 +279,21 @@ def test_model_is_a_distribution_and_equals_its_definition():
         assert abs(model.score([text])[0] - want) < 1e-4
 
 
+def test_scores_use_every_context(spark):
+    rng = random.Random(6)
+    docs = [(k, "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH") for _ in range(3000))) for k in range(40)]
+    learned = [t.encode() for k, t in docs if zlib.crc32(str(k).encode()) % 7 != 2]
+    context, symbol, _ = ppm.symbols(learned, 5)
+    orders = []
+    for k in (2, 3, 4, 5):
+        keys, n = np.unique((context & ((1 << 8 * k) - 1)) * 512 + symbol, return_counts=True)
+        orders.append((keys >> 9, keys & 511, n))
+    assert len(np.unique(orders[1][0])) > 24576
+    want = ppm.Model(orders).score([t.encode() for _, t in docs])
+    got = {r["doc_id"]: r["score"] for r in ppm.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert np.allclose([got[k] for k, _ in docs], want, rtol=1e-5)
+
+
 def test_adaptive_model_learns():
     assert ppm.adaptive(b"abc" * 50) > 5 * ppm.adaptive(b"abc" * 5)
     assert abs(ppm.adaptive(b"") - math.log10(1 / 257)) < 1e-12
