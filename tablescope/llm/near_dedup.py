@@ -9,9 +9,10 @@ Jaccard similarity. A process stops once it is later than all registers, so that
 Texts that agree in all registers of a band are candidates. Components of candidates bound where a link can be; inside
 them pairs that share a band are verified by the exact multiset overlap until they are known to be connected. Components
 of more than GROUP texts are split: links are verified within the parts first, then, for every band, between up to MEMBERS
-texts of each class found so far. These rounds only save work: in the last one all texts of a bucket that still is of several
-classes meet, in pairs of blocks, each pair of texts in the first band that it shares. Classes are the components of verified
-links.
+texts of each class found so far. These rounds only save work: in the last one all texts of different classes that share a
+bucket meet, in pairs of blocks, each pair of texts in the first band that it shares. Members of a bucket's largest class do
+not meet each other, so that a bucket of near copies with a few outsiders stays in proportion to its size. Classes are the
+components of verified links.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ REGISTERS = BANDS * ROWS
 GROUP = 256
 MEMBERS = 8
 SALTS = 16
+#: Texts of a block in the last round.
+BLOCK = 256
 
 
 def shingles(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,8 +150,8 @@ def overlap(a: tuple, b: tuple) -> float:
     return shared / (a[2] + b[2] - shared)
 
 
-def linked(nodes: list[int], keys: np.ndarray, bags: list[tuple], same: list[int], ok: Callable[[int, int], bool] = lambda x, y: True) -> tuple[list[tuple[int, int]], list[int]]:
-    """Verified links that connect all that share a band and overlap, given what is connected already (equal `same`), among pairs that are `ok`; and the class of each."""
+def linked(nodes: list[int], keys: np.ndarray, bags: list[tuple], same: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
+    """Verified links that connect all that share a band and overlap, given what is connected already (equal `same`); and the class of each."""
     up = list(range(len(nodes)))
 
     def root(k: int) -> int:
@@ -168,7 +171,7 @@ def linked(nodes: list[int], keys: np.ndarray, bags: list[tuple], same: list[int
         for some in buckets.values():
             for i, x in enumerate(some):
                 for y in some[:i]:
-                    if root(x) != root(y) and (y, x) not in tried and ok(x, y):
+                    if root(x) != root(y) and (y, x) not in tried:
                         tried.add((y, x))
                         if overlap(bags[x], bags[y]) >= THRESHOLD:
                             up[root(x)] = root(y)
@@ -203,6 +206,72 @@ def bagged(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return bag
 
 
+def meeting(at: DataFrame) -> DataFrame:
+    """bucket, i, j, node, class, band, side: the texts of `at` (node, class, band, bucket) in the pairs of blocks where texts of different classes of a bucket meet.
+
+    A bucket's largest class has its members in blocks of their own, which never meet each other. All other texts come in
+    blocks that meet each block of the bucket once. So a bucket of n texts with m outside the largest class makes
+    n + m * n / BLOCK rows at most, and a bucket of one class makes none.
+    """
+    at = at.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    per = written(at.groupBy("bucket", "class").agg(F.count("*").alias("n")), "bucket-classes")
+    mixed = per.groupBy("bucket").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("n")).where("n > inside")
+    mixed = written(mixed.select("bucket", "main", F.ceil(F.col("inside") / BLOCK).cast("long").alias("mains"), F.ceil((F.col("n") - F.col("inside")) / BLOCK).cast("long").alias("others")), "mixed-buckets")
+    every_salt = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    inside = F.col("class") == F.col("main")
+    placed = at.join(every_salt, ["bucket", "salt"]).withColumn("side", inside.cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.when(inside, F.col("mains")).otherwise(F.col("others"))) + F.when(inside, F.col("others")).otherwise(F.lit(0)))
+    # blocks 0 to others - 1 hold the texts outside the largest class, the next ones those inside
+    least = F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("mains"))
+    placed = placed.select("bucket", "node", "class", "band", "block", "side", F.explode(F.sequence(F.lit(0).cast("long"), least - 1)).alias("other"))
+    return placed.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "class", "band", "block")
+
+
+def across(group: pa.Table) -> pa.Table:
+    """Verified links between texts of different classes of two blocks, or of one block with itself, in the first band that they share."""
+    group = group.sort_by("node")
+    nodes, class_ = np.asarray(group.column("node")), np.asarray(group.column("class"))
+    keys = np.asarray(group.column("bands").to_pylist(), np.int64)
+    blocks, band = np.asarray(group.column("block")), group.column("band")[0].as_py()
+    one = group.column("i")[0] == group.column("j")[0]
+    bags = _bags(group)
+    total = np.asarray([t for *_, t in bags])
+    left = np.arange(len(nodes)) if one else np.flatnonzero(blocks == group.column("i")[0].as_py())
+    right = left if one else np.flatnonzero(blocks != group.column("i")[0].as_py())
+    # the right block's shingles in one order, each with its text and its times
+    items = np.concatenate([np.zeros(0, np.uint64), *(bags[k][0] for k in right)])
+    of = np.repeat(np.arange(len(right)), [len(bags[k][0]) for k in right])
+    times = np.concatenate([np.zeros(0, np.int64), *(bags[k][1] for k in right)])
+    order = np.argsort(items, kind="stable")
+    items, of, times = items[order], of[order], times[order]
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while up.get(c, c) != c:
+            up[c] = up.get(up[c], up[c])
+            c = up[c]
+        return c
+
+    links = []
+    for x in left.tolist():
+        other = (class_[right] != class_[x]) & (np.minimum(total[right], total[x]) >= THRESHOLD * np.maximum(total[right], total[x])) & ~(keys[right, :band] == keys[x, :band]).any(1)
+        if one:
+            other &= right > x
+        if not other.any():
+            continue
+        mine, many, _ = bags[x]
+        lo, hi = np.searchsorted(items, mine), np.searchsorted(items, mine, side="right")
+        size = hi - lo
+        at = np.arange(int(size.sum())) + np.repeat(lo - (np.cumsum(size) - size), size)
+        same = np.bincount(of[at], np.minimum(times[at], np.repeat(many, size)), len(right))
+        for k in np.flatnonzero(other & (same / (total[right] + total[x] - same) >= THRESHOLD)).tolist():
+            a, b = root(int(class_[x])), root(int(class_[right[k]]))
+            if a != b:
+                up[a] = b
+                links.append((int(nodes[x]), int(nodes[right[k]])))
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """row, doc_id, class_id (the smallest doc_id of the class) and class_size of each row of docs (row, doc_id, text).
 
@@ -214,13 +283,13 @@ def classes(docs: DataFrame) -> DataFrame:
     hubs = spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = spread.join(hubs, "bucket").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     groups = components(stars, "candidates")
-    sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
+    sizes = written(groups.groupBy("label").agg(F.count("*").alias("size")), "group-sizes")
     placed = groups.join(sizes, "label").select("node", "label", "size", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP).cast("long")).alias("part"))
     chosen = placed.join(nodes, "node").select("row", "node", "label", "size", "part", "bands")
-    texts_of = docs.select("row", "text").join(chosen, "row")
-
-    bags = texts_of.select("node", "label", "size", "part", "bands", "text").mapInArrow(bagged(["node", "label", "size", "part", "bands"]), f"node long, label long, size long, part long, bands array<long>, {BAG}")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("class", pa.int64()), ("bands", pa.list_(pa.int64())), ("items", pa.binary()), ("times", pa.binary())])
+    names = ["node", "label", "size", "part", "bands"]
+    # the texts are met once: the shingles of all candidates are written and serve every round
+    bags = written(docs.select("row", "text").join(chosen, "row").select(*names, "text").mapInArrow(bagged(names), f"node long, label long, size long, part long, bands array<long>, {BAG}"), "shingles")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("class", pa.int64())])
 
     def within(group: pa.Table) -> pa.Table:
         group = group.sort_by("node")
@@ -229,17 +298,18 @@ def classes(docs: DataFrame) -> DataFrame:
         group = group.take(firsts)
         names, keys = [names[k] for k in firsts], np.asarray(group.column("bands").to_pylist(), np.int64)
         links, roots = linked(names, keys, _bags(group), names)
-        out = [{"a": a, "b": b, "class": None, "bands": None, "items": None, "times": None} for a, b in links]
+        out = [{"a": a, "b": b, "class": None} for a, b in links]
         if group.column("size")[0].as_py() > GROUP:  # some of each class go on
             seen: dict[int, int] = defaultdict(int)
             for k, r in enumerate(roots):
                 seen[r] += 1
                 if seen[r] <= MEMBERS:
-                    out.append({"a": names[k], "b": None, "class": names[r], "bands": keys[k].tolist(), "items": group.column("items")[k].as_py(), "times": group.column("times")[k].as_py()})
+                    out.append({"a": names[k], "b": None, "class": names[r]})
         return pa.Table.from_pylist(out, schema)
 
-    first = written(bags.groupBy("label", "part").applyInArrow(within, f"a long, b long, class long, bands array<long>, {BAG}"), "links")
-    going = first.where("b IS NULL").select(F.col("a").alias("node"), "class", "bands", "items", "times")
+    first = written(bags.groupBy("label", "part").applyInArrow(within, "a long, b long, class long"), "links")
+    large = bags.where(F.col("size") > GROUP).drop("label", "size", "part").dropDuplicates(["node"])
+    going = first.where("b IS NULL").select(F.col("a").alias("node"), "class").join(large, "node")
     at = going.select("node", "class", F.posexplode("bands").alias("band", "key")).select("node", "class", F.xxhash64("band", "key").alias("bucket"))
     mixed = at.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("n")).where("least <> most").select("bucket", "n")
     meet = at.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("n") / GROUP).cast("long")))
@@ -256,38 +326,15 @@ def classes(docs: DataFrame) -> DataFrame:
     found = components(links, "classes")
 
     # the last round: all texts of buckets that are still of several classes
-    large = placed.where(F.col("size") > GROUP).select("node").join(nodes, "node").join(found, "node", "left").select("node", "row", "bands", F.coalesce("label", "node").alias("class"))
-    large = written(large, "large-groups")
-    at = large.select("node", "class", F.posexplode("bands").alias("band", "key")).select("node", "class", "band", F.xxhash64("band", "key").alias("bucket"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
-    mixed = at.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("n")).where("least <> most").select("bucket", "n")
-    mixed = written(mixed, "mixed-buckets")
-    if mixed.limit(1).count():
-        every_salt = mixed.select("bucket", F.ceil(F.col("n") * 2 / GROUP).cast("long").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("salt"))
-        block = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).alias("block")
-        meet = at.join(every_salt, ["bucket", "salt"]).select("node", "band", "bucket", block, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        meet = meet.select("node", "band", "bucket", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        needed = meet.select("node").distinct().join(large, "node")
-        names = ["node", "class", "bands"]
-        full = docs.select("row", "text").join(needed, "row").select(*names, "text").mapInArrow(bagged(names), f"node long, class long, bands array<long>, {BAG}")
-
-        def rest(group: pa.Table) -> pa.Table:
-            group = group.sort_by("node")
-            nodes_, keys = group.column("node").to_pylist(), np.asarray(group.column("bands").to_pylist(), np.int64)
-            blocks, band = group.column("block").to_pylist(), group.column("band")[0].as_py()
-            one = group.column("i")[0] == group.column("j")[0]
-
-            def ok(x: int, y: int) -> bool:  # once: not inside a block again, and in the first band alone
-                return (one or blocks[x] != blocks[y]) and not (keys[x, :band] == keys[y, :band]).any()
-
-            pairs, _ = linked(nodes_, np.zeros((len(nodes_), 1), np.int64), _bags(group), group.column("class").to_pylist(), ok)
-            return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
-
-        third = meet.join(full, "node").groupBy("bucket", "i", "j").applyInArrow(rest, "a long, b long")
+    rest = large.select("node", "bands").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("class"), F.posexplode("bands").alias("band", "key"))
+    pairs = written(meeting(rest.select("node", "class", "band", F.xxhash64("band", "key").alias("bucket"))), "meetings")
+    if pairs.limit(1).count():
+        third = pairs.join(large, "node").groupBy("bucket", "i", "j").applyInArrow(across, "a long, b long")
         found = components(links.union(third), "classes")
     named = every.select("row", "doc_id", "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    whole = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("kept"), F.count("*").alias("class_size"))
-    joined = named.join(whole, "label")
-    return joined.select("row", "doc_id", "class_id", "class_size", (F.col("kept.row") == F.col("row")).alias("kept"))
+    whole = written(named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("kept"), F.count("*").alias("class_size")).where("class_size > 1"), "classes")
+    joined = named.join(whole, "label", "left")
+    return joined.select("row", "doc_id", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce(F.col("kept.row") == F.col("row"), F.lit(True)).alias("kept"))
 
 
 def with_rows(docs: DataFrame) -> DataFrame:

@@ -165,9 +165,29 @@ def test_large_groups_stay_whole(spark):
     assert {(r["class_id"], r["class_size"]) for r in near_dedup.near_duplicates(rows).collect()} == {(0, 700)}
 
 
-@pytest.mark.parametrize(("group", "members"), [(256, 8)])
+def test_bridges_keep_a_class_of_hundreds_whole(spark):
+    """At the shipped parameters: 700 variants of one text, and 35 texts that resemble one or a few of them only."""
+    rng = random.Random(5)
+    base = [f"b{rng.random()}" for _ in range(120)]
+    texts = []
+    for k in range(700):
+        at = 20 + k % 80
+        texts.append([*base[:at], f"v{k}", *base[at + 1 :]])
+    for k in range(35):
+        some = list(texts[k * 20])
+        some[5], some[112] = f"x{k}", f"y{k}"
+        texts.append(some)
+    texts = [" ".join(t) for t in texts]
+    roots, least = classes_by_force(texts), {}
+    for k, r in enumerate(roots):
+        least.setdefault(r, k)
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == {k: least[r] for k, r in enumerate(roots)}
+
+
+@pytest.mark.parametrize(("group", "members"), [(4, 1), (16, 2), (256, 8)])
 def test_chains_keep_all_links(spark, monkeypatch, group, members):
-    """Texts that only their neighbours in a chain resemble, in groups cut into very small parts."""
+    """Texts that only their neighbours in a chain resemble, in groups that are cut into parts at the smaller two settings."""
     monkeypatch.setattr(near_dedup, "GROUP", group)
     monkeypatch.setattr(near_dedup, "MEMBERS", members)
     rng, texts = random.Random(3), []
