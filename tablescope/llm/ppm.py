@@ -3,14 +3,19 @@
 The pretrained model's trie holds, for contexts of up to ORDER bytes, how often each byte or the end followed in all
 training texts. A symbol seen n_s times in a context with n symbols of d kinds costs n_s / (n + d); else an escape of
 d / (n + d) leads to the next shorter context, where symbols of the longer one are excluded; below the empty context all
-of the 257 symbols left are equally likely. Counts cover all training texts and all their contexts: those of order three on
-stay partitioned by their last three bytes, and texts' symbols meet them there; order 2 is bounded by its number (256 ** 2).
-`Model` is the same in memory, for counts that fit.
+of the 257 symbols left are equally likely. Counts cover all training texts and all their contexts; no task and no
+broadcast holds more than a share of them that is bounded:
 
-`adaptive` scores one text with a trie that learns while it reads.
+* a chunk of texts sends each different symbol in context, and each different word, once, with its count, to a bucket by
+  the whole of its hash, so that no symbol in context or word is hot: it comes once from each chunk;
+* a bucket adds up; words get their counts back at once, the different symbols in context go on to the bucket of their
+  last three bytes, which has all that the contexts of orders three on need: at most 65,536 contexts of order 5 for each
+  three bytes, however large the corpus. Counts of order 2, at most 65,536 contexts, are sent to all;
+* the logs go back to the first buckets, from there to the chunks, which add them up for each text.
+
+Texts longer than a chunk are cut at blanks into pieces that know the bytes before them, and their sums are added up.
 
-Word counts, of which there is no bound, are never gathered in one place: words' hashes go to buckets with their texts'
-places, a bucket counts its words and returns each text's part of the sum.
+`adaptive` scores one text with a trie that learns while it reads.
 """
 
 from __future__ import annotations
@@ -21,26 +26,34 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, Words, chunked, encoded, mix, partitions, texts, written
+from .common import CHUNK_BYTES, LOWER, SPACED, Words, mix, partitions, texts, written
 
 ORDER = 5
 END = 256
 SYMBOLS = 257
 HELD_OUT = 2
+#: Bytes of text for each bucket, as a power of two.
+BUCKET_BITS = 26
+#: Parts in which the counts of order 2 are added up.
+PARTS = 16
+
 
+def symbols(rows: list[bytes], order: int = ORDER, before: list[bytes] | None = None, closes: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context of `order` bytes as a number, symbol, text) of each symbol of some texts.
 
-def symbols(rows: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context of `order` bytes as a number, symbol, text) of each symbol of some texts; a text begins after zero bytes and closes with END."""
-    size = np.fromiter(map(len, rows), np.int64, len(rows))
-    data = np.frombuffer(b"".join(b"\0" * order + r + b"\0" for r in rows), np.uint8)
-    text = np.repeat(np.arange(len(rows)), size + 1)
+    A text begins after zero bytes, or after `before`, and closes with END unless `closes` says that more follows.
+    """
+    ends = np.ones(len(rows), bool) if closes is None else np.asarray(closes, bool)
+    size = np.fromiter(map(len, rows), np.int64, len(rows)) + ends
+    lead = [b"\0" * order] * len(rows) if before is None else before
+    data = np.frombuffer(b"".join(x + r + (b"\0" if e else b"") for x, r, e in zip(lead, rows, ends.tolist(), strict=True)), np.uint8)
+    text = np.repeat(np.arange(len(rows)), size)
     at = np.arange(len(text)) + (text + 1) * order
     symbol = data[at].astype(np.int32)
-    symbol[np.cumsum(size + 1) - 1] = END
+    symbol[(np.cumsum(size) - 1)[ends]] = END
     context = np.zeros(len(at), np.int64)
     for back in range(order, 0, -1):
         context = (context << 8) | data[at - back]
@@ -52,136 +65,9 @@ def remainder() -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)).cast("int")
 
 
-def grams(docs: DataFrame, order: int, kept: Broadcast | None = None) -> DataFrame:
-    """context, symbol, n over all the given texts, added up in each task first; `kept`: of these contexts alone (sorted numbers)."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for part in chunked(batches, limit=2 << 20):
-            context, symbol, _ = symbols(encoded(part.column("text")), order)
-            if kept is not None:
-                place = np.minimum(np.searchsorted(kept.value, context), max(0, len(kept.value) - 1))
-                mine = kept.value[place] == context if len(kept.value) else np.zeros(len(context), bool)
-                context, symbol = context[mine], symbol[mine]
-            key, n = np.unique(context * 512 + symbol, return_counts=True)
-            both, at = np.unique(np.concatenate([keys, key]), return_inverse=True)
-            keys, counts = both, np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
-            if len(keys) > 1 << 21:
-                yield out(keys, counts)
-                keys, counts = keys[:0], counts[:0]
-        yield out(keys, counts)
-
-    def out(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys >> 9), pa.array((keys & 511).astype(np.int32)), pa.array(counts)], names=["context", "symbol", "n"])
-
-    return docs.select("text").mapInArrow(each, "context long, symbol int, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-
-
 Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-class Model:
-    """The tables of a trained trie, made from counts by (context, symbol, n) of order 2 and of each longer order, as far as kept.
-
-    A context that is kept has all its shorter ones kept. A symbol is known by a code; code 0 stands for all bytes that
-    training never met, which have equal probabilities everywhere.
-    """
-
-    def __init__(self, orders: list[Counts]) -> None:
-        self.orders = orders
-        self._ready: tuple | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_ready": None}
-
-    def ready(self) -> tuple:
-        """(log10 probabilities by row and code, code of each symbol, row of each context of up to three bytes, then for each longer order the first row and the place of each context by its shorter one's place and its first byte)."""
-        if self._ready is None:
-            context2, symbol2, _ = self.orders[0]
-            used = np.unique(np.concatenate([context2 >> 8, context2 & 255, symbol2[symbol2 < END], [0]]))
-            size = len(used) + 1
-            code = np.zeros(SYMBOLS, np.int64)
-            code[used], code[END] = np.arange(1, size), size
-            unseen = SYMBOLS - len(used) - 1
-            keys, counts = [], []  # by order, from 2
-            for context, symbol, n in self.orders:
-                key, row = np.unique(context, return_inverse=True)
-                table = np.zeros((len(key), size + 1), np.float32)
-                np.add.at(table, (row, code[symbol]), n)
-                keys.append(key)
-                counts.append(table)
-            keys1 = np.unique(keys[0] & 255)
-            ups = [np.searchsorted(keys1, keys[0] & 255)]
-            one = np.zeros((len(keys1), size + 1), np.float32)
-            np.add.at(one, ups[0], counts[0])
-            for k in range(1, len(keys)):
-                ups.append(np.searchsorted(keys[k - 1], keys[k] & ((1 << 8 * (k + 1)) - 1)))
-            tables, above = [one.sum(0, keepdims=True), one, *counts], [None, np.zeros(len(keys1), np.int64), *ups]
-            rows, first, begin = [], [], 0
-            for order in range(len(tables) - 1, -1, -1):
-                first.insert(0, begin)
-                for at in range(0, len(tables[order]), 1024):
-                    place = np.arange(at, min(at + 1024, len(tables[order])))
-                    chain = []
-                    for k in range(order, -1, -1):
-                        chain.append(tables[k][place].astype(np.float64))
-                        place = above[k][place] if k else place
-                    rows.append(logs(chain, unseen))
-                begin += len(tables[order])
-            index = np.full((size, size, size), first[0], np.int32)
-            index[:, :, code[keys1]] = first[1] + np.arange(len(keys1))
-            index[:, code[keys[0] >> 8], code[keys[0] & 255]] = first[2] + np.arange(len(keys[0]))
-            if len(keys) > 1:
-                index[code[keys[1] >> 16], code[(keys[1] >> 8) & 255], code[keys[1] & 255]] = first[3] + np.arange(len(keys[1]))
-            longer = []
-            for k in range(2, len(keys)):
-                step = np.full((len(keys[k - 1]), size), -1, np.int32)
-                step[ups[k], code[keys[k] >> 8 * (k + 1)]] = np.arange(len(keys[k]))
-                longer.append((first[k + 2], step))
-            three = (first[3], len(keys[1])) if len(keys) > 1 else (0, 0)
-            self._ready = np.concatenate(rows), code, index.ravel(), size, three, longer
-        return self._ready
-
-    def rows(self, context: np.ndarray) -> np.ndarray:
-        """The row of the longest kept context of each."""
-        _, code, index, size, (begin, many), longer = self.ready()
-        row = index[(code[(context >> 16) & 255] * size + code[(context >> 8) & 255]) * size + code[context & 255]].astype(np.int64)
-        at = np.where((row >= begin) & (row < begin + many), row - begin, -1)
-        for back, (first, step) in enumerate(longer, 3):
-            go = np.flatnonzero(at >= 0)
-            place = step[at[go], code[(context[go] >> 8 * back) & 255]]
-            at = np.full(len(context), -1)
-            at[go] = place
-            row[go] = np.where(place >= 0, first + place, row[go])
-        return row
-
-    def score(self, texts_: list[bytes]) -> np.ndarray:
-        """log10 probability of each text, its end included."""
-        table, code, *_ = self.ready()
-        context, symbol, text = symbols(texts_, max(3, len(self.orders) + 1))
-        return np.bincount(text, table[self.rows(context), code[symbol]].astype(np.float64), len(texts_))
-
-
-def logs(orders: list[np.ndarray], unseen: int) -> np.ndarray:
-    """log10 probabilities of all codes, from their counts in contexts of descending order; code 0 is each of `unseen` symbols without counts."""
-    some, codes = orders[0].shape
-    each = np.ones(codes)
-    each[0] = unseen
-    p, reach, open_ = np.zeros((some, codes)), np.ones((some, 1)), np.ones((some, codes), bool)
-    for counts in orders:
-        counts = np.where(open_, counts, 0)
-        kinds = (counts > 0).sum(1, keepdims=True)
-        whole = counts.sum(1, keepdims=True) + kinds
-        safe = np.maximum(whole, 1)
-        left = (open_ * each).sum(1, keepdims=True) > kinds  # no escape where nothing is left to escape to
-        share = np.where(left, safe, np.maximum(whole - kinds, 1))
-        p = np.where(counts > 0, reach * counts / share, p)
-        reach = np.where(whole > 0, np.where(left, reach * kinds / safe, 0), reach)
-        open_ = open_ & (counts == 0)
-    p = np.where(open_, reach / np.maximum((open_ * each).sum(1, keepdims=True), 1), p)
-    return np.log10(np.maximum(p, 1e-300)).astype(np.float32)
-
-
 def adaptive(text: bytes, order: int = ORDER) -> float:
     """log10 probability of a text and its end under a trie that starts empty and learns each symbol after it is coded."""
     trie: dict[bytes, Counter] = defaultdict(Counter)
@@ -206,11 +92,6 @@ def adaptive(text: bytes, order: int = ORDER) -> float:
     return total
 
 
-def counted(rows: DataFrame) -> Counts:
-    found = rows.toPandas()
-    return tuple(found[c].to_numpy().astype(np.int64) for c in ("context", "symbol", "n"))
-
-
 def levels(keys: np.ndarray, n: np.ndarray, two: Counts) -> list[tuple[np.ndarray, ...]]:
     """For each of the sorted (context * 512 + symbol) of order ORDER, by order from the longest: its count, its context's sum, kinds and the sum of what longer contexts exclude.
 
@@ -258,141 +139,194 @@ def gram_logs(keys: np.ndarray, n: np.ndarray, two: Counts) -> np.ndarray:
     return np.log10(np.maximum(p, 1e-300))
 
 
-def text_scores(docs: DataFrame) -> DataFrame:
-    """key and score of each row of docs (key, train, text), under the counts of all contexts of the training texts.
+def pieces(data: bytes, limit: int = CHUNK_BYTES) -> Iterator[tuple[bytes, bytes, bool]]:
+    """(the ORDER bytes before, the piece, whether it is the last) of a text: pieces end after the first blank that `limit` bytes have passed."""
+    at = 0
+    blank = np.flatnonzero(~SPACED[np.frombuffer(data, np.uint8)]) if len(data) > limit else None
+    while True:
+        to = len(data)
+        if len(data) - at > limit and (k := int(np.searchsorted(blank, at + limit))) < len(blank):
+            to = int(blank[k]) + 1
+        yield (b"\0" * ORDER + data[max(0, at - ORDER) : at])[-ORDER:], data[at:to], to == len(data)
+        at = to
+        if at == len(data):
+            return
 
-    A bucket holds all contexts of a share of the last three bytes; a chunk of texts sends it each different symbol in
-    context once, and gets their logs back. Only counts of order 2, bounded by their number, are sent to all.
-    """
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(4, partitions(docs.sparkSession), size >> 24)
-    two = docs.sparkSession.sparkContext.broadcast(counted(grams(docs.where("train"), 2)))
-    schema = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("values", pa.binary()), ("texts", pa.list_(pa.binary()))])
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = 0
-        for part in chunked(batches):
-            rows = encoded(part.column("text"))
-            context, symbol, text = symbols(rows)
-            trained = np.asarray(part.column("train")).astype(np.int64)
-            key, at = np.unique(context * 512 + symbol, return_inverse=True)
-            n = np.bincount(at, trained[text], len(key)).astype(np.int64)
-            bucket = (mix((key >> 9 & 0xFFFFFF).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            name, parts = (TaskContext.get().partitionId() << 32) + parts, parts + 1
-            out = [{"bucket": k, "chunk": name, "keys": key[order[a:b]].tobytes(), "values": narrow(n[order[a:b]]), "texts": None} for k, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if a < b]
-            out.append({"bucket": -1 - name, "chunk": name, "keys": np.asarray(part.column("key")).astype(np.int64).tobytes(), "values": None, "texts": rows})
-            yield from pa.Table.from_pylist(out, schema).to_batches()
-
-    def count(group: pa.Table) -> pa.Table:
-        if group.column("bucket")[0].as_py() < 0:
-            return group
-        keys = [np.frombuffer(k, np.int64) for k in group.column("keys").to_pylist()]
-        n = np.concatenate([wide(v, len(k)) for v, k in zip(group.column("values").to_pylist(), keys, strict=True)])
-        every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        found = gram_logs(every, np.bincount(at, n, len(every)), two.value)[at].astype(np.float32)
-        cut = np.cumsum([0, *map(len, keys)])
-        return group.set_column(3, "values", pa.array([found[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()))
-
-    def merge(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        texts_ = next(r for r in rows if r["texts"] is not None)
-        keys = np.concatenate([np.frombuffer(r["keys"], np.int64) for r in rows if r["texts"] is None])
-        values = np.concatenate([np.frombuffer(r["values"], np.float32) for r in rows if r["texts"] is None])
-        order = np.argsort(keys)
-        context, symbol, text = symbols(texts_["texts"])
-        logs_ = values[order][np.searchsorted(keys[order], context * 512 + symbol)].astype(np.float64)
-        return pa.table({"key": pa.array(np.frombuffer(texts_["keys"], np.int64)), "score": pa.array(np.bincount(text, logs_, len(texts_["texts"])))})
 
-    kinds = "bucket long, chunk long, keys binary, values binary, texts array<binary>"
-    answered = docs.select("key", "train", "text").mapInArrow(send, kinds).groupBy("bucket").applyInArrow(count, kinds)
-    return answered.groupBy("chunk").applyInArrow(merge, "key long, score double")
+def distinct(context: np.ndarray, symbol: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different symbols in context as numbers, by bucket; the place among them of each symbol; and where each bucket begins."""
+    return dealt(*np.unique(context * 512 + symbol, return_inverse=True), buckets)
 
 
-# Word counts
+def dealt(keys: np.ndarray, place: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    bucket = bucket_of(keys, buckets)
+    order = np.argsort(bucket, kind="stable")
+    to = np.empty(len(keys), np.int64)
+    to[order] = np.arange(len(keys))
+    return keys[order], to[place], np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def word_sums(docs: DataFrame) -> DataFrame:
-    """Of docs (key, train, text): for each key `logs`, the sum over its words of log10(c + 1), and `known`, its words of c > 0, where c is the word's
-    count in training texts; and a row without key, with `distinct` and `tokens` of all training words.
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(keys.view(np.uint64) ^ np.uint64(0xA5A5)) % np.uint64(buckets)).astype(np.int64)
 
-    A word is known by its 64-bit hash. A bucket holds a share of the hash values; a chunk of texts sends each bucket one
-    row, with a word's hash once and its texts by number, so that very frequent words are short lists in even rows. The
-    answer holds the texts that have a word in the bucket, so that what moves never exceeds a few bytes for each different
-    word of each text, however many buckets there are.
-    """
-    buckets = max(4, partitions(docs.sparkSession) // 2)
-    edges = (np.arange(1, buckets, dtype=np.float64) / buckets * 2.0**64).astype(np.uint64)
-    sending = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("trained", pa.binary()), ("hashes", pa.binary()), ("many", pa.binary()), ("places", pa.binary()), ("times", pa.binary())])
-    answer = pa.schema([("chunk", pa.int64()), ("keys", pa.binary()), ("places", pa.binary()), ("logs", pa.binary()), ("known", pa.binary()), ("distinct", pa.int64()), ("tokens", pa.int64())])
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = 0
-        for part in chunked(batches, limit=3 << 20):
-            words = Words(encoded(part.column("text")), SPACED, LOWER)
-            order = np.lexsort((words.doc, words.hash))
-            h, d = words.hash[order], words.doc[order]
-            first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))) if len(h) else np.zeros(0, np.int64)
-            times = np.diff(np.append(first, len(h)))
-            h, d = h[first], d[first]
-            lead = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-            texts_of = np.diff(np.append(lead, len(h)))
-            cut = np.concatenate(([0], np.searchsorted(h[lead], edges), [len(lead)]))
-            at = np.append(lead, len(h))[cut]
-            keys = np.asarray(part.column("key")).astype(np.int64)
-            trained = np.packbits(np.asarray(part.column("train")).astype(np.uint8)).tobytes()
-            name, parts = (TaskContext.get().partitionId() << 32) + parts, parts + 1  # the same again if the task is run again
-            rows = [
-                {"bucket": b, "chunk": name, "keys": None, "trained": trained, "hashes": h[lead[cut[b] : cut[b + 1]]].tobytes(), "many": narrow(texts_of[cut[b] : cut[b + 1]]), "places": narrow(d[at[b] : at[b + 1]]), "times": narrow(times[at[b] : at[b + 1]])}
-                for b in range(buckets) if cut[b] < cut[b + 1]
-            ]
-            rows.append({"bucket": -1 - parts % buckets, "chunk": name, "keys": keys.tobytes()} | dict.fromkeys(("trained", "hashes", "many", "places", "times")))
-            yield from pa.Table.from_pylist(rows, sending).to_batches()
-
-    def count(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        if rows[0]["bucket"] < 0:  # what the answers are about goes straight on
-            return pa.Table.from_pylist([{"chunk": r["chunk"], "keys": r["keys"], "distinct": 0, "tokens": 0} for r in rows], answer)
-        hashes = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
-        many = [wide(r["many"], len(x)) for r, x in zip(rows, hashes, strict=True)]
-        entries = [int(m.sum()) for m in many]
-        places = [wide(r["places"], n) for r, n in zip(rows, entries, strict=True)]
-        n = np.concatenate([wide(r["times"], k) for r, k in zip(rows, entries, strict=True)]).astype(np.float64)
-        trained = np.concatenate([np.unpackbits(np.frombuffer(r["trained"], np.uint8))[p] for r, p in zip(rows, places, strict=True)])
-        _, word = np.unique(np.concatenate(hashes), return_inverse=True)
-        word = np.repeat(word, np.concatenate(many))
-        learned = n * trained
-        c = np.bincount(word, learned)
-        logs_, known = n * np.log10(c + 1)[word], n * (c > 0)[word]
-        out, at = [], 0
-        for r, p in zip(rows, places, strict=True):
-            present, where = np.unique(p, return_inverse=True)
-            of = slice(at, at + len(p))
-            out.append({"chunk": r["chunk"], "keys": None, "places": narrow(present), "logs": np.bincount(where, logs_[of]).tobytes(), "known": narrow(np.bincount(where, known[of]).astype(np.int64)), "distinct": 0, "tokens": 0})
-            at += len(p)
-        out.append({"chunk": -1, "distinct": int((c > 0).sum()), "tokens": int(learned.sum())})
-        return pa.Table.from_pylist(out, answer)
-
-    def merge(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        schema = pa.schema([("key", pa.int64()), ("logs", pa.float64()), ("known", pa.int64()), ("distinct", pa.int64()), ("tokens", pa.int64())])
-        if rows[0]["chunk"] < 0:
-            return pa.Table.from_pylist([{"key": None, "logs": 0.0, "known": 0, "distinct": sum(r["distinct"] for r in rows), "tokens": sum(r["tokens"] for r in rows)}], schema)
-        keys = np.frombuffer(next(r["keys"] for r in rows if r["keys"] is not None), np.int64)
-        logs_, known = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
-        for r in rows:
-            if r["keys"] is None:
-                part = np.frombuffer(r["logs"], np.float64)
-                at = wide(r["places"], len(part))
-                logs_[at] += part
-                known[at] += wide(r["known"], len(part))
-        zeros = pa.array(np.zeros(len(keys), np.int64))
-        return pa.Table.from_arrays([pa.array(keys), pa.array(logs_), pa.array(known), zeros, zeros], schema=schema)
-
-    sent = docs.select("key", "train", "text").mapInArrow(send, "bucket int, chunk long, keys binary, trained binary, hashes binary, many binary, places binary, times binary")
-    counted = sent.groupBy("bucket").applyInArrow(count, "chunk long, keys binary, places binary, logs binary, known binary, distinct long, tokens long")
-    return counted.groupBy("chunk").applyInArrow(merge, "key long, logs double, known long, distinct long, tokens long")
+
+def words(rows: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different words' hashes, by bucket; the place among them and the text of each word; and where each bucket begins."""
+    found = Words(rows, SPACED, LOWER)
+    hashes, at = np.unique(found.hash, return_inverse=True)
+    hashes, place, edge = dealt(hashes.view(np.int64), at, buckets)
+    return hashes, place, found.doc, edge
+
+
+SENT = "bucket long, chunk long, grams binary, n binary, words binary, m binary, docs binary, train binary, closes binary, before array<binary>, texts array<binary>"
+SENT_SCHEMA = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("grams", "n", "words", "m", "docs", "train", "closes")), ("before", pa.list_(pa.binary())), ("texts", pa.list_(pa.binary()))])
+#: kind 0: words' counts for a chunk; 1: symbols in context for a bucket of the second kind; 2: counts of order 2; 3: totals of words.
+COUNTED = "kind int, at long, part long, keys binary, values binary, kinds long, tokens long"
+COUNTED_SCHEMA = pa.schema([("kind", pa.int32()), ("at", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("values", pa.binary()), ("kinds", pa.int64()), ("tokens", pa.int64())])
+ANSWER = "chunk long, part long, grams binary, words binary"
+ANSWER_SCHEMA = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("grams", pa.binary()), ("words", pa.binary())])
+
+
+def sent(docs: DataFrame, buckets: int, limit: int = CHUNK_BYTES) -> DataFrame:
+    """Of docs (doc_id, train, text): the chunks' different symbols in context and words for each bucket, and in bucket -1 the chunk itself. `docs` numbers the documents, for pieces of one."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, chunk, doc = [], 0, TaskContext.get().partitionId() << 40, TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for doc_id, train, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                for before, piece, last in pieces(text, limit):
+                    if held and size + len(piece) > limit:
+                        yield from out(held, chunk)
+                        held, size, chunk = [], 0, chunk + 1
+                    held.append((doc, doc_id, train, before, piece, last))
+                    size += len(piece)
+                doc += 1
+        if held:
+            yield from out(held, chunk)
+
+    def out(held: list[tuple], chunk: int) -> list[pa.RecordBatch]:
+        doc, ids, train, before, rows, closes = map(list, zip(*held, strict=True))
+        trained = np.asarray(train, np.int64)
+        context, symbol, text = symbols(rows, ORDER, before, closes)
+        grams, place, edge = distinct(context, symbol, buckets)
+        n = np.bincount(place, trained[text], len(grams)).astype(np.int64)
+        hashes, at, of, cut = words(rows, buckets)
+        m = np.bincount(at, trained[of], len(hashes)).astype(np.int64)
+        table = [
+            {"bucket": b, "chunk": chunk, "grams": grams[edge[b] : edge[b + 1]].tobytes(), "n": narrow(n[edge[b] : edge[b + 1]]), "words": hashes[cut[b] : cut[b + 1]].tobytes(), "m": narrow(m[cut[b] : cut[b + 1]])}
+            for b in range(buckets) if edge[b] < edge[b + 1] or cut[b] < cut[b + 1]
+        ]
+        named = np.asarray([[d, i is not None, i or 0] for d, i in zip(doc, ids, strict=True)], np.int64)
+        table.append({"bucket": -1, "chunk": chunk, "docs": named.tobytes(), "train": trained.astype(np.uint8).tobytes(), "closes": np.asarray(closes, np.uint8).tobytes(), "before": before, "texts": rows})
+        return pa.Table.from_pylist(table, SENT_SCHEMA).to_batches()
+
+    return docs.select("doc_id", "train", F.encode("text", "UTF-8").alias("text")).mapInArrow(each, SENT)
+
+
+def totals(lists: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys, their sums, and the place of each entry among them."""
+    keys, at = np.unique(np.concatenate([np.zeros(0, np.int64), *lists]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([np.zeros(0, np.int64), *counts]), len(keys)).astype(np.int64), at
+
+
+def _entries(group: pa.Table, keys: str, many: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    lists = [np.frombuffer(k, np.int64) for k in group.column(keys).to_pylist()]
+    return lists, [wide(v, len(k)) for v, k in zip(group.column(many).to_pylist(), lists, strict=True)]
+
+
+def counted(chunks: DataFrame, buckets: int) -> DataFrame:
+    """The buckets' sums, as COUNTED."""
+
+    def each(group: pa.Table) -> pa.Table:
+        group = group.sort_by("chunk")
+        here = group.column("bucket")[0].as_py()
+        hashes, m = _entries(group, "words", "m")
+        _, c, at = totals(hashes, m)
+        cut = np.cumsum([0, *map(len, hashes)])
+        out = [{"kind": 0, "at": chunk, "part": here, "values": narrow(c[at[a:b]])} for chunk, a, b in zip(group.column("chunk").to_pylist(), cut, cut[1:], strict=False) if a < b]
+        out.append({"kind": 3, "kinds": int((c > 0).sum()), "tokens": int(c.sum())})
+        keys, n, _ = totals(*_entries(group, "grams", "n"))
+        by, place, edge = dealt(keys >> 9 & 0xFFFFFF, np.arange(len(keys)), buckets)
+        order = np.empty(len(keys), np.int64)
+        order[place] = np.arange(len(keys))
+        out += [{"kind": 1, "at": int(b), "part": here, "keys": keys[order[edge[b] : edge[b + 1]]].tobytes(), "values": narrow(n[order[edge[b] : edge[b + 1]]])} for b in range(buckets) if edge[b] < edge[b + 1]]
+        seen = n > 0
+        two, sums, _ = totals([(keys[seen] >> 9 & 0xFFFF) * 512 + (keys[seen] & 511)], [n[seen]])
+        of = bucket_of(two >> 9, PARTS)
+        out += [{"kind": 2, "at": k, "keys": two[of == k].tobytes(), "values": narrow(sums[of == k])} for k in range(PARTS)]
+        return pa.Table.from_pylist(out, COUNTED_SCHEMA)
+
+    return chunks.where("bucket >= 0").groupBy("bucket").applyInArrow(each, COUNTED)
+
+
+def order_two(sums: DataFrame) -> Counts:
+    """All counts of order 2, added up in PARTS parts: at most 65,536 contexts of at most 257 symbols, as packed numbers."""
+
+    def each(group: pa.Table) -> pa.Table:
+        keys, n, _ = totals(*_entries(group, "keys", "values"))
+        return pa.table({"keys": pa.array([keys.tobytes()], pa.binary()), "values": pa.array([n.tobytes()], pa.binary())})
+
+    found = sums.where("kind = 2").select("at", "keys", "values").groupBy("at").applyInArrow(each, "keys binary, values binary").collect()
+    keys = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["keys"], np.int64) for r in found)])
+    n = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["values"], np.int64) for r in found)])
+    return keys >> 9, keys & 511, n
+
+
+def answers(chunks: DataFrame, sums: DataFrame, buckets: int) -> DataFrame:
+    """The logs of each chunk's symbols in context and the counts of its words, as ANSWER, in the order in which it sent them."""
+    two = chunks.sparkSession.sparkContext.broadcast(order_two(sums))
+
+    def logs(group: pa.Table) -> pa.Table:
+        lists, counts = _entries(group, "keys", "values")
+        keys, n, at = totals(lists, counts)
+        found = gram_logs(keys, n, two.value)[at].astype(np.float32)
+        cut = np.cumsum([0, *map(len, lists)])
+        return pa.table({"bucket": group.column("part"), "keys": group.column("keys"), "values": pa.array([found[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())})
+
+    def give(asked: pa.Table, known: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(k, np.int64) for k in known.column("keys").to_pylist())])
+        values = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(v, np.float32) for v in known.column("values").to_pylist())])
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        out = [values[np.searchsorted(keys, np.frombuffer(k, np.int64))].tobytes() for k in asked.column("grams").to_pylist()]
+        return pa.table({"chunk": asked.column("chunk"), "part": asked.column("bucket"), "grams": pa.array(out, pa.binary()), "words": pa.nulls(len(out), pa.binary())}, schema=ANSWER_SCHEMA)
+
+    known = sums.where("kind = 1").select("at", "part", "keys", "values").groupBy("at").applyInArrow(logs, "bucket long, keys binary, values binary")
+    asked = chunks.where("bucket >= 0").select("bucket", "chunk", "grams")
+    grams = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(give, ANSWER)
+    return grams.union(sums.where("kind = 0").select(F.col("at").alias("chunk"), "part", F.lit(None).cast("binary").alias("grams"), F.col("values").alias("words")))
+
+
+SCORED = "doc long, doc_id long, train boolean, n_tokens long, n_known long, logs double, score double"
+
+
+def merged(chunks: DataFrame, answered: DataFrame, buckets: int) -> DataFrame:
+    """SCORED for each piece of each chunk: the sums over its symbols and words."""
+
+    def each(asked: pa.Table, got: pa.Table) -> pa.Table:
+        row = asked.to_pylist()[0]
+        rows, closes = row["texts"], np.frombuffer(row["closes"], np.uint8).astype(bool)
+        got = got.sort_by("part")
+        context, symbol, text = symbols(rows, ORDER, row["before"], closes.tolist())
+        _, place, _ = distinct(context, symbol, buckets)
+        found = np.frombuffer(b"".join(v for v in got.column("grams").to_pylist() if v is not None), np.float32)
+        score = np.bincount(text, found[place].astype(np.float64), len(rows)).astype(float)
+        _, at, of, cut = words(rows, buckets)
+        sizes = dict(enumerate(np.diff(cut).tolist()))
+        c = np.concatenate([np.zeros(0, np.int64), *(wide(v, sizes[b]) for b, v in zip(got.column("part").to_pylist(), got.column("words").to_pylist(), strict=True) if v is not None)])[at]
+        docs = np.frombuffer(row["docs"], np.int64).reshape(-1, 3)
+        numbers = {
+            "doc": docs[:, 0],
+            "n_tokens": np.bincount(of, minlength=len(rows)) + closes,
+            "n_known": np.bincount(of, c > 0, len(rows)).astype(np.int64),
+            "logs": np.bincount(of, np.log10(c + 1.0), len(rows)).astype(float),
+            "score": score,
+        }
+        out = {k: pa.array(v) for k, v in numbers.items()} | {"doc_id": pa.array(docs[:, 2], mask=docs[:, 1] == 0), "train": pa.array(np.frombuffer(row["train"], np.uint8).astype(bool))}
+        return pa.table({c.split()[0]: out[c.split()[0]] for c in SCORED.split(", ")})
+
+    asked = chunks.where("bucket < 0").select("chunk", "docs", "train", "closes", "before", "texts")
+    return asked.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(each, SCORED)
 
 
 def narrow(values: np.ndarray) -> bytes:
@@ -406,34 +340,24 @@ def wide(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, {0: np.uint8, 1: np.uint8, 2: np.uint16, 8: np.uint64}[len(data) // n if n else 0]).astype(np.int64)
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
-    A null text is empty and has its end alone. Without training texts every symbol is equally likely and no word is
-    known. Rows repeated with id and text count as often as they are there and get equal values; no rows, no rows.
+    A null text is empty and has its end alone; a null id's text is the empty text. Without training texts every symbol is
+    equally likely and no word is known. Rows repeated with id and text count as often as they are there and get equal
+    values; texts longer than `limit` bytes are scored piece by piece; no rows, no rows. Columns other than doc_id and text
+    are not read.
     """
-    rows = texts(docs).withColumn("key", F.xxhash64("doc_id", "text")).withColumn("train", remainder() != HELD_OUT)
-    learned = rows.where("train")
-    sums = written(word_sums(rows), "word-sums")
-    whole = sums.where("key IS NULL").agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("v"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()
-    ends = learned.select("doc_id").count()
-    tokens, kinds = whole["n"] + ends, whole["v"] + (ends > 0)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunked(batches):
-            texts_ = encoded(part.column("text"))
-            data = np.frombuffer(b"\n".join([b"", *texts_, b""]), np.uint8)
-            inside = SPACED[data]
-            begins = np.cumsum(inside[1:] & ~inside[:-1])
-            last = np.cumsum(np.fromiter(map(len, texts_), np.int64, len(texts_)) + 1)
-            words = np.diff(np.concatenate(([0], begins[last - 1]))) if len(texts_) else np.zeros(0, np.int64)
-            got = [part.column(c).combine_chunks() for c in ("doc_id", "train", "key")]
-            yield pa.RecordBatch.from_arrays([*got, pa.array(words + 1)], names=["doc_id", "train", "key", "n_tokens"])
-
-    scored = rows.mapInArrow(each, "doc_id long, train boolean, key long, n_tokens long")
-    by_key = text_scores(rows).groupBy("key").agg(F.avg("score").alias("score"))
-    each_key = sums.where("key IS NOT NULL").groupBy("key").agg(F.avg("logs").alias("logs"), F.max("known").alias("known"))
-    base = F.coalesce("logs", F.lit(0.0)) + F.lit(float(np.log10(ends + 1))) - F.col("n_tokens") * F.lit(float(np.log10(tokens + kinds + 1)))
-    return scored.join(each_key, "key", "left").join(by_key, "key", "left").select(
-        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.coalesce("known", F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), "score"
+    rows = texts(docs).withColumn("train", remainder() != HELD_OUT)
+    ends, size = rows.agg(F.coalesce(F.sum(F.col("train").cast("long")), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    buckets = max(4, partitions(docs.sparkSession), size >> BUCKET_BITS)
+    chunks = written(sent(rows, buckets, limit), "chunks")
+    sums = written(counted(chunks, buckets), "counts")
+    kinds, tokens = sums.where("kind = 3").agg(F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    n, v = tokens + ends, kinds + (ends > 0)
+    got = merged(chunks, answers(chunks, sums, buckets), buckets)
+    whole = got.groupBy("doc").agg(F.first("doc_id").alias("doc_id"), F.first("train").alias("train"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "score")])
+    base = F.col("logs") + F.lit(float(np.log10(ends + 1))) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
+    return whole.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("n_known") + F.lit(int(ends > 0))).cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), base.alias("base_score"), "score"
     )

@@ -263,55 +263,51 @@ def test_word_scores_equal_brute_force(small):
     assert np.allclose([x[5] for x in got], [x[5] for x in want], rtol=1e-9)
 
 
-def test_model_is_a_distribution_and_equals_its_definition():
-    texts = [b"abracadabra", b"abab", b""]
-    context, symbol, _ = ppm.symbols(texts, 5)
-
-    def counts(k):
-        keys, n = np.unique((context & ((1 << 8 * k) - 1)) * 512 + symbol, return_counts=True)
-        return keys >> 9, keys & 511, n
-
-    model = ppm.Model([counts(k) for k in (2, 3, 4, 5)])
-    rows, code, *_ = model.ready()
-    p = 10.0 ** rows.astype(float)
-    assert np.allclose(p.sum(1) + (257 - len(set(code[code > 0])) - 1) * p[:, 0], 1, atol=1e-5)
-
-    def by_definition(held: bytes, at: int, s: int) -> float:
-        out, reach = set(), 1.0
+def ppm_by_definition(learned: list[bytes], text: bytes) -> float:
+    """log10 probability of a text, from counting in all training texts anew for each symbol and order."""
+    held = [b"\0" * 5 + t for t in learned]
+    total, mine = 0.0, b"\0" * 5 + text
+    for at in range(5, len(mine) + 1):
+        s, out, reach = (mine[at] if at < len(mine) else 256), set(), 1.0
         for k in (5, 4, 3, 2, 1, 0):
             seen = Counter()
-            for t in texts:
-                whole = b"\0" * 5 + t
-                for i in range(5, len(whole) + 1):
-                    if whole[i - k : i] == held[at - k : at]:
-                        seen[whole[i] if i < len(whole) else 256] += 1
+            for t in held:
+                for i in range(5, len(t) + 1):
+                    if t[i - k : i] == mine[at - k : at]:
+                        seen[t[i] if i < len(t) else 256] += 1
             seen = Counter({x: n for x, n in seen.items() if x not in out})
+            left = 257 - len(out) > len(seen)  # no escape where nothing is left to escape to
             if s in seen:
-                return math.log10(reach * seen[s] / (sum(seen.values()) + len(seen)))
+                reach *= seen[s] / (sum(seen.values()) + len(seen) * left)
+                break
             if seen:
                 reach *= len(seen) / (sum(seen.values()) + len(seen))
             out |= set(seen)
-        return math.log10(reach / (257 - len(out)))
-
-    for text in (b"abra", b"", b"xyz", b"cadab\x00"):
-        held = b"\0" * 5 + text
-        want = sum(by_definition(held, i, held[i] if i < len(held) else 256) for i in range(5, len(held) + 1))
-        assert abs(model.score([text])[0] - want) < 1e-4
+        else:
+            reach /= 257 - len(out)
+        total += math.log10(reach)
+    return total
 
 
-def test_scores_use_every_context(spark):
+@pytest.mark.parametrize("limit", [1 << 21, 16])
+def test_model_equals_its_definition(spark, limit):
+    """All contexts of all orders, also with texts cut into pieces of a few bytes."""
     rng = random.Random(6)
-    docs = [(k, "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH") for _ in range(3000))) for k in range(40)]
-    learned = [t.encode() for k, t in docs if zlib.crc32(str(k).encode()) % 7 != 2]
-    context, symbol, _ = ppm.symbols(learned, 5)
-    orders = []
-    for k in (2, 3, 4, 5):
-        keys, n = np.unique((context & ((1 << 8 * k) - 1)) * 512 + symbol, return_counts=True)
-        orders.append((keys >> 9, keys & 511, n))
-    assert len(np.unique(orders[1][0])) > 24576
-    want = ppm.Model(orders).score([t.encode() for _, t in docs])
-    got = {r["doc_id"]: r["score"] for r in ppm.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert np.allclose([got[k] for k, _ in docs], want, rtol=1e-5)
+    docs = [(k, " ".join("".join(rng.choice("abré\x00") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 9)))) for k in range(30)]
+    docs += [(30, None), (31, "zq"), (31, "zq"), (None, "abra"), (32, "one-word-of-more-than-sixteen-bytes and others")]
+    learned = [(t or "").encode() for k, t in docs if zlib.crc32(("" if k is None else str(k)).encode()) % 7 != 2]
+    want = sorted((-1 if k is None else k, ppm_by_definition(learned, (t or "").encode())) for k, t in docs)
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in ppm.score(rows, limit).collect())
+    assert [k for k, _ in got] == [k for k, _ in want]
+    assert np.allclose([x for _, x in got], [x for _, x in want], atol=1e-4)
+
+
+def test_pieces_change_no_score(small):
+    def key(r):
+        return (-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 3), round(r["score"], 1))
+
+    assert sorted(map(key, ppm.score(small, 300).collect())) == sorted(map(key, ppm.score(small).collect()))
 
 
 def test_adaptive_model_learns():
