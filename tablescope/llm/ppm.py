@@ -37,6 +37,8 @@ SYMBOLS = 257
 HELD_OUT = 2
 #: Bytes of text for each bucket, as a power of two.
 BUCKET_BITS = 26
+#: A chunk has so many times CHUNK_BYTES: what several texts share is sent once.
+CHUNK = 12
 #: Parts in which the counts of order 2 are added up.
 PARTS = 16
 
@@ -153,38 +155,68 @@ def pieces(data: bytes, limit: int = CHUNK_BYTES) -> Iterator[tuple[bytes, bytes
             return
 
 
-def distinct(context: np.ndarray, symbol: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different symbols in context as numbers, by bucket; the place among them of each symbol; and where each bucket begins."""
-    return dealt(*np.unique(context * 512 + symbol, return_inverse=True), buckets)
+def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts keys into buckets by their whole hash, each in the keys' own order, and where each bucket begins."""
+    bucket = (mix(keys.view(np.uint64) ^ np.uint64(0xA5A5)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def dealt(keys: np.ndarray, place: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    bucket = bucket_of(keys, buckets)
-    order = np.argsort(bucket, kind="stable")
-    to = np.empty(len(keys), np.int64)
-    to[order] = np.arange(len(keys))
-    return keys[order], to[place], np.searchsorted(bucket[order], np.arange(buckets + 1))
+_CODEC = pa.Codec("zstd", compression_level=3)
+
+
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + _CODEC.compress(data, asbytes=True)
+
+
+def loosened(data: bytes) -> bytes:
+    return _CODEC.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True) if any(data[:8]) else b""
+
+
+def packed(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Numbers in few bytes: differences if they ascend, byte by byte, compressed."""
+    raw = np.diff(values, prepend=values.dtype.type(0)) if ascending else values
+    planes = np.ascontiguousarray(raw.view(np.uint8).reshape(len(raw), raw.itemsize).T).tobytes()
+    return squeezed(planes)
+
+
+def unpacked(data: bytes, kind: type = np.int64, ascending: bool = False) -> np.ndarray:
+    planes, width = np.frombuffer(loosened(data), np.uint8), np.dtype(kind).itemsize
+    raw = np.ascontiguousarray(planes.reshape(width, len(planes) // width).T).view(kind).ravel()
+    return np.cumsum(raw) if ascending else raw
+
+
+def totals(lists: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys, their sums, and the place of each entry among them."""
+    keys, at = np.unique(np.concatenate([np.zeros(0, np.int64), *lists]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([np.zeros(0, np.int64), *counts]), len(keys)).astype(np.int64), at
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(keys.view(np.uint64) ^ np.uint64(0xA5A5)) % np.uint64(buckets)).astype(np.int64)
+def sums_of(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, ascending, and how many of each are trained."""
+    order = np.argsort(keys)
+    keys, trained = keys[order], trained[order]
+    lead = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[lead], np.add.reduceat(trained, lead) if len(lead) else np.zeros(0, np.int64)
 
 
-def words(rows: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The different words' hashes, by bucket; the place among them and the text of each word; and where each bucket begins."""
-    found = Words(rows, SPACED, LOWER)
-    hashes, at = np.unique(found.hash, return_inverse=True)
-    hashes, place, edge = dealt(hashes.view(np.int64), at, buckets)
-    return hashes, place, found.doc, edge
+def slices(rows: list[bytes], limit: int) -> Iterator[slice]:
+    """Neighbours of about `limit` bytes together, or a single one."""
+    first, size = 0, 0
+    for k, r in enumerate(rows):
+        if k > first and size + len(r) > limit:
+            yield slice(first, k)
+            first, size = k, 0
+        size += len(r)
+    yield slice(first, len(rows))
 
 
-SENT = "bucket long, chunk long, grams binary, n binary, words binary, m binary, docs binary, train binary, closes binary, before array<binary>, texts array<binary>"
-SENT_SCHEMA = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("grams", "n", "words", "m", "docs", "train", "closes")), ("before", pa.list_(pa.binary())), ("texts", pa.list_(pa.binary()))])
-#: kind 0: words' counts for a chunk; 1: symbols in context for a bucket of the second kind; 2: counts of order 2; 3: totals of words.
+SENT = "bucket long, chunk long, grams binary, n binary, words binary, m binary, docs binary, train binary, closes binary, sizes binary, before binary, texts binary"
+SENT_SCHEMA = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("grams", "n", "words", "m", "docs", "train", "closes", "sizes", "before", "texts"))])
+#: kind 0: words and their counts for a chunk; 1: symbols in context for a bucket of the second kind; 2: counts of order 2; 3: totals of words.
 COUNTED = "kind int, at long, part long, keys binary, values binary, kinds long, tokens long"
 COUNTED_SCHEMA = pa.schema([("kind", pa.int32()), ("at", pa.int64()), ("part", pa.int64()), ("keys", pa.binary()), ("values", pa.binary()), ("kinds", pa.int64()), ("tokens", pa.int64())])
-ANSWER = "chunk long, part long, grams binary, words binary"
-ANSWER_SCHEMA = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("grams", pa.binary()), ("words", pa.binary())])
+ANSWER = "chunk long, word boolean, keys binary, values binary"
 
 
 def sent(docs: DataFrame, buckets: int, limit: int = CHUNK_BYTES) -> DataFrame:
@@ -195,7 +227,7 @@ def sent(docs: DataFrame, buckets: int, limit: int = CHUNK_BYTES) -> DataFrame:
         for batch in batches:
             for doc_id, train, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 for before, piece, last in pieces(text, limit):
-                    if held and size + len(piece) > limit:
+                    if held and size + len(piece) > CHUNK * limit:
                         yield from out(held, chunk)
                         held, size, chunk = [], 0, chunk + 1
                     held.append((doc, doc_id, train, before, piece, last))
@@ -206,140 +238,131 @@ def sent(docs: DataFrame, buckets: int, limit: int = CHUNK_BYTES) -> DataFrame:
 
     def out(held: list[tuple], chunk: int) -> list[pa.RecordBatch]:
         doc, ids, train, before, rows, closes = map(list, zip(*held, strict=True))
-        trained = np.asarray(train, np.int64)
-        context, symbol, text = symbols(rows, ORDER, before, closes)
-        grams, place, edge = distinct(context, symbol, buckets)
-        n = np.bincount(place, trained[text], len(grams)).astype(np.int64)
-        hashes, at, of, cut = words(rows, buckets)
-        m = np.bincount(at, trained[of], len(hashes)).astype(np.int64)
+        trained, found, said = np.asarray(train, np.int64), [], []
+        for some in slices(rows, limit):
+            context, symbol, text = symbols(rows[some], ORDER, before[some], closes[some])
+            found.append(sums_of(context * 512 + symbol, trained[some][text]))
+            of = Words(rows[some], SPACED, LOWER)
+            said.append(sums_of(of.hash.view(np.int64), trained[some][of.doc]))
+        grams, n, _ = totals(*map(list, zip(*found, strict=True)))
+        hashes, m, _ = totals(*map(list, zip(*said, strict=True)))
+        (g, edge), (w, cut) = dealt(grams, buckets), dealt(hashes, buckets)
         table = [
-            {"bucket": b, "chunk": chunk, "grams": grams[edge[b] : edge[b + 1]].tobytes(), "n": narrow(n[edge[b] : edge[b + 1]]), "words": hashes[cut[b] : cut[b + 1]].tobytes(), "m": narrow(m[cut[b] : cut[b + 1]])}
-            for b in range(buckets) if edge[b] < edge[b + 1] or cut[b] < cut[b + 1]
+            {"bucket": b, "chunk": chunk, "grams": packed(grams[g[i:j]], True), "n": packed(n[g[i:j]]), "words": packed(hashes[w[k:x]], True), "m": packed(m[w[k:x]])}
+            for b, (i, j, k, x) in enumerate(zip(edge, edge[1:], cut, cut[1:], strict=False)) if i < j or k < x
         ]
         named = np.asarray([[d, i is not None, i or 0] for d, i in zip(doc, ids, strict=True)], np.int64)
-        table.append({"bucket": -1, "chunk": chunk, "docs": named.tobytes(), "train": trained.astype(np.uint8).tobytes(), "closes": np.asarray(closes, np.uint8).tobytes(), "before": before, "texts": rows})
+        table.append({"bucket": -1, "chunk": chunk, "docs": named.tobytes(), "train": trained.astype(np.uint8).tobytes(), "closes": np.asarray(closes, np.uint8).tobytes(), "sizes": packed(np.asarray([len(r) for r in rows], np.int64)), "before": b"".join(before), "texts": squeezed(b"".join(rows))})
         return pa.Table.from_pylist(table, SENT_SCHEMA).to_batches()
 
     return docs.select("doc_id", "train", F.encode("text", "UTF-8").alias("text")).mapInArrow(each, SENT)
 
 
-def totals(lists: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different keys, their sums, and the place of each entry among them."""
-    keys, at = np.unique(np.concatenate([np.zeros(0, np.int64), *lists]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([np.zeros(0, np.int64), *counts]), len(keys)).astype(np.int64), at
-
-
-def _entries(group: pa.Table, keys: str, many: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    lists = [np.frombuffer(k, np.int64) for k in group.column(keys).to_pylist()]
-    return lists, [wide(v, len(k)) for v, k in zip(group.column(many).to_pylist(), lists, strict=True)]
+def entries(group: pa.Table, keys: str, many: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    return [unpacked(k, ascending=True) for k in group.column(keys).to_pylist()], [unpacked(v) for v in group.column(many).to_pylist()]
 
 
 def counted(chunks: DataFrame, buckets: int) -> DataFrame:
     """The buckets' sums, as COUNTED."""
 
     def each(group: pa.Table) -> pa.Table:
-        group = group.sort_by("chunk")
         here = group.column("bucket")[0].as_py()
-        hashes, m = _entries(group, "words", "m")
+        hashes, m = entries(group, "words", "m")
         _, c, at = totals(hashes, m)
         cut = np.cumsum([0, *map(len, hashes)])
-        out = [{"kind": 0, "at": chunk, "part": here, "values": narrow(c[at[a:b]])} for chunk, a, b in zip(group.column("chunk").to_pylist(), cut, cut[1:], strict=False) if a < b]
+        out = [{"kind": 0, "at": chunk, "keys": k, "values": packed(c[at[a:b]])} for chunk, k, a, b in zip(group.column("chunk").to_pylist(), group.column("words").to_pylist(), cut, cut[1:], strict=False) if a < b]
         out.append({"kind": 3, "kinds": int((c > 0).sum()), "tokens": int(c.sum())})
-        keys, n, _ = totals(*_entries(group, "grams", "n"))
-        by, place, edge = dealt(keys >> 9 & 0xFFFFFF, np.arange(len(keys)), buckets)
-        order = np.empty(len(keys), np.int64)
-        order[place] = np.arange(len(keys))
-        out += [{"kind": 1, "at": int(b), "part": here, "keys": keys[order[edge[b] : edge[b + 1]]].tobytes(), "values": narrow(n[order[edge[b] : edge[b + 1]]])} for b in range(buckets) if edge[b] < edge[b + 1]]
+        keys, n, _ = totals(*entries(group, "grams", "n"))
+        order, edge = dealt(keys >> 9 & 0xFFFFFF, buckets)
+        out += [{"kind": 1, "at": b, "part": here, "keys": packed(keys[order[i:j]], True), "values": packed(n[order[i:j]])} for b, (i, j) in enumerate(zip(edge, edge[1:], strict=False)) if i < j]
         seen = n > 0
-        two, sums, _ = totals([(keys[seen] >> 9 & 0xFFFF) * 512 + (keys[seen] & 511)], [n[seen]])
-        of = bucket_of(two >> 9, PARTS)
-        out += [{"kind": 2, "at": k, "keys": two[of == k].tobytes(), "values": narrow(sums[of == k])} for k in range(PARTS)]
+        two, many, _ = totals([(keys[seen] >> 9 & 0xFFFF) * 512 + (keys[seen] & 511)], [n[seen]])
+        order, edge = dealt(two >> 9, PARTS)
+        out += [{"kind": 2, "at": b, "keys": packed(two[order[i:j]], True), "values": packed(many[order[i:j]])} for b, (i, j) in enumerate(zip(edge, edge[1:], strict=False))]
         return pa.Table.from_pylist(out, COUNTED_SCHEMA)
 
-    return chunks.where("bucket >= 0").groupBy("bucket").applyInArrow(each, COUNTED)
+    return chunks.where("bucket >= 0").select("bucket", "chunk", "grams", "n", "words", "m").groupBy("bucket").applyInArrow(each, COUNTED)
 
 
 def order_two(sums: DataFrame) -> Counts:
     """All counts of order 2, added up in PARTS parts: at most 65,536 contexts of at most 257 symbols, as packed numbers."""
 
     def each(group: pa.Table) -> pa.Table:
-        keys, n, _ = totals(*_entries(group, "keys", "values"))
-        return pa.table({"keys": pa.array([keys.tobytes()], pa.binary()), "values": pa.array([n.tobytes()], pa.binary())})
+        keys, n, _ = totals(*entries(group, "keys", "values"))
+        return pa.table({"keys": pa.array([packed(keys, True)], pa.binary()), "values": pa.array([packed(n)], pa.binary())})
 
     found = sums.where("kind = 2").select("at", "keys", "values").groupBy("at").applyInArrow(each, "keys binary, values binary").collect()
-    keys = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["keys"], np.int64) for r in found)])
-    n = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["values"], np.int64) for r in found)])
+    keys = np.concatenate([np.zeros(0, np.int64), *(unpacked(r["keys"], ascending=True) for r in found)])
+    n = np.concatenate([np.zeros(0, np.int64), *(unpacked(r["values"]) for r in found)])
     return keys >> 9, keys & 511, n
 
 
-def answers(chunks: DataFrame, sums: DataFrame, buckets: int) -> DataFrame:
-    """The logs of each chunk's symbols in context and the counts of its words, as ANSWER, in the order in which it sent them."""
+def answers(chunks: DataFrame, sums: DataFrame) -> DataFrame:
+    """The logs of each chunk's symbols in context and the counts of its words, as ANSWER."""
     two = chunks.sparkSession.sparkContext.broadcast(order_two(sums))
 
     def logs(group: pa.Table) -> pa.Table:
-        lists, counts = _entries(group, "keys", "values")
+        lists, counts = entries(group, "keys", "values")
         keys, n, at = totals(lists, counts)
         found = gram_logs(keys, n, two.value)[at].astype(np.float32)
         cut = np.cumsum([0, *map(len, lists)])
-        return pa.table({"bucket": group.column("part"), "keys": group.column("keys"), "values": pa.array([found[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())})
+        return pa.table({"bucket": group.column("part"), "keys": group.column("keys"), "values": pa.array([packed(found[a:b]) for a, b in zip(cut, cut[1:], strict=False)], pa.binary())})
 
     def give(asked: pa.Table, known: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(k, np.int64) for k in known.column("keys").to_pylist())])
-        values = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(v, np.float32) for v in known.column("values").to_pylist())])
+        keys = np.concatenate([np.zeros(0, np.int64), *(unpacked(k, ascending=True) for k in known.column("keys").to_pylist())])
+        values = np.concatenate([np.zeros(0, np.float32), *(unpacked(v, np.float32) for v in known.column("values").to_pylist())])
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
-        out = [values[np.searchsorted(keys, np.frombuffer(k, np.int64))].tobytes() for k in asked.column("grams").to_pylist()]
-        return pa.table({"chunk": asked.column("chunk"), "part": asked.column("bucket"), "grams": pa.array(out, pa.binary()), "words": pa.nulls(len(out), pa.binary())}, schema=ANSWER_SCHEMA)
+        out = [packed(values[np.searchsorted(keys, unpacked(k, ascending=True))]) for k in asked.column("grams").to_pylist()]
+        return pa.table({"chunk": asked.column("chunk"), "word": pa.array([False] * len(out)), "keys": asked.column("grams"), "values": pa.array(out, pa.binary())})
 
     known = sums.where("kind = 1").select("at", "part", "keys", "values").groupBy("at").applyInArrow(logs, "bucket long, keys binary, values binary")
     asked = chunks.where("bucket >= 0").select("bucket", "chunk", "grams")
     grams = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(give, ANSWER)
-    return grams.union(sums.where("kind = 0").select(F.col("at").alias("chunk"), "part", F.lit(None).cast("binary").alias("grams"), F.col("values").alias("words")))
+    return grams.union(sums.where("kind = 0").select(F.col("at").alias("chunk"), F.lit(True).alias("word"), "keys", "values"))
 
 
 SCORED = "doc long, doc_id long, train boolean, n_tokens long, n_known long, logs double, score double"
 
 
-def merged(chunks: DataFrame, answered: DataFrame, buckets: int) -> DataFrame:
+def merged(chunks: DataFrame, answered: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
     """SCORED for each piece of each chunk: the sums over its symbols and words."""
 
     def each(asked: pa.Table, got: pa.Table) -> pa.Table:
         row = asked.to_pylist()[0]
-        rows, closes = row["texts"], np.frombuffer(row["closes"], np.uint8).astype(bool)
-        got = got.sort_by("part")
-        context, symbol, text = symbols(rows, ORDER, row["before"], closes.tolist())
-        _, place, _ = distinct(context, symbol, buckets)
-        found = np.frombuffer(b"".join(v for v in got.column("grams").to_pylist() if v is not None), np.float32)
-        score = np.bincount(text, found[place].astype(np.float64), len(rows)).astype(float)
-        _, at, of, cut = words(rows, buckets)
-        sizes = dict(enumerate(np.diff(cut).tolist()))
-        c = np.concatenate([np.zeros(0, np.int64), *(wide(v, sizes[b]) for b, v in zip(got.column("part").to_pylist(), got.column("words").to_pylist(), strict=True) if v is not None)])[at]
+        body, ends, closes = loosened(row["texts"]), np.cumsum(unpacked(row["sizes"])).tolist(), np.frombuffer(row["closes"], np.uint8).astype(bool)
+        rows = [body[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        before = [row["before"][k : k + ORDER] for k in range(0, len(row["before"]), ORDER)]
+
+        def answer(word: bool, kind: type) -> tuple[np.ndarray, np.ndarray]:
+            mine = [(k, v) for w, k, v in zip(*(got.column(c).to_pylist() for c in ("word", "keys", "values")), strict=True) if w == word]
+            keys = np.concatenate([np.zeros(0, np.int64), *(unpacked(k, ascending=True) for k, _ in mine)])
+            values = np.concatenate([np.zeros(0, kind), *(unpacked(v, kind) for _, v in mine)])
+            order = np.argsort(keys)
+            return keys[order], values[order]
+
+        (grams, logs_), (hashes, counts) = answer(False, np.float32), answer(True, np.int64)
+        score, tokens, known, base = [], [], [], []
+        for some in slices(rows, limit):
+            n = len(rows[some])
+            context, symbol, text = symbols(rows[some], ORDER, before[some], closes[some].tolist())
+            key, at = np.unique(context * 512 + symbol, return_inverse=True)
+            score.append(np.bincount(text, logs_[np.searchsorted(grams, key)][at].astype(float), n).astype(float))
+            of = Words(rows[some], SPACED, LOWER)
+            key, at = np.unique(of.hash.view(np.int64), return_inverse=True)
+            c = counts[np.searchsorted(hashes, key)][at]
+            tokens.append(of.count)
+            known.append(np.bincount(of.doc, c > 0, n).astype(np.int64))
+            base.append(np.bincount(of.doc, np.log10(c + 1.0), n).astype(float))
         docs = np.frombuffer(row["docs"], np.int64).reshape(-1, 3)
-        numbers = {
-            "doc": docs[:, 0],
-            "n_tokens": np.bincount(of, minlength=len(rows)) + closes,
-            "n_known": np.bincount(of, c > 0, len(rows)).astype(np.int64),
-            "logs": np.bincount(of, np.log10(c + 1.0), len(rows)).astype(float),
-            "score": score,
-        }
+        numbers = {"doc": docs[:, 0], "n_tokens": np.concatenate(tokens) + closes, "n_known": np.concatenate(known), "logs": np.concatenate(base), "score": np.concatenate(score)}
         out = {k: pa.array(v) for k, v in numbers.items()} | {"doc_id": pa.array(docs[:, 2], mask=docs[:, 1] == 0), "train": pa.array(np.frombuffer(row["train"], np.uint8).astype(bool))}
         return pa.table({c.split()[0]: out[c.split()[0]] for c in SCORED.split(", ")})
 
-    asked = chunks.where("bucket < 0").select("chunk", "docs", "train", "closes", "before", "texts")
+    asked = chunks.where("bucket < 0").select("chunk", "docs", "train", "closes", "sizes", "before", "texts")
     return asked.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(each, SCORED)
 
 
-def narrow(values: np.ndarray) -> bytes:
-    """Numbers from 0 on in as few bytes each as the largest needs."""
-    most = int(values.max(initial=0))
-    return values.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint64).tobytes()
-
-
-def wide(data: bytes, n: int) -> np.ndarray:
-    """The n numbers that `narrow` wrote."""
-    return np.frombuffer(data, {0: np.uint8, 1: np.uint8, 2: np.uint16, 8: np.uint64}[len(data) // n if n else 0]).astype(np.int64)
-
-
 def score(docs: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
@@ -355,7 +378,7 @@ def score(docs: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
     sums = written(counted(chunks, buckets), "counts")
     kinds, tokens = sums.where("kind = 3").agg(F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     n, v = tokens + ends, kinds + (ends > 0)
-    got = merged(chunks, answers(chunks, sums, buckets), buckets)
+    got = merged(chunks, answers(chunks, sums), limit)
     whole = got.groupBy("doc").agg(F.first("doc_id").alias("doc_id"), F.first("train").alias("train"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "score")])
     base = F.col("logs") + F.lit(float(np.log10(ends + 1))) - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))
     return whole.select(
