@@ -1,13 +1,15 @@
 """Licence scans: an exact set-similarity join of text blocks with notice templates, in built-in expressions alone.
 
-A block, a sentence or line of a text, carries a template's label if it holds at least THRESHOLD of the template's
-different words. Words are put in one global order, the rarest first, by the number of blocks of the whole corpus that
-hold them. A pair that meets the threshold shares one of the first |T| - need + 1 words of the template (prefix filter);
-the block has at least `need` words of the templates' vocabulary (length filter), and as many from the place on where the
-shared word stands (positional filter). What the filters leave is verified by the overlap itself, so the result is that of
-comparing all pairs. Words outside the templates' vocabulary never count and are dropped first.
-
-The templates are a fixed table, so what is broadcast has a bound that does not depend on the corpus.
+A template's blocks are all runs of `wide` consecutive words of a text, a quarter more than the template's own words, so
+that a notice is found however its lines are wrapped, marked as comments or cut into sentences. A block carries the
+template's label if it holds at least THRESHOLD of the template's different words. Words are put in one global order, the
+rarest first, by the number of texts of the whole corpus that hold them. A pair that meets the threshold shares one of the
+first |T| - need + 1 words of the template (prefix filter), so that only blocks around such a word are looked at; the text
+has at least `need` of the template's words (length filter); and so have the words around the shared one, where of those
+before it in the order at most its place can be shared (positional filter). What the filters leave is verified by the overlap
+itself, so the result is that of comparing all pairs.
+
+Texts are read once. The templates are a fixed table, so what is broadcast has a bound that does not depend on the corpus.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, written
 
 THRESHOLD = 0.8
 #: Phrase, label.
@@ -39,7 +41,6 @@ TEMPLATES = (
 )
 #: All ASCII but digits and letters; upper case has been folded.
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-BLOCK_END = "\\n|[.!?][ \\t\\r\\n]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,50 +62,66 @@ def need(template: str) -> int:
     return math.ceil(THRESHOLD * len(set(template.split())) - 1e-9)
 
 
-def blocks(rows: DataFrame, ordered: list[str]) -> DataFrame:
-    """key and words: each block's different words of the vocabulary, in the given order."""
-    vocabulary_ = F.array(*map(F.lit, ordered))
-    parts = rows.select("key", F.explode(F.split("folded", BLOCK_END)).alias("block"))
-    return parts.select("key", F.array_intersect(vocabulary_, F.split(spaced(F.col("block")), " ")).alias("words"))
+def wide(template: str) -> int:
+    """Words of a block of this template."""
+    return math.ceil(len(template.split()) / THRESHOLD - 1e-9)
 
 
-def frequencies(rows: DataFrame) -> dict[str, int]:
-    """Blocks that hold each word of the vocabulary, over all texts: a row for each word at most comes to the driver."""
-    found = blocks(rows, vocabulary()).select(F.explode("words").alias("word")).groupBy("word").count().collect()
+def literal(words: list[str]) -> Column:
+    return F.array(*map(F.lit, words))
+
+
+def frequencies(kept: DataFrame) -> dict[str, int]:
+    """Texts that hold each word of the vocabulary, over all texts: a row for each word at most comes to the driver."""
+    found = kept.select(F.explode("held").alias("word")).groupBy("word").count().collect()
     return {r["word"]: r["count"] for r in found}
 
 
 def index(spark: SparkSession, ordered: list[str]) -> DataFrame:
-    """A row for each word of each template's prefix: word, template's words, least overlap, size and label."""
+    """A row for each word of each template's prefix: word, its place, template's words in the global order, least overlap, size, words of a block and label."""
     place, rows = {w: k for k, w in enumerate(ordered)}, []
     for template, label in TEMPLATES:
         words = sorted(set(template.split()), key=place.__getitem__)
-        prefix = words[: len(words) - need(template) + 1]
-        rows += [F.struct(F.lit(w).alias("word"), F.array(*map(F.lit, words)).alias("template"), F.lit(need(template)).alias("need"), F.lit(len(words)).alias("of"), F.lit(label).alias("label")) for w in prefix]
+        for at, w in enumerate(words[: len(words) - need(template) + 1]):
+            fields = {"word": w, "at": at, "need": need(template), "of": len(words), "wide": wide(template), "label": label}
+            rows.append(F.struct(*[F.lit(v).alias(k) for k, v in fields.items()], literal(words).alias("template")))
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def found_blocks(rows: DataFrame) -> DataFrame:
-    """key, label and containment of every pair of block and template that meets the threshold; a pair may come more than once."""
-    seen = frequencies(rows)
+def found_blocks(kept: DataFrame) -> DataFrame:
+    """key, label and the highest containment around each word of a template's prefix that meets the threshold, of kept (key, held, words); a pair may come more than once."""
+    seen = frequencies(kept)
     ordered = sorted(vocabulary(), key=lambda w: (seen.get(w, 0), w))
-    least = min(map(need, (t for t, _ in TEMPLATES)))
-    held = blocks(rows, ordered).where(F.size("words") >= least)
-    at = held.select("key", "words", F.posexplode("words").alias("at", "word"))
-    pairs = at.join(F.broadcast(index(rows.sparkSession, ordered)), "word").where(F.size("words") - F.col("at") >= F.col("need"))
-    overlap = F.size(F.array_intersect("words", "template"))
-    return pairs.where(overlap >= F.col("need")).select("key", "label", (overlap / F.col("of")).alias("containment"))
+    join = F.broadcast(index(kept.sparkSession, ordered))
+    place, widest = {w: k for k, w in enumerate(ordered)}, max(wide(t) for t, _ in TEMPLATES)
+    prefixes = sorted({w for t, _ in TEMPLATES for w in sorted(set(t.split()), key=place.__getitem__)[: len(set(t.split())) - need(t) + 1]})
+    there = F.filter(F.transform("words", lambda x, i: F.struct(i.alias("i"), x.alias("word"))), lambda s: F.array_contains(literal(prefixes), s["word"]))
+
+    def around(s: Column) -> Column:
+        first = F.greatest(s["i"] - (widest - 1), F.lit(0))
+        return F.struct(s["word"].alias("word"), (s["i"] - first).alias("i"), F.slice("words", first + 1, s["i"] - first + widest).alias("near"))
+
+    at = kept.where("words IS NOT NULL").select("key", F.inline(F.transform(there, around)))
+    pairs = at.join(join, "word")
+    rest = F.slice("template", F.col("at") + 1, F.col("of"))
+    pairs = pairs.where(F.col("at") + F.size(F.array_intersect("near", rest)) >= F.col("need"))
+    starts = F.sequence(F.greatest(F.col("i") - F.col("wide") + 1, F.lit(0)), F.col("i"))
+    overlap = F.array_max(F.transform(starts, lambda s: F.size(F.array_intersect(F.slice("near", s + 1, F.col("wide")), F.col("template")))))
+    return pairs.select("key", "label", "need", "of", overlap.alias("overlap")).where("overlap >= need").select("key", "label", (F.col("overlap") / F.col("of")).alias("containment"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row of docs.
 
     A null text is empty: no words, no places (null), empty labels, score 0. score is 1 where a phrase stands in the
-    text, else the highest containment that meets the threshold, else 0. Repeated rows get equal results.
+    text, else the highest containment that meets the threshold, else 0. Repeated rows get equal results; no rows, no
+    rows. Columns other than doc_id and text are not read. The words of texts that can hold a template go to the shared
+    folder, with a few numbers of all texts, so that texts are read once.
     """
-    rows = texts(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.translate("text", UPPER, LOWER).alias("folded"))
-    base = rows.select("doc_id", "key", spaced(F.col("folded")).alias("w"))
-    base = base.withColumn("n_words", F.greatest(count_words(F.col("w")) - 1, F.lit(0)).cast("long"))
+    rows = texts(docs).select("doc_id", F.translate("text", UPPER, LOWER).alias("folded"))
+    base = rows.select("doc_id", spaced(F.col("folded")).alias("w"))
+    base = base.withColumn("n_words", F.greatest(count_words(F.col("w")) - 1, F.lit(0)).cast("long")).withColumn("split", F.split(F.col("w"), " "))
+    base = base.withColumn("held", F.array_intersect(literal(vocabulary()), "split"))
     n, first, last, labels = [], [], [], []
     for phrase, label in PHRASES:
         stands, size = F.concat(F.lit(" "), F.lit(phrase), F.lit(" ")), len(phrase.split())
@@ -113,20 +130,26 @@ def scan(docs: DataFrame) -> DataFrame:
         first.append(F.when(there, count_words(F.substring_index("w", f" {phrase} ", 1))))
         last.append(F.when(there, F.col("n_words") - count_words(F.substring_index("w", f" {phrase} ", -1)) - size))
         labels.append(F.when(there, F.lit(label)))
+    least = min(need(t) for t, _ in TEMPLATES)
+    possible = F.lit(False)
+    for template, _ in TEMPLATES:
+        possible = possible | (F.size(F.array_intersect("held", literal(sorted(set(template.split()))))) >= need(template))
     base = base.select(
-        "doc_id", "key", "n_words", sum(n[1:], n[0]).alias("n_base"), F.least(*first).alias("first_word"), F.greatest(*last).alias("last_word"), F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))).alias("base")
+        "doc_id", F.monotonically_increasing_id().alias("key"), "n_words", sum(n[1:], n[0]).alias("n_base"), F.least(*first).alias("first_word"), F.greatest(*last).alias("last_word"),
+        F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))).alias("base"), "held", F.when((F.size("held") >= least) & possible, F.slice("split", 2, F.greatest(F.size("split") - 2, F.lit(0)))).alias("words"),
     )
-    method = found_blocks(rows).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
-    joined = base.join(method, "key", "left")
+    kept = written(base, "license-words")
+    method = found_blocks(kept).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
+    joined = kept.drop("held", "words").join(method, "key", "left")
     every = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("containment", F.lit(0.0)))
     return joined.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"))
 
 
 def _sql() -> str:
-    """All pairs of blocks and templates, without filters."""
+    """All pairs of blocks and templates, but for texts that as a whole hold too few of a template's words."""
     words = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-    values = ", ".join(f"({sorted(set(t.split()))!r}, {need(t)}, {lab!r})" for t, lab in TEMPLATES)
+    values = ", ".join(f"({sorted(set(t.split()))!r}, {need(t)}, {wide(t)}, {lab!r})" for t, lab in TEMPLATES)
     places = " UNION ALL ".join(
         f"SELECT rid, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + {len(p.split())}] = {p.split()!r})) AS place, {lab!r} AS label FROM rows_ WHERE contains(array_to_string(w, ' '), {p!r})" for p, lab in PHRASES
     )
@@ -135,9 +158,10 @@ WITH folded AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(t
 rows_ AS (SELECT rid, doc_id, {words.format("t")} AS w, t FROM folded),
 places AS ({places}),
 base AS (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY rid),
-blocks AS (SELECT rid, list_distinct({words.format("b")}) AS w FROM (SELECT rid, unnest(regexp_split_to_array(t, '\\n|[.!?][ \\t\\r\\n]')) AS b FROM folded)),
-templates(words, need, label) AS (VALUES {values}),
-pairs AS (SELECT rid, label, len(list_intersect(w, words)) AS shared, need, len(words) AS of_ FROM blocks, templates),
+templates(words, need, wide, label) AS (VALUES {values}),
+pairs AS (
+  SELECT rid, label, list_max(list_transform(range(1, greatest(len(w) - wide + 1, 1) + 1), lambda i: len(list_intersect(w[i : i + wide - 1], words)))) AS shared, need, len(words) AS of_
+  FROM rows_, templates WHERE len(list_intersect(w, words)) >= need),
 method AS (SELECT rid, label, max(shared / of_::DOUBLE) AS c FROM pairs WHERE shared >= need GROUP BY rid, label),
 labels AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM method UNION SELECT rid, label FROM places) GROUP BY rid),
 best AS (SELECT rid, max(c) AS c FROM method GROUP BY rid)

@@ -107,6 +107,24 @@ def test_search_equals_brute_force(spark):
     assert topk.search(rows.where("vec_id IN (0, 1)"), F.col("vec_id") % 100 == 0).count() == 1
 
 
+def test_rows_of_one_id_are_all_candidates(spark):
+    rows = spark.createDataFrame([(100, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.9, 0.0]), (200, [0.0, 1.0]), (200, [0.0, 1.0]), (7, [1.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.search(rows, F.col("vec_id") % 100 == 0, 2).collect())
+    one = 1024 * 1024
+    assert got == sorted([(100, 1, 1, 921 * 1024), (100, 2, 1, 512 * 1024), (200, 1, 200, one), (200, 1, 200, one), (200, 2, 1, 0), (200, 2, 1, 0)])
+
+
+def test_search_in_a_grid_of_cells(spark, monkeypatch):
+    for name, value in (("BLOCK", 7), ("HIGH", 2), ("ACROSS", 3)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(0, 0.3, (300, 4))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    fine = np.floor(vectors * 1024).astype(int)
+    want = [(q, n, k, -s) for q in range(0, 300, 100) for n, (s, k) in enumerate(sorted((-int(fine[q] @ fine[k]), k) for k in range(300) if k != q)[:10], 1)]
+    assert sorted(tuple(r) for r in topk.search(rows, F.col("vec_id") % 100 == 0).collect()) == want
+
+
 def test_search_stops_early_and_is_exact():
     rng = np.random.default_rng(1)
     vectors = rng.normal(0, 5, (3000, 16)).astype(np.int64)
@@ -346,6 +364,12 @@ def test_quality_edges(spark, small, empty):
 
 def test_licences_equal_brute_force(spark, small):
     notes = ["Licensed under CC BY-NC 4.0.", "x CC BY CC  by cc-by", "MIT License. mit license", "This work is licensed under the GNU General Public License, version 3.", "gnu general public", "ALL Rights\nreserved", "licensed under the Apache License, Version 2.0 and more words"]
+    notes += [
+        " * Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software and associated\n * documentation files (the Software)",
+        "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following\n# conditions are met:",
+        "This Source Code Form is subject to the terms of\nthe Mozilla Public License, v. 2.0. If a copy",
+        "all of the many rights that anyone ever reserved", "reserved all rights", "rights", " ".join(["all"] * 3000 + ["rights", "reserved"]),
+    ]
     rows = small.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + k, t) for k, t in enumerate(notes)], "doc_id long, text string"))
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     want = []
@@ -353,12 +377,16 @@ def test_licences_equal_brute_force(spark, small):
         folded = (r["text"] or "").translate(FOLD)
         w = word.findall(folded)
         places = [(k, lab) for p, lab in license_scan.PHRASES for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
-        blocks = [set(word.findall(x)) for x in re.split(r"\n|[.!?][ \t\r\n]", folded)]
-        found = [(len(b & set(t.split())) / len(set(t.split())), lab) for t, lab in license_scan.TEMPLATES for b in blocks if len(b & set(t.split())) >= license_scan.need(t)]
+        found = []
+        for t, lab in license_scan.TEMPLATES:
+            size, own = license_scan.wide(t), set(t.split())
+            found += [(len(own & set(w[k : k + size])) / len(own), lab) for k in range(max(1, len(w) - size + 1)) if len(own & set(w[k : k + size])) >= license_scan.need(t)]
         base = {lab for _, lab in places}
         want.append(str((r["doc_id"], len(w), len(places), min((k for k, _ in places), default=None), max((k for k, _ in places), default=None), ",".join(sorted(base)), ",".join(sorted(base | {x for _, x in found})), 1.0 if places else max((c for c, _ in found), default=0.0))))
     got = license_scan.scan(rows)
     assert sorted(str(tuple(r)) for r in got.collect()) == sorted(want)
+    wrapped = {r["doc_id"]: r["labels"] for r in got.where("doc_id BETWEEN 107 AND 109").collect()}
+    assert wrapped == {107: "mit", 108: "bsd", 109: "mpl"}
     assert license_scan.scan(rows.limit(0)).count() == 0
 
 
