@@ -1,4 +1,4 @@
-"""Differences of two texts or markups for reports, and one-dimensional clusters. Pure Python."""
+"""Differences of two markups for reports, and grid lines from positions on one axis. Pure Python and numpy."""
 
 from __future__ import annotations
 
@@ -8,64 +8,90 @@ import re
 
 import numpy as np
 
+from .markup import parse
+
+_TOKEN = re.compile(r"<[^>]+>|[^<\s]+")
+
 
 def tokens(markup: str | None) -> list[str]:
     """Tags and words, in order."""
-    return re.findall(r"<[^>]+>|[^<\s]+", markup or "")
+    return _TOKEN.findall(markup or "")
 
 
 def operations(a: str | None, b: str | None) -> list[tuple[str, str, str]]:
     """(kind, from, to) of the parts of two markups that differ, token by token."""
-    x, y = tokens(a), tokens(b)
-    return [(kind, " ".join(x[i:j]), " ".join(y[k:n])) for kind, i, j, k, n in difflib.SequenceMatcher(None, x, y, False).get_opcodes() if kind != "equal"]
+    sides = tokens(a), tokens(b)
+    steps = difflib.SequenceMatcher(None, *sides, autojunk=False).get_opcodes()
+    return [(kind, " ".join(sides[0][slice(*ends[:2])]), " ".join(sides[1][slice(*ends[2:])])) for kind, *ends in steps if kind != "equal"]
+
 
+def tag_lines(markup: str | None) -> list[str]:
+    """The markup in lines, cut between a tag's end and the next one's start."""
+    return re.split(r"(?<=>)(?=<)", markup) if markup else []
 
-def pretty(markup: str | None, limit: int | None = None) -> str:
-    """A line for each tag; longer than the limit, cut and marked."""
-    out = (markup or "").replace("><", ">\n<")
-    return out if limit is None or len(out) <= limit else out[:limit] + "\n... [cut]"
 
+def shortened(text: str, most: int, mark: str = "…") -> str:
+    """The text, or its first `most` characters and the mark."""
+    return text if len(text) <= most else text[:most] + mark
 
-def unified(a: str | None, b: str | None, limit: int = 200) -> str:
-    """At most `limit` lines of a unified diff of the pretty forms."""
-    return "\n".join(list(difflib.unified_diff(pretty(a).splitlines(), pretty(b).splitlines(), "true", "predicted", lineterm=""))[:limit])
 
+def changed_lines(a: str | None, b: str | None, names: tuple[str, str] = ("true", "predicted"), context: int = 3) -> list[str]:
+    """All lines of a unified diff of two markups, line by tag."""
+    return list(difflib.unified_diff(tag_lines(a), tag_lines(b), *names, n=context, lineterm=""))
 
-def row_excerpt(markup: str | None, k: int) -> list[str]:
-    """The first and the last k / 2 rows, or all of at most k."""
-    rows = re.findall(r"<tr>.*?</tr>", markup or "", re.DOTALL)
-    return rows if len(rows) <= k else rows[: k // 2] + rows[len(rows) - (k - k // 2) :]
+
+def outer_rows(markup: str | None, k: int) -> list[str]:
+    """The markup of the first and the last k / 2 rows, the larger half last, or of all rows if there are no more than k; from the parsed tree, so that rows may have attributes."""
+    rows = [n.markup() for n in parse(markup).walk() if n.tag == "tr"]
+    keep = set(range(k // 2)) | set(range(len(rows) - k + k // 2, len(rows)))
+    return [r for at, r in enumerate(rows) if len(rows) <= k or at in keep]
 
 
 def plain(markup: str | None, limit: int | None = None) -> str:
     """Without tags, entities as characters, blanks squashed."""
-    out = " ".join(html.unescape(re.sub(r"<[^>]+>", " ", markup or "")).split())
-    return out if limit is None else out[:limit]
+    words = html.unescape(" ".join(re.split(r"<[^>]+>", markup or ""))).split()
+    return " ".join(words)[:limit]
+
 
+def centres(positions: list[float], k: int) -> list[float]:
+    """Ascending means of the k groups of neighbours whose squares add up to least: an exact clustering on a line, by dynamic programming over prefix sums.
 
-def clusters(values: list[float], k: int, rounds: int = 35) -> list[float]:
-    """Ascending centres of k clusters on a line, from evenly spaced percentiles on; fewer values than clusters: the last one repeated."""
-    if k <= 0 or not values:
+    Equal positions may fall into two groups. Fewer positions than groups: the last one repeated; none, none.
+    """
+    x = np.sort(np.asarray(positions, float))
+    n = len(x)
+    if k <= 0 or not n:
         return []
-    data = np.sort(np.asarray(values, float))
-    if len(data) <= k:
-        return [*data.tolist(), *[float(data[-1])] * (k - len(data))]
-    centres = np.percentile(data, np.linspace(0, 100, k + 2)[1:-1])
-    for _ in range(rounds):
-        nearest = np.abs(data[:, None] - centres).argmin(1)
-        members = np.bincount(nearest, minlength=k)
-        moved = np.where(members > 0, np.bincount(nearest, data, k) / np.maximum(members, 1), centres)
-        if np.allclose(moved, centres):
-            break
-        centres = moved
-    return sorted(map(float, centres))
-
-
-def boundaries(lines: list[float], positions: list[float], n: int, low: int, high: int) -> tuple[list[float], str]:
-    """n + 1 boundaries and where they come from: enough ruling lines, else half-way between clusters of positions, else even."""
-    if len(lines) >= n + 1:
-        return sorted(lines)[: n + 1], "line"
-    centres = clusters(positions, n)
-    if len(centres) == n and n:
-        return [low, *(round((a + b) / 2) for a, b in zip(centres, centres[1:], strict=False)), high], "distribution"
-    return [round(low + (high - low) * k / max(1, n)) for k in range(n + 1)], "uniform"
+    if n <= k:
+        return x.tolist() + [float(x[-1])] * (k - n)
+    one, two = np.concatenate(([0.0], np.cumsum(x))), np.concatenate(([0.0], np.cumsum(x * x)))
+
+    def spread(first: np.ndarray, last: int) -> np.ndarray:
+        return two[last] - two[first] - (one[last] - one[first]) ** 2 / (last - first)
+
+    cost = np.full(n + 1, np.inf)
+    cost[0] = 0.0
+    cuts = []
+    for _ in range(k):
+        nearer, cut = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+        for last in range(1, n + 1):
+            whole = cost[:last] + spread(np.arange(last), last)
+            cut[last] = int(np.argmin(whole))
+            nearer[last] = whole[cut[last]]
+        cost = nearer
+        cuts.append(cut)
+    out, last = [], n
+    for cut in reversed(cuts):
+        first = cut[last]
+        out.append(float((one[last] - one[first]) / (last - first)))
+        last = first
+    return out[::-1]
+
+
+def grid_edges(ruled: list[float], positions: list[float], n: int, low: float, high: float) -> tuple[list[float], str]:
+    """The n + 1 edges of n tracks and what they were taken from: `line`, the first ruling lines if there are enough; `distribution`, half-way between the centres of positions; `uniform` steps without positions."""
+    if n > 0 and len(ruled) > n:
+        return sorted(ruled)[: n + 1], "line"
+    if n > 0 and len(middle := np.asarray(centres(positions, n))):
+        return [low, *np.rint((middle[1:] + middle[:-1]) / 2).tolist(), high], "distribution"
+    return np.rint(np.linspace(low, high, max(n, 1) + 1)).tolist() if n else [low], "uniform"

@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from html import escape
 from html.parser import HTMLParser
+from itertools import groupby
 
 VOID = frozenset(("br", "img", "hr", "input", "meta", "link", "col"))
 SECTIONS = ("thead", "tbody", "tfoot")
@@ -197,7 +199,7 @@ def table_shape(tokens: list[str]) -> tuple[int, int]:
     k = 0
     while k < len(tokens):
         token = tokens[k]
-        if token == "<tr>":
+        if re.match(r"<tr(?![a-z])", token):
             rows, here = rows + 1, 0
         elif token.startswith(("<td", "<th")) and not token.startswith(("<thead", "<tbody", "<tfoot")):
             whole = token
@@ -258,7 +260,7 @@ def cells_markup(cells: list[Cell]) -> str:
     head, body = [], []
     for r in sorted(rows):
         line = "".join(
-            "<td" + (f' rowspan="{c.r1 - c.r0}"' if c.r1 - c.r0 > 1 else "") + (f' colspan="{c.c1 - c.c0}"' if c.c1 - c.c0 > 1 else "") + f">{c.text}</td>" for c in rows[r]
+            "<td" + (f' rowspan="{c.r1 - c.r0}"' if c.r1 - c.r0 > 1 else "") + (f' colspan="{c.c1 - c.c0}"' if c.c1 - c.c0 > 1 else "") + f">{escape(c.text, quote=False)}</td>" for c in rows[r]
         )
         (head if not body and all(c.header for c in rows[r]) else body).append(f"<tr>{line}</tr>")
     return "<table>" + (f"<thead>{''.join(head)}</thead>" if head else "") + f"<tbody>{''.join(body)}</tbody></table>"
@@ -268,15 +270,8 @@ OTSL_STARTS = ("fcel", "ecel", "ched", "rhed", "srow")
 
 
 def otsl_cells(tokens: list[str]) -> list[Cell]:
-    """Cells of OTSL tokens: starts begin a cell, lcel goes on to the right, ucel downwards, xcel both, nl ends a row; short rows are filled up."""
-    grid: list[list[str]] = [[]]
-    for token in tokens:
-        if token == "nl":
-            grid.append([])
-        else:
-            grid[-1].append(token)
-    if not grid[-1]:
-        grid.pop()
+    """Cells of OTSL tokens: starts begin a cell, lcel goes on to the right, ucel downwards, xcel both, nl ends a row; rows without a token are none, short ones are filled up."""
+    grid = [list(row) for end, row in groupby(tokens, lambda t: t == "nl") if not end]
     wide = max(map(len, grid), default=0)
     grid = [row + ["ecel"] * (wide - len(row)) for row in grid]
     out = []
@@ -366,23 +361,52 @@ POLICIES: dict[str, Callable[[Node], Node]] = {"none": lambda t: t, "flattened":
 # Tree edit similarity
 
 
-def _postorder(root: Node, structure_only: bool) -> tuple[list[tuple], list[int], list[int]]:
-    """Labels, leftmost leaves and key roots of a tree; a cell is a leaf that holds its text."""
+Tree = tuple[tuple, tuple]
+
+
+def shape(node: Node, structure_only: bool = False) -> Tree:
+    """A node as ((tag, spans, content), children); a cell is a leaf that holds its content."""
+    if node.tag in CELLS:
+        return (node.tag, node.span("rowspan"), node.span("colspan"), () if structure_only else tuple(content_tokens(node))), ()
+    return (node.tag, 1, 1, ()), tuple(shape(c, structure_only) for c in node.elements())
+
+
+def bared(tree: Tree) -> Tree:
+    """A shape without contents."""
+    return (*tree[0][:3], ()), tuple(map(bared, tree[1]))
+
+
+def unlike(a: Tree, b: Tree) -> tuple[tuple, tuple]:
+    """The forests whose distance is that of two trees with equal roots: equal trees at either end cost nothing, and equal roots of what is left are taken off in turn."""
+    x, y = a[1], b[1]
+    while True:
+        n = 0
+        while n < min(len(x), len(y)) and x[n] == y[n]:
+            n += 1
+        x, y = x[n:], y[n:]
+        n = 0
+        while n < min(len(x), len(y)) and x[-1 - n] == y[-1 - n]:
+            n += 1
+        x, y = x[: len(x) - n], y[: len(y) - n]
+        if not (len(x) == len(y) == 1 and x[0][0] == y[0][0] and x[0][0][0] not in CELLS):
+            return x, y
+        x, y = x[0][1], y[0][1]
+
+
+def _postorder(forest: tuple) -> tuple[list[tuple], list[int], list[int]]:
+    """Labels, leftmost leaves and key roots of a forest below a common root."""
     labels, leftmost = [], []
 
-    def visit(node: Node) -> int:
+    def visit(label: tuple, children: tuple) -> int:
         first = None
-        inner = () if node.tag in CELLS else list(node.elements())
-        for child in inner:
-            at = visit(child)
+        for child in children:
+            at = visit(*child)
             first = leftmost[at] if first is None else first
-        spans = (node.span("rowspan"), node.span("colspan")) if node.tag in CELLS else (1, 1)
-        text = tuple(content_tokens(node)) if node.tag in CELLS and not structure_only else ()
-        labels.append((node.tag, *spans, text))
+        labels.append(label)
         leftmost.append(len(labels) - 1 if first is None else first)
         return len(labels) - 1
 
-    visit(root)
+    visit(("forest", 1, 1, ()), forest)
     last: dict[int, int] = {leaf: k for k, leaf in enumerate(leftmost)}
     return labels, leftmost, sorted(last.values())
 
@@ -400,10 +424,18 @@ def content_tokens(cell: Node) -> list[str]:
 
 def tree_distance(a: Node, b: Node, structure_only: bool = False) -> float:
     """The ordered tree edit distance: 1 to insert or delete, 1 to rename a tag or change a span, else the normalised edit distance of the contents."""
+    return shape_distance(shape(a, structure_only), shape(b, structure_only))
+
+
+def shape_distance(a: Tree, b: Tree) -> float:
+    """The distance of two shapes; what is equal at their ends is left out first."""
     from .text import distance
 
-    la, left_a, keys_a = _postorder(a, structure_only)
-    lb, left_b, keys_b = _postorder(b, structure_only)
+    x, y = unlike(a, b) if a[0] == b[0] else ((a,), (b,))
+    if not x or not y:
+        return float(sum(map(weight, x or y)))
+    la, left_a, keys_a = _postorder(x)
+    lb, left_b, keys_b = _postorder(y)
     known: dict[tuple, float] = {}
 
     def rename(x: tuple, y: tuple) -> float:
@@ -437,18 +469,39 @@ def tree_distance(a: Node, b: Node, structure_only: bool = False) -> float:
     return trees[-1][-1]
 
 
-def similarity(pred: str | None, true: str | None, policy: str = "none", structure_only: bool = False, most_nodes: int = 4000) -> tuple[float, str | None]:
-    """(score, error): 1 less the distance over the larger tree's inner nodes. Whatever fails scores 0 and says why."""
+def weight(tree: Tree) -> int:
+    return 1 + sum(map(weight, tree[1]))
+
+
+#: Pairs of nodes, of what differs in two tables, up to which they are scored: the memory of a worker.
+MOST_PAIRS = 50_000_000
+
+
+def similarities(pred: str | None, true: str | None, policy: str = "none", most_pairs: int = MOST_PAIRS) -> tuple[float | None, float | None, str | None]:
+    """(structure score, score, error): 1 less the distance over the larger tree's inner nodes. What fails scores 0 and says why; what is too large is not scored (null) and says so."""
     try:
         if pred and pred == true and first_table(pred):
-            return 1.0, None
+            return 1.0, 1.0, None
         a, b = first_table(pred), first_table(true)
         if a is None or b is None:
-            return 0.0, "no table"
+            return 0.0, 0.0, "no table"
         a, b = POLICIES[policy](a), POLICIES[policy](b)
         size = max(a.size(), b.size()) - 1
-        if size > most_nodes:
-            return 0.0, "too many nodes"
-        return (1.0 - tree_distance(a, b, structure_only) / size if size else 1.0), None
+        if not size:
+            return 1.0, 1.0, None
+        whole = shape(a), shape(b)
+        found = []
+        for x, y in ((bared(whole[0]), bared(whole[1])), whole):
+            left = unlike(x, y)
+            if sum(map(weight, left[0])) * sum(map(weight, left[1])) > most_pairs:
+                return None, None, "too many nodes"
+            found.append(1.0 - shape_distance(x, y) / size)
+        return found[0], found[1], None
     except (RecursionError, ValueError, KeyError) as why:
-        return 0.0, f"{type(why).__name__}: {why}"
+        return 0.0, 0.0, f"{type(why).__name__}: {why}"
+
+
+def similarity(pred: str | None, true: str | None, policy: str = "none", structure_only: bool = False) -> tuple[float | None, str | None]:
+    """(score, error) of one of the two scores."""
+    s, t, error = similarities(pred, true, policy)
+    return s if structure_only else t, error

@@ -3,41 +3,36 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 from .markup import CELLS, Cell, Node, first_table, rows_of
+from .text import normalise
 
 
-def inside_table(tokens: list[str]) -> list[str]:
-    """Without an outer table tag at either end."""
-    return tokens[tokens[:1] == ["<table>"] : len(tokens) - (tokens[-1:] == ["</table>"])]
+def unwrapped(tokens: list[str]) -> list[str]:
+    """Without the tags of a table around all others, either of which may be missing."""
+    first = 1 if tokens and tokens[0] == "<table>" else 0
+    last = len(tokens) - 1 if len(tokens) > first and tokens[-1] == "</table>" else len(tokens)
+    return tokens[first:last]
 
 
-def outer_rows(tokens: list[str]) -> list[list[str]]:
-    """The tokens of each row that is in no other row."""
-    rows, depth = [], 0
-    for token in tokens:
-        if token == "<tr>":
-            if not depth:
-                rows.append([])
-            depth += 1
-        if depth:
-            rows[-1].append(token)
-        if token == "</tr>":
-            depth = max(0, depth - 1)
-    return rows[:-1] if depth else rows
-
-
-def in_sections(tokens: list[str], first_row_is_head: bool = False) -> list[str]:
-    """Tokens with a head and a body: an empty head, or the first row; tokens that have a head stay."""
-    tokens = inside_table(tokens)
-    if {"<thead>", "</thead>"} <= set(tokens):
-        return tokens
-    rows = outer_rows(tokens) if first_row_is_head else []
-    if rows:
-        head, body = rows[0], [t for row in rows[1:] for t in row]
-    else:
-        head, body = [], tokens
-    return ["<thead>", *head, "</thead>", "<tbody>", *body, "</tbody>"]
+def top_rows(tokens: list[str]) -> list[slice]:
+    """Where the closed rows that are in no other row stand: a row begins where the nesting rises from 0 and ends where it falls back."""
+    steps = [(t == "<tr>") - (t == "</tr>") for t in tokens]
+    depth = list(accumulate(steps, lambda d, s: max(d + s, 0), initial=0))
+    begins = [k for k, s in enumerate(steps) if s > 0 and depth[k] == 0]
+    ends = [k + 1 for k, s in enumerate(steps) if s < 0 and depth[k] == 1]
+    return [slice(a, b) for a, b in zip(begins, ends, strict=False)]
+
+
+def sectioned(tokens: list[str], first_row_is_head: bool = False) -> list[str]:
+    """Tokens with a head and a body. What has a head stays. Else the head is empty and the body has all, or, if asked for and there are rows, the head has the first row and the body the other rows alone."""
+    inner = unwrapped(tokens)
+    if "<thead>" in inner and "</thead>" in inner:
+        return inner
+    rows = top_rows(inner) if first_row_is_head else []
+    parts = {"thead": inner[rows[0]] if rows else [], "tbody": [t for r in rows[1:] for t in inner[r]] if rows else inner}
+    return [t for name, part in parts.items() for t in (f"<{name}>", *part, f"</{name}>")]
 
 
 def _span(tag: str, name: str) -> int:
@@ -105,8 +100,27 @@ def _cells(markup: str | None) -> list[Node]:
 
 
 def cell_texts(markup: str | None) -> list[str]:
-    """Texts of the cells that have any."""
-    return [t for t in (" ".join(c.text().split()) for c in _cells(markup)) if t]
+    """Texts, in compatible composed characters, of the cells that have any."""
+    return [t for t in (normalise(c.text()) for c in _cells(markup)) if t]
+
+
+def difference_callouts(a: str | None, b: str | None) -> list[str]:
+    """What a reader is told of two tables: other shapes, the first texts that differ, and other markup inside of equal texts."""
+    shapes = [(len(rows), max(map(len, rows), default=0)) for rows in (_grouped(cells_by_ordinal(m)) for m in (a, b))]
+    out = [f"shape {shapes[0][0]}x{shapes[0][1]} / {shapes[1][0]}x{shapes[1][1]}"] if shapes[0] != shapes[1] else []
+    if found := first_difference(a, b):
+        out.append(f"text {found[0]}: {found[1]!r} / {found[2]!r}")
+    inner = [[sorted(n.tag for c in cell.elements() for n in c.walk()) for cell in _cells(m)] for m in (a, b)]
+    if not out and inner[0] != inner[1]:
+        out.append("markup")
+    return out
+
+
+def _grouped(cells: list[tuple[int, int, str]]) -> list[list[str]]:
+    rows: dict[int, list[str]] = {}
+    for r, _, text in cells:
+        rows.setdefault(r, []).append(text)
+    return list(rows.values())
 
 
 def cells_by_ordinal(markup: str | None) -> list[tuple[int, int, str]]:

@@ -31,12 +31,7 @@ def similarity(pred: Column, true: Column, policy: str = "none") -> Column:
         raise ValueError(f"no policy {policy}")
 
     def each(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            s, error = markup.similarity(x, y, policy, True)
-            t, error_t = markup.similarity(x, y, policy)
-            out.append((s, t, error or error_t))
-        return pd.DataFrame(out, columns=["teds_s", "teds", "error"])
+        return pd.DataFrame([markup.similarities(x, y, policy) for x, y in zip(a, b, strict=True)], columns=["teds_s", "teds", "error"])
 
     return F.pandas_udf(each, "teds_s double, teds double, error string")(F.coalesce(pred, F.lit("")), true)
 

@@ -10,17 +10,18 @@ from tablescope.operators import select
 def test_differences():
     a, b = "<tr><td>x</td></tr>", "<tr><td>y z</td></tr>"
     assert diffs.operations(a, b) == [("replace", "x", "y z")] and diffs.operations(a, a) == []
-    assert "-<td>x</td>" in diffs.unified(a, b) and diffs.unified(a, a) == ""
-    assert diffs.pretty("<a><b>", 3) == "<a>\n... [cut]" and diffs.plain("<b>a&amp;</b> c", 3) == "a& "
-    assert diffs.row_excerpt("<tr>1</tr><tr>2</tr><tr>3</tr><tr>4</tr>", 2) == ["<tr>1</tr>", "<tr>4</tr>"]
+    assert "-<td>x</td>" in diffs.changed_lines(a, b) and diffs.changed_lines(a, a) == []
+    assert diffs.tag_lines("<a><b>") == ["<a>", "<b>"] and diffs.shortened("<a><b>", 3) == "<a>…" and diffs.plain("<b>a&amp;</b> c", 3) == "a& "
+    rows = "<table><tr><td>1</td></tr><tr><td>2</td></tr><tr class='x'><td>3</td></tr></table>"
+    assert diffs.outer_rows(rows, 2) == ["<tr><td>1</td></tr>", '<tr class="x"><td>3</td></tr>'] and len(diffs.outer_rows(rows, 3)) == 3
 
 
 def test_clusters_and_boundaries():
-    assert diffs.clusters([], 2) == [] and diffs.clusters([1.0], 3) == [1, 1, 1]
-    assert diffs.clusters([0, 1, 10, 11, 20, 21], 3) == [0.5, 10.5, 20.5]
-    assert diffs.boundaries([0, 5, 9], [], 2, 0, 9) == ([0, 5, 9], "line")
-    assert diffs.boundaries([], [1, 2, 8, 9], 2, 0, 10) == ([0, 5, 10], "distribution")
-    assert diffs.boundaries([], [], 2, 0, 10) == ([0, 5, 10], "uniform")
+    assert diffs.centres([], 2) == [] and diffs.centres([1.0], 3) == [1, 1, 1]
+    assert diffs.centres([0, 1, 10, 11, 20, 21], 3) == [0.5, 10.5, 20.5]
+    assert diffs.grid_edges([0, 5, 9], [], 2, 0, 9) == ([0, 5, 9], "line")
+    assert diffs.grid_edges([], [1, 2, 8, 9], 2, 0, 10) == ([0, 5, 10], "distribution")
+    assert diffs.grid_edges([], [], 2, 0, 10) == ([0, 5, 10], "uniform")
 
 
 def test_selections(spark):

@@ -11,10 +11,11 @@ ROW = ["<tr>", "<td>", "</td>", "</tr>"]
 
 
 def test_sections():
-    assert S.in_sections(["<table>", *ROW, "</table>"]) == ["<thead>", "</thead>", "<tbody>", *ROW, "</tbody>"]
-    assert S.in_sections([*ROW, *ROW], True) == ["<thead>", *ROW, "</thead>", "<tbody>", *ROW, "</tbody>"]
-    assert S.in_sections(["<thead>", "</thead>", *ROW]) == ["<thead>", "</thead>", *ROW]
-    assert S.outer_rows(["<tr>", "<td>", *ROW, "</td>", "</tr>", "<tr>"]) == [["<tr>", "<td>", *ROW, "</td>", "</tr>"]]
+    assert S.sectioned(["<table>", *ROW, "</table>"]) == ["<thead>", "</thead>", "<tbody>", *ROW, "</tbody>"]
+    assert S.sectioned([*ROW, *ROW], True) == ["<thead>", *ROW, "</thead>", "<tbody>", *ROW, "</tbody>"]
+    assert S.sectioned(["<thead>", "</thead>", *ROW]) == ["<thead>", "</thead>", *ROW]
+    nested = ["<tr>", "<td>", *ROW, "</td>", "</tr>", "<tr>"]
+    assert [nested[r] for r in S.top_rows(nested)] == [["<tr>", "<td>", *ROW, "</td>", "</tr>"]]
 
 
 def test_placed_text():
