@@ -213,6 +213,34 @@ def table_shape(tokens: list[str]) -> tuple[int, int]:
     return rows, columns
 
 
+def token_rows(tokens: list[str]) -> list[list[tuple[int, int]]]:
+    """(rowspan, colspan) of each cell of each row of structure tokens; a start tag in parts ends at a token with '>'; cells before the first row are none."""
+    rows: list[list[tuple[int, int]]] = []
+    tag = ""
+    for token in tokens:
+        if tag or re.match(r"<t[dh](\s|>|$)", token):
+            tag += token
+            if ">" in tag:
+                if rows:
+                    rows[-1].append(tuple(max(1, int(m[1])) if (m := re.search(rf'{s}\s*=\s*["\']?(\d+)', tag)) else 1 for s in ("rowspan", "colspan")))
+                tag = ""
+        elif re.match(r"<tr(\s|>|$)", token):
+            rows.append([])
+    return rows
+
+
+def annotated_cells(tokens: list[str], contents: int) -> tuple[list[Cell], int, int]:
+    """(logical cells, rows, columns) of structure tokens, as far as there are contents: the cell without one ends the table."""
+    kept, left = [], contents
+    for row in token_rows(tokens):
+        kept.append([(high, wide, "", False) for high, wide in row[:left]])
+        left -= len(row)
+        if left < 0:
+            break
+    cells = place(kept)
+    return cells, len(kept), max((c.c1 for c in cells), default=0)
+
+
 def fill_tokens(tokens: list[str], cells: list[str], strict: bool = False) -> str:
     """Structure tokens with a cell's text before each '</td>'; too few cells: empty ones, or an error if strict."""
     texts, out = iter(cells), []
@@ -334,6 +362,19 @@ def canonical(table: Node) -> Node:
     return changed(table)
 
 
+def comment_free_document(markup: str | None) -> str | None:
+    """The first table alone, as a whole document without comments; null without a table."""
+    table = first_table(markup)
+    return as_document(table.markup()) if table else None
+
+
+def tree_statistics(markup: str | None) -> dict:
+    """Rows, cells, and cells that span rows, columns or either, of all of a document's tables."""
+    cells = [n for n in parse(markup).walk() if n.tag in CELLS]
+    spans = [(c.span("rowspan") > 1, c.span("colspan") > 1) for c in cells]
+    return {"rows": sum(n.tag == "tr" for n in parse(markup).walk()), "cells": len(cells), "rowspan_cells": sum(r for r, _ in spans), "colspan_cells": sum(c for _, c in spans), "span_cells": sum(map(any, spans))}
+
+
 def stripped(table: Node) -> Node:
     """Cells' text without blanks at its ends, also inside a single b."""
 
@@ -355,6 +396,12 @@ def wrapped(table: Node) -> Node:
     return Node("table", dict(table.attrs), [*others, Node("tbody", {}, loose)] if loose else others)
 
 
+def under_policy(markup: str | None, policy: str) -> str | None:
+    """The first table's markup under a policy; null without a table."""
+    table = first_table(markup)
+    return POLICIES[policy](table).markup() if table else None
+
+
 POLICIES: dict[str, Callable[[Node], Node]] = {"none": lambda t: t, "flattened": flattened, "canonical": canonical, "stripped": stripped, "wrapped": wrapped}
 
 

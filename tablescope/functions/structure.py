@@ -62,6 +62,12 @@ def placed_text(tokens: list[str], text_at: dict[tuple[int, int], str]) -> str:
     return "".join([*out, "</table>"] if tokens else out)
 
 
+def texts_in_order(tokens: list[str], texts: list[str]) -> str:
+    """Tokens of empty cells with the texts one after another; cells beyond the texts stay empty."""
+    left = iter(texts)
+    return "".join(next(left, "") + t if t in ("</td>", "</th>") else t for t in tokens)
+
+
 def otsl_markup(tokens: list[str], texts: list[str]) -> str:
     """Rows of OTSL tokens with texts in order; lcel widens the cell before it, every other token takes a text. Raises ValueError if their numbers differ."""
     rows: list[list[list]] = [[]]

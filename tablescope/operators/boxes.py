@@ -90,9 +90,11 @@ def lines_by_gap(boxes: DataFrame, gap: float) -> DataFrame:
     return starts.withColumn("line", F.sum("starts").over(order.rowsBetween(W.unboundedPreceding, 0)).cast("long")).drop("starts")
 
 
-def nearest_line(guesses: DataFrame, lines: DataFrame, extent: Column) -> DataFrame:
-    """Each guessed position (sample, idx, guess) with the nearest line within max(6, 2.5 % of the extent); a sample's all or none, so that positions ascend by more than 1."""
+def nearest_line(guesses: DataFrame, lines: DataFrame, extent: Column | DataFrame) -> DataFrame:
+    """Each guessed position (sample, idx, guess) with the nearest line within max(6, 2.5 % of the extent); a sample's all or none, so that positions ascend by more than 1. The extent is one for all, or a table (sample, extent)."""
     near = guesses.join(lines.select("sample", "line"), "sample", "left").groupBy("sample", "idx", "guess").agg(F.min_by("line", F.struct(F.abs(F.col("line") - F.col("guess")), "line")).alias("line"))
+    if isinstance(extent, DataFrame):
+        near, extent = near.join(extent, "sample"), F.col("extent")
     reach = F.greatest(F.lit(6.0), extent * 0.025)
     moved = near.withColumn("moved", F.when(F.abs(F.col("line") - F.col("guess")) <= reach, F.col("line")).otherwise(F.col("guess")))
     step = F.col("moved") - F.lag("moved").over(W.partitionBy("sample").orderBy("idx"))
@@ -147,3 +149,47 @@ def cluster_positions(rows: DataFrame, value: str, tolerance: float) -> DataFram
             yield pd.DataFrame({"sample": part["sample"], "idx": part["idx"], "cluster": running_clusters(part[value].tolist(), tolerance)})
 
     return rows.groupBy("sample").applyInPandas(lambda p: next(each(iter([p]))), "sample long, idx int, cluster int")
+
+
+def rotation_candidates(boxes: DataFrame, by: str = "sample", tall: float = 2.0, vertical: float = 0.65) -> DataFrame:
+    """Groups whose extent is at least `tall` times as high as wide, or whose boxes are mostly vertical."""
+    high, wide = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
+    return union_box(boxes, by).where((high >= tall * wide) | (F.col("vertical_ratio") >= vertical))
+
+
+def valid_regions(regions: DataFrame, numbers: str = "bbox") -> DataFrame:
+    """Regions with a box of four or eight numbers and a text that is not blank."""
+    return regions.where(F.coalesce(F.size(numbers).isin(4, 8), F.lit(False)) & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+
+
+def cell_regions(cells: DataFrame, tier: str, source: str = "reconstructed_cells") -> DataFrame:
+    """Of cells (sample, quality, cell_idx, text, box) of the samples of one tier, those with text and an area, as regions of score 1."""
+    b = F.col("box")
+    some = cells.where((F.col("quality") == tier) & (F.coalesce("text", F.lit("")) != "") & b.isNotNull() & (b["x1"] > b["x0"]) & (b["y1"] > b["y0"]))
+    at = F.row_number().over(W.partitionBy("sample").orderBy("cell_idx")) - 1
+    return some.select("sample", at.alias("region_idx"), "box", "text", F.lit(1.0).alias("score"), F.lit(1.0).alias("bbox_score"), F.lit(source).alias("source"))
+
+
+def merged_positions(rows: DataFrame, value: str, gap: float, by: str = "sample") -> DataFrame:
+    """Neighbouring positions no more than `gap` apart as one: first, last, and their median and mean."""
+    w = W.partitionBy(by).orderBy(value)
+    begins = F.when(F.col(value) - F.lag(value).over(w) <= gap, 0).otherwise(1)
+    runs = rows.select(by, value).withColumn("__b", begins).withColumn("run", F.sum("__b").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
+    return runs.groupBy(by, "run").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.bround(F.median(value)).cast("long").alias("centre"), (F.sum(value) / F.count(value)).alias("mean"))
+
+
+def overlap_shares(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of intersecting boxes of a sample with the share of the first box that the other covers; touching edges do not intersect."""
+    return pairs(a, b).select("sample", "idx", "other", g.iop(F.col("box"), F.col("other_box")).alias("share"))
+
+
+def word_regions(words: DataFrame, tolerance: float, gap: float) -> DataFrame:
+    """Words (sample, idx, box, text) as lines of neighbouring centres, and lines as regions cut where a word starts more than `gap` right of the one before: sample, line, region, box, text."""
+    b = F.col("box")
+    lined = words.join(cluster_positions(words.select("sample", "idx", ((b["y0"] + b["y1"]) / 2).alias("y")), "y", tolerance).withColumnRenamed("cluster", "line"), ["sample", "idx"])
+    w = W.partitionBy("sample", "line").orderBy(b["x0"], "idx")
+    begins = F.when(b["x0"] - F.lag(b["x1"]).over(w) <= gap, 0).otherwise(1)
+    cut = lined.withColumn("__b", begins).withColumn("region", F.sum("__b").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
+    return cut.groupBy("sample", "line", "region").agg(
+        g.box(F.min(b["x0"]), F.min(b["y0"]), F.max(b["x1"]), F.max(b["y1"])).alias("box"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(b["x0"].alias("x"), "idx", "text"))), lambda s: s["text"]), " ").alias("text")
+    )

@@ -173,3 +173,18 @@ def scaled(b: Column, scale: float, page_width: Column, page_height: Column, bou
     tries += raw
     good = lambda x: (x["x1"] - x["x0"] > 1) & (x["y1"] - x["y0"] > 1)
     return F.coalesce(*(F.when(good(x), F.struct(x.alias("box"), F.lit(mode).alias("mode"))) for x, mode in tries), F.struct(raw[0][0].alias("box"), F.lit("invalid").alias("mode")))
+
+
+def snapped_lines(cells: DataFrame, extents: DataFrame, ruled: DataFrame) -> DataFrame:
+    """The lines of the `centres` method, moved to detected ruling lines (sample, axis, line): an axis's inner lines all or none, outer ones never."""
+    from .boxes import nearest_line
+
+    lines = grid_lines(cells, extents, "centres")
+    w = W.partitionBy("sample", "axis")
+    ends = lines.withColumn("low", F.min("line").over(w)).withColumn("high", F.max("line").over(w)).withColumn("last", F.max("place").over(w))
+    inner = ends.where((F.col("place") > 0) & (F.col("place") < F.col("last")))
+    axis = F.struct("sample", "axis").alias("sample")
+    guesses = inner.select(axis, F.col("place").alias("idx"), F.col("line").alias("guess"), (F.col("high") - F.col("low")).alias("extent"))
+    moved = nearest_line(guesses.drop("extent"), ruled.select(axis, "line"), guesses.select("sample", "extent").distinct())
+    moved = moved.select("sample.sample", "sample.axis", F.col("idx").alias("place"), F.col("position").alias("moved"))
+    return lines.join(moved, ["sample", "axis", "place"], "left").select("sample", "axis", "place", F.coalesce("moved", "line").alias("line"))

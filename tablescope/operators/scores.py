@@ -12,18 +12,17 @@ PERFECT = 1.0
 
 
 def exact_mean(column: Column) -> Column:
-    """The mean of numbers with up to six decimals, from an exact sum: the same in whatever order partitions are added. Null without rows."""
-    return F.sum(column.cast("decimal(18,6)")).cast("double") / F.nullif(F.count(column), F.lit(0))
+    """The mean from a sum of 18 decimals: the same in whatever order partitions are added. Null without rows."""
+    return F.sum(column.cast("decimal(38,18)")).cast("double") / F.nullif(F.count(column), F.lit(0))
 
 
 def exact_median(column: Column) -> Column:
     return F.median(column)
 
 
-def upper_median(column: Column) -> Column:
-    """Of an even number of values the larger of the two in the middle."""
-    values = F.array_sort(F.collect_list(column))
-    return F.when(F.size(values) > 0, F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int")))
+def upper_median(column: str) -> Column:
+    """Of an even number of values the larger of the two in the middle; without collecting a group."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
 
 
 def summary(scores: DataFrame, by: Sequence[str] = (), perfect_eps: float = 0.0) -> DataFrame:
@@ -53,9 +52,11 @@ def win_loss(pairs: DataFrame, by: Sequence[str] = (), eps: float = 1e-9) -> Dat
 
 
 def class_deltas(pairs: DataFrame, classes: DataFrame, missing: str = "other", least: float = 0.01) -> DataFrame:
-    """By class: pairs, mean difference, and how many gain or lose more than `least`. Samples without a class are `missing`."""
+    """By class: pairs, mean difference, how many gain or lose more than `least`, and the ratio of the mean scores. Samples without a class are `missing`."""
     named = pairs.join(classes, "sample", "left").withColumn("cls", F.coalesce("cls", F.lit(missing)))
-    return named.groupBy("cls").agg(F.count("*").alias("pairs"), exact_mean(F.col("delta")).alias("mean_delta"), F.count_if(F.col("delta") > least).alias("gains"), F.count_if(F.col("delta") < -least).alias("losses"))
+    return named.groupBy("cls").agg(
+        F.count("*").alias("pairs"), exact_mean(F.col("delta")).alias("mean_delta"), F.count_if(F.col("delta") > least).alias("gains"), F.count_if(F.col("delta") < -least).alias("losses"),
+        (exact_mean(F.col("teds_b")) / F.nullif(exact_mean(F.col("teds_a")), F.lit(0.0))).alias("ratio"))
 
 
 def largest_changes(pairs: DataFrame, k: int, worst: bool = False) -> DataFrame:
@@ -161,3 +162,92 @@ def one_policy(scores: DataFrame) -> DataFrame:
     if len(found) > 1:
         raise ValueError(f"scores of several policies: {sorted(map(str, found))}")
     return scores
+
+
+BENCHMARK = ("teds", "teds_s", "ap50", "cell_precision_iou50", "cell_recall_iou50", "cell_f1_iou50")
+MEDIANS = ("teds", "teds_s", "ap50")
+
+
+def model_benchmark(rows: DataFrame, by: str = "model", status: str = "status", missing: str = "missing_prediction") -> DataFrame:
+    """By model: tables in all, evaluated and without a prediction, and means, of some metrics medians too, over the evaluated ones."""
+    done = F.col(status) != missing
+    value = lambda c: F.when(done, F.col(c))
+    counts = [F.count("*").alias("tables_total"), F.count_if(done).alias("tables_evaluated"), F.count_if(~done).alias("tables_missing_prediction")]
+    return rows.groupBy(by).agg(*counts, *(exact_mean(value(c)).alias(f"{c}_mean") for c in BENCHMARK), *(F.median(value(c)).alias(f"{c}_median") for c in MEDIANS))
+
+
+COMPARED_MEANS = ("compact_char_similarity", "token_f1", "token_precision", "token_recall", "extra_token_ratio", "missing_token_ratio", "char_bag_f1", "cer", "wer")
+
+
+def comparison_summary(rows: DataFrame, by: Sequence[str] = ("source",)) -> DataFrame:
+    """Of text metrics, a row for each sample and source: nine means, two medians and two counts by source, or by source and score group."""
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("samples"), *(exact_mean(F.col(c)).alias(f"mean_{c}") for c in COMPARED_MEANS), F.median("compact_char_similarity").alias("median_compact_char_similarity"), F.median("length_ratio").alias("median_length_ratio"),
+        F.count_if(F.col("exact")).alias("exact_tables"), F.count_if(F.col("compact_exact")).alias("compact_exact_tables"),
+    )
+
+
+def score_group(teds: Column, good: float = 0.9, bad: float = 0.7) -> Column:
+    """`good`, `bad`, or null between the two and without a score."""
+    return F.when(teds >= good, "good").when(teds < bad, "bad")
+
+
+def match_rollup(matches: DataFrame) -> DataFrame:
+    """Of one row for each region (sample, mode; `none`: without a match): regions, matched ones, their rate, a count for each way of matching, and the mean of the samples' rates. Null rates without rows."""
+    hit = F.col("mode") != "none"
+    per = matches.groupBy("sample").agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"), F.count_if(F.col("mode") == "iou").alias("by_iou"), F.count_if(F.col("mode") == "iop").alias("by_iop"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return per.agg(
+        F.count("*").alias("samples"), total("n").alias("regions"), total("hits").alias("matched"), total("by_iou").alias("by_iou"), total("by_iop").alias("by_iop"),
+        (F.sum("hits") / F.nullif(F.sum("n"), F.lit(0))).alias("rate"), exact_mean(F.round(F.col("hits") / F.col("n"), 9)).alias("mean_rate"),
+    )
+
+
+def mean_where(value: Column, test: Column) -> Column:
+    """The mean of the values whose test holds and that are not null; 0 without any."""
+    return F.coalesce(exact_mean(F.when(test, value)), F.lit(0.0))
+
+
+def list_totals(rows: DataFrame, lists: str) -> DataFrame:
+    """Rows, elements of all lists, and rows whose list is empty or null."""
+    n = F.greatest(F.coalesce(F.size(lists), F.lit(0)), F.lit(0))
+    return rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("elements"), F.count_if(n == 0).alias("empty"))
+
+
+def split_counts(rows: DataFrame, split: str, fits: Column) -> DataFrame:
+    return rows.groupBy(split).agg(F.count("*").alias("n"), F.count_if(fits).alias("fitting"))
+
+
+def distinct_counts(rows: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Different values of some columns, nulls left out, by group."""
+    return rows.groupBy(*by).agg(*(F.count_distinct(c).alias(c) for c in columns))
+
+
+def diagnostic_priority(similarity: Column, partial: Column, spans: Column) -> Column:
+    """What a person should look at first: dissimilar, partly covered and spanned tables."""
+    return (1 - similarity) + 0.25 * F.least(partial, F.lit(3)) + 0.05 * F.least(spans, F.lit(3))
+
+
+#: Counts, by markup_statistics, that two tables may differ in, and the labels of it; in the fixed order.
+COUNT_LABELS = (("tr", "row_count_mismatch"), ("td", "cell_count_mismatch"), ("rowspan", "rowspan_count_mismatch"), ("colspan", "colspan_count_mismatch"), ("empty_td", "empty_cell_count_mismatch"))
+
+
+def difference_labels(raw_pred: Column, raw_true: Column, pred: Column, true: Column, teds_s: Column, teds: Column) -> Column:
+    """All of nine labels that hold for two tables' statistics, raw and normalised, and their scores; `uncategorized` if none does."""
+    differs = lambda a, b, *names: F.lit(False) if not names else (a[names[0]] != b[names[0]]) | differs(a, b, *names[1:])
+    tests = [
+        (differs(raw_pred, raw_true, "thead", "tbody"), "raw_section_convention_mismatch"),
+        (differs(pred, true, "thead_tr", "tbody_tr"), "normalized_thead_tbody_split_mismatch"),
+        *((differs(pred, true, name), label) for name, label in COUNT_LABELS),
+        ((teds_s == 1.0) & (teds < 1.0), "content_only_difference"),
+        (teds_s < 1.0, "structural_difference"),
+    ]
+    return labels(*tests)
+
+
+def pseudo_label_reason(has_text: Column, has_structure: Column, cells: Column, regions: Column, coverage: Column, similarity: Column, most_cells: int = 400, least_coverage: float = 0.78, least_similarity: float = 0.82) -> Column:
+    """Why a table makes no training label: the first of six reasons, or `accepted`."""
+    return first_reason(
+        (~has_text, "missing_ocr"), (~has_structure, "html_or_otsl"), ((F.coalesce(cells, F.lit(0)) == 0) | (cells > most_cells), "cell_count"), (F.coalesce(regions, F.lit(0)) == 0, "no_regions"),
+        (coverage < least_coverage, "low_coverage"), (similarity < least_similarity, "low_similarity"),
+    )

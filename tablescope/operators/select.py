@@ -60,6 +60,12 @@ def low_confidence(regions: DataFrame, k: int) -> DataFrame:
     return ranked.withColumn("score", F.coalesce("score", F.lit(0.0))).drop("__s")
 
 
+def visible_sample(rows: DataFrame, document: str, flagged: DataFrame, key: str, k: int, include: bool = False, seed: int = 42) -> DataFrame:
+    """k rows, by the order of a hash, of documents that are not flagged, or, `include`, of flagged ones alone."""
+    some = rows.join(flagged.select(document).distinct(), document, "left_semi" if include else "left_anti")
+    return sample_by_hash(some, key, k, seed)
+
+
 def require_count(rows: DataFrame, n: int) -> DataFrame:
     if (found := rows.count()) != n:
         raise ValueError(f"{found} rows, not {n}")

@@ -80,20 +80,23 @@ def with_status(a: DataFrame, b: DataFrame, key: str, missing: str = "missing_pr
 
 
 def numbered(rows: DataFrame, order: Sequence[str], parts: int = 64) -> DataFrame:
-    """`index` from 0 over a total order, and the number of rows `of`. Ranges of the first order column are numbered apart and moved on by the ranges before, so that no task holds all rows.
+    """`index` from 0 over a total order, and the number of rows `of`. Ranges of the order are numbered apart and moved on by the ranges before, so that no task holds all rows.
 
-    The ranges' edges are approximate quantiles of that column: numbers, or strings through their order.
+    The ranges' edges are order columns, of any types, of a bounded sample by hash: all columns count, so that a frequent
+    first value is cut as well. The edges decide how even the ranges are, never the result. Nulls come first.
     """
-    first = order[0]
-    keyed = rows.withColumn("__k", F.col(first).cast("double"))
-    edges = sorted(set(keyed.approxQuantile("__k", [i / parts for i in range(1, parts)], 0.01)))
-    part = F.lit(0) if not edges else sum((F.when(F.col("__k") > e, 1).otherwise(0) for e in edges[1:]), F.when(F.col("__k") > edges[0], 1).otherwise(0))
-    keyed = keyed.withColumn("__part", F.coalesce(part, F.lit(-1)))
+    key = F.struct(*order)
+    sample = rows.select(*order).orderBy(F.xxhash64(*order)).limit(parts * 16)  # a bounded number of rows comes to the driver
+    types = {f.name: f.dataType for f in sample.schema.fields}
+    held = [r["k"] for r in sample.select(key.alias("k")).distinct().orderBy("k").collect()]
+    edges = [F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, held[len(held) * i // parts], strict=True)]) for i in range(1, parts)] if held else []
+    part = sum((F.when(key >= e, 1).otherwise(0) for e in edges), F.lit(0))
+    keyed = rows.withColumn("__part", part)
     sizes = keyed.groupBy("__part").agg(F.count("*").alias("__n"))
     whole = W.orderBy("__part")  # `parts` rows
     sizes = sizes.select("__part", F.coalesce(F.sum("__n").over(whole.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(W.partitionBy(F.lit(0))).alias("of"))
     inside = F.row_number().over(W.partitionBy("__part").orderBy(*order)) - 1
-    return keyed.withColumn("__inside", inside).join(F.broadcast(sizes), "__part").withColumn("index", (F.col("__inside") + F.col("__before")).cast("long")).drop("__k", "__part", "__inside", "__before")
+    return keyed.withColumn("__inside", inside).join(F.broadcast(sizes), "__part").withColumn("index", (F.col("__inside") + F.col("__before")).cast("long")).drop("__part", "__inside", "__before")
 
 
 def modulo_shard(index: Column, shards: int) -> Column:
@@ -143,3 +146,94 @@ def gate(rows: DataFrame, test: Column, message: str) -> DataFrame:
     if not rows.agg(test.alias("ok")).first()["ok"]:
         raise ValueError(message)
     return rows
+
+
+def last_wins(rows: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
+    """The last row of each key by an order, as a later entry of a map replaces an earlier one. Where that hides a mistake, `require_unique` raises instead."""
+    return first_wins(rows, key, [F.desc(c) if isinstance(c, str) else c.desc() for c in order])
+
+
+def updated(parts: Sequence[DataFrame], key: str) -> DataFrame:
+    """The rows of all tables, of each key those of the last table that has it."""
+    every = None
+    for n, part in enumerate(parts):
+        part = part.withColumn("__part", F.lit(n))
+        every = part if every is None else every.unionByName(part)
+    last = every.groupBy(key).agg(F.max("__part").alias("__part"))
+    return every.join(last, [key, "__part"]).drop("__part")
+
+
+def union_keys(parts: Sequence[DataFrame], key: str) -> DataFrame:
+    """The different keys of all tables."""
+    out = parts[0].select(key)
+    for part in parts[1:]:
+        out = out.union(part.select(key))
+    return out.distinct()
+
+
+def prefixed(rows: DataFrame, key: str, prefix: str) -> DataFrame:
+    """The columns but the key with a prefix, to stand beside another source's."""
+    return rows.select(key, *(F.col(c).alias(f"{prefix}{c}") for c in rows.columns if c != key))
+
+
+def side_by_side(parts: Sequence[tuple[DataFrame, str]], key: str, how: str = "inner") -> DataFrame:
+    """Several tables by the keys that all have (or the first has, `left`), each one's columns under its prefix."""
+    out = None
+    for rows, prefix in parts:
+        rows = prefixed(rows, key, prefix)
+        out = rows if out is None else out.join(rows, key, how)
+    return out
+
+
+def joined_and_unmatched(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The inner join, and the left side's keys without a partner."""
+    return left.join(right, key), unmatched(left, right, key).select(key).distinct()
+
+
+def after_last(text: Column, separator: str) -> Column:
+    """What follows the last separator; the whole text without one."""
+    return F.substring_index(text, separator, -1)
+
+
+def after_first(text: Column, separator: str) -> Column:
+    """What follows the first separator; the whole text without one."""
+    at = F.instr(text, separator)
+    return F.when(at > 0, F.substring(text, at + len(separator), F.length(text))).otherwise(text)
+
+
+def derived_key_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, how: str = "inner") -> DataFrame:
+    """Rows whose keys, computed on either side, are equal; the key stays as `join_key`."""
+    return left.withColumn("join_key", left_key).join(right.withColumn("join_key", right_key), "join_key", how)
+
+
+def only_named(rows: DataFrame, names: DataFrame, key: str, denied: bool = False) -> DataFrame:
+    """The rows whose key is in the list, or, `denied`, is not."""
+    return rows.join(names.select(key).distinct(), key, "left_anti" if denied else "left_semi")
+
+
+def first_seen(rows: DataFrame, key: str, position: str) -> DataFrame:
+    """The different keys in the order of their first places."""
+    return rows.groupBy(key).agg(F.min(position).alias(position)).orderBy(position, key)
+
+
+def page(rows: DataFrame, order: Sequence[str], offset: int = 0, limit: int = 0) -> DataFrame:
+    """Rows of a total order from an offset on; a limit of 0 or less means all of them."""
+    some = rows.orderBy(*order).offset(max(0, offset))
+    return some.limit(limit) if limit > 0 else some
+
+
+def first_accepted(rows: DataFrame, test: Column, order: Sequence[str], n: int) -> DataFrame:
+    """The first n rows, in order, whose test holds."""
+    return rows.where(test).orderBy(*order).limit(n)
+
+
+def replaced(rows: DataFrame, column: str, source: Column, name: str) -> DataFrame:
+    """A column replaced, its old value kept as original_<column>, and where the new one comes from."""
+    return rows.withColumn(f"original_{column}", F.col(column)).withColumn(column, source).withColumn(f"{column}_source", F.lit(name))
+
+
+def text_or_fallback(new: Column, old: Column, fallback: bool = True) -> Column:
+    """struct(text, from_new, empty): the new text, or, where it is null or blank and that is allowed, the old one."""
+    has = F.trim(F.coalesce(new, F.lit(""))) != ""
+    text = F.when(has, new).otherwise(F.coalesce(old, F.lit("")) if fallback else F.lit(""))
+    return F.struct(text.alias("text"), has.alias("from_new"), (F.trim(text) == "").alias("empty"))

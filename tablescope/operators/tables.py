@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ..functions import align, markup
-from ..functions.text import occurrences
+from ..functions import align, geometry, markup
+from ..functions.text import kernel_column, occurrences, rich_text, without_tags
+from . import reconstruct
 
 CELLS = "sample long, cell_idx int, r0 int, r1 int, c0 int, c1 int, text string, header boolean"
 
@@ -25,6 +27,42 @@ def logical_cells(tables: DataFrame, nested: bool = False) -> DataFrame:
     return tables.select("sample", "markup").mapInPandas(each, CELLS)
 
 
+def annotation_cells(rows: DataFrame) -> DataFrame:
+    """Of annotations (sample, tokens, cells: array of struct(tokens, bbox)) each logical cell with its content: sample, cell_idx, r0, r1, c0, c1, text, numbers, box. A table ends at the first cell without a content."""
+    places = kernel_column(lambda tokens, n: [{"r0": c.r0, "r1": c.r1, "c0": c.c0, "c1": c.c1} for c in markup.annotated_cells(list(tokens), int(n))[0]], F.col("tokens"), F.size("cells"), kind="array<struct<r0: int, r1: int, c0: int, c1: int>>")
+    both = rows.withColumn("__p", places).select("sample", "cells", F.posexplode("__p").alias("cell_idx", "p"))
+    content = F.get("cells", F.col("cell_idx"))
+    return both.select("sample", "cell_idx", "p.*", rich_text(content["tokens"]).alias("text"), content["bbox"].alias("numbers"), geometry.from_numbers(content["bbox"]).alias("box"))
+
+
+def recognised_tokens(cells: DataFrame, words: bool = False, include_empty: bool = False) -> DataFrame:
+    """Of cells (sample, cell_idx, text, box) the tokens that a recogniser would have found: one for each cell with a box and visible text, or one for each word, boxes by the words' lengths. sample, id (from 1), text, box, line, index_in_line, confidence."""
+    shown = F.trim(without_tags(F.col("text")))
+    some = cells.where("box IS NOT NULL").withColumn("text", F.when(shown == "", F.lit(" ")).otherwise(F.col("text")) if include_empty else F.col("text"))
+    some = some if include_empty else some.where(shown != "")
+    if words:
+        split = reconstruct.word_boxes(some.select("sample", F.col("cell_idx").alias("idx"), "text", "box"))
+        found = split.select("sample", F.col("idx").alias("line"), F.col("word_idx").alias("index_in_line"), F.col("word").alias("text"), "box")
+    else:
+        found = some.select("sample", F.col("cell_idx").alias("line"), F.lit(0).alias("index_in_line"), "text", "box")
+    at = F.row_number().over(W.partitionBy("sample").orderBy("line", "index_in_line"))
+    return found.select("sample", at.alias("id"), "text", "box", "line", "index_in_line", F.lit(1.0).alias("confidence"))
+
+
+def markup_statistics(html: Column) -> Column:
+    """struct: rows, cells, spans, empty cells, sections and their rows, counted in the markup itself."""
+    n = lambda part: F.regexp_count(html, F.lit(part)).cast("long")
+    inside = lambda tag: F.aggregate(F.regexp_extract_all(html, F.lit(f"(?s)<{tag}>(.*?)</{tag}>"), 1), F.lit(0).cast("long"), lambda s, x: s + F.regexp_count(x, F.lit("<tr>")).cast("long"))
+    fields = {"tr": n("<tr>"), "td": n("<td"), "rowspan": n("rowspan="), "colspan": n("colspan="), "empty_td": n("<td[^>]*>\\s*</td>"), "thead": n("<thead>"), "tbody": n("<tbody>"), "thead_tr": inside("thead"), "tbody_tr": inside("tbody")}
+    return F.struct(*(v.alias(k) for k, v in fields.items()))
+
+
+def inline_statistics(html: Column) -> Column:
+    """struct: how often each tag of formatting begins, and style attributes."""
+    n = lambda part: F.regexp_count(html, F.lit(part)).cast("long")
+    return F.struct(*(n(f"<{t}[ >]").alias(t) for t in ("b", "i", "sup", "sub")), n("style=").alias("style"))
+
+
 def similarity(pred: Column, true: Column, policy: str = "none") -> Column:
     """struct(teds_s, teds, error): the tests for equal and for too large trees are inside, so that they spare the work."""
     if policy not in markup.POLICIES:

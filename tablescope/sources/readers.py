@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import geometry
+from ..functions.text import kernel_column
+
 ANNOTATION = "filename string, split string, table_id string, bbox array<double>, html struct<structure: struct<tokens: array<string>>, cells: array<struct<tokens: array<string>, bbox: array<double>>>>"
 SAMPLE = "struct<html: string, type: string>"
 REGIONS = "array<struct<bbox: array<double>, text: string, score: double, bbox_score: double>>"
@@ -19,6 +23,11 @@ def json_lines(spark: SparkSession, path: str, schema: str = ANNOTATION) -> Data
     return spark.read.schema(schema).json(path)
 
 
+def json_lookup(spark: SparkSession, path: str, keys: DataFrame, key: str, schema: str = ANNOTATION) -> DataFrame:
+    """The lines whose key is wanted. Spark broadcasts the keys below its own size limit."""
+    return json_lines(spark, path, schema).join(keys.select(key).distinct(), key, "left_semi")
+
+
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
@@ -60,6 +69,11 @@ def recognised_words(spark: SparkSession, path: str, keep_unsure: bool = False)
     return rows.select(F.trim("text").alias("text"), score.alias("score"), F.struct(x.alias("x0"), y.alias("y0"), (x + number("width")).alias("x1"), (y + number("height")).alias("y1")).alias("box"))
 
 
+def words_in_table(words: DataFrame, table_box: Column) -> DataFrame:
+    """The words whose centres lie in the table's box, bounds included."""
+    return words.where(geometry.contains_point(table_box, *geometry.centre(F.col("box"))))
+
+
 def name_list(spark: SparkSession, path: str, comments: bool = False, both_forms: bool = False) -> DataFrame:
     """Distinct lines that are not blank; optionally without '#' comments, and with a name and the name with .png."""
     rows = spark.read.text(path).select(F.trim("value").alias("name")).where("name <> ''")
@@ -71,12 +85,13 @@ def name_list(spark: SparkSession, path: str, comments: bool = False, both_forms
     return rows.distinct()
 
 
-def files(spark: SparkSession, path: str, pattern: str | None = None, **keys: str) -> DataFrame:
-    """sha256, size_bytes and path of the files of a folder, and keys that regular expressions find in the path."""
+def files(spark: SparkSession, path: str, pattern: str | None = None, content: bool = True, **keys: str) -> DataFrame:
+    """path, size_bytes and, if `content` is wanted, sha256 of the files of a folder, and keys that regular expressions find in the path. Without `content` no file is read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     rows = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
     found = [F.regexp_extract("path", regex, 1).alias(name) for name, regex in keys.items()]
-    return rows.select(F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), "path", *found)
+    digest = [F.sha2("content", 256).alias("sha256")] if content else []
+    return rows.select(*digest, F.col("length").alias("size_bytes"), "path", *found)
 
 
 def by_stem(rows: DataFrame) -> DataFrame:
@@ -104,10 +119,39 @@ def first_text(*columns: Column) -> Column:
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns))
 
 
+def sniffed(spark: SparkSession, paths: Sequence[str], names: Sequence[str], lines: int = 20) -> str:
+    """The first path whose first lines, a bounded number, are JSON objects that all have the named members. Raises ValueError if there is none."""
+    for path in paths:
+        head = spark.read.text(path).limit(lines)
+        has = F.lit(True)
+        for name in names:
+            has = has & F.coalesce(F.array_contains(F.json_object_keys("value"), name), F.lit(False))
+        n, ok = head.agg(F.count("*"), F.count_if(has)).first()
+        if n and n == ok:
+            return path
+    raise ValueError(f"none of {list(paths)} has {list(names)}")
+
+
+def _boxed(value: object) -> Iterator[dict]:
+    if isinstance(value, dict):
+        if "bbox" in value and "tokens" in value:
+            yield {"bbox": value["bbox"], "tokens": value["tokens"]}
+        else:
+            for member in value.values():
+                yield from _boxed(member)
+    elif isinstance(value, list):
+        for element in value:
+            yield from _boxed(element)
+
+
 def boxed_tokens(document: Column) -> Column:
-    """All objects with both bbox and tokens in a JSON text of three levels at most: the object itself, lists of it, lists of lists of it."""
-    item = "struct<bbox: array<double>, tokens: array<string>>"
-    one = F.array(F.from_json(document, item))
-    many = F.coalesce(F.from_json(document, f"array<{item}>"), F.array().cast(f"array<{item}>"))
-    deep = F.flatten(F.coalesce(F.from_json(document, f"array<array<{item}>>"), F.array().cast(f"array<array<{item}>>")))
-    return F.filter(F.array_distinct(F.concat(one, many, deep)), lambda x: x.isNotNull() & x["bbox"].isNotNull() & x["tokens"].isNotNull())
+    """All objects with both bbox and tokens of a JSON text, at any depth, in order; none of what is no JSON."""
+
+    def found(text: str | None) -> list[dict]:
+        try:
+            return list(_boxed(json.loads(text or "null")))
+        except (ValueError, RecursionError):
+            return []
+
+    return kernel_column(found, document, kind="array<struct<bbox: array<double>, tokens: array<string>>>")
+

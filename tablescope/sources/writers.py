@@ -5,7 +5,8 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that a report rendered on the driver may have.
 REPORT_ROWS = 10_000
@@ -58,3 +59,50 @@ def html_table(rows: DataFrame) -> str:
     cells = lambda tag, values: "".join(f"<{tag}>{html.escape(_shown(v))}</{tag}>" for v in values)
     body = "".join(f"<tr>{cells('td', row)}</tr>" for row in _collected(rows))
     return f"<table><thead><tr>{cells('th', rows.columns)}</tr></thead><tbody>{body}</tbody></table>"
+
+
+def html_report(title: str, tables: dict[str, DataFrame]) -> str:
+    """A document with a heading and a table for each section; everything is escaped."""
+    sections = "".join(f"<h2>{html.escape(name)}</h2>{html_table(rows)}" for name, rows in tables.items())
+    return f"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{sections}</body></html>"
+
+
+def by_shard(rows: DataFrame, path: str, shard: str, key: str) -> DataFrame:
+    """Writes a folder for each shard, and returns a row for each: rows, first and last key."""
+    rows.write.partitionBy(shard).parquet(path)
+    return rows.sparkSession.read.parquet(path).groupBy(shard).agg(F.count("*").alias("rows"), F.min(key).alias("first"), F.max(key).alias("last"))
+
+
+def with_column(rows: DataFrame, source: str, target: str, **columns: Column) -> None:
+    """Documents read from `source` with more columns, written to another place: what is being read is never overwritten."""
+    if source.rstrip("/") == target.rstrip("/"):
+        raise ValueError("the target is the source")
+    rows.withColumns(columns).write.json(target)
+
+
+def _path(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def mark_ready(spark: SparkSession, folder: str, name: str = "READY") -> None:
+    """A marker beside the data, after the folder's own _SUCCESS: raises if that is not there."""
+    if not is_ready(spark, folder, "_SUCCESS"):
+        raise ValueError(f"{folder} is not complete")
+    system, where = _path(spark, f"{folder.rstrip('/')}/{name}")
+    system.create(where, True).close()
+
+
+def is_ready(spark: SparkSession, folder: str, name: str = "READY") -> bool:
+    system, where = _path(spark, f"{folder.rstrip('/')}/{name}")
+    return bool(system.exists(where))
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file of a given name, through the file system that the path names."""
+    system, where = _path(spark, path)
+    out = system.create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()

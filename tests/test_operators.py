@@ -120,7 +120,7 @@ def test_scores(spark):
     assert (got["num_samples"], got["teds"], got["teds_1"]) == (3, 0.625, 1)
     assert scores.summary(rows.limit(0)).first()["teds"] is None
     values = spark.createDataFrame([(v,) for v in (1, 2, 3, 4)], "v int")
-    assert values.agg(scores.upper_median(F.col("v"))).first()[0] == 3 and values.agg(scores.exact_median(F.col("v"))).first()[0] == 2.5
+    assert values.agg(scores.upper_median("v")).first()[0] == 3 and values.agg(scores.exact_median(F.col("v"))).first()[0] == 2.5
     edges = spark.createDataFrame([(v,) for v in (1.0, 0.9, 0.7, 0.5, 0.4999)], "v double")
     assert [r[0] for r in edges.select(scores.bucket(F.col("v"))).collect()] == ["1.00", "0.90-0.99", "0.70-0.89", "0.50-0.69", "<0.50"]
     assert one(spark, scores.error_mode(F.lit(0.6), F.lit(0.95), F.lit(False), F.lit(0), F.lit(9), F.lit(9))) == "text_ocr_error"
