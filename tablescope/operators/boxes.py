@@ -189,7 +189,7 @@ def word_regions(words: DataFrame, tolerance: float, gap: float) -> DataFrame:
     lined = words.join(cluster_positions(words.select("sample", "idx", ((b["y0"] + b["y1"]) / 2).alias("y")), "y", tolerance).withColumnRenamed("cluster", "line"), ["sample", "idx"])
     w = W.partitionBy("sample", "line").orderBy(b["x0"], "idx")
     begins = F.when(b["x0"] - F.lag(b["x1"]).over(w) <= gap, 0).otherwise(1)
-    cut = lined.withColumn("__b", begins).withColumn("region", F.sum("__b").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
+    cut = lined.withColumn("__b", begins).withColumn("region", F.sum("__b").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int") - 1)
     return cut.groupBy("sample", "line", "region").agg(
         g.box(F.min(b["x0"]), F.min(b["y0"]), F.max(b["x1"]), F.max(b["y1"])).alias("box"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(b["x0"].alias("x"), "idx", "text"))), lambda s: s["text"]), " ").alias("text")
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,24 +11,12 @@ from ..operators import boxes as b
 from ..operators import reconstruct, sets, tables
 from ..operators import scores as s
 from ..streaming import polls
+from .registry import QUERIES, SQL, query
 from .relations import BOXES_SQL, SCORES_SQL, TABLES_SQL, boxes, scores, shifted, table
 from .relations import tables as markup_tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-MEAN = "sum({0}::DECIMAL(18,6))::DOUBLE / nullif(count({0}), 0)"
+#: The exact mean: numbers become decimals by their shortest text, as in the engine.
+MEAN = "sum({0}::VARCHAR::DECIMAL(38,18))::VARCHAR::DOUBLE / nullif(count({0}), 0)"
 SUMMARY = f"count(*) AS num_samples, {MEAN.format('teds_s')} AS teds_s, {MEAN.format('teds')} AS teds, median(teds) AS median_teds, count(*) FILTER (teds_s = 1) AS teds_s_1, count(*) FILTER (teds = 1) AS teds_1"
 PAIRS = "pairs AS (SELECT a.sample, a.cls, a.document, a.teds_s AS teds_s_a, a.teds AS teds_a, b.teds_s AS teds_s_b, b.teds AS teds_b, round(b.teds_s - a.teds_s, 9) AS delta_s, round(b.teds - a.teds, 9) AS delta FROM scores_a a JOIN scores_b b USING (sample))"
 BUCKET = "CASE WHEN teds = 1 THEN '1.00' WHEN teds >= 0.9 THEN '0.90-0.99' WHEN teds >= 0.7 THEN '0.70-0.89' WHEN teds >= 0.5 THEN '0.50-0.69' ELSE '<0.50' END"
@@ -75,8 +61,8 @@ def q05_category_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.crosstab(scores(spark, sf_dir, "a").select(s.bucket(teds).alias("bucket"), found.alias("found")), "found", "bucket")
 
 
-@query(f"""{SCORES_SQL}, {PAIRS}, named AS (SELECT delta, CASE WHEN sample % 10 = 0 THEN 'other' ELSE cls END AS cls FROM pairs)
-SELECT cls, count(*) AS pairs, {MEAN.format('delta')} AS mean_delta, count(*) FILTER (delta > 0.01) AS gains, count(*) FILTER (delta < -0.01) AS losses FROM named GROUP BY cls""")
+@query(f"""{SCORES_SQL}, {PAIRS}, named AS (SELECT delta, teds_a, teds_b, CASE WHEN sample % 10 = 0 THEN 'other' ELSE cls END AS cls FROM pairs)
+SELECT cls, count(*) AS pairs, {MEAN.format('delta')} AS mean_delta, count(*) FILTER (delta > 0.01) AS gains, count(*) FILTER (delta < -0.01) AS losses, ({MEAN.format('teds_b')}) / nullif({MEAN.format('teds_a')}, 0) AS ratio FROM named GROUP BY cls""")
 def q06_class_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = scores(spark, sf_dir, "a").where("sample % 10 <> 0").select("sample", "cls")
     return s.class_deltas(_pairs(spark, sf_dir).drop("cls"), classes)
@@ -110,10 +96,10 @@ def q09_best_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.best_variant(rows)
 
 
-@query("""WITH a AS (SELECT doc_id, count(*) AS a FROM labels GROUP BY 1), b AS (SELECT doc_id, count(*) AS b FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1), f AS (SELECT * FROM a FULL JOIN b USING (doc_id))
+@query("""WITH a AS (SELECT doc_id, count(*) AS a FROM labels GROUP BY 1), b AS (SELECT doc_id, count(*) AS b FROM documents GROUP BY 1), f AS (SELECT * FROM a FULL JOIN b USING (doc_id))
 SELECT count(*) FILTER (b IS NULL) AS only_left, count(*) FILTER (a IS NULL) AS only_right, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS shared, count(*) FILTER (a > 1) AS repeated_left, count(*) FILTER (b > 1) AS repeated_right FROM f""")
 def q10_key_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sets.key_audit(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").where("doc_id % 3 <> 0"), "doc_id")
+    return sets.key_audit(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"), "doc_id")
 
 
 _RANK = "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS index, count(*) OVER () AS of FROM documents)"
@@ -145,11 +131,11 @@ def q14_top_per_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{BOXES_SQL}, per AS (SELECT sample, count(*) AS regions, count(*) FILTER (text = 'N') AS empty_text, count(*) FILTER (x1 <= x0 OR y1 <= y0) AS invalid, count(*) FILTER (x1 > 61 OR y1 > 56) AS out_of_bounds FROM boxes GROUP BY 1),
-f AS (SELECT s.sample AS s, p.* FROM (SELECT DISTINCT o_orderkey AS sample FROM orders WHERE o_orderkey % 11 <> 0) s FULL JOIN per p ON s.sample = p.sample)
+f AS (SELECT s.sample AS s, p.* FROM (SELECT DISTINCT o_orderkey AS sample FROM orders) s FULL JOIN per p ON s.sample = p.sample)
 SELECT count(s) AS samples, count(*) FILTER (regions IS NULL) AS empty_samples, count(*) FILTER (s IS NULL) AS extra_samples, sum(regions)::BIGINT AS regions, sum(empty_text)::BIGINT AS empty_text, sum(invalid)::BIGINT AS invalid, sum(out_of_bounds)::BIGINT AS out_of_bounds FROM f""")
 def q15_region_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = boxes(spark, sf_dir).withColumn("text", F.when(F.col("text") != "N", F.col("text")))
-    return b.validation(table(spark, sf_dir, "orders").where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("sample")), rows, 60, 55)
+    return b.validation(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample")), rows, 60, 55)
 
 
 _IOU = "both_::DOUBLE / (area_a + area_b - both_)"
@@ -249,11 +235,6 @@ def q26_tree_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.scored_pairs(pred, true, "canonical", parts=spark.sparkContext.defaultParallelism)
 
 
-@query()
-def q26b_grid_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.grid_difference(tables.logical_cells(markup_tables(spark, sf_dir, edit=True)), tables.logical_cells(markup_tables(spark, sf_dir)))
-
-
 @query()
 def q27_alignment_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = tables.logical_cells(markup_tables(spark, sf_dir)).groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_idx", "text"))), lambda x: x["text"]).alias("cells"))
@@ -358,3 +339,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_class = s.class_deltas(pairs.drop("cls"), scores(spark, sf_dir, "a").select("sample", "cls"))
     whole = s.win_loss(pairs).select(F.col("pairs").alias("all_pairs"), F.col("mean_delta").alias("all_mean_delta"), "wins", F.col("losses").alias("all_losses"))
     return by_class.crossJoin(F.broadcast(whole))  # one row
+
+
+from . import files, grids, rows  # noqa: E402, F401
