@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import text as t
 from ..operators import boxes as b
-from ..operators import reconstruct, sets, tables
+from ..operators import sets, tables
 from ..operators import scores as s
 from ..streaming import polls
 from .registry import QUERIES, SQL, query
@@ -164,7 +164,12 @@ def q18_point_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.first_box_of_point(shifted(rows).select("sample", "idx", x.alias("x"), y.alias("y")), rows)
 
 
-@query()
+@query(f"""{BOXES_SQL}, s AS (SELECT sample, idx, other, both_::DOUBLE / (area_a + area_b - both_) AS iou FROM pairs WHERE both_::DOUBLE / (area_a + area_b - both_) >= 0.5),
+n AS (SELECT sample, count(*) AS n FROM boxes GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY iou DESC, idx DESC, other DESC) AS k FROM s),
+walk AS (SELECT sample, list(idx ORDER BY k) AS p, list(other ORDER BY k) AS t FROM r GROUP BY 1),
+fold AS (SELECT sample, list_reduce(list_transform(list_zip(p, t), lambda x: [x[1]::INT, x[2]::INT]), lambda acc, x: CASE WHEN len(list_filter(range(0, len(acc) // 2), lambda i: acc[i * 2 + 1] = x[1] OR acc[i * 2 + 2] = x[2])) > 0 THEN acc ELSE list_concat(acc, x) END) AS taken FROM walk)
+SELECT n.sample, n AS pred, n AS true, coalesce(len(taken) // 2, 0)::BIGINT AS matched, coalesce(len(taken) // 2, 0) / n::DOUBLE AS precision, coalesce(len(taken) // 2, 0) / n::DOUBLE AS recall,
+  CASE WHEN coalesce(len(taken) // 2, 0) > 0 THEN 2 * (len(taken) // 2 / n::DOUBLE) * (len(taken) // 2 / n::DOUBLE) / (len(taken) // 2 / n::DOUBLE + len(taken) // 2 / n::DOUBLE) ELSE 0 END AS f1 FROM n LEFT JOIN fold USING (sample)""")
 def q19_greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = boxes(spark, sf_dir)
     moved = shifted(rows)
@@ -304,35 +309,6 @@ def q35_text_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("conv_id", t.metrics_column(F.col("a"), F.col("b")).alias("m")).select("conv_id", "m.*")
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Boxes on a grid of three columns, every fourth one missing, and the images' sizes."""
-    idx = F.col("idx")
-    box = g.box(*((F.col(f"box.{c}") + F.pmod(idx, F.lit(3)) * (60 if c[0] == "x" else 0) + F.floor(idx / 3) * (40 if c[0] == "y" else 0)).cast("double") for c in ("x0", "y0", "x1", "y1")))
-    row, column = F.floor(idx / 3).cast("int"), F.pmod(idx, F.lit(3)).cast("int")
-    cells = boxes(spark, sf_dir).select("sample", idx.alias("cell_idx"), row.alias("r0"), (row + 1).alias("r1"), column.alias("c0"), (column + 1).alias("c1"), F.when(idx % 4 != 2, box).alias("box"))
-    return cells, cells.select("sample").distinct().select("sample", F.lit(260).alias("width"), F.lit(260).alias("height"))
-
-
-def _reconstructed(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
-    cells, extents = _cells(spark, sf_dir)
-    return reconstruct.diagnostics(reconstruct.with_boxes(cells, extents, method), extents).groupBy("causes").agg(F.count("*").alias("tables"), F.sum("reconstructed").alias("reconstructed"), F.sum("overlaps").alias("overlaps"))
-
-
-@query()
-def q36_boxes_from_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reconstructed(spark, sf_dir, "edges")
-
-
-@query()
-def q37_boxes_from_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reconstructed(spark, sf_dir, "centres")
-
-
-@query()
-def q38_boxes_from_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reconstructed(spark, sf_dir, "bands")
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The comparison of two runs by class, beside the comparison over all."""
     pairs = _pairs(spark, sf_dir)

@@ -189,17 +189,6 @@ def q134_centre_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes(spark, sf_dir).where(g.contains_point(place, *g.centre(F.col("box")))).select("sample", "idx")
 
 
-@query(f"""{BOXES_SQL}, s AS (SELECT sample, idx, other, both_::DOUBLE / (area_a + area_b - both_) AS iou FROM pairs WHERE both_::DOUBLE / (area_a + area_b - both_) >= 0.5),
-n AS (SELECT sample, count(*) AS n FROM boxes GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY iou DESC, idx DESC, other DESC) AS k FROM s),
-walk AS (SELECT sample, list(idx ORDER BY k) AS p, list(other ORDER BY k) AS t FROM r GROUP BY 1),
-fold AS (SELECT sample, list_reduce(list_transform(list_zip(p, t), lambda x: [x[1]::INT, x[2]::INT]), lambda acc, x: CASE WHEN len(list_filter(range(0, len(acc) // 2), lambda i: acc[i * 2 + 1] = x[1] OR acc[i * 2 + 2] = x[2])) > 0 THEN acc ELSE list_concat(acc, x) END) AS taken FROM walk)
-SELECT n.sample, n AS pred, n AS true, coalesce(len(taken) // 2, 0)::BIGINT AS matched, coalesce(len(taken) // 2, 0) / n::DOUBLE AS rate FROM n LEFT JOIN fold USING (sample)""")
-def q135_greedy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = boxes(spark, sf_dir)
-    moved = shifted(rows)
-    return b.match_rates(rows, moved, b.greedy_matches(rows, moved)).select("sample", "pred", "true", "matched", F.col("recall").alias("rate"))
-
-
 # Aggregates
 
 
