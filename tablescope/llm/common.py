@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,10 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder shared by driver and executors for intermediate tables: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder shared by driver and executors for intermediate tables: spark.checkpoint.dir. Where it is unset it is set to a local folder if driver and executors are one process, as in tests, and is an error on a cluster."""
     if not (where := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tablescope-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -127,9 +130,43 @@ def encoded(column: pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+_SHIPPED: set[str] = set()
+
+
 def python_path(spark: SparkSession) -> None:
-    """Lets Python workers of a local session import this package wherever the driver's program was started."""
+    """Lets Python workers import this package wherever the driver's program was started: by the path in a local session, else by a copy that Spark sends to the executors once."""
+    ship(spark)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+
+def ship(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if context.master.split("[")[0] == "local" or context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="tablescope-"), "tablescope.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                whole = os.path.join(folder, name)
+                out.write(whole, os.path.relpath(whole, os.path.dirname(package)))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
+
+def packed_rows(docs: DataFrame, *more: F.Column) -> DataFrame:
+    """`doc`, all columns of a row as a struct, whatever their names, beside columns of our own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *more)
+
+
+def unpacked_rows(rows: DataFrame, names: list[str], **changed: F.Column) -> DataFrame:
+    """The columns of `doc` again, some of them changed."""
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col("doc").getField(c).alias(c) for c in names])
+
+
+def identity(doc_id: str = "doc_id", text: str = "text") -> tuple[F.Column, F.Column]:
+    """`doc` and `row`, the id (the least number for a null one) and a hash of id and text: rows that share both and differ in their texts would need one id and one hash."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(F.col(doc_id).cast("string"), F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("row")

@@ -20,12 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunked, encoded, mix, run_hashes, written
+from .common import chunked, encoded, mix, packed_rows, run_hashes, unpacked_rows, written
 
 WINDOW = 2
 TAIL = 1
 MIN_LINES, MAX_LINES = 2, 16
-MIN_BYTES = 0
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,32 +58,33 @@ def cuts(data: bytes) -> list[tuple[int, int, int, int]]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """row, doc_id, start, name and bytes (without a last newline) of each chunk of several lines."""
+    """doc, row, start, name and bytes (without a last newline) of each chunk of several lines."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         for part in chunked(batches):
             out: list[tuple] = []
-            for row, doc_id, data in zip(part.column("row").to_pylist(), part.column("doc_id").to_pylist(), encoded(part.column("text")), strict=True):
-                out += [(row, doc_id, a, name, data[a:b].rstrip(b"\n")) for a, b, lines, name in cuts(data) if lines >= MIN_LINES and b - a >= MIN_BYTES]
+            for row, doc, data in zip(part.column("row").to_pylist(), part.column("doc").to_pylist(), encoded(part.column("text")), strict=True):
+                out += [(row, doc, a, name, data[a:b].rstrip(b"\n")) for a, b, lines, name in cuts(data) if lines >= MIN_LINES]
             columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["row", "doc_id", "start", "name", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["row", "doc", "start", "name", "bytes"])
 
-    return docs.mapInArrow(each, "row long, doc_id long, start long, name long, bytes binary")
+    return docs.mapInArrow(each, "row long, doc long, start long, name long, bytes binary")
 
 
 def removed_starts(docs: DataFrame) -> DataFrame:
-    """row and the starts of the chunks to be removed, from docs with row, doc_id and text.
+    """doc, row and the starts of the chunks to be removed, from docs with doc, row and text.
 
     Chunks are grouped by their bytes: that is the comparison. Only groups of several go on, with a second hash that
-    tells apart different bytes of one name, and if even that is shared, none of them is removed.
+    tells apart different bytes of one name, and if even that is shared, none of them is removed. Both sides of the join
+    with the chunks' places are tables, so that Spark can deal a very frequent chunk out anew.
     """
     every = chunks(docs)
-    here = F.struct("doc_id", "row", "start")
+    here = F.struct("doc", "row", "start")
     groups = every.groupBy("name", "bytes").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").select("name", F.xxhash64("bytes").alias("check"), "first")
-    sole = written(groups, "line-groups").groupBy("name", "check").agg(F.min("first").alias("first"), F.count("*").alias("same")).where("same = 1").drop("same")
-    places = written(every.select("name", F.xxhash64("bytes").alias("check"), "doc_id", "row", "start"), "line-chunks")
-    return places.join(sole, ["name", "check"]).where(here != F.col("first")).groupBy("row").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    sole = written(written(groups, "line-groups").groupBy("name", "check").agg(F.min("first").alias("first"), F.count("*").alias("same")).where("same = 1").drop("same"), "line-firsts")
+    places = written(every.select("name", F.xxhash64("bytes").alias("check"), "doc", "row", "start"), "line-chunks")
+    return places.join(sole, ["name", "check"]).where(here != F.col("first")).groupBy("doc", "row").agg(F.array_sort(F.collect_set("start")).alias("starts"))
 
 
 def kept_text(data: bytes, starts: set[int]) -> bytes:
@@ -94,27 +94,27 @@ def kept_text(data: bytes, starts: set[int]) -> bytes:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with repeated chunks of lines removed from `text`, and n_chars, if there is such a column, set anew.
 
-    Of rows equal in doc_id and text each counts as the same place, so that equal rows stay equal. A null text stays
-    null; a text of a single line has no chunk of several; a text all of whose chunks are repeated becomes empty. Other
-    columns pass as they are.
+    The first place is that of the smallest doc_id, null last, then of the least hash, then the first in the text. Rows
+    equal in doc_id and text are one place, so that equal rows stay equal. A null text stays null; a text of a single line
+    has no chunk of several; a text all of whose chunks are repeated becomes empty; no rows, no rows. Other columns, of any
+    names, pass as they are.
     """
-    row = F.xxhash64(F.col("doc_id").cast("string"), "text")
-    base = docs.withColumn("__row", row)
-    plain = base.where(F.col("text").isNotNull()).select(F.col("__row").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("doc_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
-    marked = base.join(removed_starts(plain).withColumnRenamed("row", "__row").withColumnRenamed("starts", "__starts"), "__row", "left")
+    text = F.col("text").cast("string")
+    doc, row = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(F.col("doc_id").cast("string"), F.coalesce(text, F.lit(""))).alias("row")
+    plain = docs.where(F.col("text").isNotNull()).select(doc.alias("doc"), row, F.encode(text, "UTF-8").alias("text"))
+    starts = removed_starts(plain).withColumnRenamed("doc", "id")
+    marked = packed_rows(docs, doc, row, text.alias("text")).join(starts, ["id", "row"], "left").select("doc", "text", "starts")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts = batch.column(batch.schema.get_field_index("__starts")).to_pylist()
-            at = batch.schema.get_field_index("text")
-            texts = batch.column(at).to_pylist()
-            for k, some in enumerate(starts):
+            texts = batch.column(1).to_pylist()
+            for k, some in enumerate(batch.column(2).to_pylist()):
                 if some and texts[k] is not None:
                     texts[k] = kept_text(texts[k].encode(), set(some)).decode()
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc", "text"])
 
-    names = docs.columns
-    fields = [T.StructField(f.name, T.StringType()) if f.name == "text" else f for f in docs.schema.fields]
-    out = marked.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in names], "__starts").mapInArrow(each, T.StructType(fields))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    out = marked.mapInArrow(each, T.StructType([marked.schema["doc"], T.StructField("text", T.StringType())]))
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return unpacked_rows(out, docs.columns, **changed)

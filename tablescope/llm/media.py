@@ -32,6 +32,8 @@ FILL = 32
 SHIFT = 256
 #: Units in a row of blocks at most: a side of a JPEG has at most 65,535 samples.
 WIDEST = 8191
+#: Payload bytes of a file; longer payloads are several files.
+PART = UNIT * 8192
 TAG = b"PAYLOAD\0"
 FIELDS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
@@ -437,39 +439,61 @@ def payload_of(text: bytes) -> bytes:
     return text + bytes([FILL]) * (UNIT - len(text) if not text else -len(text) % UNIT)
 
 
-def feature(tensor: np.ndarray) -> str:
-    """height x width : the channels' means in hundredths : shares of 16 levels of brightness in thousandths, all whole numbers."""
-    flat = tensor.reshape(-1, 3)
-    means = flat.sum(0, dtype=np.int64) * 100 // len(flat)
-    levels = np.bincount(flat.sum(1, dtype=np.int64) // 48, minlength=16)[:16] * 1000 // len(flat)
-    return f"{tensor.shape[0]}x{tensor.shape[1]}:{','.join(map(str, means))}:{','.join(map(str, levels))}"
+def encoded_parts(payload: bytes) -> Iterator[bytes]:
+    """The stored form of a payload: a file for each PART bytes, one after another, so that memory does not grow with the text."""
+    for at in range(0, len(payload), PART):
+        yield encode_payload(payload[at : at + PART])
+
+
+def feature(tensors: Iterator[np.ndarray]) -> str:
+    """Of a payload's tensors, one below another: height x width : the channels' means in hundredths : shares of 16 levels of brightness in thousandths, all whole numbers."""
+    high = wide = n = 0
+    sums, levels = np.zeros(3, np.int64), np.zeros(16, np.int64)
+    for tensor in tensors:
+        flat = tensor.reshape(-1, 3)
+        high, wide, n = high + tensor.shape[0], max(wide, tensor.shape[1]), n + len(flat)
+        sums += flat.sum(0, dtype=np.int64)
+        levels += np.bincount(flat.sum(1, dtype=np.int64) // 48, minlength=16)[:16]
+    return f"{high}x{wide}:{','.join(map(str, sums * 100 // n))}:{','.join(map(str, levels * 1000 // n))}"
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """doc_id, media (the stored form, binary) and tensor (height, width, rgb binary) of every text; a null text is empty."""
+    """doc_id, part (from 0), media (the stored form, binary) and tensor (height, width, rgb binary) of every text, a row for each PART bytes of it.
+
+    A null text is empty; repeated rows give equal rows; no rows, no rows. Columns other than doc_id and text are not read.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("media", pa.binary()), ("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())])
         for batch in batches:
             for k in range(batch.num_rows):
-                media = encode_payload(payload_of((batch.column(1)[k].as_py() or "").encode()))
-                tensor = decode(media)
-                yield pa.RecordBatch.from_pylist(
-                    [{"doc_id": batch.column(0)[k].as_py(), "media": media, "height": tensor.shape[0], "width": tensor.shape[1], "rgb": tensor.tobytes()}],
-                    pa.schema([("doc_id", pa.int64()), ("media", pa.binary()), ("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary())]),
-                )
+                for part, media in enumerate(encoded_parts(payload_of((batch.column(1)[k].as_py() or "").encode()))):
+                    tensor = decode(media)
+                    yield pa.RecordBatch.from_pylist([{"doc_id": batch.column(0)[k].as_py(), "part": part, "media": media, "height": tensor.shape[0], "width": tensor.shape[1], "rgb": tensor.tobytes()}], schema)
 
-    return texts(docs).mapInArrow(each, "doc_id long, media binary, height int, width int, rgb binary")
+    return texts(docs).mapInArrow(each, "doc_id long, part int, media binary, height int, width int, rgb binary")
 
 
 def digest(text: bytes) -> tuple:
-    media = encode_payload(payload_of(text))
-    image = coefficients(media)
-    back = stored(image)
-    return len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(rgb(image))
+    """The values of FIELDS but the id: each part is stored, read back and taken as a tensor before the next one."""
+    back, form, sizes, tail = hashlib.sha256(), hashlib.sha256(), [0, 0], b""
+
+    def tensors() -> Iterator[np.ndarray]:
+        nonlocal tail
+        for media in encoded_parts(payload_of(text)):
+            image = coefficients(media)
+            read = stored(image)
+            back.update(read)
+            form.update(media)
+            sizes[0], sizes[1], tail = sizes[0] + len(read), sizes[1] + len(media), read[-16:]
+            yield rgb(image)
+
+    found = feature(tensors())
+    return len(text), sizes[0], back.hexdigest(), zlib.crc32(tail), sizes[1], form.hexdigest(), found
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """A row for each row of docs: what was stored, what was read back, and features of the tensor. A null text is empty; no rows, no rows."""
+    """A row for each row of docs: what was stored, what was read back, and features of the tensor. A null text is empty; repeated rows get equal values; no rows, no rows. Columns other than doc_id and text are not read."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())

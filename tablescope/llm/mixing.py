@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import written
+from .common import packed_rows, unpacked_rows, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -47,7 +47,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     least(cap, level * weight), where the level is the first, in the order of cap / weight, that the source at hand does not cap, which is the largest such. The windows
     without a partition run over a row for each source.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
     order = W.orderBy(F.col("source").isNull(), "source")
     w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")).cast("double")
     per = per.withColumn("w", w).withColumn("cap", (F.col("source_size") * epochs).cast("double"))
@@ -65,33 +65,45 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     """row, doc_id, size, source, source_size, target, copies and taken (copies * size) for each row.
 
     A document is taken whole or not: the last one of the fractional epoch is taken if that comes nearer to the target.
-    A source's rows are ranked in parts of the square root of their number, cut by their keys, so that no task holds a
-    whole source. Null and empty texts have size 0 and take nothing; a null source is a source; equal keys follow doc_id.
+    Rows equal in all columns are counted first and come as many again at the end, one by one as far as they are taken, so
+    that a row that is there very often is one row in between. A source's rows are ranked in parts of about the square root
+    of their number, cut by the logarithms of their keys: whatever the weights are, the density of that logarithm is at most
+    1 / e, so that no part has much more than its share, and no task holds a whole source. Null and empty texts have size 0
+    and take nothing; a null source is a source; equal keys follow doc_id, then size, then row; no rows, no rows.
     """
-    sizes = written(sized(docs, weight), "sizes")  # read four times: the texts are read once
+    every = sized(docs, weight).groupBy("row", "doc_id", "source", "size", "sort_key").agg(F.count("*").alias("n"))
+    sizes = written(every, "sizes")  # read three times: the texts are read once
     per = targets(sizes, weights, share, epochs).withColumn("parts", F.ceil(F.sqrt(F.col("docs").cast("double"))).cast("long"))
     per = per.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     per = per.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     # null-safe equality on the source; a row for each source: Spark broadcasts it only below its own size limit
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     rows = sizes.withColumn("k", key).join(per.withColumn("k", key).drop("source"), "k")
-    rows = rows.withColumn("part", F.least(F.floor((1 - F.exp(-F.col("sort_key"))) * F.col("parts")).cast("long"), F.col("parts") - 1))
-    before = rows.groupBy("k", "part").agg(F.sum("size").alias("words")).withColumn(
-        "part_before", F.coalesce(F.sum("words").over(W.partitionBy("k").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    )
-    inside = W.partitionBy("k", "part").orderBy("sort_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(before.drop("words"), ["k", "part"])
-    over = F.col("part_before") + F.col("inside") + F.col("size") / 2.0
-    copies = (F.col("whole") + F.when((F.col("whole") < epochs) & (over <= F.col("rest")), 1).otherwise(0)).cast("long")
+    rows = rows.withColumn("part", F.floor(F.log("sort_key") * F.col("parts")).cast("long"))
+    # the parts' sums are a table of their own: the square root of a source's rows in number
+    sums = written(rows.groupBy("k", "part").agg(F.sum(F.col("size") * F.col("n")).alias("words")), "part-sums")
+    before = sums.select("k", "part", F.coalesce(F.sum("words").over(W.partitionBy("k").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("part_before"))
+    inside = W.partitionBy("k", "part").orderBy("sort_key", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0))).join(before, ["k", "part"])
+    ahead = F.col("part_before") + F.col("inside")
+    one = F.when(ahead + F.col("size") / 2.0 <= F.col("rest"), 1).otherwise(0)
+    some = F.greatest(F.lit(0), F.least(F.col("n"), F.floor((F.col("rest") - ahead - F.col("size") / 2.0) / F.nullif(F.col("size"), F.lit(0))) + 1))
+    taken = F.when((F.col("n") == 1) | (F.col("size") == 0), one * F.col("n")).otherwise(some)
+    rows = rows.withColumn("more", F.when(F.col("whole") < epochs, taken).otherwise(0).cast("long")).withColumn("at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    copies = (F.col("whole") + (F.col("at") <= F.col("more")).cast("long")).cast("long")
     return rows.withColumn("copies", copies).select("row", "doc_id", "size", "source", F.col("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs' columns, each row as often as the mix takes it; rows equal in all columns share what they take together."""
+    """docs' columns, each row as often as the mix takes it; rows equal in all columns share what they take together.
+
+    Null and empty texts have no size and come as often as their source's whole epochs and place say; no rows, no rows;
+    columns may have any names.
+    """
     rows = [F.col(f"`{c}`") for c in docs.columns]
-    copies = mix(docs).groupBy("row").agg(F.sum("copies").cast("int").alias("__copies")).where("__copies > 0").withColumnRenamed("row", "__row")
-    once = docs.withColumn("__row", F.xxhash64(*rows)).join(copies, "__row").dropDuplicates(["__row"])
-    return once.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*rows)
+    copies = mix(docs).groupBy("row").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    once = packed_rows(docs, F.xxhash64(*rows).alias("row")).join(copies, "row").dropDuplicates(["row", "doc"])
+    return unpacked_rows(once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs.columns)
 
 
 OP7_SQL = r"""

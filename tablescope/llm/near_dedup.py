@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, Words, chunked, encoded, mix, written
+from .common import LOWER, SPACED, Words, chunked, encoded, identity, mix, packed_rows, unpacked_rows, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -108,7 +108,7 @@ def node_names(texts: int, doc: np.ndarray, item: np.ndarray, times: np.ndarray)
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """Of docs (row, doc_id, text): row, doc_id, node and the band keys, null for texts without words."""
+    """Of docs (doc, row, doc_id, text): doc, row, doc_id, node and the band keys, null for texts without words."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunked(batches):
@@ -118,9 +118,9 @@ def signed(docs: DataFrame) -> DataFrame:
             node = node_names(len(rows), doc, item, times)
             has = np.bincount(doc, minlength=len(rows)) > 0
             bands = pa.array([k.tolist() if x else None for k, x in zip(keys, has, strict=True)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("row").combine_chunks(), part.column("doc_id").combine_chunks(), pa.array(node), bands], names=["row", "doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c).combine_chunks() for c in ("doc", "row", "doc_id")), pa.array(node), bands], names=["doc", "row", "doc_id", "node", "bands"])
 
-    return docs.mapInArrow(each, "row long, doc_id long, node long, bands array<long>")
+    return docs.mapInArrow(each, "doc long, row long, doc_id long, node long, bands array<long>")
 
 
 def components(edges: DataFrame, tag: str) -> DataFrame:
@@ -273,22 +273,22 @@ def across(group: pa.Table) -> pa.Table:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """row, doc_id, class_id (the smallest doc_id of the class) and class_size of each row of docs (row, doc_id, text).
+    """row, doc_id, class_id (the smallest doc_id of the class) and class_size of each row of docs (doc, row, doc_id, text).
 
     Texts of one multiset of shingles are one node from the start; texts without words are one class.
     """
     every = written(signed(docs), "signatures")
-    nodes = every.groupBy("node").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
+    nodes = every.groupBy("node").agg(F.min(F.struct("doc", "row")).alias("of"), F.first("bands").alias("bands"))
     spread = nodes.where("bands IS NOT NULL").select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
     hubs = spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = spread.join(hubs, "bucket").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     groups = components(stars, "candidates")
     sizes = written(groups.groupBy("label").agg(F.count("*").alias("size")), "group-sizes")
     placed = groups.join(sizes, "label").select("node", "label", "size", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP).cast("long")).alias("part"))
-    chosen = placed.join(nodes, "node").select("row", "node", "label", "size", "part", "bands")
+    chosen = placed.join(nodes, "node").select("of.doc", "of.row", "node", "label", "size", "part", "bands")
     names = ["node", "label", "size", "part", "bands"]
     # the texts are met once: the shingles of all candidates are written and serve every round
-    bags = written(docs.select("row", "text").join(chosen, "row").select(*names, "text").mapInArrow(bagged(names), f"node long, label long, size long, part long, bands array<long>, {BAG}"), "shingles")
+    bags = written(docs.select("doc", "row", "text").join(chosen, ["doc", "row"]).select(*names, "text").mapInArrow(bagged(names), f"node long, label long, size long, part long, bands array<long>, {BAG}"), "shingles")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("class", pa.int64())])
 
     def within(group: pa.Table) -> pa.Table:
@@ -338,21 +338,22 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.xxhash64(F.col("doc_id").cast("string"), text).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    doc, row = identity()
+    return docs.select(doc, row, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id and class_size of every row of docs; class_id is the smallest doc_id of the class.
 
-    A null text is empty; rows without words are one class; repeated rows are in one class; no rows, no rows.
+    A null text is empty; rows without words are one class; repeated rows are in one class; a class without any doc_id has
+    none; no rows, no rows. Columns other than doc_id and text are not read.
     """
     return classes(with_rows(docs)).select("doc_id", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, that of the smallest doc_id (null last), with docs' columns; of equal rows one stays."""
-    base = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    kept = classes(with_rows(docs)).where("kept").select(F.col("row").alias("__row")).distinct()
-    one = base.join(kept, "__row", "left_semi")
-    return one.dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each class, that of the smallest doc_id (null last), with docs' columns, of any names; of rows equal in id and text the one of the least hash of all columns stays; no rows, no rows."""
+    kept = classes(with_rows(docs)).where("kept").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "row").distinct()
+    doc, row = identity()
+    rows = packed_rows(docs, doc.alias("id"), row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("all")).join(kept, ["id", "row"], "left_semi")
+    return unpacked_rows(rows.groupBy("id", "row").agg(F.min_by("doc", "all").alias("doc")), docs.columns)

@@ -155,8 +155,8 @@ class Packer:
         self.runs: list[list] = []
         large = sorted((n for n in self.left if n > (capacity // 8 if small is None else small)), reverse=True)
         total = sum(self.left[n] for n in large)
-        if total > 2 * groups:
-            self.grouped(large, total, groups)
+        if total:
+            self.grouped(large, total, min(groups, total))
         self.best_fit()
 
     def take(self, n: int, count: int) -> tuple[int, int]:

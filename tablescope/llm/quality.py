@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, chunked, encoded, mix, run_hashes, texts
+from .common import LOWER, chunked, encoded, mix, packed_rows, run_hashes, texts, unpacked_rows
 
 BITS = 18
 #: Labelled rows used at most: those whose hashed ids are the smallest.
@@ -105,7 +105,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> np.
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     chosen = known.where(remainder() != HELD_OUT).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_train)
     # at most max_train rows of two numbers: small by a stated bound
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.encode("text", "UTF-8").alias("text"))
+    found = texts(docs).join(F.broadcast(chosen), "doc_id")
+    # of rows that share an id the text of the least hash: no more rows than were chosen
+    first = found.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    rows = first.select("doc_id", "quality", F.encode("t.text", "UTF-8").alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunked(batches):
@@ -115,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> np.
                 names=["doc_id", "quality", "places", "shares"],
             )
 
-    got = rows.mapInArrow(each, "doc_id long, quality int, places binary, shares binary").collect()  # max_train rows and their repeats
+    got = rows.mapInArrow(each, "doc_id long, quality int, places binary, shares binary").collect()  # max_train rows at most
     got.sort(key=lambda r: (r["doc_id"], r["quality"], r["places"]))
     return fit([(np.frombuffer(r["places"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in got], [r["quality"] for r in got])
 
@@ -133,29 +136,37 @@ def scorer(weights: np.ndarray):  # noqa: ANN201
 
 
 def score(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """docs' rows with the added columns __score (0 to 1) and __predicted (1 if __score >= 0.5, else 0).
+    """doc (a row of docs as a struct, so that its columns may have any names), score (0 to 1) and predicted (1 if score >= 0.5, else 0).
 
-    A null text is scored as an empty one, which has the constant alone. Other columns pass as they are.
+    A null text is scored as an empty one, which has the constant alone. Repeated rows get equal scores; a score of 0.5 is
+    predicted 1; no rows, no rows; without labels every score is 0.5.
     """
     weights = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_train))  # 2 ** BITS numbers
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = scorer(weights.value)
-        for part in chunked(batches, "__text"):
-            got = scores(encoded(part.column("__text")))
-            part = part.drop_columns("__text").append_column("__score", pa.array(got)).append_column("__predicted", pa.array((got >= 0.5).astype(np.int32)))
+        for part in chunked(batches):
+            got = scores(encoded(part.column("text")))
+            part = part.drop_columns("text").append_column("score", pa.array(got)).append_column("predicted", pa.array((got >= 0.5).astype(np.int32)))
             yield from part.combine_chunks().to_batches()
 
-    with_text = docs.withColumn("__text", F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType()), T.StructField("__predicted", T.IntegerType())])
+    with_text = packed_rows(docs, F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("text"))
+    schema = T.StructType([with_text.schema["doc"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return with_text.mapInArrow(each, schema)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    rows = score(texts(docs), labels)
-    return rows.select("doc_id", (remainder() == HELD_OUT).alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+    """doc_id, held_out, score and predicted of every row of docs.
+
+    A null id counts as the empty text where it is dealt out; repeated rows get equal results; no rows, no rows.
+    """
+    rows = score(texts(docs), labels).select("doc.doc_id", "score", "predicted")
+    return rows.select("doc_id", (remainder() == HELD_OUT).alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier does not reject, with docs' columns."""
-    return score(docs, labels).where(F.col("__predicted") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that the classifier does not reject (a score of 0.5 is kept), with docs' columns.
+
+    Repeated rows stay or go together; a null text is judged as an empty one; no rows, no rows.
+    """
+    return unpacked_rows(score(docs, labels).where("predicted = 1"), docs.columns)

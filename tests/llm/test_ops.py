@@ -350,6 +350,52 @@ def test_quality_on_held_out_rows(spark, sf_dir):
     assert got.count() > 50 and right > 0.95
 
 
+def test_updates_and_scores_equal_a_plain_loop():
+    """Follow the regularised leader, a coordinate at a time, and the sparse dot product, a feature at a time."""
+    rng = random.Random(9)
+    texts = [prose(rng, rng.randint(0, 30)).encode() for _ in range(40)]
+    labels = [rng.randint(0, 1) for _ in texts]
+    rows = quality.sparse(texts)
+    z, n = defaultdict(float), defaultdict(float)
+    share = {c: 0.5 * len(labels) / labels.count(c) for c in (0, 1)}
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= quality.L1 else -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for epoch in range(quality.EPOCHS):
+        for k in np.random.default_rng(epoch).permutation(len(rows)).tolist():
+            pairs = list(zip(rows[k][0].tolist(), rows[k][1].tolist(), strict=True))
+            w = {i: weight(i) for i, _ in pairs}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in pairs)))
+            for i, v in pairs:
+                g = (p - labels[k]) * share[labels[k]] * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * w[i]
+                n[i] += g * g
+    got = quality.fit(rows, labels)
+    assert np.allclose([got[i] for i in sorted(z)], [weight(i) for i in sorted(z)], atol=1e-4) and np.count_nonzero(got) <= len(z)
+    scores = quality.scorer(got)(texts)
+    for score, (places, values) in zip(scores, rows, strict=True):
+        assert abs(score - 1 / (1 + math.exp(-sum(float(got[i]) * v for i, v in zip(places.tolist(), values.tolist(), strict=True))))) < 1e-5
+
+
+def test_repeated_ids_are_learned_once(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "other words"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in (1, 2, 3, 4, 5, 6)], "doc_id long, quality int")
+    assert (quality.train(docs, labels) == quality.train(docs.repartition(5), labels)).all()
+
+
+CLASHING = ("__score", "__predicted", "__text", "__copies", "__copy", "__row", "__starts", "row", "doc", "score", "size", "copies", "starts", "part", "id", "all", "n", "k")
+
+
+def test_stages_take_columns_of_any_name(spark, small):
+    some = small.select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(f"own {c}").alias(c) for c in CLASHING))
+    labels = spark.createDataFrame([(k, 1) for k in range(40)], "doc_id long, quality int")
+    for out in (quality.keep_good(some, labels), line_dedup.dedup_lines(some), near_dedup.keep_one(some), mixing.mixed(some)):
+        assert out.columns == some.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in CLASHING)
+
+
 def test_quality_edges(spark, small, empty):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     got = quality.scored(small, labels).collect()
@@ -412,6 +458,17 @@ def test_mix_meets_targets_and_agrees_again(small, empty):
     assert sum(len(words_of(r["text"])) for r in out.collect()) == sum(r["taken"] for r in rows)
 
 
+def test_parts_stay_even_and_repeated_rows_are_shared_out(spark):
+    rows = spark.createDataFrame([(k, f"{k} 12345", "s") for k in range(4000)] + [(-1, "seven words of a row there often", "s")] * 3000 + [(-2, None, None)] * 50, "doc_id long, text string, source string")
+    got = mixing.mix(rows, (1,), 0.6, 2)
+    by = {r["doc_id"]: (r["n"], r["taken"]) for r in got.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("taken").alias("taken")).collect()}
+    assert by[-1][0] == 3000 and by[-2] == (50, 0) and len(by) == 4002
+    total = 4000 * 2 + 3000 * 7
+    assert abs(sum(t for _, t in by.values()) - 0.6 * total) <= 7
+    keys = mixing.sized(rows.where("doc_id >= 0")).groupBy(F.floor(F.log("sort_key") * 64)).count().agg(F.max("count")).first()[0]
+    assert keys < 2 * 4000 / 64
+
+
 def test_heavier_documents_come_first(spark):
     rows = spark.createDataFrame([(k, "w " * 10, "s", 1.0 if k % 2 else 9.0) for k in range(2000)], "doc_id long, text string, source string, w double")
     got = mixing.mix(rows, (1,), 0.3, 2, F.col("w")).where("copies = 1").select((F.col("doc_id") % 2).alias("odd")).groupBy("odd").count().collect()
@@ -478,15 +535,42 @@ def test_line_chunks(spark, small, empty):
     assert line_dedup.dedup_lines(small).columns == small.columns and line_dedup.dedup_lines(empty).count() == 0
 
 
+def cuts_by_definition(data: bytes) -> list[tuple[int, int, int]]:
+    """(start, end, lines): whole-number arithmetic, a line at a time."""
+    m = (1 << 64) - 1
+
+    def mixed(h: int) -> int:
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & m
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & m
+        return h ^ (h >> 31)
+
+    base, out, first, at, before, n = 0x9E3779B97F4A7C15, [], 0, 0, 0, 0
+    lines = data.split(b"\n")
+    lines = [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+    for k, line in enumerate(lines):
+        body, name, power = line.rstrip(b"\n") if line.endswith(b"\n") else line, 0, 1
+        body = line[:-1] if line.endswith(b"\n") else line
+        for c in body:
+            name, power = (name + mixed((c + 1) * 0xD6E8FEB86659FD93 & m) * power) & m, power * base & m
+        name = mixed((name + len(body) * 0xBF58476D1CE4E5B9) & m) if body else 0
+        at, n = at + len(line), n + 1
+        stop = mixed((name + before * 0x9E3779B97F4A7C15) & m) & 1 == 0
+        before = name
+        if k + 1 == len(lines) or n >= 16 or (n >= 2 and stop):
+            out.append((first, at, n))
+            first, n = at, 0
+    return out
+
+
 def test_line_chunks_equal_brute_force(small):
     rows = sorted({(r["doc_id"], r["text"]) for r in small.select("doc_id", "text").where("doc_id IS NOT NULL AND NOT (doc_id = 7 AND n_chars = 1)").collect() if r["text"] is not None})
     seen: dict[bytes, tuple] = {}
     want = {}
     for doc_id, text in rows:
         data, kept = text.encode(), []
-        for a, b, n, _ in line_dedup.cuts(data):
+        for a, b, n in cuts_by_definition(data):
             body = data[a:b].rstrip(b"\n")
-            if n >= line_dedup.MIN_LINES and b - a >= line_dedup.MIN_BYTES and seen.setdefault(body, (doc_id, a)) != (doc_id, a):
+            if n >= 2 and seen.setdefault(body, (doc_id, a)) != (doc_id, a):
                 continue
             kept.append(data[a:b])
         want[doc_id] = b"".join(kept).decode()
@@ -546,6 +630,16 @@ def bits_of(values) -> bytes:
     return media.padded(np.asarray([int(c) for v in values for c in v], np.uint8))
 
 
+def test_long_texts_are_several_files(monkeypatch):
+    text = b"".join(bytes([k % 256]) * 7 for k in range(900))
+    whole = media.digest(text)
+    monkeypatch.setattr(media, "PART", 192 * 5)
+    parts = list(media.encoded_parts(media.payload_of(text)))
+    assert len(parts) == -(-len(media.payload_of(text)) // 960) and b"".join(media.stored(media.coefficients(p)) for p in parts) == media.payload_of(text)
+    cut = media.digest(text)
+    assert cut[:4] == whole[:4] and cut[4] == sum(map(len, parts)) and cut[5] == hashlib.sha256(b"".join(parts)).hexdigest()
+
+
 def test_media_reads_general_scans():
     """A file with subsampled chroma, runs of zeros and refinement of new coefficients, written by hand."""
     out = [b"\xff\xd8", media.segment(0xDB, bytes((0, *[2] * 64))), media.segment(0xC2, bytes((8, 0, 16, 0, 16, 3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0)))]
