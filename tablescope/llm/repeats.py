@@ -1,24 +1,31 @@
 """Repeated substrings by enhanced suffix arrays with common-prefix intervals, over a whole corpus.
 
-Every window of LENGTH bytes has an anchor: its K-gram of the least hash, the leftmost of equals. Equal windows have equal
-anchors at equal places, so windows meet their likes by their anchors, of which there is one in about 80 bytes. A context is
-the bytes of all windows of one occurrence of an anchor. Anchors that stand once are dropped; contexts that are equal as a
-whole are one entry with a number of copies, and need no sorting. The different contexts of an anchor go to one task, which
+Which bytes are repeated: every window of LENGTH bytes has an anchor: its K-gram of the least hash, the leftmost of equals.
+Equal windows have equal anchors at equal places, so windows meet their likes by their anchors, of which there is one in
+about 80 bytes. A context is the bytes of all windows of one occurrence of an anchor. Anchors that stand once are dropped;
+contexts that are equal as a whole (in two 64-bit hashes, of the anchor and of the context) are one entry with a number of
+copies. The different contexts of an anchor go to one task, which
 
 * sorts the suffixes at their window starts (an order in which equal prefixes are neighbours), with common-prefix lengths
   taken from the bytes;
 * scans them with a stack: each interval of the common-prefix tree of LENGTH bytes or more, with all its occurrences;
-* keeps those whose occurrences differ in the byte before them or stand at a context's edge: the maximal repeats. An
-  interval that can be extended to the left is part of one that begins earlier.
+* keeps those whose occurrences differ in the byte before them or stand at a context's edge.
 
 An anchor with more than WIDE different contexts, such as one at the edge of a passage that a third of all texts hold, is
-never gathered: its windows' hashes are counted in even parts (`counted`), which is exact as well up to 64-bit hashes.
+never gathered: its windows' hashes are counted in even parts (`counted`), which finds the same bytes up to 64-bit hashes.
+
+Which strings are repeated where (`Repeats.groups`): the repeated bytes make up runs, a run ends where no window is repeated.
+Equal runs, which exact copies and frequent passages consist of, are one entry, by their bytes. Only suffixes whose first
+window has several bytes before it, over all runs, can begin a maximal repeat; they meet by that window, and the stack scan
+over their sorted array gives each maximal repeat at its full length. Entries are joined with their places at the end, so
+that all occurrences are listed however many there are.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, encoded, mix, partitions, written
+from .common import chunked, encoded, identity, mix, partitions, written
 
 LENGTH = 200
 K = 40
@@ -194,53 +201,65 @@ def shared(a: bytes, b: bytes) -> int:
 
 def with_rows(docs: DataFrame) -> DataFrame:
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
-    return docs.select(F.xxhash64(F.col("doc_id").cast("string"), text).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return docs.select(*identity(), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
 
 def occurrences(docs: DataFrame, length: int, k: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunked(batches):
             of, anchor, context, _, lo, hi = anchors(encoded(part.column("text")), length, k)
-            row = np.asarray(part.column("row"))[of] if len(of) else np.zeros(0, np.int64)
-            columns = [anchor.view(np.int64), context.view(np.int64), row, lo, (hi - lo).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "context", "row", "lo", "more"])
+            doc, row = (np.asarray(part.column(c))[of] if len(of) else np.zeros(0, np.int64) for c in ("doc", "row"))
+            columns = [anchor.view(np.int64), context.view(np.int64), doc, row, lo, (hi - lo).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "context", "doc", "row", "lo", "more"])
+
+    return docs.select("doc", "row", "text").mapInArrow(each, "anchor long, context long, doc long, row long, lo long, more int")
+
 
-    return docs.select("row", "text").mapInArrow(each, "anchor long, context long, row long, lo long, more int")
+def with_frequent_spread(rows: DataFrame, keys: DataFrame, key: str, n: str) -> DataFrame:
+    """The rows whose key is in `keys` (key, n: how many rows have it). Keys with more than a FEWth of all rows, of which there are fewer than FEW, are spread over SALTS tasks."""
+    total = keys.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = [r[0] for r in keys.where(F.col(n) > F.lit(max(1, total // FEW))).select(key).limit(FEW).collect()]  # fewer than FEW by that bound
+    salt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64("doc", "row", "lo"), F.lit(SALTS))).otherwise(F.lit(0)) if hot else F.lit(0)
+    spread = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
+    every = keys.select(key, F.explode(spread.cast("array<long>")).alias("salt"))
+    return rows.withColumn("salt", salt.cast("long")).join(every, [key, "salt"], "left_semi").drop("salt")
 
 
-CONTEXT = "anchor long, context long, copies long, wide boolean, row long, lo long, edge int, bytes binary"
+CONTEXT = "anchor long, context long, copies long, wide boolean, doc long, row long, lo long, edge int, bytes binary"
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of the wanted contexts (anchor, context, copies, wide, row, lo, more), with the byte before them if there is one (edge 1)."""
-    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "context", "copies", "wide", "lo", "more")).alias("wanted"))  # as many as the text's anchors
-    joined = docs.select("row", "text").join(lists, "row")
+    lists = wanted.groupBy("doc", "row").agg(F.collect_list(F.struct("anchor", "context", "copies", "wide", "lo", "more")).alias("wanted"))  # as many as the text's anchors
+    joined = docs.select("doc", "row", "text").join(lists, ["doc", "row"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("copies", pa.int64()), ("wide", pa.bool_()), ("row", pa.int64()), ("lo", pa.int64()), ("edge", pa.int32()), ("bytes", pa.binary())])
+        schema = pa.schema([("anchor", pa.int64()), ("context", pa.int64()), ("copies", pa.int64()), ("wide", pa.bool_()), ("doc", pa.int64()), ("row", pa.int64()), ("lo", pa.int64()), ("edge", pa.int32()), ("bytes", pa.binary())])
         for batch in batches:
             for k in range(batch.num_rows):
-                row, text, some = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].values
+                doc, row, text, some = *(batch.column(c)[k].as_py() for c in range(3)), batch.column(3)[k].values
                 cols = {f.name: some.field(i) for i, f in enumerate(some.type)}
                 lo, more = cols["lo"].to_pylist(), cols["more"].to_pylist()
                 edge = [1 if a else 0 for a in lo]
                 body = [text[a - e : a + m + length] for a, e, m in zip(lo, edge, more, strict=True)]
-                yield pa.RecordBatch.from_arrays([cols["anchor"], cols["context"], cols["copies"], cols["wide"], pa.array([row] * len(lo), pa.int64()), cols["lo"], pa.array(edge, pa.int32()), pa.array(body, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([cols["anchor"], cols["context"], cols["copies"], cols["wide"], pa.array([doc] * len(lo), pa.int64()), pa.array([row] * len(lo), pa.int64()), cols["lo"], pa.array(edge, pa.int32()), pa.array(body, pa.binary())], schema=schema)
 
     return joined.mapInArrow(each, CONTEXT)
 
 
-SPAN = "row long, start long, end long"
+SPAN = "doc long, row long, start long, end long"
+#: A key is frequent with more than this share of all rows, and then spread over so many tasks.
+FEW, SALTS = 256, 64
 
 
-def sorted_repeats(found: DataFrame, length: int) -> DataFrame:
-    """repeat (a hash of the string), length, row, start: all occurrences, in the given contexts, of each maximal repeat."""
+def sorted_spans(found: DataFrame, length: int) -> DataFrame:
+    """SPAN of the occurrences, in the given contexts, of each interval of their anchors' common-prefix trees."""
     buckets = 4 * partitions(found.sparkSession)
 
     def each(group: pa.Table) -> pa.Table:
         group = group.sort_by([("anchor", "ascending"), ("context", "ascending")])
-        names, lens, rows, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        row, lo = np.asarray(group.column("row")), np.asarray(group.column("lo"))
+        columns: dict[str, list] = {c: [np.zeros(0, np.int64)] for c in ("doc", "row", "start", "end")}
+        doc, row, lo = (np.asarray(group.column(c)) for c in ("doc", "row", "lo"))
         edge, body = np.asarray(group.column("edge")).astype(np.int64), group.column("bytes").to_pylist()
         at = 0
         while at < len(body):  # some anchors at a time
@@ -251,96 +270,194 @@ def sorted_repeats(found: DataFrame, length: int) -> DataFrame:
             begin = array.end - np.fromiter(map(len, body[at:to]), np.int64, to - at)
             for size, places in array.repeats():
                 of = np.searchsorted(array.end, places, side="right")
-                names.append(np.full(len(places), int.from_bytes(hashlib.blake2b(array.data[places[0] : places[0] + size].tobytes(), digest_size=8).digest(), "little", signed=True)))
-                lens.append(np.full(len(places), size))
-                rows.append(row[at:to][of])
-                starts.append(lo[at:to][of] + places - begin[of] - edge[at:to][of])
+                start = lo[at:to][of] + places - begin[of] - edge[at:to][of]
+                for name, values in (("doc", doc[at:to][of]), ("row", row[at:to][of]), ("start", start), ("end", start + size)):
+                    columns[name].append(values)
             at = to
-        return pa.table({"repeat": np.concatenate(names), "length": np.concatenate(lens), "row": np.concatenate(rows), "start": np.concatenate(starts)})
+        return pa.table({c: np.concatenate(v) for c, v in columns.items()})
 
     keyed = found.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("int"))
-    return keyed.groupBy("bucket").applyInArrow(each, "repeat long, length long, row long, start long")
+    return keyed.groupBy("bucket").applyInArrow(each, SPAN)
 
 
-def counted(found: DataFrame, length: int) -> DataFrame:
-    """Spans of repeated windows in contexts of anchors that have very many: windows' hashes are added up in parts of even size.
-
-    A batch of contexts sends each part its different hashes once, the part answers which of them stand elsewhere too.
-    """
-    buckets = partitions(found.sparkSession)
+def asked(rows: DataFrame, cut: Callable, judge: Callable, give: Callable, out: str) -> DataFrame:
+    """Asks even parts of the hash values about hashes. `cut` makes of some rows (ascending hashes, a note of 16 bits for each, anything); `judge` answers a byte for each of a part's hashes and notes, which come from all rows; `give` makes the resulting table of anything and the answers in order."""
+    buckets = partitions(rows.sparkSession)
     edges = (np.arange(1, buckets, dtype=np.float64) / buckets * 2.0**64).astype(np.uint64)
-    fields = [("bucket", pa.int32()), ("batch", pa.int64()), ("hashes", pa.binary()), ("many", pa.binary()), ("meta", pa.binary()), ("place", pa.binary())]
+    fields = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("hashes", pa.binary()), ("notes", pa.binary()), ("rest", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
         for part in chunked(batches, "bytes", 4 << 20):
-            body, edge, copies = part.column("bytes").to_pylist(), np.asarray(part.column("edge")).astype(np.int64), np.asarray(part.column("copies"))
-            size = np.fromiter(map(len, body), np.int64, len(body))
-            first, end = np.cumsum(size) - size + edge, np.cumsum(size)
-            windows = end - first - length + 1
-            start = np.arange(int(windows.sum())) + np.repeat(first - (np.cumsum(windows) - windows), windows)
-            hashes, place = np.unique(Hashes(np.frombuffer(b"".join(body), np.uint8)).every(length)[start], return_inverse=True)
-            many = np.minimum(np.bincount(place, np.repeat(copies, windows)), 255).astype(np.uint8)
+            hashes, notes, rest = cut(part)
             name, number = (TaskContext.get().partitionId() << 32) + number, number + 1
-            cut = np.concatenate(([0], np.searchsorted(hashes, edges), [len(hashes)]))
-            meta = np.column_stack([np.asarray(part.column("row")), np.asarray(part.column("lo")), windows]).astype(np.int64)
-            rows = [{"bucket": b, "batch": name, "hashes": hashes[x:y].tobytes(), "many": many[x:y].tobytes(), "meta": None, "place": None} for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if x < y]
-            rows.append({"bucket": -1 - number % buckets, "batch": name, "hashes": None, "many": None, "meta": meta.tobytes(), "place": place.astype(np.int32).tobytes()})
-            yield from pa.Table.from_pylist(rows, pa.schema(fields)).to_batches()
+            at = np.concatenate(([0], np.searchsorted(hashes, edges), [len(hashes)]))
+            found = [{"bucket": b, "batch": name, "hashes": hashes[x:y].tobytes(), "notes": notes[x:y].astype(np.int16).tobytes()} for b, (x, y) in enumerate(zip(at, at[1:], strict=False)) if x < y]
+            found.append({"bucket": -1 - number % buckets, "batch": name, "rest": pickle.dumps(rest)})
+            yield from pa.Table.from_pylist(found, fields).to_batches()
 
     def add(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        if rows[0]["bucket"] < 0:
-            return pa.Table.from_pylist([{"batch": r["batch"], "bucket": -1, "known": None, "meta": r["meta"], "place": r["place"]} for r in rows], answer)
-        hashes, many = [np.frombuffer(r["hashes"], np.uint64) for r in rows], [np.frombuffer(r["many"], np.uint8) for r in rows]
-        _, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        known = (np.bincount(at, np.concatenate(many)) > 1)[at].astype(np.uint8)
+        if group.column("bucket")[0].as_py() < 0:
+            return group.select(["batch", "bucket", "rest"])
+        hashes = [np.frombuffer(h, np.uint64) for h in group.column("hashes").to_pylist()]
+        said = judge(np.concatenate(hashes), np.frombuffer(b"".join(group.column("notes").to_pylist()), np.int16)).astype(np.uint8)
         edge = np.cumsum([0, *map(len, hashes)])
-        return pa.Table.from_pylist([{"batch": r["batch"], "bucket": r["bucket"], "known": known[a:b].tobytes(), "meta": None, "place": None} for r, a, b in zip(rows, edge, edge[1:], strict=False)], answer)
+        return pa.table({"batch": group.column("batch"), "bucket": group.column("bucket"), "rest": pa.array([said[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())})
+
+    def back(group: pa.Table) -> pa.Table:
+        found = sorted(zip(group.column("bucket").to_pylist(), group.column("rest").to_pylist(), strict=True))
+        return give(pickle.loads(found[0][1]), np.frombuffer(b"".join(x for _, x in found[1:]), np.uint8))  # noqa: S301 - what `send` wrote
 
-    answer = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("known", pa.binary()), ("meta", pa.binary()), ("place", pa.binary())])
+    sent = rows.mapInArrow(send, "bucket int, batch long, hashes binary, notes binary, rest binary")
+    return sent.groupBy("bucket").applyInArrow(add, "batch long, bucket int, rest binary").groupBy("batch").applyInArrow(back, out)
 
-    def give(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: r["bucket"])
-        meta = np.frombuffer(rows[0]["meta"], np.int64).reshape(-1, 3)
-        known = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(r["known"], np.uint8) for r in rows[1:])]).astype(bool)
-        hit = known[np.frombuffer(rows[0]["place"], np.int32)]
-        of = np.repeat(np.arange(len(meta)), meta[:, 2])
-        at = np.arange(len(of)) - np.repeat(np.cumsum(meta[:, 2]) - meta[:, 2], meta[:, 2]) + meta[of, 1]
+
+def counted(found: DataFrame, length: int) -> DataFrame:
+    """Spans of repeated windows in contexts of anchors that have very many: windows' hashes are added up in parts of even size.
+
+    A batch of contexts sends each part its different hashes once, the part answers which of them stand elsewhere too.
+    """
+
+    def cut(part: pa.Table) -> tuple:
+        body, edge, copies = part.column("bytes").to_pylist(), np.asarray(part.column("edge")).astype(np.int64), np.asarray(part.column("copies"))
+        size = np.fromiter(map(len, body), np.int64, len(body))
+        first, end = np.cumsum(size) - size + edge, np.cumsum(size)
+        windows = end - first - length + 1
+        start = np.arange(int(windows.sum())) + np.repeat(first - (np.cumsum(windows) - windows), windows)
+        hashes, place = np.unique(Hashes(np.frombuffer(b"".join(body), np.uint8)).every(length)[start], return_inverse=True)
+        many = np.minimum(np.bincount(place, np.repeat(copies, windows)), 255)
+        meta = np.column_stack([np.asarray(part.column(c)) for c in ("doc", "row", "lo")] + [windows]).astype(np.int64)
+        return hashes, many, (meta, place.astype(np.int32))
+
+    def judge(hashes: np.ndarray, many: np.ndarray) -> np.ndarray:
+        _, at = np.unique(hashes, return_inverse=True)
+        return (np.bincount(at, many) > 1)[at]
+
+    def give(rest: tuple, known: np.ndarray) -> pa.Table:
+        meta, place = rest
+        hit = known.astype(bool)[place]
+        of = np.repeat(np.arange(len(meta)), meta[:, 3])
+        at = np.arange(len(of)) - np.repeat(np.cumsum(meta[:, 3]) - meta[:, 3], meta[:, 3]) + meta[of, 2]
         mine = np.flatnonzero(hit)
         of, at = of[mine], at[mine]
         lead = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1])))) if len(at) else np.zeros(0, np.int64)
         last = np.append(lead[1:], len(at)) - 1 if len(lead) else lead
-        return pa.table({"row": meta[of[lead], 0], "start": at[lead], "end": at[last] + length})
+        return pa.table({"doc": meta[of[lead], 0], "row": meta[of[lead], 1], "start": at[lead], "end": at[last] + length})
+
+    return asked(found.select("doc", "row", "lo", "edge", "copies", "bytes"), cut, judge, give, SPAN)
+
 
-    sent = found.select("row", "lo", "edge", "copies", "bytes").mapInArrow(send, "bucket int, batch long, hashes binary, many binary, meta binary, place binary")
-    added = sent.groupBy("bucket").applyInArrow(add, "batch long, bucket int, known binary, meta binary, place binary")
-    return added.groupBy("batch").applyInArrow(give, SPAN)
+STARTS = "window long, entry long, at int, before int, n long, bytes binary"
+
+
+def starts(entries: DataFrame, length: int) -> DataFrame:
+    """Of different runs (entry, n, bytes) the suffixes that a maximal repeat can begin with, STARTS: those whose first window has several bytes before it, over all runs, or begins a run. A run's first byte has none before it that is repeated with it."""
+
+    def cut(part: pa.Table) -> tuple:
+        body = part.column("bytes").to_pylist()
+        size = np.fromiter(map(len, body), np.int64, len(body))
+        data = np.frombuffer(b"".join(body), np.uint8)
+        first, windows = np.cumsum(size) - size, size - length + 1
+        at = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+        place = at + np.repeat(first, windows)
+        hashes = Hashes(data).every(length)[place]
+        before = np.where(at > 0, data[np.maximum(place - 1, 0)].astype(np.int16), -1)
+        order = np.argsort(hashes, kind="stable")
+        return hashes[order], before[order], (part.column("entry").to_pylist(), part.column("n").to_pylist(), body, order, hashes, before)
+
+    def judge(hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
+        _, at = np.unique(hashes, return_inverse=True)
+        low, high = np.full(int(at.max(initial=-1)) + 1, 1000, np.int16), np.full(int(at.max(initial=-1)) + 1, -1000, np.int16)
+        np.minimum.at(low, at, before)
+        np.maximum.at(high, at, before)
+        return ((low < 0) | (low != high))[at]
+
+    def give(rest: tuple, known: np.ndarray) -> pa.Table:
+        entry, n, body, order, hashes, before = rest
+        good = np.zeros(len(order), bool)
+        good[order] = known.astype(bool)
+        windows = np.fromiter(map(len, body), np.int64, len(body)) - length + 1
+        of = np.repeat(np.arange(len(body)), windows)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+        mine = np.flatnonzero(good)
+        kinds = {"window": pa.int64(), "entry": pa.int64(), "at": pa.int32(), "before": pa.int32(), "n": pa.int64(), "bytes": pa.binary()}
+        columns = {
+            "window": hashes[mine].view(np.int64), "entry": [entry[k] for k in of[mine]], "at": at[mine], "before": before[mine], "n": [n[k] for k in of[mine]], "bytes": [body[k][a:] for k, a in zip(of[mine].tolist(), at[mine].tolist(), strict=True)],
+        }
+        return pa.table({c: pa.array(v, kinds[c]) for c, v in columns.items()})
+
+    return asked(entries.select("entry", "n", "bytes"), cut, judge, give, STARTS)
+
+
+def maximal_repeats(suffixes: DataFrame, length: int) -> DataFrame:
+    """repeat (a hash of the string), length, entry, at: the maximal repeats among suffixes (STARTS) and where they stand in the different runs. A run that is there several times is a repeat of its own."""
+    buckets = 4 * partitions(suffixes.sparkSession)
+
+    def each(group: pa.Table) -> pa.Table:
+        windows = np.asarray(group.column("window"))
+        order = np.argsort(windows, kind="stable")
+        windows, group = windows[order], group.take(order)
+        entry, at, before = (group.column(c).to_pylist() for c in ("entry", "at", "before"))
+        n, body = group.column("n").to_pylist(), group.column("bytes").to_pylist()
+        lead = np.flatnonzero(np.concatenate(([True], windows[1:] != windows[:-1]))).tolist()
+        out: list[tuple] = []
+        for a, b in zip(lead, [*lead[1:], len(body)], strict=True):
+            # a run that is there several times is in the array twice, its first suffix without a common byte before it
+            members = sorted((k for k in range(a, b) for _ in range(min(n[k], 2))), key=body.__getitem__)
+            common = np.asarray([0, *(shared(body[x], body[y]) for x, y in zip(members, members[1:], strict=False))])
+            marks = np.asarray([before[k] if before[k] >= 0 else -1 - i for i, k in enumerate(members)])
+            for size, first, last in intervals(common, marks, length):
+                some = sorted(set(members[first : last + 1]))
+                name = int.from_bytes(hashlib.blake2b(body[some[0]][:size], digest_size=8).digest(), "little", signed=True)
+                out += [(name, size, entry[k], at[k]) for k in some]
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("repeat", "length", "entry", "at"), columns, strict=True)})
+
+    keyed = suffixes.withColumn("bucket", F.pmod(F.xxhash64("window"), F.lit(buckets)).cast("int"))
+    return keyed.groupBy("bucket").applyInArrow(each, "repeat long, length long, entry long, at long")
 
 
 class Repeats:
-    """The steps over a corpus; `docs` has row, doc_id and text (bytes)."""
+    """The steps over a corpus; `docs` has doc, row and text (bytes)."""
 
     def __init__(self, docs: DataFrame, length: int = LENGTH, k: int | None = None, wide: int = WIDE) -> None:
         k = min(K, length) if k is None else k
         every = occurrences(docs, length, k)
-        again = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-        self.found = written(every.join(again, "anchor", "left_semi"), "anchors")
-        self.kinds = written(self.found.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(F.struct("row", "lo", "more")).alias("at")), "contexts")
-        several = self.kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-        wanted = self.kinds.join(several, "anchor").select("anchor", "context", "copies", (F.col("kinds") > wide).alias("wide"), "at.row", "at.lo", "at.more")
+        again = written(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "repeated-anchors")
+        self.found = written(with_frequent_spread(every, again, "anchor", "n"), "anchors")
+        self.kinds = written(self.found.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(F.struct("doc", "row", "lo", "more")).alias("at")), "contexts")
+        several = written(self.kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several-contexts")
+        wanted = self.kinds.join(several, "anchor").select("anchor", "context", "copies", (F.col("kinds") > wide).alias("wide"), "at.doc", "at.row", "at.lo", "at.more")
         self.contexts = written(contexts(docs, wanted, length), "context-bytes")
         self.docs, self.length = docs, length
 
-    def groups(self) -> DataFrame:
-        """repeat, length, row, start: the maximal repeats within contexts and all their occurrences, once for each row of equal contexts."""
-        return sorted_repeats(self.contexts.where("NOT wide"), self.length)
-
     def spans(self) -> DataFrame:
-        """row, start, end of repeated bytes; spans of a row may overlap."""
-        whole = self.found.join(self.kinds.where("copies > 1").select("anchor", "context"), ["anchor", "context"]).select("row", F.col("lo").alias("start"), (F.col("lo") + F.col("more") + self.length).alias("end"))
-        repeats = self.groups().select("row", "start", (F.col("start") + F.col("length")).alias("end"))
-        return whole.union(repeats).union(counted(self.contexts.where("wide"), self.length))
+        """SPAN of repeated bytes; spans of a row may overlap."""
+        whole = self.found.join(self.kinds.where("copies > 1").select("anchor", "context"), ["anchor", "context"]).select("doc", "row", F.col("lo").alias("start"), (F.col("lo") + F.col("more") + self.length).alias("end"))
+        return whole.union(sorted_spans(self.contexts.where("NOT wide"), self.length)).union(counted(self.contexts.where("wide"), self.length))
+
+    def runs(self) -> DataFrame:
+        """doc, row, start and bytes of each maximal stretch of repeated windows. Neighbouring stretches that only overlap, without a repeated window between them, are cut apart."""
+        length = self.length
+        spans = self.spans().groupBy("doc", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # bounded by a text's anchors
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            schema = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
+            for batch in batches:
+                for doc, row, text, some in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                    # windows begin from `start` to `end` - length; stretches of windows that touch are one
+                    stretches = merged([(s["start"], s["end"] - length + 1) for s in some])
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(stretches), pa.int64()), pa.array([row] * len(stretches), pa.int64()), pa.array([a for a, _ in stretches], pa.int64()), pa.array([text[a : b + length - 1] for a, b in stretches], pa.binary())], schema=schema)
+
+        return self.docs.select("doc", "row", "text").join(spans, ["doc", "row"]).mapInArrow(each, "doc long, row long, start long, bytes binary")
+
+    def groups(self) -> DataFrame:
+        """repeat, length, doc, row, start: every maximal repeat of at least `length` bytes with all its occurrences, of equal rows once for each."""
+        runs = written(self.runs(), "runs")
+        entries = written(runs.groupBy("bytes").agg(F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("entry"), "n", "bytes"), "different-runs")
+        places = written(runs.join(entries.select("entry", "bytes"), "bytes").select("entry", "doc", "row", "start"), "run-places")
+        found = maximal_repeats(starts(entries, self.length), self.length)
+        return found.join(places, "entry").select("repeat", "length", "doc", "row", (F.col("start") + F.col("at")).alias("start"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -354,10 +471,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def removed(docs: DataFrame, length: int = LENGTH, k: int | None = None, wide: int = WIDE) -> DataFrame:
-    """row, doc_id, text (bytes) and spans (merged, in order) of every row of docs (row, doc_id, text)."""
+    """doc_id, text (bytes) and spans of every row of docs (doc, row, doc_id, text)."""
     found = Repeats(docs, length, k, wide).spans()
-    spans = written(found.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")  # bounded by a text's anchors
-    return docs.join(spans, "row", "left")
+    spans = written(found.groupBy("doc", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")  # bounded by a text's anchors
+    return docs.join(spans, ["doc", "row"], "left")
 
 
 def digests(docs: DataFrame, length: int = LENGTH, k: int | None = None, wide: int = WIDE) -> DataFrame:

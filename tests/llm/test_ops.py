@@ -82,6 +82,43 @@ def test_maximal_repeats_list_all_occurrences():
     assert found[b"HELLO WORLD "] == {2, 19, 36} and found[b"HELLO WORLD one"] == {2, 36}
 
 
+def groups_by_force(texts: list[bytes], length: int) -> set:
+    """(string, places) of all strings that several places share and that differ before and after them."""
+    places = defaultdict(set)
+    for d, t in enumerate(texts):
+        for a in range(len(t)):
+            for b in range(a + length, len(t) + 1):
+                places[t[a:b]].add((d, a))
+    out = set()
+    for s, some in places.items():
+        left = {texts[d][a - 1] if a else (d, a) for d, a in some}
+        right = {texts[d][a + len(s)] if a + len(s) < len(texts[d]) else (d, a) for d, a in some}
+        if len(some) > 1 and len(left) > 1 and len(right) > 1:
+            out.add((s, frozenset(some)))
+    return out
+
+
+@pytest.mark.parametrize("wide", [128, 2, 1])
+def test_groups_equal_brute_force(spark, wide):
+    """Passages in passages, copies, periodic texts and hot anchors; all maximal repeats, at full length, with all occurrences."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    a, c = word(40), word(30)
+    texts = [word(9) + a + word(7), word(5) + a + c + word(4), a + c, a + c, word(6) + a[5:] + word(8), "abababababababababab", "x" * 24, word(12), "", word(20) + c + word(3) + c]
+    texts += [a[:25] + word(6) for _ in range(6)] + [word(6) + a + c]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = repeats.with_rows(rows)
+    name = {(r["doc"], r["row"]): r["doc"] for r in docs.collect()}
+    found = defaultdict(set)
+    for r in repeats.Repeats(docs, 12, 6, wide).groups().collect():
+        found[r["repeat"], r["length"]].add((name[r["doc"], r["row"]], r["start"]))
+    got = set()
+    for (_, n), some in found.items():
+        d, at = min(some)
+        got.add((texts[d][at : at + n].encode(), frozenset(some)))
+    assert got == groups_by_force([x.encode() for x in texts], 12)
+
+
 def test_intervals_of_a_tree():
     # aXbc, aXbd, cXbc: sorted suffixes Xbc, Xbc, Xbd
     assert sorted(repeats.intervals(np.asarray([0, 3, 2]), np.asarray([97, 99, 97]), 2)) == [(2, 0, 2), (3, 0, 1)]
