@@ -76,9 +76,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     per = targets(sizes, weights, share, epochs).withColumn("parts", F.ceil(F.sqrt(F.col("docs").cast("double"))).cast("long"))
     per = per.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     per = per.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    # null-safe equality on the source; a row for each source: Spark broadcasts it only below its own size limit
+    # null-safe equality on the source; a row for each source, as a table, whose size is known: Spark broadcasts it only
+    # below its own limit, and then moves no document by its source
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    rows = sizes.withColumn("k", key).join(per.withColumn("k", key).drop("source"), "k")
+    rows = sizes.withColumn("k", key).join(written(per.withColumn("k", key).drop("source"), "targets"), "k")
     rows = rows.withColumn("part", F.floor(F.log("sort_key") * F.col("parts")).cast("long"))
     # the parts' sums are a table of their own: the square root of a source's rows in number
     sums = written(rows.groupBy("k", "part").agg(F.sum(F.col("size") * F.col("n")).alias("words")), "part-sums")

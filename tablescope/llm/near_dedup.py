@@ -357,3 +357,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     doc, row = identity()
     rows = packed_rows(docs, doc.alias("id"), row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("all")).join(kept, ["id", "row"], "left_semi")
     return unpacked_rows(rows.groupBy("id", "row").agg(F.min_by("doc", "all").alias("doc")), docs.columns)
+
+
+#: All pairs that share a shingle, their exact overlap, and the links' transitive closure.
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rid, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+c AS (SELECT rid, g, count(*) AS n FROM s GROUP BY ALL),
+z AS (SELECT rid, sum(n) AS z FROM c GROUP BY 1),
+p AS (SELECT a.rid AS x, b.rid AS y, sum(least(a.n, b.n)) AS m FROM c a JOIN c b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+links AS (SELECT x, y FROM p JOIN z zx ON zx.rid = x JOIN z zy ON zy.rid = y WHERE m / (zx.z + zy.z - m)::DOUBLE >= 0.8),
+both_ AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT rid, rid FROM d UNION SELECT reach.x, both_.y FROM reach JOIN both_ ON reach.y = both_.x),
+labelled AS (SELECT d.rid, any_value(doc_id) AS doc_id, CASE WHEN len(any_value(w)) = 0 THEN 0 ELSE min(y) END AS label FROM d JOIN reach ON d.rid = reach.x GROUP BY d.rid)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY label) AS class_id, count(*) OVER (PARTITION BY label) AS class_size FROM labelled
+"""

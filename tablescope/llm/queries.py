@@ -61,5 +61,77 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_repeats, op2_topk, op3_near_dedup, op4_ppm, op5_quality, op6_licenses, op7_mixing, op8_packing, op9_line_dedup, op10_media)}
-SQL: dict[str, str] = {"op2_topk": topk.OP2_SQL, "op6_licenses": license_scan.OP6_SQL, "op7_mixing": mixing.OP7_SQL}
+# What SQL can say of operators that it cannot express as a whole
+
+
+def part4_word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4_ppm that follow from word counts; the sum of logs to four places."""
+    return op4_ppm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+PART4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w, text FROM documents),
+crc AS (SELECT DISTINCT doc_id FROM documents),
+held AS (SELECT doc_id, {remainder} % 7 = 2 AS held_out FROM crc),
+w AS (SELECT rid, held_out, unnest(w) AS word FROM d JOIN held ON d.doc_id IS NOT DISTINCT FROM held.doc_id),
+c AS (SELECT word, count(*) AS c FROM w WHERE NOT held_out GROUP BY 1),
+ends AS (SELECT count(*) AS e FROM d JOIN held ON d.doc_id IS NOT DISTINCT FROM held.doc_id WHERE NOT held_out),
+whole AS (SELECT (SELECT coalesce(sum(c), 0) FROM c) + e AS n, (SELECT count(*) FROM c) + (e > 0)::INT AS v, e FROM ends),
+per AS (SELECT rid, sum(log10(coalesce(c, 0) + 1)) AS logs, count(c) AS known FROM w LEFT JOIN c USING (word) GROUP BY 1)
+SELECT d.doc_id, held_out, (len(w) + 1)::BIGINT AS n_tokens, (coalesce(known, 0) + (e > 0)::INT)::BIGINT AS n_known, n::BIGINT AS train_tokens, round(coalesce(logs, 0) + log10(e + 1) - (len(w) + 1) * log10(n + v + 1), 4) AS base_score
+FROM d JOIN held ON d.doc_id IS NOT DISTINCT FROM held.doc_id LEFT JOIN per USING (rid), whole
+"""
+
+
+def part5_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op5_quality: whether scores are shares and predictions follow from them, by document."""
+    rows = op5_quality(spark, sf_dir)
+    return rows.select("doc_id", F.col("score").between(0, 1).alias("share"), (F.col("predicted") == (F.col("score") >= 0.5).cast("int")).alias("follows"))
+
+
+def part8_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op8_packing: documents, pieces out of place in their document, sequences over 1024 or with gaps, and documents whose pieces do not add up."""
+    rows = op8_packing(spark, sf_dir)
+    sequence = rows.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("p"))
+    ends = F.aggregate("p", F.lit(0).cast("long"), lambda at, x: F.when(x["offset"] == at, at + x["length"]).otherwise(F.lit(-(1 << 40))))
+    broken = sequence.agg(F.count_if((F.col("n") > 1024) | (ends != F.col("n"))).alias("broken"))
+    document = rows.agg(F.count_if(F.col("piece") == 0).alias("documents"), F.count_if((F.col("piece") == 0) != (F.col("start") == 0)).alias("misplaced"), F.count_if((F.col("length") < 1) | ((F.col("piece") > 0) & (F.col("length") != 1024))).alias("odd"))
+    return document.crossJoin(F.broadcast(broken))  # one row each
+
+
+def part10_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10_media that follow from the text: the payload read back."""
+    return op10_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+PART10_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) AS n FROM documents), p AS (SELECT *, greatest((n + 191) // 192, 1) * 192 AS m FROM t)
+SELECT doc_id, n::BIGINT AS n_bytes, m::BIGINT AS payload_bytes, sha256(text || repeat(' ', m - n)) AS payload_sha256 FROM p
+"""
+
+#: crc32 of an id's text, bit by bit, in whole numbers; a null id counts as the empty text, whose crc32 is 0.
+CRC32 = "coalesce(list_reduce(list_prepend(4294967295, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT)), lambda c, b: {steps}), 4294967295)"
+
+
+def _crc32() -> str:
+    step = "xor(c, b)"
+    for _ in range(8):
+        step = f"list_transform([{step}], lambda x: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)[1]"
+    return f"xor({CRC32.format(steps=step)}, 4294967295)"
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_repeats, op2_topk, op3_near_dedup, op4_ppm, op5_quality, op6_licenses, op7_mixing, op8_packing, op9_line_dedup, op10_media, part4_word_scores, part5_held_out, part8_sequences, part10_payloads)
+}
+SQL: dict[str, str] = {
+    "op1_repeats": repeats.OP1_SQL,
+    "op2_topk": topk.OP2_SQL,
+    "op3_near_dedup": near_dedup.OP3_SQL,
+    "op6_licenses": license_scan.OP6_SQL,
+    "op7_mixing": mixing.OP7_SQL,
+    "part4_word_scores": PART4_SQL.replace("{remainder}", _crc32()),
+    "part5_held_out": "SELECT doc_id, true AS share, true AS follows FROM documents",
+    "part8_sequences": "SELECT count(*) AS documents, 0::BIGINT AS misplaced, 0::BIGINT AS odd, 0::BIGINT AS broken FROM documents",
+    "part10_payloads": PART10_SQL,
+}

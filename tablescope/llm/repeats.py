@@ -504,3 +504,18 @@ def digests(docs: DataFrame, length: int = LENGTH, k: int | None = None, wide: i
             yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return joined.select("doc_id", "text", "spans").mapInArrow(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: Every window of 200 bytes, as 400 hexadecimal digits, counted as it is.
+OP1_SQL = """
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lower(hex(encode(coalesce(text, '')))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT rid, i, md5_number(substr(h, (2 * i + 1)::INT, 400)) AS k FROM (SELECT rid, h, unnest(range(0, n - 199)) AS i FROM t WHERE n >= 200)),
+r AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+g AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 200 THEN 0 ELSE 1 END AS b FROM w SEMI JOIN r USING (k)),
+s AS (SELECT rid, i, sum(b) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM g),
+runs AS (SELECT rid, run, min(i) AS a, max(i) + 200 AS z FROM s GROUP BY ALL),
+cut AS (SELECT rid, a, z, lag(z, 1, 0) OVER (PARTITION BY rid ORDER BY a) AS prev FROM runs),
+per AS (SELECT rid, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(substr(h, (2 * prev + 1)::INT, (2 * (a - prev))::INT), '' ORDER BY a) AS front, max(z) AS last FROM cut JOIN t USING (rid) GROUP BY rid)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(front || substr(h, (2 * last + 1)::INT), h))) AS kept_sha256
+FROM t LEFT JOIN per USING (rid)
+"""
