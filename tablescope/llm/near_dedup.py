@@ -2,8 +2,10 @@
 
 A text is the multiset of its shingles, five words each. Each shingle and each interval of the discretised weights (0, 1],
 (1, 2], (2, 4], (4, 8], ... has a Poisson process of its own, whose rate is the interval's length: points come in ascending
-time, each for a register at random, and each at a weight in its interval. A text takes the points of its shingles up to
-their weights, and a register keeps the earliest. Two texts agree in a register with the probability of their weighted
+time, each for a register at random, and each at a weight in its interval. The weight's binary digits are the halves of the
+interval that the point falls into, level by level: halving a process only ever deals its points out, so all levels of the
+hierarchy are in one draw, and no level is made that no weight asks for. A text takes the points of its shingles up to their
+weights, and a register keeps the earliest. Two texts agree in a register with the probability of their weighted
 Jaccard similarity. A process stops once it is later than all registers, so that most are left after a point or two.
 
 Texts that agree in all registers of a band are candidates. Components of candidates bound where a link can be; inside

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, LOWER, SPACED, Words, mix, partitions, texts, written
+from .common import LOWER, SPACED, Words, mix, partitions, texts, written
 
 ORDER = 5
 END = 256
@@ -37,8 +37,8 @@ SYMBOLS = 257
 HELD_OUT = 2
 #: Bytes of text for each bucket, as a power of two.
 BUCKET_BITS = 26
-#: A chunk has so many times CHUNK_BYTES: what several texts share is sent once.
-CHUNK = 12
+#: Bytes of text that are counted at a time, and of a piece of a long text; a chunk has CHUNK times as many: what several texts share is sent once.
+PIECE_BYTES, CHUNK = 1 << 20, 20
 #: Parts in which the counts of order 2 are added up.
 PARTS = 16
 
@@ -141,7 +141,7 @@ def gram_logs(keys: np.ndarray, n: np.ndarray, two: Counts) -> np.ndarray:
     return np.log10(np.maximum(p, 1e-300))
 
 
-def pieces(data: bytes, limit: int = CHUNK_BYTES) -> Iterator[tuple[bytes, bytes, bool]]:
+def pieces(data: bytes, limit: int = PIECE_BYTES) -> Iterator[tuple[bytes, bytes, bool]]:
     """(the ORDER bytes before, the piece, whether it is the last) of a text: pieces end after the first blank that `limit` bytes have passed."""
     at = 0
     blank = np.flatnonzero(~SPACED[np.frombuffer(data, np.uint8)]) if len(data) > limit else None
@@ -219,7 +219,7 @@ COUNTED_SCHEMA = pa.schema([("kind", pa.int32()), ("at", pa.int64()), ("part", p
 ANSWER = "chunk long, word boolean, keys binary, values binary"
 
 
-def sent(docs: DataFrame, buckets: int, limit: int = CHUNK_BYTES) -> DataFrame:
+def sent(docs: DataFrame, buckets: int, limit: int = PIECE_BYTES) -> DataFrame:
     """Of docs (doc_id, train, text): the chunks' different symbols in context and words for each bucket, and in bucket -1 the chunk itself. `docs` numbers the documents, for pieces of one."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +325,7 @@ def answers(chunks: DataFrame, sums: DataFrame) -> DataFrame:
 SCORED = "doc long, doc_id long, train boolean, n_tokens long, n_known long, logs double, score double"
 
 
-def merged(chunks: DataFrame, answered: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
+def merged(chunks: DataFrame, answered: DataFrame, limit: int = PIECE_BYTES) -> DataFrame:
     """SCORED for each piece of each chunk: the sums over its symbols and words."""
 
     def each(asked: pa.Table, got: pa.Table) -> pa.Table:
@@ -363,7 +363,7 @@ def merged(chunks: DataFrame, answered: DataFrame, limit: int = CHUNK_BYTES) ->
     return asked.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(each, SCORED)
 
 
-def score(docs: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
+def score(docs: DataFrame, limit: int = PIECE_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs.
 
     A null text is empty and has its end alone; a null id's text is the empty text. Without training texts every symbol is
