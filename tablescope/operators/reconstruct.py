@@ -188,3 +188,10 @@ def snapped_lines(cells: DataFrame, extents: DataFrame, ruled: DataFrame) -> Dat
     moved = nearest_line(guesses.drop("extent"), ruled.select(axis, "line"), guesses.select("sample", "extent").distinct())
     moved = moved.select("sample.sample", "sample.axis", F.col("idx").alias("place"), F.col("position").alias("moved"))
     return lines.join(moved, ["sample", "axis", "place"], "left").select("sample", "axis", "place", F.coalesce("moved", "line").alias("line"))
+
+
+def reconstruction_counts(cells: DataFrame) -> DataFrame:
+    """By sample, of cells with boxes and their texts: rows and columns of the occupied grid, cells, and reconstructed boxes, those of cells without visible text apart."""
+    empty = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "<[^>]+>", "")) == ""
+    made = F.col("reconstructed")
+    return cells.groupBy("sample").agg(F.max("r1").alias("num_rows"), F.max("c1").alias("num_cols"), F.count("*").alias("total_cells"), F.count_if(made).alias("reconstructed_bboxes"), F.count_if(made & empty).alias("reconstructed_empty_bboxes"))

@@ -103,6 +103,11 @@ def modulo_shard(index: Column, shards: int) -> Column:
     return F.pmod(index, F.lit(shards)).cast("int")
 
 
+def batch_of(index: Column, size: int) -> Column:
+    """Batches of `size` neighbours; the last one may be smaller."""
+    return F.floor(index / size).cast("long")
+
+
 def range_shard(index: Column, of: Column, shards: int) -> Column:
     """Contiguous shards; shard i ends at floor((i + 1) * of / shards)."""
     return F.floor(((index + 1) * shards - 1) / of).cast("int")

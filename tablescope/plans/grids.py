@@ -403,3 +403,10 @@ def q110_alignment_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", _html(path, F.col("c"), F.col("r"), kind="struct<found: string, skipped: int>").alias("f")).select("k", "f.*")
 
 
+
+
+@query(f"{_GRID} SELECT sample, max(idx // 3 + 1)::INT AS num_rows, 3::INT AS num_cols, count(*) AS total_cells, 1::BIGINT AS reconstructed_bboxes, max(CASE WHEN idx = 1 AND text = 'N' THEN 1 ELSE 0 END)::BIGINT AS reconstructed_empty_bboxes FROM boxes JOIN grid USING (sample) GROUP BY 1")
+def q187_reconstruction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, extents = _grid_cells(spark, sf_dir)
+    texts = boxes(spark, sf_dir).select("sample", F.col("idx").alias("cell_idx"), F.when(F.col("text") == "N", "<b> </b>").otherwise(F.col("text")).alias("text"))
+    return reconstruct.reconstruction_counts(reconstruct.with_boxes(cells, extents, "edges").join(texts, ["sample", "cell_idx"]))

@@ -527,3 +527,10 @@ def q186_logical_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logical cells of two rows and one column each, as boxes of the grid."""
     rows = boxes(spark, sf_dir).select("sample", "idx", g.box(F.lit(0), F.col("idx"), F.lit(1), F.col("idx") + 2).alias("box"))
     return b.pairs(rows, rows, F.lit(True)).select("sample", "idx", "other", g.iou(F.col("box"), F.col("other_box")).alias("iou"))
+
+
+@query("WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) - 1 AS i FROM orders) SELECT (i // 200)::BIGINT AS batch, count(*) AS n, min(o_orderkey)::BIGINT AS first FROM r GROUP BY 1")
+def q188_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches over an order whose first column is a string of few values."""
+    rows = sets.numbered(table(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_orderkey").cast("long").alias("k")), ["o_orderpriority", "k"])
+    return rows.groupBy(sets.batch_of(F.col("index"), 200).alias("batch")).agg(F.count("*").alias("n"), F.min("k").alias("first"))
