@@ -10,11 +10,14 @@ def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
 
 
-def from_numbers(numbers: Column) -> Column:
-    """The bounding box of four numbers, corners in any order, or of a polygon of eight; null for any other length."""
+def from_numbers(numbers: Column, as_is: bool = False, strict: bool = False) -> Column:
+    """The bounding box of four numbers, corners in any order, or of a polygon of eight; null for any other length, or, `strict`, an error. `as_is` takes four numbers as the corners that they are said to be."""
     xs = F.filter(numbers, lambda _, i: i % 2 == 0)
     ys = F.filter(numbers, lambda _, i: i % 2 == 1)
-    return F.when(F.size(numbers).isin(4, 8), box(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)))
+    around = box(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+    given = box(*(F.get(numbers, F.lit(k)) for k in range(4))) if as_is else around
+    found = F.when(F.size(numbers) == 4, given).when(F.size(numbers) == 8, around)
+    return found.when(numbers.isNotNull(), F.raise_error(F.lit("a box has four or eight numbers"))) if strict else found
 
 
 def area(b: Column) -> Column:

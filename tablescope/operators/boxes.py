@@ -102,15 +102,15 @@ def nearest_line(guesses: DataFrame, lines: DataFrame, extent: Column | DataFram
     return moved.withColumn("step", step).withColumn("bad", bad).select("sample", "idx", "guess", F.when(F.col("bad") == 1, F.col("guess")).otherwise(F.col("moved")).alias("position"))
 
 
-def interpolated(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """`filled`: missing values on the straight line between the nearest known neighbours; outside them the nearest known one; then never falling."""
+def interpolated(rows: DataFrame, group: str, order: str, value: str, even: Column | None = None) -> DataFrame:
+    """`filled`: missing values on the straight line between the nearest known neighbours; outside them the nearest known one; where nothing is known, `even`; then never falling."""
     w = W.partitionBy(group).orderBy(order)
     back, on = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
     at = F.when(F.col(value).isNotNull(), F.col(order))
     known = rows.withColumns({"__v0": F.last(value, True).over(back), "__p0": F.last(at, True).over(back), "__v1": F.first(value, True).over(on), "__p1": F.first(at, True).over(on)})
     share = (F.col(order) - F.col("__p0")).cast("double") / F.nullif(F.col("__p1") - F.col("__p0"), F.lit(0))
     line = F.col("__v0") + (F.col("__v1") - F.col("__v0")) * share
-    filled = known.withColumn("filled", F.coalesce(value, line, "__v0", "__v1").cast("double"))
+    filled = known.withColumn("filled", F.coalesce(value, line, "__v0", "__v1", *([] if even is None else [even])).cast("double"))
     return filled.withColumn("filled", F.max("filled").over(back)).drop("__v0", "__v1", "__p0", "__p1")
 
 

@@ -251,3 +251,11 @@ def pseudo_label_reason(has_text: Column, has_structure: Column, cells: Column,
         (~has_text, "missing_ocr"), (~has_structure, "html_or_otsl"), ((F.coalesce(cells, F.lit(0)) == 0) | (cells > most_cells), "cell_count"), (F.coalesce(regions, F.lit(0)) == 0, "no_regions"),
         (coverage < least_coverage, "low_coverage"), (similarity < least_similarity, "low_similarity"),
     )
+
+
+def bag_overlap(words: DataFrame, key: str, side: str, word: str) -> DataFrame:
+    """Of words on two sides (`side` 0 and 1) of each key: how many there are, how many they share as multisets, and precision and recall. Counts are added up before the sides meet."""
+    per = words.groupBy(key, word).agg(F.count_if(F.col(side) == 0).alias("a"), F.count_if(F.col(side) == 1).alias("b"))
+    out = per.groupBy(key).agg(F.sum("a").alias("pred"), F.sum("b").alias("true"), F.sum(F.least("a", "b")).alias("shared"))
+    share = lambda c: F.col("shared").cast("double") / F.greatest(F.col(c), F.lit(1))
+    return out.select("*", share("pred").alias("precision"), share("true").alias("recall"))

@@ -187,11 +187,9 @@ sizes AS (SELECT conv_id, sum(n) FILTER (turn = 0) AS p, sum(n) FILTER (turn = 1
 shared AS (SELECT conv_id, sum(least(a.n, b.n)) AS both_ FROM a JOIN b USING (conv_id, w) GROUP BY 1)
 SELECT conv_id, coalesce(p, 0)::BIGINT AS pred, coalesce(t, 0)::BIGINT AS true, coalesce(both_, 0)::BIGINT AS shared, coalesce(both_, 0)::DOUBLE / greatest(coalesce(p, 0), 1) AS precision, coalesce(both_, 0)::DOUBLE / greatest(coalesce(t, 0), 1) AS recall FROM sizes LEFT JOIN shared USING (conv_id)""")
 def q21_token_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two turns of each conversation are the fixture's two sides."""
     words = table(spark, sf_dir, "conversations").where("turn < 2").select("conv_id", "turn", F.explode(F.split("text", " ")).alias("w")).where("w <> ''")
-    n = words.groupBy("conv_id", "w").agg(F.count_if(F.col("turn") == 0).alias("a"), F.count_if(F.col("turn") == 1).alias("b"))
-    per = n.groupBy("conv_id").agg(F.sum("a").alias("pred"), F.sum("b").alias("true"), F.sum(F.least("a", "b")).alias("shared"))
-    share = lambda c: F.col("shared").cast("double") / F.greatest(F.col(c), F.lit(1))
-    return per.select("*", share("pred").alias("precision"), share("true").alias("recall"))
+    return s.bag_overlap(words, "conv_id", "turn", "w")
 
 
 @query("""SELECT p_partkey, levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type), 1)::DOUBLE AS distance FROM part""")

@@ -534,3 +534,11 @@ def q188_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches over an order whose first column is a string of few values."""
     rows = sets.numbered(table(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_orderkey").cast("long").alias("k")), ["o_orderpriority", "k"])
     return rows.groupBy(sets.batch_of(F.col("index"), 200).alias("batch")).agg(F.count("*").alias("n"), F.min("k").alias("first"))
+
+
+@query(f"{BOXES_SQL}, v AS (SELECT sample, idx, CASE WHEN sample % 2 = 0 AND idx % 3 <> 1 THEN idx * 50 END AS v FROM boxes) SELECT sample, idx, CASE WHEN sample % 2 = 1 THEN idx * 7e0 WHEN v IS NULL AND idx = max(idx) OVER (PARTITION BY sample) THEN (idx - 1) * 50e0 ELSE idx * 50e0 END AS filled FROM v")
+def q189_interpolated_or_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known values on a line; nothing known in every other group, which takes the even steps."""
+    i = F.col("idx")
+    rows = boxes(spark, sf_dir).select("sample", "idx", F.when((F.col("sample") % 2 == 0) & (i % 3 != 1), i * 50).alias("v"))
+    return b.interpolated(rows, "sample", "idx", "v", even=(i * 7).cast("double")).select("sample", "idx", "filled")
