@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geometry as g
+from ..functions.text import kernel_column
 
 
 def pairs(a: DataFrame, b: DataFrame, test: Column | None = None) -> DataFrame:
@@ -141,14 +142,11 @@ def running_clusters(values: list[float], tolerance: float) -> list[int]:
 
 
 def cluster_positions(rows: DataFrame, value: str, tolerance: float) -> DataFrame:
-    """Rows of each sample with `cluster`; depends on the order within a sample, so it runs sample by sample."""
-
-    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            part = part.sort_values([value, "idx"])
-            yield pd.DataFrame({"sample": part["sample"], "idx": part["idx"], "cluster": running_clusters(part[value].tolist(), tolerance)})
-
-    return rows.groupBy("sample").applyInPandas(lambda p: next(each(iter([p]))), "sample long, idx int, cluster int")
+    """Rows (sample, idx) with `cluster`; depends on the order within a sample, so a sample's positions are taken together, many samples to a batch."""
+    lists = rows.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct(F.col(value).alias("value"), "idx"))).alias("p"))  # a sample's boxes
+    found = kernel_column(lambda values: running_clusters(list(values), tolerance), F.transform("p", lambda x: x["value"].cast("double")), kind="array<int>")
+    placed = lists.select("sample", F.arrays_zip(F.transform("p", lambda x: x["idx"]).alias("idx"), found.alias("cluster")).alias("z"))
+    return placed.select("sample", F.inline("z"))
 
 
 def rotation_candidates(boxes: DataFrame, by: str = "sample", tall: float = 2.0, vertical: float = 0.65) -> DataFrame:
@@ -174,7 +172,7 @@ def merged_positions(rows: DataFrame, value: str, gap: float, by: str = "sample"
     """Neighbouring positions no more than `gap` apart as one: first, last, and their median and mean."""
     w = W.partitionBy(by).orderBy(value)
     begins = F.when(F.col(value) - F.lag(value).over(w) <= gap, 0).otherwise(1)
-    runs = rows.select(by, value).withColumn("__b", begins).withColumn("run", F.sum("__b").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
+    runs = rows.select(by, value).withColumn("__b", begins).withColumn("run", F.sum("__b").over(w).cast("int"))
     return runs.groupBy(by, "run").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.bround(F.median(value)).cast("long").alias("centre"), (F.sum(value) / F.count(value)).alias("mean"))
 
 

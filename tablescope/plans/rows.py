@@ -302,7 +302,7 @@ def q152_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.last_wins(table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("c"), F.col("o_orderkey").cast("long").alias("k")), "c", [F.col("k")])
 
 
-@query(f"""{BOXES_SQL}, d AS (SELECT sample, x0, CASE WHEN x0 - lag(x0) OVER w <= 3 THEN 0 ELSE 1 END AS b FROM boxes WINDOW w AS (PARTITION BY sample ORDER BY x0)), r AS (SELECT sample, x0, sum(b) OVER (PARTITION BY sample ORDER BY x0 ROWS UNBOUNDED PRECEDING) AS run FROM d)
+@query(f"""{BOXES_SQL}, d AS (SELECT sample, x0, CASE WHEN x0 - lag(x0) OVER w <= 3 THEN 0 ELSE 1 END AS b FROM boxes WINDOW w AS (PARTITION BY sample ORDER BY x0)), r AS (SELECT sample, x0, sum(b) OVER (PARTITION BY sample ORDER BY x0) AS run FROM d)
 SELECT sample, run::INT AS run, min(x0) AS first, max(x0) AS last, round_even(median(x0), 0)::BIGINT AS centre, sum(x0) / count(*)::DOUBLE AS mean FROM r GROUP BY 1, 2""")
 def q153_merged_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.merged_positions(boxes(spark, sf_dir).select("sample", F.col("box.x0").alias("x0")), "x0", 3)
