@@ -242,7 +242,7 @@ def q26_tree_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q27_alignment_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = tables.logical_cells(markup_tables(spark, sf_dir)).groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_idx", "text"))), lambda x: x["text"]).alias("cells"))
     regions = tables.logical_cells(markup_tables(spark, sf_dir, edit=True)).groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_idx", "text"))), lambda x: x["text"]).alias("regions"))
-    both = cells.join(regions, "sample").repartition(spark.sparkContext.defaultParallelism, "sample")  # small rows, much work
+    both = cells.join(regions, "sample").repartition(spark.sparkContext.defaultParallelism, F.xxhash64("sample"))  # small rows, much work
     report = both.select("sample", tables.alignment(F.col("cells"), F.col("regions")).alias("r")).select("sample", "r.*")
     return report.groupBy("reason").agg(F.count("*").alias("n"), F.sum("cells").alias("cells"), F.sum("mapped_cells").alias("mapped_cells"), F.sum("skipped_regions").alias("skipped_regions"))
 

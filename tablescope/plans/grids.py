@@ -273,7 +273,7 @@ def q96_missing_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{TABLES_SQL}, {CELLS}, k AS (SELECT sample, idx * 3 + c AS k, text FROM cells) SELECT sample, count(*)::INT AS cells, count(*)::INT AS regions, count(*)::INT AS mapped_cells, 0::INT AS skipped_regions, 1e0 AS coverage, 1e0 AS weighted_similarity, 'accepted' AS reason FROM k GROUP BY 1""")
 def q97_alignment_of_equals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lists(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "sample")  # small rows, much work
+    rows = _lists(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, F.xxhash64("sample"))  # small rows, much work
     return rows.select("sample", tables.alignment(F.col("texts"), F.col("texts")).alias("r")).select("sample", "r.*").drop("nonempty_cells")
 
 
