@@ -69,6 +69,20 @@ def test_repeats_equal_brute_force(small, length, wide):
     assert sorted(str(tuple(r)) for r in got) == want
 
 
+def test_frequent_anchors_are_spread(spark, monkeypatch):
+    """A passage that half of all texts hold, with a bound that makes its anchors frequent."""
+    monkeypatch.setattr(repeats, "FEW", 40)
+    rng = random.Random(12)
+    passage = prose(rng, 60)
+    texts = [prose(rng, 40) + (passage if k % 2 else "") + prose(rng, 5) for k in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = repeats.occurrences(repeats.with_rows(rows), 200, 40).groupBy("anchor").agg(F.count("*").alias("n"))
+    total = keys.agg(F.sum("n")).first()[0]
+    assert keys.where(F.col("n") > total // 40).count() > 0
+    want = sorted(str((k, *x)) for k, x in enumerate(removed_by_force([x.encode() for x in texts], 200)))
+    assert sorted(str(tuple(r)) for r in repeats.digests(rows).collect()) == want
+
+
 def test_repeats_of_nothing(empty):
     assert repeats.digests(empty).count() == 0
 
