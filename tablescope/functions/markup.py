@@ -525,7 +525,7 @@ MOST_PAIRS = 50_000_000
 
 
 def similarities(pred: str | None, true: str | None, policy: str = "none", most_pairs: int = MOST_PAIRS) -> tuple[float | None, float | None, str | None]:
-    """(structure score, score, error): 1 less the distance over the larger tree's inner nodes. What fails scores 0 and says why; what is too large is not scored (null) and says so."""
+    """(structure score, score, error): 1 less the distance over the larger tree's inner nodes, which is below 0 where there are more steps than nodes. What fails scores 0 and says why; what is too large is not scored (null) and says so."""
     try:
         if pred and pred == true and first_table(pred):
             return 1.0, 1.0, None

@@ -119,7 +119,12 @@ def test_tree_distance_is_symmetric_and_zero_for_equals(a, b):
     x, y = M.first_table(html(a)), M.first_table(html(b))
     assert M.tree_distance(x, x) == 0
     assert abs(M.tree_distance(x, y) - M.tree_distance(y, x)) < 1e-9
-    assert 0 <= M.similarity(html(a), html(b))[0] <= 1
+    assert -1 <= M.similarity(html(a), html(b))[0] <= 1
+
+
+def test_similarity_is_not_cut_off_at_zero():
+    """Five steps between trees of four inner nodes: a cell renamed, a row and its cell deleted, two cells inserted."""
+    assert M.similarity(html([[(1, 1, "")], [(1, 1, "")]]), html([[(1, 2, "")] * 3]))[0] == -0.25
 
 
 def brute_distance(a, b) -> float:
