@@ -21,6 +21,17 @@ _MIX2 = np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
+#: CTEs for DuckDB: crcs (s, crc), the unsigned crc32 of the UTF-8 bytes of each string of the query {strings}, byte by byte over a table that is made bit by bit.
+CRC32_SQL = """
+crc_bits(b, k, v) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT b, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM crc_bits WHERE k < 8),
+crc_table AS (SELECT b, v FROM crc_bits WHERE k = 8),
+crc_strings AS ({strings}),
+crc_steps(s, h, k, c) AS (
+  SELECT s, hex(encode(s)), 0, 4294967295::BIGINT FROM crc_strings
+  UNION ALL SELECT s, h, k + 1, xor(v, c // 256) FROM crc_steps JOIN crc_table ON b = xor(c % 256, ('0x' || substr(h, 2 * k + 1, 2))::BIGINT) WHERE 2 * k < length(h)),
+crcs AS (SELECT s, xor(c, 4294967295) AS crc FROM crc_steps WHERE 2 * k = length(h))"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, media, mixing, near_dedup, packing, ppm, quality, repeats, topk
+from . import importance, license_scan, line_dedup, media, mixing, near_dedup, packing, ppm, quality, repeats, topk, url_filter, variants
 from .common import python_path, table, texts
 
 
@@ -61,6 +61,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 # What SQL can say of operators that it cannot express as a whole
 
 
@@ -122,7 +134,7 @@ def _crc32() -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_repeats, op2_topk, op3_near_dedup, op4_ppm, op5_quality, op6_licenses, op7_mixing, op8_packing, op9_line_dedup, op10_media, part4_word_scores, part5_held_out, part8_sequences, part10_payloads)
+    for f in (op1_repeats, op2_topk, op3_near_dedup, op4_ppm, op5_quality, op6_licenses, op7_mixing, op8_packing, op9_line_dedup, op10_media, op11_variants, op12_urls, op13_resampling, part4_word_scores, part5_held_out, part8_sequences, part10_payloads)
 }
 SQL: dict[str, str] = {
     "op1_repeats": repeats.OP1_SQL,
@@ -130,6 +142,9 @@ SQL: dict[str, str] = {
     "op3_near_dedup": near_dedup.OP3_SQL,
     "op6_licenses": license_scan.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op11_variants": variants.OP11_SQL,
+    "op12_urls": url_filter.OP12_SQL,
+    "op13_resampling": importance.OP13_SQL,
     "part4_word_scores": PART4_SQL.replace("{remainder}", _crc32()),
     "part5_held_out": "SELECT doc_id, true AS share, true AS follows FROM documents",
     "part8_sequences": "SELECT count(*) AS documents, 0::BIGINT AS misplaced, 0::BIGINT AS odd, 0::BIGINT AS broken FROM documents",
