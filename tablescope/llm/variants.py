@@ -3,8 +3,9 @@
 A word's bigrams are put in one global order, the rarest in the vocabulary first. One edit touches two bigrams of a word at
 most, and leaves the others in their order, either at their places or, behind an insertion, one place further on. So two words
 that are one edit apart share one of the THREE rarest bigrams of each, at the same place if they are equally long, else at
-the same place or one further on in the longer word (position and length limits). Words meet by bigram, place and length, and
-what meets is verified by the edit distance itself: the result is that of comparing all pairs.
+the same place or one further on in the longer word (position and length limits). The edit is on one side of that bigram, so
+that what stands on the other side is equal too. Words meet by bigram, place, length and a hash of one side, and what meets is
+verified by the edit distance itself: the result is that of comparing all pairs.
 
 Occurrences are added up before they are shuffled, so that a very frequent word is one row a task. Bigrams of an alphabet of
 90 letters are 8,100 at most; their frequencies are all that is broadcast.
@@ -55,12 +56,14 @@ def rarest(words: DataFrame) -> DataFrame:
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """All pairs of words (id, word, n) that are one edit apart: the fields of both, as a and b, each pair once."""
-    size = F.length("word")
-    keys = rarest(words).join(words, "id").select("gram", "at", size.alias("size"), F.struct("id", "word", "n").alias("b"))
+    length, side = F.length("word"), lambda n: F.lit(n).alias("side")
+    ahead, behind = F.xxhash64(F.substring(F.col("word"), F.lit(1), F.col("at"))).alias("rest"), F.xxhash64(F.substring(F.col("word"), F.col("at") + 3, length)).alias("rest")
+    keys = rarest(words).join(words, "id").select("gram", "at", length.alias("size"), F.struct("id", "word", "n").alias("b"), F.inline(F.array(F.struct(side(0), ahead), F.struct(side(1), behind))))
     keys = written(keys, "bigram-keys")
-    shifts = F.array(F.struct(F.lit(0).alias("less"), F.lit(0).alias("back")), F.struct(F.lit(1).alias("less"), F.lit(0).alias("back")), F.struct(F.lit(1).alias("less"), F.lit(1).alias("back")))
-    asking = keys.select("gram", "at", "size", F.col("b").alias("a"), F.inline(shifts)).select("gram", (F.col("at") - F.col("back")).alias("at"), (F.col("size") - F.col("less")).alias("size"), "a", "less")
-    met = asking.join(keys, ["gram", "at", "size"]).where((F.col("less") == 1) | (F.col("a.id") < F.col("b.id")))
+    # equally long words share what is ahead of the bigram or what is behind it; a longer one shares what is ahead, or, one place further on, what is behind
+    shifts = F.when(F.col("side") == 0, F.array(F.struct(F.lit(0).alias("less"), F.lit(0).alias("back")), F.struct(F.lit(1).alias("less"), F.lit(0).alias("back")))).otherwise(F.array(F.struct(F.lit(0).alias("less"), F.lit(0).alias("back")), F.struct(F.lit(1).alias("less"), F.lit(1).alias("back"))))
+    asking = keys.select("gram", "at", "size", "side", "rest", F.col("b").alias("a"), F.inline(shifts)).select("gram", (F.col("at") - F.col("back")).alias("at"), (F.col("size") - F.col("less")).alias("size"), "side", "rest", "a", "less")
+    met = asking.join(keys, ["gram", "at", "size", "side", "rest"]).where((F.col("less") == 1) | (F.col("a.id") < F.col("b.id")))
     close = met.where(F.levenshtein(F.col("a.word"), F.col("b.word"), 1) == 1)
     return close.select("a", "b").dropDuplicates(["a", "b"])
 
