@@ -10,10 +10,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from html import escape
+from html import escape, unescape
 from html.parser import HTMLParser
 from itertools import groupby
 
+from . import trees
+
 VOID = frozenset(("br", "img", "hr", "input", "meta", "link", "col"))
 SECTIONS = ("thead", "tbody", "tfoot")
 CELLS = ("td", "th")
@@ -40,6 +42,18 @@ class Node:
     def text(self) -> str:
         return "".join(c.text() if isinstance(c, Node) else c for c in self.children)
 
+    def without(self, tags: tuple[str, ...]) -> Node:
+        """With the contents of elements of these names in their places."""
+        children: list = []
+        for c in self.children:
+            if isinstance(c, str):
+                children.append(c)
+            elif c.tag in tags:
+                children += c.without(tags).children
+            else:
+                children.append(c.without(tags))
+        return Node(self.tag, self.attrs, children)
+
     def size(self) -> int:
         return sum(1 for _ in self.walk())
 
@@ -54,41 +68,77 @@ class Node:
         return f"<{self.tag}{attrs}>" + ("" if self.tag in VOID else f"{inside}</{self.tag}>")
 
 
-class _Builder(HTMLParser):
+class _Open:
+    """A tree as it grows: the elements that are open, from the document on."""
+
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.open = [Node("document")]
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if wanted := CLOSES.get(tag):
+    def start(self, tag: str, attrs: dict[str, str], closed: bool = False) -> None:
+        if not closed and (wanted := CLOSES.get(tag)):
             for k in range(len(self.open) - 1, 0, -1):
                 if self.open[k].tag == "table":
                     break
                 if self.open[k].tag in wanted:
                     del self.open[k:]
-        node = Node(tag, {k: v or "" for k, v in attrs})
+        node = Node(tag, attrs)
         self.open[-1].children.append(node)
-        if tag not in VOID:
+        if not closed and tag not in VOID:
             self.open.append(node)
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.open[-1].children.append(Node(tag, {k: v or "" for k, v in attrs}))
-
-    def handle_endtag(self, tag: str) -> None:
+    def end(self, tag: str) -> None:
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
                 del self.open[k:]
                 return
 
-    def handle_data(self, data: str) -> None:
-        self.open[-1].children.append(data)
+    def data(self, text: str) -> None:
+        self.open[-1].children.append(text)
+
+
+class _Builder(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.tree = _Open()
+        self.handle_endtag, self.handle_data = self.tree.end, self.tree.data
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.tree.start(tag, {k: v or "" for k, v in attrs})
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.tree.start(tag, {k: v or "" for k, v in attrs}, True)
+
+
+#: Tags with plainly written attributes, and text. Any other `<`, and elements whose content is no markup, are the library parser's.
+_PLAIN = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s+[A-Za-z][A-Za-z0-9-]*=(?:\"[^\"&<>]*\"|'[^'&<>]*'))*)\s*(/?)>|([^<]+)|<")
+_ATTRIBUTE = re.compile(r"([A-Za-z][A-Za-z0-9-]*)=(?:\"([^\"]*)\"|'([^']*)')")
+_RAW = frozenset(("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "plaintext", "noscript"))
+
+
+def _plain_tree(markup: str) -> _Open | None:
+    """The tree of markup that is all plainly written; None of any other."""
+    tree = _Open()
+    for found in _PLAIN.finditer(markup):
+        end, tag, attrs, closed, text = found.groups()
+        if text is not None:
+            tree.data(unescape(text) if "&" in text else text)
+        elif tag is None or (tag := tag.lower()) in _RAW or (end and (attrs or closed)):
+            return None
+        elif end:
+            tree.end(tag)
+        else:
+            tree.start(tag, {k.lower(): a or b for k, a, b in _ATTRIBUTE.findall(attrs)} if attrs else {}, bool(closed))
+    return tree
 
 
 def parse(markup: str | None) -> Node:
-    builder = _Builder()
-    builder.feed((markup or "").lstrip("﻿"))
-    builder.close()
-    return builder.open[0]
+    markup = (markup or "").lstrip("\ufeff")
+    if (tree := _plain_tree(markup)) is None:
+        builder = _Builder()
+        builder.feed(markup)
+        builder.close()
+        tree = builder.tree
+    return tree.open[0]
 
 
 def first_table(markup: str | None) -> Node | None:
@@ -375,16 +425,61 @@ def tree_statistics(markup: str | None) -> dict:
     return {"rows": sum(n.tag == "tr" for n in parse(markup).walk()), "cells": len(cells), "rowspan_cells": sum(r for r, _ in spans), "colspan_cells": sum(c for _, c in spans), "span_cells": sum(map(any, spans))}
 
 
-def stripped(table: Node) -> Node:
-    """Cells' text without blanks at its ends, also inside a single b."""
+#: What a whole document of one table begins and ends with.
+OPENING, CLOSING = "<html><body><table>", "</table></body></html>"
 
-    def changed(node: Node) -> Node:
-        children = [changed(c) if isinstance(c, Node) else c for c in node.children]
-        leaf = node.tag in CELLS and all(isinstance(c, str) for c in children)
-        bold = node.tag == "b" and all(isinstance(c, str) for c in children)
-        return Node(node.tag, dict(node.attrs), ["".join(children).strip()] if leaf or bold else children)
 
-    return changed(table)
+def whole_document(markup: str) -> str:
+    """A table, or the inside of one, as a whole document."""
+    if markup.startswith("<table>") and markup.endswith("</table>"):
+        return f"<html><body>{markup}</body></html>"
+    return markup if markup.startswith(OPENING) or markup.endswith(CLOSING) else f"{OPENING}{markup}{CLOSING}"
+
+
+def _stripped_rows(part: str) -> str:
+    """Rows with the texts of their cells, also inside a single b, without blanks at their ends. What stands between rows goes, and so does a second row that begins in an open one. Text that is in no cell is an error."""
+    out = []
+    for row in filter(None, part.split("</tr>")):
+        begun = row.split("<tr>")
+        cells = []
+        for cell in filter(None, begun[min(1, len(begun) - 1)].split("</td>")):
+            tag, end, text = cell.partition(">")
+            if not end:
+                raise ValueError(f"no cell begins before {cell[:20]!r}")
+            bold = text.startswith("<b>") and text.endswith("</b>")
+            cells.append(f"{tag}>" + (f"<b>{text[3:-4].strip()}</b>" if bold else text.strip()) + "</td>")
+        out.append(f"<tr>{''.join(cells)}</tr>")
+    return "".join(out)
+
+
+def reassembled(document: str) -> str:
+    """A document with one head and one body, cells stripped, put together from its text alone.
+
+    Rows after the head's end are the body's, whether a body begins there or not. Without a head's end, what stands before the
+    body is the head; without a body, everything is. Malformed rows raise ValueError.
+    """
+    before, found, rest = document.partition("<thead>")
+    if not found:
+        before, rest = OPENING, document[len(OPENING) :]
+    head, found, tail = rest.partition("</thead>")
+    if found:
+        body = tail.removeprefix("<tbody>")
+    elif "<tbody>" in rest:
+        head, _, body = rest.partition("<tbody>")
+    elif "</tbody>" in rest:
+        head, _, after = rest.partition("</tbody>")
+        body = f"</tbody>{after}"
+    else:
+        head, body = rest.split(CLOSING)[0], f"</tbody>{CLOSING}"
+    inside, found, after = body.partition("</tbody>")
+    if not found:
+        inside, after = body.split(CLOSING)[0], CLOSING
+    return f"{before}<thead>{_stripped_rows(head)}</thead><tbody>{_stripped_rows(inside)}</tbody>{after}"
+
+
+def stripped(markup: str | None) -> Node | None:
+    """The first table of a document put together anew."""
+    return first_table(reassembled(whole_document(markup or "")))
 
 
 def wrapped(table: Node) -> Node:
@@ -396,13 +491,21 @@ def wrapped(table: Node) -> Node:
     return Node("table", dict(table.attrs), [*others, Node("tbody", {}, loose)] if loose else others)
 
 
+def prepared(markup: str | None, policy: str) -> Node | None:
+    """The first table under a policy; None without a table."""
+    if policy == "stripped":  # works on the text, before there is a tree
+        return stripped(markup)
+    table = first_table(markup)
+    return POLICIES[policy](table) if table else None
+
+
 def under_policy(markup: str | None, policy: str) -> str | None:
     """The first table's markup under a policy; null without a table."""
-    table = first_table(markup)
-    return POLICIES[policy](table).markup() if table else None
+    table = prepared(markup, policy)
+    return table.markup() if table else None
 
 
-POLICIES: dict[str, Callable[[Node], Node]] = {"none": lambda t: t, "flattened": flattened, "canonical": canonical, "stripped": stripped, "wrapped": wrapped}
+POLICIES: dict[str, Callable[[Node], Node]] = {"none": lambda t: t, "flattened": flattened, "canonical": canonical, "stripped": lambda t: t, "wrapped": wrapped}
 
 
 # Tree edit similarity
@@ -474,13 +577,30 @@ def tree_distance(a: Node, b: Node, structure_only: bool = False) -> float:
     return shape_distance(shape(a, structure_only), shape(b, structure_only))
 
 
+def renaming(a: tuple) -> Callable[[tuple], float]:
+    """What it costs to rename one node into others: 1, or the normalised distance of the contents of equal cells."""
+    kind, items = a[:3], a[3]
+    pattern = trees.Pattern(items)
+
+    def cost(b: tuple) -> float:
+        if kind != b[:3]:
+            return 1.0
+        return pattern.distance(b[3]) / max(len(items), len(b[3]), 1) if items != b[3] else 0.0
+
+    return cost
+
+
+#: Pairs of nodes from which on rows of arrays are the quicker way to the same distance.
+SMALL = 2_000
+
+
 def shape_distance(a: Tree, b: Tree) -> float:
     """The distance of two shapes; what is equal at their ends is left out first."""
-    from .text import distance
-
     x, y = unlike(a, b) if a[0] == b[0] else ((a,), (b,))
     if not x or not y:
         return float(sum(map(weight, x or y)))
+    if weight(("", x)) * weight(("", y)) > SMALL:
+        return trees.forest_distance(x, y, renaming)
     la, left_a, keys_a = _postorder(x)
     lb, left_b, keys_b = _postorder(y)
     known: dict[tuple, float] = {}
@@ -491,10 +611,10 @@ def shape_distance(a: Tree, b: Tree) -> float:
         if x[3] == y[3]:
             return 0.0
         if (x[3], y[3]) not in known:
-            known[x[3], y[3]] = distance(x[3], y[3]) / max(len(x[3]), len(y[3]), 1)
+            known[x[3], y[3]] = renaming(x)(y)
         return known[x[3], y[3]]
 
-    trees = [[0.0] * len(lb) for _ in la]
+    whole = [[0.0] * len(lb) for _ in la]
     for i in keys_a:
         for j in keys_b:
             io, jo = left_a[i], left_b[j]
@@ -510,45 +630,38 @@ def shape_distance(a: Tree, b: Tree) -> float:
                     q = jo + y - 1
                     either = min(forest[x - 1][y], forest[x][y - 1]) + 1
                     if left_a[p] == io and left_b[q] == jo:
-                        forest[x][y] = trees[p][q] = min(either, forest[x - 1][y - 1] + rename(la[p], lb[q]))
+                        forest[x][y] = whole[p][q] = min(either, forest[x - 1][y - 1] + rename(la[p], lb[q]))
                     else:
-                        forest[x][y] = min(either, forest[left_a[p] - io][left_b[q] - jo] + trees[p][q])
-    return trees[-1][-1]
+                        forest[x][y] = min(either, forest[left_a[p] - io][left_b[q] - jo] + whole[p][q])
+    return whole[-1][-1]
 
 
 def weight(tree: Tree) -> int:
     return 1 + sum(map(weight, tree[1]))
 
 
-#: Pairs of nodes, of what differs in two tables, up to which they are scored: the memory of a worker.
-MOST_PAIRS = 50_000_000
-
-
-def similarities(pred: str | None, true: str | None, policy: str = "none", most_pairs: int = MOST_PAIRS) -> tuple[float | None, float | None, str | None]:
-    """(structure score, score, error): 1 less the distance over the larger tree's inner nodes, which is below 0 where there are more steps than nodes. What fails scores 0 and says why; what is too large is not scored (null) and says so."""
+def similarities(pred: str | None, true: str | None, policy: str = "none", ignore: tuple[str, ...] = ()) -> tuple[float, float, str | None]:
+    """(structure score, score, error): 1 less the distance over the larger tree's inner nodes, which is below 0 where there are more steps than nodes. What fails scores 0 and says why. Elements named in `ignore` are taken out of their contents for the second score, before its nodes are counted."""
     try:
         if pred and pred == true and first_table(pred):
             return 1.0, 1.0, None
-        a, b = first_table(pred), first_table(true)
+        a, b = prepared(pred, policy), prepared(true, policy)
         if a is None or b is None:
             return 0.0, 0.0, "no table"
-        a, b = POLICIES[policy](a), POLICIES[policy](b)
-        size = max(a.size(), b.size()) - 1
-        if not size:
-            return 1.0, 1.0, None
-        whole = shape(a), shape(b)
-        found = []
-        for x, y in ((bared(whole[0]), bared(whole[1])), whole):
-            left = unlike(x, y)
-            if sum(map(weight, left[0])) * sum(map(weight, left[1])) > most_pairs:
-                return None, None, "too many nodes"
-            found.append(1.0 - shape_distance(x, y) / size)
-        return found[0], found[1], None
+        bare = score(bared(shape(a)), bared(shape(b)), a, b)
+        if ignore:
+            a, b = a.without(ignore), b.without(ignore)
+        return bare, score(shape(a), shape(b), a, b), None
     except (RecursionError, ValueError, KeyError) as why:
         return 0.0, 0.0, f"{type(why).__name__}: {why}"
 
 
-def similarity(pred: str | None, true: str | None, policy: str = "none", structure_only: bool = False) -> tuple[float | None, str | None]:
+def score(x: Tree, y: Tree, a: Node, b: Node) -> float:
+    size = max(a.size(), b.size()) - 1
+    return 1.0 - shape_distance(x, y) / size if size else 1.0
+
+
+def similarity(pred: str | None, true: str | None, policy: str = "none", structure_only: bool = False, ignore: tuple[str, ...] = ()) -> tuple[float, str | None]:
     """(score, error) of one of the two scores."""
-    s, t, error = similarities(pred, true, policy)
+    s, t, error = similarities(pred, true, policy, ignore)
     return s if structure_only else t, error

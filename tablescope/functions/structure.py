@@ -88,6 +88,20 @@ def otsl_markup(tokens: list[str], texts: list[str]) -> str:
     return "".join("<tr>" + "".join(f"<td{wide(n)}>{t}</td>" for t, n in row) + "</tr>" for row in rows if row)
 
 
+def otsl_markup_by_row(tokens: list[str], rows: list[list[str]]) -> str:
+    """Rows of OTSL tokens with the texts of each row. Raises ValueError if there are not as many rows, or if a row has not as many texts as cells."""
+    given: list[list[str]] = [[]]
+    for token in (t.strip().lower() for t in tokens):
+        given.append([]) if token == "nl" else given[-1].append(token)
+    given = [row for row in given if row]
+    if len(given) != len(rows):
+        raise ValueError(f"{len(rows)} rows of texts for {len(given)} rows")
+    for k, (row, texts) in enumerate(zip(given, rows, strict=True)):
+        if (n := sum(t != "lcel" for t in row)) != len(texts):
+            raise ValueError(f"row {k}: {len(texts)} texts for {n} cells")
+    return otsl_markup(tokens, [text for texts in rows for text in texts])
+
+
 def type_by_spans(markup: str | None) -> str:
     """`complex` if a span of a cell is over 1 or no number."""
     spans = [cell.attrs[s].strip() for cell in _cells(markup) for s in ("rowspan", "colspan") if s in cell.attrs]

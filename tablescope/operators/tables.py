@@ -63,23 +63,23 @@ def inline_statistics(html: Column) -> Column:
     return F.struct(*(n(f"<{t}[ >]").alias(t) for t in ("b", "i", "sup", "sub")), n("style=").alias("style"))
 
 
-def similarity(pred: Column, true: Column, policy: str = "none") -> Column:
-    """struct(teds_s, teds, error): the tests for equal and for too large trees are inside, so that they spare the work."""
+def similarity(pred: Column, true: Column, policy: str = "none", ignore: tuple[str, ...] = ()) -> Column:
+    """struct(teds_s, teds, error): the test for equal tables is inside, so that it spares the work."""
     if policy not in markup.POLICIES:
         raise ValueError(f"no policy {policy}")
 
     def each(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([markup.similarities(x, y, policy) for x, y in zip(a, b, strict=True)], columns=["teds_s", "teds", "error"])
+        return pd.DataFrame([markup.similarities(x, y, policy, ignore) for x, y in zip(a, b, strict=True)], columns=["teds_s", "teds", "error"])
 
     return F.pandas_udf(each, "teds_s double, teds double, error string")(F.coalesce(pred, F.lit("")), true)
 
 
-def scored_pairs(pred: DataFrame, true: DataFrame, policy: str = "none", parts: int | None = None) -> DataFrame:
+def scored_pairs(pred: DataFrame, true: DataFrame, policy: str = "none", parts: int | None = None, ignore: tuple[str, ...] = ()) -> DataFrame:
     """sample, policy, edit_distance, teds_s, teds, error; a missing prediction is scored as empty. Pairs are dealt out at random, as their cost differs, not their number."""
     both = true.select("sample", F.col("markup").alias("true")).join(pred.select("sample", F.col("markup").alias("pred")), "sample", "left")
     if parts:
         both = both.repartition(parts, F.xxhash64("sample"))
-    scored = both.withColumn("s", similarity(F.col("pred"), F.col("true"), policy))
+    scored = both.withColumn("s", similarity(F.col("pred"), F.col("true"), policy, ignore))
     p = F.coalesce("pred", F.lit(""))
     distance = F.levenshtein(p, F.col("true")) / F.greatest(F.length(p), F.length("true"), F.lit(1))
     return scored.select("sample", F.lit(policy).alias("policy"), distance.alias("edit_distance"), "s.teds_s", "s.teds", "s.error")
@@ -112,6 +112,6 @@ def grid_difference(pred: DataFrame, true: DataFrame) -> DataFrame:
 
 def register(spark: SparkSession) -> None:
     """The scalar kernels as SQL functions."""
-    spark.udf.register("table_cells", F.pandas_udf(lambda s: s.map(lambda m: len(markup.logical_cells(m))), "int"))
+    spark.udf.register("table_cell_count", F.pandas_udf(lambda s: s.map(lambda m: len(markup.logical_cells(m))), "int"))
     for name in markup.POLICIES:
         spark.udf.register(f"teds_{name}", F.pandas_udf(lambda a, b, name=name: pd.Series([markup.similarity(x, y, name)[0] for x, y in zip(a, b, strict=True)]), "double"))

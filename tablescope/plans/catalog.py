@@ -316,4 +316,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_class.crossJoin(F.broadcast(whole))  # one row
 
 
-from . import files, grids, rows  # noqa: E402, F401
+from . import files, grids, lateral, rows  # noqa: E402, F401

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -9,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import select, sets
-from ..sources import readers, writers
+from ..sources import published, readers, writers
+from ..streaming import notify, polls
 from .registry import query
 from .relations import BOXES_SQL, boxes, table
 
@@ -18,7 +20,7 @@ def folder(spark: SparkSession, tag: str) -> str:
     """A new place in the shared folder that the cluster names; a local one only where driver and executors are one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":  # local-cluster is a cluster
             raise ValueError("spark.checkpoint.dir is not set")
         where = f"file://{tempfile.gettempdir()}"
     return f"{where.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -52,30 +54,31 @@ def q40_json_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.json_lookup(spark, _written(spark, "lines", _parts(spark, sf_dir), writers.json_lines), keys, "p_partkey", PART)
 
 
-@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
+def _documents(spark: SparkSession, rows: DataFrame, brackets: str, member: F.Column, document: F.Column) -> str:
+    path = folder(spark, "documents")
+    writers.json_documents(rows.select("p_partkey", member.alias("member"), document.alias("document")), path, brackets, "member", "p_partkey")
+    return path
+
+
+@query("SELECT p_partkey::BIGINT AS p_partkey, p_name || ', \"[' AS p_name FROM part")
 def q41_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An array that fills a file; the fixture has a row for each nation."""
-    path = f"{folder(spark, 'array')}/nations.json"
-    writers.put_text(spark, path, _nations(spark, sf_dir).agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name")))).first()[0])
-    return readers.json_array(spark, path, "n_nationkey bigint, n_name string")
+    """One array of all parts, with brackets, commas and quotes in its texts."""
+    rows = _parts(spark, sf_dir).withColumn("p_name", F.concat("p_name", F.lit(', "[')))
+    return readers.json_array(spark, f"{_documents(spark, rows, '[]', F.to_json(F.struct('p_partkey', 'p_name')), F.lit(0))}/*", "p_partkey bigint, p_name string")
 
 
-@query("SELECT n_name AS sample, '<b>' || n_name || '</b>' AS html, n_regionkey::VARCHAR AS type FROM nation")
+@query("SELECT p_partkey || ':{' AS sample, '<b>' || p_name || '</b>' AS html, p_size::VARCHAR AS type FROM part")
 def q42_json_map_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects by name in a file for each region, read by a pattern of names."""
-    path = folder(spark, "shards")
-    value = F.struct(F.concat(F.lit("<b>"), "n_name", F.lit("</b>")).alias("html"), F.col("n_regionkey").cast("string").alias("type"))
-    for row in _nations(spark, sf_dir).groupBy("n_regionkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("n_name", value)))).alias("m")).collect():
-        writers.put_text(spark, f"{path}/shard_{row['n_regionkey']}.json", row["m"])
-    return readers.json_map(spark, f"{path}/shard_*.json")
+    """Objects by name in five files, read by a pattern of names."""
+    value = F.to_json(F.struct(F.concat(F.lit("<b>"), "p_name", F.lit("</b>")).alias("html"), F.col("p_size").cast("string").alias("type")))
+    member = F.concat(F.lit('"'), F.col("p_partkey").cast("string"), F.lit(':{": '), value)
+    return readers.json_map(spark, f"{_documents(spark, _parts(spark, sf_dir), '{}', member, F.col('p_size') % 5)}/document=*")
 
 
-@query("SELECT n_name AS sample, 'p' AS pred_html, 't' AS gt_html, n_nationkey / 4e0 AS edit_distance, n_regionkey / 8e0 AS teds_s, 1e0 AS teds FROM nation")
+@query("SELECT p_name AS sample, 'p' AS pred_html, 't' AS gt_html, p_partkey / 4e0 AS edit_distance, p_size / 8e0 AS teds_s, 1e0 AS teds FROM part")
 def q43_positional_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{folder(spark, 'scores')}/scores.json"
-    row = F.array("n_name", F.lit("p"), F.lit("t"), (F.col("n_nationkey") / 4).cast("string"), (F.col("n_regionkey") / 8).cast("string"), F.lit("1.0"))
-    writers.put_text(spark, path, _nations(spark, sf_dir).agg(F.to_json(F.collect_list(row))).first()[0])
-    return readers.positional_scores(spark, path)
+    row = F.to_json(F.array("p_name", F.lit("p"), F.lit("t"), (F.col("p_partkey") / 4).cast("string"), (F.col("p_size") / 8).cast("string"), F.lit("1.0")))
+    return readers.positional_scores(spark, _documents(spark, _parts(spark, sf_dir), "[]", row, F.lit(0)))
 
 
 @query("""SELECT p_partkey::BIGINT AS p_partkey, replace(p_name, ' ', ', "') AS p_name, p_size::INT AS p_size FROM part""")
@@ -119,18 +122,18 @@ def q46_words_in_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _words(readers.words_in_table(readers.recognised_words(spark, _tsv(spark, sf_dir), keep_unsure=True), place))
 
 
-@query("SELECT DISTINCT unnest([n_name, n_name || '.png']) AS name FROM nation")
+@query("SELECT DISTINCT unnest([p_name, p_name || '.png']) AS name FROM part")
 def q47_name_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{folder(spark, 'names')}/names.txt"
-    names = sorted(r["n_name"] for r in _nations(spark, sf_dir).collect())
-    writers.put_text(spark, path, "# names\n\n" + "\n".join([*names, f"  {names[0]}.png "]) + "\n")
+    """A comment, an empty line and a name, in each of its forms with blanks around it, for each part."""
+    lines = F.array(F.lit("# names"), F.lit(""), F.col("p_name"), F.concat(F.lit("  "), "p_name", F.lit(".png ")))
+    path = _written(spark, "names", _parts(spark, sf_dir).select(F.explode(lines).alias("value")), lambda r, p: r.write.text(p))
     return readers.name_list(spark, path, comments=True, both_forms=True)
 
 
 def _nation_files(spark: SparkSession, sf_dir: str) -> str:
     path = folder(spark, "files")
-    for row in _nations(spark, sf_dir).collect():
-        writers.put_text(spark, f"{path}/region_{row['n_regionkey']}/nation_{row['n_nationkey']}.txt", row["n_name"])
+    where = F.concat(F.lit(f"{path}/region_"), F.col("n_regionkey").cast("string"), F.lit("/nation_"), F.col("n_nationkey").cast("string"), F.lit(".txt"))
+    writers.by_file(_nations(spark, sf_dir).select(where.alias("path"), F.col("n_name").alias("text")))
     return path
 
 
@@ -228,8 +231,19 @@ def q60_by_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey::BIGINT AS p_partkey, p_size::INT AS p_size, p_size * 2::BIGINT AS twice FROM part")
 def q61_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = _written(spark, "lines", _parts(spark, sf_dir), writers.json_lines), folder(spark, "lines")
-    writers.with_column(readers.json_lines(spark, source, PART), source, target, twice=F.col("p_size") * 2)
-    return readers.json_lines(spark, target, f"{PART}, twice bigint").drop("p_name")
+    published.write_back(readers.json_lines(spark, source, PART), source, target, twice=F.col("p_size") * 2)
+    return published.published(spark, target, f"{PART}, twice bigint", "json").drop("p_name")
+
+
+@query("SELECT p_partkey::BIGINT AS p_partkey, p_name, p_size::INT AS p_size, (SELECT count(*) FROM part WHERE p_size <= 25) AS first, (SELECT count(*) FROM part WHERE p_size > 25) AS second FROM part")
+def q61b_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table published in two commits, the first of them twice, beside a job that fails: each row is seen once, with the commits' numbers of rows."""
+    rows, target = _parts(spark, sf_dir), folder(spark, "commits")
+    small, large = rows.where("p_size <= 25"), rows.where("p_size > 25")
+    sizes = [published.publish(part, target, name).rows for part, name in ((small, "1"), (large, "2"), (small, "1"))]
+    with contextlib.suppress(Exception):
+        published.publish(rows.withColumn("p_size", F.when(F.col("p_size") > 25, F.raise_error(F.lit("broken"))).otherwise(F.col("p_size"))), target, "3")
+    return published.published(spark, target, PART).withColumns({"first": F.lit(sizes[0]).cast("long"), "second": F.lit(sizes[1]).cast("long")})
 
 
 @query("SELECT false AS before, true AS after, count(*) AS rows FROM nation")
@@ -240,15 +254,68 @@ def q62_ready_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.json(path).agg(F.lit(before).alias("before"), F.lit(writers.is_ready(spark, path)).alias("after"), F.count("*").alias("rows"))
 
 
-@query("SELECT 'nation_' || n_nationkey || '.txt' AS file, 'country' AS rule FROM nation WHERE n_name LIKE 'I%' UNION ALL SELECT 'nation_' || n_nationkey || '.txt', 'size' FROM nation WHERE length(n_name) > 9")
+_LINT = """files AS (SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 0 THEN s_name WHEN 1 THEN s_name || ' password = hunter' || s_suppkey WHEN 2 THEN 'api_key: ' || repeat('k', (s_suppkey % 40)::INT) ELSE repeat('x', (s_suppkey % 300)::INT) END AS text,
+  'f' || s_suppkey || CASE WHEN s_suppkey % 6 = 0 THEN '.pkl' ELSE '.txt' END AS file FROM supplier)"""
+
+
+@query(f"""WITH {_LINT} SELECT file, 'password' AS rule FROM files WHERE regexp_matches(text, 'password = [a-z]+[0-9]+') UNION ALL SELECT file, 'key' FROM files WHERE regexp_matches(text, 'api_key: k{{8,}}')
+UNION ALL SELECT file, 'suffix .pkl' FROM files WHERE ends_with(file, '.pkl') UNION ALL SELECT file, 'size' FROM files WHERE length(text) > 120""")
 def q63_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_nation_files(spark, sf_dir))
-    found = select.lint(files, {"country": "^I"}, [".pkl"], 9)
+    """A file for each supplier: plain ones, some with secrets, long ones, and names that are not wanted."""
+    path, k = folder(spark, "lint"), F.col("s_suppkey")
+    text = F.when(k % 4 == 0, F.col("s_name")).when(k % 4 == 1, F.concat("s_name", F.lit(" password = hunter"), k.cast("string"))).when(k % 4 == 2, F.concat(F.lit("api_key: "), F.repeat(F.lit("k"), (k % 40).cast("int")))).otherwise(F.repeat(F.lit("x"), (k % 300).cast("int")))
+    name = F.concat(F.lit(f"{path}/f"), k.cast("string"), F.when(k % 6 == 0, F.lit(".pkl")).otherwise(F.lit(".txt")))
+    writers.by_file(table(spark, sf_dir, "supplier").select(name.alias("path"), text.alias("text")))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    found = select.lint(files, {"password": "password = [a-z]+[0-9]+", "key": "api_key: k{8,}"}, [".pkl"], 120)
     return found.select(F.substring_index("path", "/", -1).alias("file"), "rule")
 
 
 @query("SELECT event_type, count(*)::BIGINT AS once FROM (SELECT DISTINCT event_type FROM events) GROUP BY 1")
 def q64_notified_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..streaming import polls
-
     return polls.once(table(spark, sf_dir, "events").select("event_type"), "event_type").groupBy("event_type").agg(F.count("*").alias("once"))
+
+
+#: In which of two runs of a stream a file is there: by the event's number.
+_HALVES = "e AS (SELECT *, event_id % 2 AS half, epoch_us(ts) AS us FROM events)"
+EVENT = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, half bigint"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").cast("long"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("long"), "event_type", F.col("value").cast("double"), (F.col("event_id") % 2).cast("long").alias("half"))
+
+
+def _two_runs(spark: SparkSession, rows: DataFrame, schema: str, out: str, start) -> DataFrame:  # noqa: ANN001
+    """What a stream publishes that runs over the first half's files, stops, and runs again when the second half's are there too."""
+    source, checkpoint, target = (folder(spark, x) for x in ("stream", "offsets", "notices"))
+    for half in (0, 1):
+        rows.where(F.col("half") == half).write.mode("append").parquet(source)
+        start(notify.files_stream(spark, source, schema), checkpoint, target)
+    return published.published(spark, target, f"{out}, batch long")
+
+
+@query(f"""WITH {_HALVES}, a AS (SELECT CASE WHEN event_type = 'error' THEN 'bad-' || user_id || '-error' WHEN event_type = 'purchase' THEN 'done-' || user_id END AS key, CASE WHEN event_type = 'error' THEN 'problem: error' ELSE 'completed' END AS title, half FROM e)
+SELECT key, title, min(half)::BIGINT AS run FROM a WHERE key IS NOT NULL GROUP BY 1, 2""")
+def q64b_notified_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notifications of errors and purchases by user, once over two runs of one stream; run: the run that sent it."""
+
+    def start(found: DataFrame, checkpoint: str, target: str) -> None:
+        jobs = notify.alerts(found, F.col("event_type") == "error", F.col("event_type") == "purchase", "user_id", "event_type")
+        notify.notify_once(jobs.select("key", "title"), checkpoint, target)
+
+    sent = _two_runs(spark, _events(spark, sf_dir), EVENT, "key string, title string", start)
+    return sent.select("key", "title", F.when(F.col("batch") > 0, 1).otherwise(0).cast("long").alias("run"))
+
+
+@query("""WITH p AS (SELECT event_type, day, least(4, n // 2) AS files FROM (SELECT event_type, date_trunc('day', ts)::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2)),
+c AS (SELECT *, CASE WHEN lag(files) OVER w IS NOT DISTINCT FROM files THEN 0 ELSE 1 END AS c FROM p WINDOW w AS (PARTITION BY event_type ORDER BY day)),
+i AS (SELECT *, sum(c) OVER (PARTITION BY event_type ORDER BY day ROWS UNBOUNDED PRECEDING) AS i FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY event_type, i ORDER BY day) AS run FROM i)
+SELECT event_type AS key, min(day)::VARCHAR AS at, arg_min(files, day)::BIGINT AS count FROM r WHERE files >= 1 AND run >= 2 GROUP BY 1""")
+def q30b_stable_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first poll of each kind of event at which a day's count has come twice, over two runs of one stream that is cut in the middle of the days."""
+    counts = table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.least(F.lit(4), F.floor(F.count("*") / 2)).cast("long").alias("files"))
+    days = counts.select("day").distinct().agg(F.median(F.unix_date("day")).alias("m"))
+    rows = counts.withColumn("half", (F.unix_date("day") >= days.scalar()).cast("long")).withColumn("day", F.col("day").cast("string"))
+    start = lambda found, checkpoint, target: notify.watch_stable(found, checkpoint, target, "event_type", "day", "files", 1, 2)
+    return _two_runs(spark, rows, "event_type string, day string, files long, half long", "key string, at string, count long", start).drop("batch")

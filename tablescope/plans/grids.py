@@ -9,7 +9,7 @@ from ..functions import align, diffs, markup, structure
 from ..functions.text import kernel_column
 from ..operators import boxes as b
 from ..operators import scores as s
-from ..operators import reconstruct, tables
+from ..operators import reconstruct, tables, tracks
 from .registry import query
 from .relations import BOXES_SQL, TABLES_SQL, boxes
 from .relations import tables as markup_tables
@@ -71,12 +71,28 @@ def q69_wrapped_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sectioned(spark, sf_dir).select("sample", _html(lambda m: markup.under_policy(m, "wrapped"), loose).alias("markup"))
 
 
-@query(f"{TABLES_SQL} SELECT sample, replace(replace(markup, '<td>N<', '<td><b>N</b><'), '<td>R<', '<td><b>R</b><') AS markup FROM tables")
+@query(f"{TABLES_SQL}, s AS (SELECT sample, replace(replace(replace(replace(markup, '<td>N<', '<td><b>N</b><'), '<td>R<', '<td><b>R</b><'), '<table>', ''), '</table>', '') AS rows FROM tables) SELECT sample, '<table><thead>' || rows || '</thead><tbody></tbody></table>' AS markup FROM s")
 def q70_stripped_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     blanks = F.regexp_replace(F.regexp_replace("markup", "<td>([NR])</td>", "<td><b> $1 </b></td>"), "<td>([^<]+)</td>", "<td> $1  </td>")
     return markup_tables(spark, sf_dir).select("sample", _html(lambda m: markup.under_policy(m, "stripped"), blanks).alias("markup"))
 
 
+@query(f"""{TABLES_SQL}, {PARTS} SELECT sample, CASE sample % 4 WHEN 3 THEN NULL ELSE '<table><thead>' || CASE sample % 4 WHEN 2 THEN '' ELSE head END || '</thead><tbody>' || rest || '</tbody></table>' END AS markup FROM parts""")
+def q70b_reassembled_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads and bodies with blanks in their cells: as they should be, without the tags around the body, with an empty head, and with text in no cell, which is an error (null)."""
+    k = F.col("sample") % 4
+    broken = F.when(k == 1, F.regexp_replace("markup", "</?tbody>", "")).when(k == 2, F.regexp_replace("markup", "<thead>.*</thead>", "<thead></thead>")).when(k == 3, F.replace("markup", F.lit("</thead>"), F.lit("loose</thead>"))).otherwise(F.col("markup"))
+    blanks = F.regexp_replace(broken, "<td>([^<]+)</td>", "<td>\t $1  </td>")
+
+    def found(text: str) -> str | None:
+        try:
+            return markup.under_policy(text, "stripped")
+        except ValueError:
+            return None
+
+    return _sectioned(spark, sf_dir).select("sample", _html(found, blanks).alias("markup"))
+
+
 @query(f"{TABLES_SQL}, {CELLS} SELECT sample, (idx * 3 + c)::INT AS cell_idx, idx::INT AS r0, c::INT AS c0, text, (idx = 0) AS header FROM cells")
 def q71_cells_of_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.logical_cells(_sectioned(spark, sf_dir)).select("sample", "cell_idx", "r0", "c0", "text", "header")
@@ -154,6 +170,24 @@ def q81_otsl_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lists(spark, sf_dir).select("sample", _html(lambda t, x: structure.otsl_markup(list(t), list(x)), _tokens(["fcel", "lcel", "fcel", "nl"], F.col("n")), two).alias("rows"))
 
 
+@query(f"""{TABLES_SQL}, n AS (SELECT l_orderkey AS sample, count(*) AS n, string_agg('<tr><td colspan="2">' || l_partkey || '</td><td>' || l_linestatus || '</td></tr>', '' ORDER BY idx) AS rows FROM items GROUP BY 1)
+SELECT sample, CASE sample % 3 WHEN 0 THEN rows END AS rows, CASE sample % 3 WHEN 1 THEN 'row ' || (n - 1) || ': 1 texts for 2 cells' WHEN 2 THEN (n + 1) || ' rows of texts for ' || n || ' rows' END AS error FROM n""")
+def q81b_otsl_markup_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts by row: as many as there are cells, one too few in the last row, or one row too many."""
+    k, n = F.col("sample") % 3, F.col("n")
+    rows = F.transform(F.sequence(F.lit(0), n - 1), lambda r: F.when((k == 1) & (r == n - 1), F.slice("texts", r * 3 + 1, 1)).otherwise(F.array(F.get("texts", r * 3), F.get("texts", r * 3 + 2))))
+    rows = F.when(k == 2, F.concat(rows, F.array(F.array(F.lit("more"))))).otherwise(rows)
+
+    def found(tokens: list, given: list) -> dict:
+        try:
+            return {"rows": structure.otsl_markup_by_row(list(tokens), [list(r) for r in given]), "error": None}
+        except ValueError as why:
+            return {"rows": None, "error": str(why)}
+
+    made = _html(found, _tokens(["fcel", "lcel", "fcel", "nl"], n), rows, kind="struct<rows: string, error: string>")
+    return _lists(spark, sf_dir).withColumn("n", n.cast("int")).select("sample", made.alias("m")).select("sample", "m.*")
+
+
 @query(f"""{TABLES_SQL} SELECT l_orderkey AS sample, '<thead><tr><td></td><td></td><td></td></tr></thead><tbody>' || repeat('<tr><td></td><td></td><td></td></tr>', count(*) - 1) || '</tbody>' AS tokens, string_agg(l_partkey || ',' || l_returnflag || ',' || l_linestatus, ',' ORDER BY idx) AS texts FROM items GROUP BY 1""")
 def q82_structure_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _html(lambda m: dict(zip(("tokens", "texts"), ("".join(markup.structure(m)[0]), ",".join(markup.structure(m)[1])), strict=True)), kind="struct<tokens: string, texts: string>")
@@ -298,15 +332,31 @@ def q99_rejection_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 1::INT AS k, 0.5e0 AS a, 10.5e0 AS b, 20.5e0 AS c, '0,6,16,21' AS edges, 'distribution' AS method UNION ALL SELECT 2, 0.5e0, 10.5e0, 20.5e0, '0,5,9,21', 'line'")
-def q100_line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, [0.0, 1.0, 10.0, 11.0, 20.0, 21.0], []), (2, [21.0, 0.0, 11.0, 1.0, 20.0, 10.0], [9.0, 0.0, 5.0, 21.0])], "k int, v array<double>, ruled array<double>")
+#: Both ways in whole numbers and one division, so that the sums are the same in any order.
+_GROUPS = f"""{BOXES_SQL}, p AS (SELECT sample, x0 AS v, count(*)::DOUBLE AS w FROM boxes GROUP BY 1, 2), k AS (SELECT sample, v, row_number() OVER (PARTITION BY sample ORDER BY v) AS i, count(*) OVER (PARTITION BY sample) AS n,
+  sum(w) OVER s AS c, sum(w * v) OVER s AS s1, sum(w * v * v) OVER s AS s2, sum(w) OVER (PARTITION BY sample) AS tc, sum(w * v) OVER (PARTITION BY sample) AS t1, sum(w * v * v) OVER (PARTITION BY sample) AS t2 FROM p WINDOW s AS (PARTITION BY sample ORDER BY v)),
+cuts AS (SELECT *, s1 / c AS a, (t1 - s1) / (tc - c) AS b, row_number() OVER (PARTITION BY sample ORDER BY (s2 - s1 * s1 / c) + ((t2 - s2) - (t1 - s1) * (t1 - s1) / (tc - c)), i) AS nth FROM k WHERE i < n),
+best AS (SELECT sample, a, b FROM cuts WHERE nth = 1 UNION ALL SELECT sample, v, v FROM k WHERE n = 1)"""
 
-    def found(v: list, ruled: list) -> dict:
-        mid, (edges, method) = diffs.centres(list(v), 3), diffs.grid_edges(list(ruled), list(v), 3, 0, 21)
-        return {"a": mid[0], "b": mid[1], "c": mid[2], "edges": ",".join(f"{e:.0f}" for e in edges), "method": method}
 
-    return rows.select("k", _html(found, F.col("v"), F.col("ruled"), kind="struct<a: double, b: double, c: double, edges: string, method: string>").alias("f")).select("k", "f.*")
+@query(f"{_GROUPS} SELECT sample, k::INT AS k, CASE k WHEN 0 THEN 0e0 WHEN 1 THEN round_even((a + b) / 2, 0) ELSE 100e0 END AS edge, 'distribution' AS source FROM best, range(3) t(k)")
+def q100_line_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tracks for each order from its boxes' left edges, beside all ways to cut them in two."""
+    items = boxes(spark, sf_dir).select("sample", F.col("box.x0").alias("position"))
+    sizes = items.groupBy("sample").agg(F.lit(2).alias("n"), F.lit(0).alias("low"), F.lit(100).alias("high"))
+    return tracks.track_edges(items, sizes)
+
+
+@query(f"""{BOXES_SQL}, n AS (SELECT sample, count(DISTINCT x0) AS lines, count(DISTINCT x0) - 1 + sample % 2 AS n FROM boxes GROUP BY 1, sample), r AS (SELECT sample, x0, row_number() OVER (PARTITION BY sample ORDER BY x0) - 1 AS k FROM (SELECT DISTINCT sample, x0 FROM boxes))
+SELECT sample, k::INT AS k, x0::DOUBLE AS edge, 'line' AS source FROM r JOIN n USING (sample) WHERE sample % 2 = 0 AND n > 0 AND k <= n
+UNION ALL SELECT sample, t.k::INT, round_even(t.k * (100e0 / n), 0), 'uniform' FROM n, LATERAL (SELECT unnest(range(0, n + 1)) AS k) t WHERE sample % 2 = 1
+UNION ALL SELECT sample, 0, 0e0, 'uniform' FROM n WHERE n = 0""")
+def q100b_ruled_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Left edges as ruling lines: enough of them for every other order, one too few, and no positions, for the others."""
+    lines = boxes(spark, sf_dir).select("sample", F.col("box.x0").alias("position"))
+    sizes = lines.groupBy("sample").agg((F.count_distinct("position") - 1 + F.col("sample") % 2).alias("n"), F.lit(0).alias("low"), F.lit(100).alias("high"))
+    return tracks.track_edges(lines.where("false"), sizes, lines)
+
 
 
 @query(f"""{TABLES_SQL}, {CELLS} SELECT sample, (idx * 3 + c)::INT AS cell_idx, '{{' || chr(125) AS nothing, CASE WHEN c = 1 THEN '-1.0 -1.0 -1.0 -1.0 1 ' ELSE printf('%.2f %.2f %.2f %.2f 2 ', c * 10e0, 0e0, c * 10e0 + 8, 5e0) || text END AS line FROM cells""")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import geometry
 from ..functions.text import kernel_column
+from . import json_members
 
 ANNOTATION = "filename string, split string, table_id string, bbox array<double>, html struct<structure: struct<tokens: array<string>>, cells: array<struct<tokens: array<string>, bbox: array<double>>>>"
 SAMPLE = "struct<html: string, type: string>"
@@ -29,14 +30,18 @@ def json_lookup(spark: SparkSession, path: str, keys: DataFrame, key: str, schem
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """A row for each object of JSON arrays that fill whole files."""
+    return json_members.array_elements(spark, path, f"struct<{schema_string(schema)}>").select("value.*")
+
+
+def schema_string(schema: str) -> str:
+    return T.StructType.fromDDL(schema).simpleString()[len("struct<") : -1]
 
 
 def json_map(spark: SparkSession, path: str, value: str = SAMPLE, key: str = "sample") -> DataFrame:
     """A row for each member of JSON objects that fill whole files: key and the value's fields."""
-    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string, {value}>").alias("m"))
-    rows = parsed.select(F.explode("m").alias(key, "v"))
-    return rows.select(key, "v.*") if value.startswith("struct") else rows.withColumnRenamed("v", "value")
+    rows = json_members.object_members(spark, path, value).withColumnRenamed("key", key)
+    return rows.select(key, "value.*") if value.startswith("struct") else rows
 
 
 def regions(spark: SparkSession, path: str) -> DataFrame:
@@ -47,7 +52,7 @@ def regions(spark: SparkSession, path: str) -> DataFrame:
 
 def positional_scores(spark: SparkSession, path: str) -> DataFrame:
     """Arrays of file, prediction, truth, edit distance, structure score and score, by name."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<array<string>>")).alias("r"))
+    rows = json_members.array_elements(spark, path, "array<string>").withColumnRenamed("value", "r")
     at = lambda k, kind: F.get("r", F.lit(k)).cast(kind)
     return rows.select(at(0, "string").alias("sample"), at(1, "string").alias("pred_html"), at(2, "string").alias("gt_html"), at(3, "double").alias("edit_distance"), at(4, "double").alias("teds_s"), at(5, "double").alias("teds"))
 

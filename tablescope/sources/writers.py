@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import html
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Rows that a report rendered on the driver may have.
 REPORT_ROWS = 10_000
@@ -73,34 +75,59 @@ def by_shard(rows: DataFrame, path: str, shard: str, key: str) -> DataFrame:
     return rows.sparkSession.read.parquet(path).groupBy(shard).agg(F.count("*").alias("rows"), F.min(key).alias("first"), F.max(key).alias("last"))
 
 
-def with_column(rows: DataFrame, source: str, target: str, **columns: Column) -> None:
-    """Documents read from `source` with more columns, written to another place: what is being read is never overwritten."""
-    if source.rstrip("/") == target.rstrip("/"):
-        raise ValueError("the target is the source")
-    rows.withColumns(columns).write.json(target)
-
-
-def _path(spark: SparkSession, path: str) -> tuple:
+def system_of(spark: SparkSession, path: str) -> tuple:
+    """The file system that a path names, and the path in it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def rename(spark: SparkSession, source: str, target: str) -> bool:
+    """Moves a file in one step; false if there is one at the target."""
+    system, where = system_of(spark, source)
+    to = system_of(spark, target)[1]
+    return not system.exists(to) and bool(system.rename(where, to))
+
+
+def by_file(rows: DataFrame, path: str = "path", text: str = "text") -> None:
+    """A small file for each row (path, text), written by the tasks that have the rows; a task that runs again writes the same ones again. The paths' file system is one that pyarrow knows, as local and object stores are."""
+
+    def each(part: Iterator) -> None:
+        from pyarrow import fs
+
+        for row in part:
+            system, name = fs.FileSystem.from_uri(row[0])
+            system.create_dir(name.rpartition("/")[0])
+            with system.open_output_stream(name) as out:
+                out.write(row[1].encode())
+
+    rows.select(path, text).foreachPartition(each)
+
+
+def json_documents(rows: DataFrame, path: str, brackets: str, member: str, order: str, document: str = "document") -> None:
+    """A folder for each document with one file: its members, texts of JSON, a line each in their order, between brackets."""
+    first = F.row_number().over(W.partitionBy(document).orderBy(order)) == 1
+    lines = rows.select(document, F.lit(1).alias("part"), F.col(order).alias("order"), F.concat(F.when(first, F.lit("")).otherwise(F.lit(",")), member).alias("line"))
+    ends = rows.select(document).distinct().select(document, F.explode(F.array(F.struct(F.lit(0).alias("part"), F.lit(brackets[0]).alias("line")), F.struct(F.lit(2).alias("part"), F.lit(brackets[1]).alias("line")))).alias("e"))
+    every = lines.unionByName(ends.select(document, "e.part", F.lit(None).cast(rows.schema[order].dataType).alias("order"), "e.line"))
+    every.repartition(document).sortWithinPartitions(document, "part", "order").select(document, "line").write.partitionBy(document).text(path)
+
+
 def mark_ready(spark: SparkSession, folder: str, name: str = "READY") -> None:
     """A marker beside the data, after the folder's own _SUCCESS: raises if that is not there."""
     if not is_ready(spark, folder, "_SUCCESS"):
         raise ValueError(f"{folder} is not complete")
-    system, where = _path(spark, f"{folder.rstrip('/')}/{name}")
+    system, where = system_of(spark, f"{folder.rstrip('/')}/{name}")
     system.create(where, True).close()
 
 
 def is_ready(spark: SparkSession, folder: str, name: str = "READY") -> bool:
-    system, where = _path(spark, f"{folder.rstrip('/')}/{name}")
+    system, where = system_of(spark, f"{folder.rstrip('/')}/{name}")
     return bool(system.exists(where))
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:
     """One small file of a given name, through the file system that the path names."""
-    system, where = _path(spark, path)
+    system, where = system_of(spark, path)
     out = system.create(where, True)
     try:
         out.write(bytearray(text.encode()))

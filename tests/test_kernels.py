@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import itertools
+import random
+import tracemalloc
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tablescope.functions import align as A
+from tablescope.functions import diffs as D
 from tablescope.functions import markup as M
+from tablescope.functions import structure as S
 from tablescope.functions import text as T
+from tablescope.functions import trees
 from tablescope.operators.boxes import running_clusters
 
 
@@ -71,7 +77,7 @@ def test_policies():
     assert "<tbody><tr>" in M.wrapped(table).markup()
     assert [n.tag for n in M.flattened(table).elements()] == ["tr", "tr"]
     assert "<td>b c</td>" in M.canonical(table).markup() and "<th" not in M.canonical(table).markup().replace("<thead", "")
-    assert "<td><b>x</b></td>" in M.stripped(M.first_table("<table><tr><td><b> x </b></td></tr></table>")).markup()
+    assert "<td><b>x</b></td>" in M.prepared("<table><tr><td><b> x </b></td></tr></table>", "stripped").markup()
     assert M.similarity(loose, loose.replace("thead>", "tbody>"), "flattened")[0] > M.similarity(loose, loose.replace("thead>", "tbody>"), "none")[0]
 
 
@@ -188,3 +194,158 @@ def test_alignment_is_the_best_path(cells, regions):
         return max(out)
 
     assert abs(A.align(cells, regions)[2] - best(0, 0)) < 1e-9
+
+
+# Trees of any size
+
+
+def random_tree(rng: random.Random, n: int, depth: int = 4) -> M.Node:
+    """A table-like tree of n nodes, inner tags among the contents of its cells."""
+    root = M.Node("table")
+    inner = [(root, 0)]
+    for _ in range(n):
+        parent, d = rng.choice(inner[-3:] if rng.random() < 0.7 else inner)
+        if rng.random() < 0.6 or d >= depth:
+            cell = M.Node("td", {"colspan": "2"} if rng.random() < 0.2 else {}, [rng.choice(["a", "ab", "abc", "xyz", ""])])
+            if rng.random() < 0.3:
+                cell.children.append(M.Node("b", {}, [rng.choice("pq")]))
+            parent.children.append(cell)
+        else:
+            child = M.Node(rng.choice(["tr", "tbody", "div"]))
+            parent.children.append(child)
+            inner.append((child, d + 1))
+    return root
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_arrays_have_the_distance_of_lists(seed, monkeypatch):
+    """The same trees by rows of arrays and by lists, and small ones by brute force."""
+    rng = random.Random(seed)
+    n = rng.choice((3, 8, 30, 60))
+    a, b = (M.shape(random_tree(rng, rng.randint(0, n))) for _ in range(2))
+    monkeypatch.setattr(M, "SMALL", 1 << 40)
+    want = M.shape_distance(a, b)
+    monkeypatch.setattr(M, "SMALL", 0)
+    assert abs(M.shape_distance(a, b) - want) < 1e-9
+    monkeypatch.setattr(trees, "KEPT", 0)
+    assert abs(M.shape_distance(b, a) - want) < 1e-9
+
+
+def test_long_chains_and_wide_trees(monkeypatch):
+    """Paths to the left and to the right, and a row of leaves: one side each of both decompositions."""
+
+    def chain(n: int, left: bool) -> tuple:
+        tree = (("x", 1, 1, ()), ())
+        for k in range(n):
+            leaf = (("td", 1, 1, (str(k),)), ())
+            tree = ((f"t{k % 3}", 1, 1, ()), (tree, leaf) if left else (leaf, tree))
+        return tree
+
+    wide = (("x", 1, 1, ()), tuple((("td", 1, 1, (str(k % 7),)), ()) for k in range(50)))
+    every = [chain(30, True), chain(30, False), chain(9, True), wide]
+    for x in every:
+        for y in every:
+            monkeypatch.setattr(M, "SMALL", 1 << 40)
+            want = M.shape_distance(x, y)
+            monkeypatch.setattr(M, "SMALL", 0)
+            assert abs(M.shape_distance(x, y) - want) < 1e-9
+
+
+def test_bits_have_the_distance_of_rows():
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 90))) for _ in range(2))
+        assert trees.Pattern(a).distance(b) == T.distance(a, b)
+
+
+def large_table(rows: int, shift: int = 0) -> str:
+    cell = lambda r, c: f"<td>{(r * 7 + c * 3 + shift * (r % 5 == 0)) % 1000}</td>"
+    return "<table>" + "".join("<tr>" + "".join(cell(r, c) for c in range(4)) + "</tr>" for r in range(rows) if (r + shift) % 11) + "</table>"
+
+
+def test_tables_of_thousands_of_nodes_are_scored():
+    """4,000 nodes a side, nothing left out, in bounded memory."""
+    tracemalloc.start()
+    s, t, error = M.similarities(large_table(800), large_table(800, 3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert error is None and 0.8 < s <= 1 and 0.3 < t < s
+    assert peak < 400 << 20
+
+
+def test_ignored_nodes_are_taken_out_of_the_second_score():
+    bold, plain = "<table><tr><td><b>x</b> y</td></tr></table>", "<table><tr><td>x y</td></tr></table>"
+    assert M.similarities(bold, plain)[1] < 1
+    s, t, _ = M.similarities(bold, plain, ignore=("b",))
+    assert t == 1 and s == 1
+    inside = M.parse("<p><b>a<i>c<b>d</b></i></b>e</p>").without(("b",))
+    assert inside.markup() == "<document><p>a<i>cd</i>e</p></document>"
+    # nodes are counted after that: two of three inner nodes are left, and one is changed
+    assert abs(M.similarities("<table><tr><td><b>x</b></td></tr></table>", "<table><tr><td>y</td></tr></table>", ignore=("b",))[1] - (1 - 1 / 2)) < 1e-12
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_the_quick_parser_is_the_librarys(seed, monkeypatch):
+    rng = random.Random(seed)
+    parts = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<TH Colspan=\"2\">", "</th>", "<td rowspan='3' class=\"a b\">", "<br>", "<br/>", "<img src=\"x\" />", "a &amp; b", "x < y", "&lt;", " ", "<thead>", "<tbody>", "</b >", "<b>", "<td colspan=2>", "<!-- c -->", "<script>a<b</script>", "<td hidden>", "&nbsp", "</td x>", "<p/ >", "é"]
+    for _ in range(60):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        quick = M.parse(text).markup()
+        with monkeypatch.context() as m:
+            m.setattr(M, "_plain_tree", lambda _: None)
+            assert quick == M.parse(text).markup(), text
+
+
+# The reassembled document, a case for each branch
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ("<table><thead><tr><td> a </td></tr></thead><tbody><tr><td><b> b </b></td></tr></tbody></table>", "<thead><tr><td>a</td></tr></thead><tbody><tr><td><b>b</b></td></tr></tbody>"),
+        ("<table><thead><tr><td>a</td></tr></thead><tr><td> b</td></tr></table>", "<thead><tr><td>a</td></tr></thead><tbody><tr><td>b</td></tr></tbody>"),
+        ("<table><thead><tr><td>a</td></tr><tbody><tr><td>b</td></tr></tbody></table>", "<thead><tr><td>a</td></tr></thead><tbody><tr><td>b</td></tr></tbody>"),
+        ("<table><tr><td>a</td></tr><tbody><tr><td>b</td></tr></tbody></table>", "<thead><tr><td>a</td></tr></thead><tbody><tr><td>b</td></tr></tbody>"),
+        ("<table><tr><td>a</td></tr></tbody></table>", "<thead><tr><td>a</td></tr></thead><tbody></tbody>"),
+        ("<table><tr><td> a</td></tr></table>", "<thead><tr><td>a</td></tr></thead><tbody></tbody>"),
+        ("<table></table>", "<thead></thead><tbody></tbody>"),
+        ("<tr><td>a</td></tr>", "<thead><tr><td>a</td></tr></thead><tbody></tbody>"),
+        ("<table><thead></thead><tbody><td> a</td></table>", "<thead></thead><tbody><tr><td>a</td></tr></tbody>"),
+        ('<table><thead><tr><td colspan="2"> a b </td><td></td></tr></thead><tbody></tbody></table>', '<thead><tr><td colspan="2">a b</td><td></td></tr></thead><tbody></tbody>'),
+    ],
+)
+def test_reassembled(given, want):
+    assert M.reassembled(M.whole_document(given)) == f"<html><body><table>{want}</table></body></html>"
+
+
+@pytest.mark.parametrize("broken", ["<table><thead>loose</thead></table>", "<table><tr> <td>a</td></tr>\n</table>", "<table><tbody>x</tr></tbody></table>"])
+def test_malformed_rows_are_errors(broken):
+    with pytest.raises(ValueError, match="no cell"):
+        M.reassembled(M.whole_document(broken))
+    assert M.similarities(broken, "<table><tr><td>a</td></tr></table>", "stripped")[:2] == (0.0, 0.0)
+
+
+def test_texts_by_row():
+    assert S.otsl_markup_by_row(["fcel", "lcel", "nl", "nl", "fcel", "ecel"], [["a"], ["b", "c"]]) == '<tr><td colspan="2">a</td></tr><tr><td>b</td><td>c</td></tr>'
+    for rows in ([["a"]], [["a"], ["b"]], [["a", "x"], ["b"]], [["a"], ["b", "c"], []]):
+        with pytest.raises(ValueError, match="row"):
+            S.otsl_markup_by_row(["fcel", "lcel", "nl", "fcel", "ecel"], rows)
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_clusters_are_the_best_cuts(seed):
+    """Against all ways to cut the different positions."""
+    rng = random.Random(seed)
+    x = [rng.randint(0, 30) for _ in range(rng.randint(1, 11))]
+    k, some = rng.randint(1, 5), sorted(set(x))
+    spread = lambda part: sum((v - sum(part) / len(part)) ** 2 for v in part)
+    got = D.centres([float(v) for v in x], k)
+    assert len(got) == k and got == sorted(got)
+    if len(some) > k:
+        every = lambda a, b: [v for v in x if some[a] <= v <= some[b - 1]]
+        cuts = [(0, *c, len(some)) for c in itertools.combinations(range(1, len(some)), k - 1)]
+        best = min(sum(spread(every(a, b)) for a, b in itertools.pairwise(c)) for c in cuts)
+        mine = sum(min((v - c) ** 2 for c in got) for v in x)
+        assert mine <= best + 1e-9
+    counted = {v: x.count(v) for v in some}
+    assert D.centres(list(map(float, counted)), k, list(counted.values())) == pytest.approx(got)
