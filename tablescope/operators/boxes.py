@@ -2,21 +2,67 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geometry as g
 from ..functions.text import kernel_column
+from ..session import written
+
+
+#: Boxes of a sample, of both sides, from which on they are dealt out over a grid.
+HOT = 1024
+#: Boxes to a tile, about.
+PER_TILE = 8
+
+
+def pairs(a: DataFrame, b: DataFrame, test: Column | None = None, hot: int = HOT) -> DataFrame:
+    """Pairs of a sample's boxes (idx, box) and (other, other_box) that intersect, or meet another test, which implies that they share a point.
+
+    Samples meet by their names. One with more than `hot` boxes is cut into tiles, of which a box goes to all that it reaches; a
+    pair counts in the tile of the first corner that both boxes hold. Tiles are as large as the mean box at least, so that a box
+    that reaches many tiles meets many boxes too: work grows with the pairs that are found, not with all pairs.
+    """
+    sides = a.select("sample", "box").union(b.select("sample", "box"))
+    grid = _grid(sides, hot)
+    left = _tiled(a.select("sample", "idx", "box"), grid)
+    right = _tiled(b.select("sample", F.col("idx").alias("other"), F.col("box").alias("other_box")), grid, "other_box").select("sample", "tx", "ty", "other", "other_box")
+    x, y = F.greatest("box.x0", "other_box.x0"), F.greatest("box.y0", "other_box.y0")
+    here = F.col("x_step").isNull() | ((_tile(x, "x") == F.col("tx")) & (_tile(y, "y") == F.col("ty")))
+    met = left.join(right, ["sample", "tx", "ty"]).where(g.intersects(F.col("box"), F.col("other_box")) if test is None else test)
+    return met.where(here).select("sample", "idx", "box", "other", "other_box")
+
+
+def _grid(boxes: DataFrame, hot: int) -> DataFrame:
+    """sample, and first corner and size of the tiles of each sample that has more than `hot` boxes."""
+    b = F.col("box")
+    per = boxes.groupBy("sample").agg(
+        F.count("*").alias("n"), F.min(F.least(b["x0"], b["x1"])).alias("x_first"), F.min(F.least(b["y0"], b["y1"])).alias("y_first"), F.max(F.greatest(b["x0"], b["x1"])).alias("x_last"), F.max(F.greatest(b["y0"], b["y1"])).alias("y_last"),
+        F.avg(F.abs(b["x1"] - b["x0"])).alias("x_mean"), F.avg(F.abs(b["y1"] - b["y0"])).alias("y_mean"),
+    ).where(F.col("n") > hot)
+    tiles = F.ceil(F.sqrt(F.col("n") / PER_TILE))
+    step = lambda axis: F.greatest((F.col(f"{axis}_last") - F.col(f"{axis}_first")) / tiles, F.col(f"{axis}_mean"), F.lit(1e-9)).alias(f"{axis}_step")
+    return per.select("sample", "x_first", "y_first", step("x"), step("y"))
+
+
+def _tile(value: Column, axis: str) -> Column:
+    return F.floor((value - F.col(f"{axis}_first")) / F.col(f"{axis}_step")).cast("int")
+
 
+def _tiled(rows: DataFrame, grid: DataFrame, box: str = "box") -> DataFrame:
+    """Rows once for each tile (tx, ty) that their boxes reach; those of other samples once."""
+    reach = lambda axis: F.sequence(_tile(F.least(f"{box}.{axis}0", f"{box}.{axis}1"), axis), _tile(F.greatest(f"{box}.{axis}0", f"{box}.{axis}1"), axis))
+    one = F.array(F.lit(0))
+    spread = rows.join(grid, "sample", "left")
+    for axis in ("x", "y"):
+        spread = spread.withColumn(f"t{axis}", F.explode(F.when(F.col("x_step").isNull(), one).otherwise(reach(axis))))
+    return spread
 
-def pairs(a: DataFrame, b: DataFrame, test: Column | None = None) -> DataFrame:
-    """Pairs of a sample's boxes (idx, box) and (other, other_box) that intersect, or meet another test."""
-    other = b.select("sample", F.col("idx").alias("other"), F.col("box").alias("other_box"))
-    return a.select("sample", "idx", "box").join(other, "sample").where(g.intersects(F.col("box"), F.col("other_box")) if test is None else test)
+
+def all_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """All pairs of a sample's boxes, whether they are near or not."""
+    return a.select("sample", "idx", "box").join(b.select("sample", F.col("idx").alias("other"), F.col("box").alias("other_box")), "sample")
 
 
 def best_match(a: DataFrame, b: DataFrame, least: float = 0.1) -> DataFrame:
@@ -30,17 +76,21 @@ def best_match(a: DataFrame, b: DataFrame, least: float = 0.1) -> DataFrame:
 
 
 def greedy_matches(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
-    """One-to-one pairs of a sample's boxes, from the highest IoU on, ties to higher idx; sequential within a sample."""
-    from ..functions.markup import greedy_match
-
-    found = pairs(a, b).select("sample", "idx", "other", g.iou(F.col("box"), F.col("other_box")).alias("iou")).where(F.col("iou") >= least)
-    lists = found.groupBy("sample").agg(F.collect_list(F.struct("iou", "idx", "other")).alias("found"))  # a sample's pairs
-
-    def each(column: pd.Series) -> pd.Series:
-        return column.map(lambda some: [{"idx": p, "other": t} for p, t in greedy_match([(x["iou"], x["idx"], x["other"]) for x in some], least)])
-
-    taken = F.pandas_udf(each, "array<struct<idx: int, other: int>>")
-    return lists.select("sample", F.inline(taken("found")))
+    """One-to-one pairs of a sample's boxes, from the highest IoU on, ties to higher idx, then other: sample, idx, other.
+
+    In that order no two pairs are equal. A pair that is the best of both its boxes is taken by the walk from the top whatever
+    else there is, so all such pairs are taken at once, pairs of their boxes go, and so on until none is left: as many rounds as
+    the longest chain of boxes whose pairs get better and better. No sample is gathered.
+    """
+    left = written(pairs(a, b).select("sample", "idx", "other", g.iou(F.col("box"), F.col("other_box")).alias("iou")).where(F.col("iou") >= least), "pairs")
+    taken = left.select("sample", "idx", "other").limit(0)
+    while not left.isEmpty():
+        order = F.struct("iou", "idx", "other")
+        best = lambda *side: F.max(order).over(W.partitionBy("sample", *side))
+        now = written(left.withColumns({"mine": best("idx"), "yours": best("other")}).where((F.col("mine") == order) & (F.col("yours") == order)).select("sample", "idx", "other"), "taken")
+        taken = taken.union(now)
+        left = written(left.join(now.select("sample", "idx"), ["sample", "idx"], "left_anti").join(now.select("sample", "other"), ["sample", "other"], "left_anti").select("sample", "idx", "other", "iou"), "pairs")
+    return taken
 
 
 def match_rates(a: DataFrame, b: DataFrame, matches: DataFrame) -> DataFrame:
@@ -53,8 +103,9 @@ def match_rates(a: DataFrame, b: DataFrame, matches: DataFrame) -> DataFrame:
 
 def first_box_of_point(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """Of points (sample, idx, x, y) the first box, by idx, that holds each, bounds included; null for none."""
-    other = boxes.select("sample", F.col("idx").alias("cell"), "box")
-    found = points.join(other, "sample").where(g.contains_point(F.col("box"), F.col("x"), F.col("y"))).groupBy("sample", "idx").agg(F.min("cell").alias("cell"))
+    at = points.select("sample", "idx", g.box(F.col("x"), F.col("y"), F.col("x"), F.col("y")).alias("box"))
+    inside = g.contains_point(F.col("other_box"), F.col("box.x0"), F.col("box.y0"))
+    found = pairs(at, boxes, inside).groupBy("sample", "idx").agg(F.min("other").alias("cell"))
     return points.select("sample", "idx").join(found, ["sample", "idx"], "left")
 
 

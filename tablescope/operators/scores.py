@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import sets
+
 PERFECT = 1.0
 
 
@@ -17,23 +19,46 @@ def exact_mean(column: Column) -> Column:
 
 
 def exact_median(column: Column) -> Column:
+    """As an aggregate, for groups of few different values; `medians` is for any."""
     return F.median(column)
 
 
 def upper_median(column: str) -> Column:
-    """Of an even number of values the larger of the two in the middle; without collecting a group."""
+    """Of an even number of values the larger of the two in the middle, as an aggregate."""
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)")
 
 
+def medians(rows: DataFrame, by: Sequence[str], value: str, middle: str = "middle", upper: str = "upper") -> DataFrame:
+    """The exact median of each group, and, of an even number of values, the larger of the two in the middle.
+
+    Equal values are counted first; the different ones are ranked in ranges, so that no task holds a group. Nulls do not count;
+    groups without a value have no row.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    placed = sets.cumulated(counted, by, [F.asc(value)], F.col("n"))
+    at = lambda place: F.max(F.when(F.col("ahead") <= place, F.col(value)))  # noqa: E731  the last value that begins there or before
+    low, high = at(F.floor((F.col("of") - 1) / 2)), at(F.floor(F.col("of") / 2))
+    return placed.groupBy(*by).agg(((low.cast("double") + high.cast("double")) / 2).alias(middle), high.cast("double").alias(upper))
+
+
+def same_group(a: DataFrame, b: DataFrame, by: Sequence[str]) -> Column:
+    """Null-safe equality of the columns `by`; all rows without any, where both sides have one row."""
+    test = F.lit(True)
+    for c in by:
+        test = test & a[c].eqNullSafe(b[c])
+    return test
+
+
 def summary(scores: DataFrame, by: Sequence[str] = (), perfect_eps: float = 0.0) -> DataFrame:
-    """Rows, means, medians and perfect scores of each group, in one pass."""
+    """Rows, means, medians and perfect scores of each group."""
 
     def perfect(c: str) -> Column:
         return F.count_if(F.abs(F.col(c) - PERFECT) <= perfect_eps)
 
-    return scores.groupBy(*by).agg(
-        F.count("*").alias("num_samples"), exact_mean(F.col("teds_s")).alias("teds_s"), exact_mean(F.col("teds")).alias("teds"), exact_median(F.col("teds")).alias("median_teds"), perfect("teds_s").alias("teds_s_1"), perfect("teds").alias("teds_1")
-    )
+    totals = scores.groupBy(*by).agg(F.count("*").alias("num_samples"), exact_mean(F.col("teds_s")).alias("teds_s"), exact_mean(F.col("teds")).alias("teds"), perfect("teds_s").alias("teds_s_1"), perfect("teds").alias("teds_1"))
+    found = medians(scores, by, "teds", "median_teds").drop("upper")
+    both = totals.join(found, same_group(totals, found, by), "left")
+    return both.select(*[totals[c] for c in by], "num_samples", "teds_s", "teds", "median_teds", "teds_s_1", "teds_1")
 
 
 def compared(a: DataFrame, b: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -96,12 +121,10 @@ def top_per_group(rows: DataFrame, group: str, order: Sequence[Column], k: int)
 
 
 def quantile_picks(rows: DataFrame, group: str, order: Sequence[Column]) -> DataFrame:
-    """The rows at 0, 1/4, 1/2, 3/4 and the end of each group's order."""
-    n = F.count("*").over(W.partitionBy(group))
-    at = F.row_number().over(W.partitionBy(group).orderBy(*order)) - 1
-    placed = rows.withColumn("place", at).withColumn("of", n)
-    wanted = F.array(F.lit(0), *(F.floor(F.col("of") * q / 4) for q in (1, 2, 3)), F.col("of") - 1)
-    return placed.where(F.array_contains(wanted.cast("array<bigint>"), F.col("place").cast("long")))
+    """The rows at 0, 1/4, 1/2, 3/4 and the end of each group's order, which is total; groups of any size, in ranges."""
+    placed = sets.cumulated(rows, [group], order, F.lit(1).cast("long"))
+    wanted = F.array(F.lit(0).cast("long"), *(F.floor(F.col("of") * q / 4) for q in (1, 2, 3)), F.col("of") - 1)
+    return placed.where(F.array_contains(wanted, F.col("ahead")))
 
 
 def cohorts(scores: DataFrame, flag: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import written
+
 
 def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right.select(key).distinct(), key, "left_anti")
@@ -99,6 +101,28 @@ def numbered(rows: DataFrame, order: Sequence[str], parts: int = 64) -> DataFram
     return keyed.withColumn("__inside", inside).join(F.broadcast(sizes), "__part").withColumn("index", (F.col("__inside") + F.col("__before")).cast("long")).drop("__part", "__inside", "__before")
 
 
+def cumulated(rows: DataFrame, group: Sequence[str], order: Sequence[Column], n: Column) -> DataFrame:
+    """Rows with `ahead`, the sum of n over the rows of their group that come before, and `of`, the sum over the group.
+
+    The rows are ranged by group and order and written, so that a group of any size is spread over many ranges, and what is
+    counted is what is there. A row for each range and group is all that the sums over a group's ranges see. The order is total
+    within a group; null groups are groups.
+    """
+    names = list(group)
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = written(rows.withColumn("__n", n).repartitionByRange(parts, *names, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    per = ranged.groupBy("__range", *names).agg(F.sum("__n").alias("__sum"))
+    whole = W.partitionBy(*names)
+    before = F.coalesce(F.sum("__sum").over(whole.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    per = per.select(F.col("__range").alias("__r"), *[F.col(f"`{c}`").alias(f"__g{k}") for k, c in enumerate(names)], before.alias("__before"), F.sum("__sum").over(whole).alias("of"))
+    inside = F.sum("__n").over(W.partitionBy("__range", *names).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")
+    same = F.col("__range") == F.col("__r")
+    for k, c in enumerate(names):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"__g{k}"))
+    placed = ranged.withColumn("__inside", inside).join(per, same)
+    return placed.withColumn("ahead", F.col("__inside") + F.col("__before")).select(*[F.col(f"`{c}`") for c in rows.columns], "ahead", "of")
+
+
 def modulo_shard(index: Column, shards: int) -> Column:
     return F.pmod(index, F.lit(shards)).cast("int")
 

@@ -1,7 +1,7 @@
 """Table functions for lateral joins: the logical cells of markup, of structure tokens and of OTSL tokens, a row each.
 
-In SQL, after `register(spark)`: SELECT t.sample, c.* FROM t, LATERAL table_cells(t.markup) c. In the DataFrame API:
-`tables.lateralJoin(table_cells(F.col("markup").outer()))`.
+In SQL, after `register(spark)`: SELECT t.sample, c.* FROM t, LATERAL cells_of_markup(t.markup) c. In the DataFrame API:
+`tables.lateralJoin(cells_of_markup(F.col("markup").outer()))`.
 """
 
 from __future__ import annotations
@@ -46,11 +46,11 @@ class _OtslCells:
             yield *row, c.header
 
 
-table_cells = F.udtf(_TableCells, returnType=f"{GRID}, text string, header boolean")
-token_cells = F.udtf(_TokenCells, returnType=GRID)
-otsl_cells = F.udtf(_OtslCells, returnType=f"{GRID}, header boolean")
+cells_of_markup = F.udtf(_TableCells, returnType=f"{GRID}, text string, header boolean")
+cells_of_tokens = F.udtf(_TokenCells, returnType=GRID)
+cells_of_otsl = F.udtf(_OtslCells, returnType=f"{GRID}, header boolean")
 
 
 def register(spark: SparkSession) -> None:
-    for name, f in (("table_cells", table_cells), ("token_cells", token_cells), ("otsl_cells", otsl_cells)):
+    for name, f in (("cells_of_markup", cells_of_markup), ("cells_of_tokens", cells_of_tokens), ("cells_of_otsl", cells_of_otsl)):
         spark.udtf.register(name, f)

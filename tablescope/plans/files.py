@@ -3,29 +3,18 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import select, sets
+from ..session import folder
 from ..sources import published, readers, writers
 from ..streaming import notify, polls
 from .registry import query
 from .relations import BOXES_SQL, boxes, table
 
 
-def folder(spark: SparkSession, tag: str) -> str:
-    """A new place in the shared folder that the cluster names; a local one only where driver and executors are one process."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if spark.sparkContext.master.split("[")[0] != "local":  # local-cluster is a cluster
-            raise ValueError("spark.checkpoint.dir is not set")
-        where = f"file://{tempfile.gettempdir()}"
-    return f"{where.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name"), "n_regionkey")
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import align, diffs, markup, structure
+from ..functions import geometry as g
 from ..functions.text import kernel_column
 from ..operators import boxes as b
 from ..operators import scores as s
 from ..operators import reconstruct, tables, tracks
 from .registry import query
-from .relations import BOXES_SQL, TABLES_SQL, boxes
+from .relations import BOXES_SQL, ORDER, TABLES_SQL, boxes, table
 from .relations import tables as markup_tables
 
 ROW = "'<tr><td>' || l_partkey || '</td><td>' || l_returnflag || '</td><td>' || l_linestatus || '</td></tr>'"
@@ -261,9 +263,12 @@ def q91_cells_by_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup_tables(spark, sf_dir).select("sample", F.inline(found))
 
 
-@query(f"{TABLES_SQL}, {CELLS}, f AS (SELECT sample, min(idx * 3 + c) FILTER (c = 2 AND text = 'F') AS place, max(idx) AS last FROM cells GROUP BY 1) SELECT sample, CASE WHEN place IS NOT NULL THEN 'text ' || place || ': ''F'' / ''G''' END AS callouts FROM f")
+@query(f"""{TABLES_SQL}, {CELLS}, f AS (SELECT sample, min(idx * 3 + c) FILTER (c = 2 AND text = 'F') AS place, max(idx) AS last, max_by(text, idx) FILTER (c = 0) AS final FROM cells GROUP BY 1)
+SELECT sample, CASE sample % 3 WHEN 0 THEN CASE WHEN place IS NOT NULL THEN 'text ' || place || ': ''F'' / ''G''' END WHEN 1 THEN 'shape ' || (last + 1) || 'x3 / ' || CASE WHEN last = 0 THEN '0x0' ELSE last || 'x3' END || '; text ' || (last * 3) || ': ''' || final || ''' / None' ELSE 'markup' END AS callouts FROM f""")
 def q92_first_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    other = F.replace("markup", F.lit("<td>F</td></tr>"), F.lit("<td>G</td></tr>"))
+    """A cell's text replaced, the last row left out, or other markup inside of a cell."""
+    k = F.col("sample") % 3
+    other = F.when(k == 0, F.replace("markup", F.lit("<td>F</td></tr>"), F.lit("<td>G</td></tr>"))).when(k == 1, F.regexp_replace("markup", "<tr>(?!.*<tr>).*</tr>", "")).otherwise(F.regexp_replace("markup", "^<table><tr><td>([0-9]+)", "<table><tr><td><b>$1</b>"))
     found = _html(lambda a, c: "; ".join(structure.difference_callouts(a, c)) or None, F.col("markup"), other)
     return markup_tables(spark, sf_dir).select("sample", found.alias("callouts"))
 
@@ -299,10 +304,14 @@ def q95_similarity_of_one_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.scored_pairs(rows.withColumn("markup", more), rows).select("sample", "teds_s", "teds")
 
 
-@query(f"{TABLES_SQL} SELECT l_orderkey AS sample, 0e0 AS teds_s, 0e0 AS teds, 'no table' AS error, 1e0 AS edit_distance FROM items GROUP BY 1")
+@query(f"""{TABLES_SQL}, n AS (SELECT sample, markup, regexp_replace(markup, '^<table><tr>.*?</tr>', '<table>') AS less, len(string_split(markup, '<tr>')) - 1 AS n FROM tables), s AS (SELECT *, CASE sample % 3 WHEN 0 THEN 0e0 WHEN 1 THEN 1 - 4 * 1e0 / (n * 4) ELSE 1e0 END AS v FROM n)
+SELECT sample, v AS teds_s, v AS teds, CASE sample % 3 WHEN 0 THEN 'no table' END AS error, CASE sample % 3 WHEN 0 THEN 1e0 WHEN 1 THEN (length(markup) - length(less)) / length(markup)::DOUBLE ELSE 0e0 END AS edit_distance FROM s""")
 def q96_missing_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No prediction for a third of the tables, one without the first row for another, and the table itself."""
     rows = markup_tables(spark, sf_dir)
-    return tables.scored_pairs(rows.limit(0), rows).select("sample", "teds_s", "teds", "error", "edit_distance")
+    less = F.regexp_replace("markup", "^<table><tr>.*?</tr>", "<table>")
+    some = rows.where("sample % 3 > 0").withColumn("markup", F.when(F.col("sample") % 3 == 1, less).otherwise(F.col("markup")))
+    return tables.scored_pairs(some, rows).select("sample", "teds_s", "teds", "error", "edit_distance")
 
 
 @query(f"""{TABLES_SQL}, {CELLS}, k AS (SELECT sample, idx * 3 + c AS k, text FROM cells) SELECT sample, count(*)::INT AS cells, count(*)::INT AS regions, count(*)::INT AS mapped_cells, 0::INT AS skipped_regions, 1e0 AS coverage, 1e0 AS weighted_similarity, 'accepted' AS reason FROM k GROUP BY 1""")
@@ -321,11 +330,27 @@ def q98_difference_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sample", s.difference_labels(a, c, a, c, F.when(more, 0.5).otherwise(1.0), F.lit(0.5)).alias("labels"))
 
 
+#: Statistics of two tables by name: a number of each order's line items, and that number moved on where the other key says so.
+_STATISTICS = ("thead", "tbody", "thead_tr", "tbody_tr", "tr", "td", "rowspan", "colspan", "empty_td")
+_DIFFER = ", ".join(f"(p // {3 + k}) % {2 + k} = 0 AS {name}" for k, name in enumerate(_STATISTICS))
+_COUNTS = ", ".join(f"CASE WHEN {name} THEN '{label}' END" for name, label in s.COUNT_LABELS)
+
+
+@query(f"""{TABLES_SQL}, o AS (SELECT l_orderkey AS sample, sum(l_partkey)::BIGINT AS p, sum(l_suppkey)::BIGINT AS s FROM items GROUP BY 1), d AS (SELECT sample, p, s, {_DIFFER} FROM o)
+SELECT sample, CASE WHEN len(found) = 0 THEN ['uncategorized'] ELSE found END AS labels FROM (SELECT sample, list_filter([CASE WHEN thead OR tbody THEN 'raw_section_convention_mismatch' END, CASE WHEN thead_tr OR tbody_tr THEN 'normalized_thead_tbody_split_mismatch' END,
+  {_COUNTS}, CASE WHEN s % 3 = 0 THEN 'content_only_difference' END, CASE WHEN s % 3 = 1 THEN 'structural_difference' END], lambda x: x IS NOT NULL) AS found FROM d)""")
+def q98b_all_difference_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics that differ each on its own, so that each label occurs, in many combinations."""
+    o = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("sample")).agg(F.sum("l_partkey").cast("long").alias("p"), F.sum("l_suppkey").cast("long").alias("s"))
+    other = lambda k: F.when(F.floor(F.col("p") / (3 + k)) % (2 + k) == 0, F.col("p") + 1).otherwise(F.col("p"))
+    a, c = F.struct(*[F.col("p").alias(x) for x in _STATISTICS]), F.struct(*[other(k).alias(x) for k, x in enumerate(_STATISTICS)])
+    scored = F.when(F.col("s") % 3 == 1, 0.5).otherwise(1.0), F.when(F.col("s") % 3 == 2, 1.0).otherwise(0.5)
+    return o.withColumns({"a": a, "c": c}).select("sample", s.difference_labels(F.col("a"), F.col("c"), F.col("a"), F.col("c"), *scored).alias("labels"))
+
+
 @query(f"""{TABLES_SQL}, n AS (SELECT l_orderkey AS sample, count(*) AS n, min(l_suppkey) AS k FROM items GROUP BY 1), r AS (SELECT CASE WHEN k % 7 = 0 THEN 'missing_ocr' WHEN k % 7 = 1 THEN 'html_or_otsl' WHEN n > 5 THEN 'cell_count' WHEN k % 7 = 2 THEN 'no_regions' WHEN k % 7 = 3 THEN 'low_coverage' WHEN k % 7 = 4 THEN 'low_similarity' ELSE 'accepted' END AS reason FROM n)
 SELECT reason, count(*) AS n FROM r GROUP BY 1""")
 def q99_rejection_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .relations import table
-
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.min("l_suppkey").alias("k"))
     k = F.col("k") % 7
     reason = s.pseudo_label_reason(k != 0, k != 1, F.col("n"), F.when(k != 2, 1), F.when(k == 3, 0.5).otherwise(0.9), F.when(k == 4, 0.5).otherwise(0.9), most_cells=5)
@@ -430,10 +455,19 @@ def q107_rebuilt_from_ruled_lines(spark: SparkSession, sf_dir: str) -> DataFrame
     return _flat(made.where("reconstructed")).drop("cell_idx", "reconstructed")
 
 
-@query(f"{_GRID} SELECT sample, count(*) AS cells, 1::BIGINT AS reconstructed, 0::BIGINT AS invalid, 0::BIGINT AS overlaps, 'reconstructed_without_detected_geometry_issue' AS causes FROM boxes JOIN grid USING (sample) GROUP BY 1")
+@query(f"""{BOXES_SQL}, n AS (SELECT sample, count(*) AS n, CASE WHEN count(*) > 1 THEN sample % 6 ELSE 5 END AS k FROM boxes GROUP BY 1, sample)
+SELECT sample, n AS cells, (k < 5)::BIGINT AS reconstructed, (k = 0)::BIGINT AS invalid, (k IN (1, 4))::BIGINT AS overlaps, (k IN (2, 4))::BIGINT AS huge, CASE k WHEN 0 THEN 'invalid_zero_area' WHEN 1 THEN 'overlap_from_tight_text_boundaries' WHEN 2 THEN 'oversized_interpolated_cells' WHEN 3 THEN 'reconstructed_without_detected_geometry_issue'
+  WHEN 4 THEN 'overlap_from_tight_text_boundaries;oversized_interpolated_cells' ELSE 'no_reconstruction_needed' END AS causes FROM n""")
 def q108_reconstruction_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells, extents = _grid_cells(spark, sf_dir)
-    return reconstruct.diagnostics(reconstruct.with_boxes(cells, extents), extents).select("sample", "cells", "reconstructed", "invalid", "overlaps", "causes")
+    """The second box of each grid was made anew: without an area, over its neighbour, far too large, as it should be, large and over its neighbour, or not at all."""
+    idx, k = F.col("idx"), F.col("sample") % 6
+    row, column = F.floor(idx / 3).cast("int"), (idx % 3).cast("int")
+    edge = lambda *values: F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
+    made = g.box(edge(20.0, 10.0, 20.0, 20.0, 10.0, 20.0), edge(0.0, 0.0, -400.0, 0.0, -400.0, 0.0), edge(20.0, 40.0, 40.0, 40.0, 40.0, 40.0), edge(10.0, 10.0, 0.0, 10.0, 10.0, 10.0))
+    plain = g.box((column * 20).cast("double"), (row * 10).cast("double"), (column * 20 + 20).cast("double"), (row * 10 + 10).cast("double"))
+    cells = boxes(spark, sf_dir).select("sample", idx.alias("cell_idx"), row.alias("r0"), (row + 1).alias("r1"), column.alias("c0"), (column + 1).alias("c1"), F.when(idx == 1, made).otherwise(plain).alias("box"), ((idx == 1) & (k < 5)).alias("reconstructed"))
+    extents = cells.select("sample").distinct().select("sample", F.lit(60).alias("width"), F.lit(40).alias("height"))
+    return reconstruct.diagnostics(cells, extents).select("sample", "cells", "reconstructed", "invalid", "overlaps", "huge", "causes")
 
 
 @query(f"{BOXES_SQL}, l AS (SELECT sample, idx, x0, x0 + (idx % 3) * 2 - 1 AS line FROM boxes WHERE idx = 0) SELECT sample, idx::INT AS idx, (x0 - 1)::DOUBLE AS position FROM l")
@@ -443,16 +477,28 @@ def q109_nearest_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.nearest_line(guesses, lines, F.lit(100.0)).select("sample", "idx", "position")
 
 
-@query("SELECT 1::INT AS k, '0:0-2:1.0;1:3-1:1.0' AS found, 1::INT AS skipped")
-def q110_alignment_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def path(cells: list, regions: list) -> dict:
-        found, skipped, _ = align.align(list(cells), list(regions))
-        return {"found": ";".join(f"{c}:{a}-{n}:{v}" for c, (a, n, v) in sorted(found.items())), "skipped": skipped}
-
-    rows = spark.createDataFrame([(1, ["ab cd", "xyz"], ["ab", "cd", "qqqqqq", "xyz"])], "k int, c array<string>, r array<string>")
-    return rows.select("k", _html(path, F.col("c"), F.col("r"), kind="struct<found: string, skipped: int>").alias("f")).select("k", "f.*")
+#: Texts of one letter each: their common subsequence is as long as that letter is frequent in both. v: the best values of the first i cells against each number of first regions.
+_ALIGN = f"""{TABLES_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, t AS (SELECT l_orderkey AS sample, idx, lower(l_returnflag) AS f, 1 + l_quantity::BIGINT % 4 AS n, l_partkey AS p, l_suppkey AS s FROM items),
+c AS (SELECT sample, list(repeat(f, n::INT) ORDER BY idx) AS cells, flatten(list(CASE p % 3 WHEN 0 THEN [f, repeat(f, n::INT)] WHEN 1 THEN [repeat(f, n::INT + 1)] ELSE [repeat(f, n::INT)] END || CASE WHEN s % 4 = 0 THEN ['zz'] ELSE [] END ORDER BY idx)) AS r FROM t GROUP BY 1),
+walk AS (SELECT sample, cells, r, 0 AS i, list_transform(range(0, len(r) + 1), lambda j: -0.28e0 * j) AS v FROM c
+  UNION ALL SELECT sample, cells, r, i + 1, list_transform(range(0, len(r) + 1), lambda j: list_max(list_transform(range(0, j + 1), lambda k: base[k + 1] - 0.28e0 * (j - k)))) FROM (
+    SELECT sample, cells, r, i, list_transform(range(0, len(r) + 1), lambda j: list_max([v[j + 1] - 0.85e0] || list_transform(range(1, least(8, j) + 1), lambda m: v[j - m + 1] - 0.72e0 - 0.025e0 * (m - 1) + 4e0 *
+      least(length(cells[i + 1]), length(array_to_string(r[j - m + 1 : j], '')) - length(replace(array_to_string(r[j - m + 1 : j], ''), cells[i + 1][1], ''))) / (length(cells[i + 1]) + length(array_to_string(r[j - m + 1 : j], '')))))) AS base
+    FROM walk WHERE i < len(cells)))"""
 
 
+@query(f"{_ALIGN} SELECT sample, len(cells)::INT AS cells, len(r)::INT AS regions, round(v[len(r) + 1], 6) AS value FROM walk WHERE i = len(cells)")
+def q110_alignment_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best value of aligning each order's cells with regions that are cut in two, longer, or strange, beside the recurrence in SQL."""
+    li = table(spark, sf_dir, "lineitem")
+    idx, f, n = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*ORDER)), F.col("l_returnflag"), (1 + F.col("l_quantity").cast("long") % 4).cast("int")
+    p = F.col("l_partkey") % 3
+    some = F.when(p == 0, F.array(f, F.repeat(f, n))).when(p == 1, F.array(F.repeat(f, n + 1))).otherwise(F.array(F.repeat(f, n)))
+    more = F.when(F.col("l_suppkey") % 4 == 0, F.array(F.lit("zz"))).otherwise(F.array().cast("array<string>"))
+    rows = li.select(F.col("l_orderkey").alias("sample"), F.struct(idx.alias("idx"), F.repeat(f, n).alias("c"), F.concat(some, more).alias("r")).alias("x")).groupBy("sample").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    both = rows.select("sample", F.transform("x", lambda x: x["c"]).alias("c"), F.flatten(F.transform("x", lambda x: x["r"])).alias("r")).repartition(spark.sparkContext.defaultParallelism, F.xxhash64("sample"))
+    value = _html(lambda c, r: align.align(list(c), list(r))[2], F.col("c"), F.col("r"), kind="double")
+    return both.select("sample", F.size("c").alias("cells"), F.size("r").alias("regions"), F.round(value, 6).alias("value"))
 
 
 @query(f"{_GRID} SELECT sample, max(idx // 3 + 1)::INT AS num_rows, 3::INT AS num_cols, count(*) AS total_cells, 1::BIGINT AS reconstructed_bboxes, max(CASE WHEN idx = 1 AND text = 'N' THEN 1 ELSE 0 END)::BIGINT AS reconstructed_empty_bboxes FROM boxes JOIN grid USING (sample) GROUP BY 1")

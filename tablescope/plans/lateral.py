@@ -55,7 +55,7 @@ def q71b_cells_with_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = _by_sample(_items(spark, sf_dir), line, "lines").select("sample", F.concat(F.lit("<table>"), F.array_join("lines", ""), F.lit("</table>")).alias("markup"))
     tables.createOrReplaceTempView("tables_with_spans")
     table_functions.register(spark)
-    return spark.sql("SELECT t.sample, c.cell_idx, c.r0, c.r1, c.c0, c.c1, c.text FROM tables_with_spans t, LATERAL table_cells(t.markup) c")
+    return spark.sql("SELECT t.sample, c.cell_idx, c.r0, c.r1, c.c0, c.c1, c.text FROM tables_with_spans t, LATERAL cells_of_markup(t.markup) c")
 
 
 @query(f"""WITH RECURSIVE {_CELLS}, {_WALK}
@@ -65,7 +65,7 @@ def q73b_token_cells_with_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = lambda c: F.array_compact(F.array(F.when((c["high"] == 1) & (c["wide"] == 1), F.lit("<td>")).otherwise(F.lit("<td")), F.nullif(_attribute("rowspan", c["high"]), F.lit("")), F.nullif(_attribute("colspan", c["wide"]), F.lit("")), F.when((c["high"] > 1) | (c["wide"] > 1), F.lit(">")), F.lit("</td>")))
     line = F.concat(F.array(F.lit("<tr>")), F.flatten(F.transform("cells", cell)), F.array(F.lit("</tr>")))
     rows = _by_sample(_items(spark, sf_dir), line, "lines").select("sample", F.flatten("lines").alias("tokens"), (F.size("lines") * 3 - F.col("sample") % 3).cast("int").alias("contents"))
-    found = rows.lateralJoin(table_functions.token_cells(F.col("tokens").outer(), F.col("contents").outer()))
+    found = rows.lateralJoin(table_functions.cells_of_tokens(F.col("tokens").outer(), F.col("contents").outer()))
     return found.select("sample", "cell_idx", "r0", "r1", "c0", "c1")
 
 
@@ -91,4 +91,4 @@ def q80b_otsl_with_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.when(q % 5 != 0, F.array(pick(s % 4, "ucel", "xcel", "lcel", "ched"))).otherwise(F.array().cast("array<string>"))
     line = F.concat(F.array(F.when(p % 4 == 0, F.lit("ucel")).otherwise(F.lit("fcel")), pick(p % 3, "lcel", "ecel", "rhed")), third, F.array(F.lit("nl")))
     rows = _by_sample(li, line, "lines").select("sample", F.flatten("lines").alias("tokens"))
-    return rows.lateralJoin(table_functions.otsl_cells(F.col("tokens").outer())).select("sample", "cell_idx", "r0", "r1", "c0", "c1", "header")
+    return rows.lateralJoin(table_functions.cells_of_otsl(F.col("tokens").outer())).select("sample", "cell_idx", "r0", "r1", "c0", "c1", "header")

@@ -253,7 +253,7 @@ def q144_report_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{BOXES_SQL}, r AS (SELECT sample, x0, row_number() OVER (PARTITION BY sample ORDER BY x0) - 1 AS k, count(*) OVER (PARTITION BY sample) AS n FROM boxes) SELECT sample, max(x0) FILTER (k = n // 2)::DOUBLE AS upper, median(x0) AS middle FROM r GROUP BY 1")
 def q145_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boxes(spark, sf_dir).select("sample", F.col("box.x0").alias("x0")).groupBy("sample").agg(s.upper_median("x0").alias("upper"), s.exact_median(F.col("x0")).alias("middle"))
+    return s.medians(boxes(spark, sf_dir).select("sample", F.col("box.x0").alias("x0")), ["sample"], "x0")
 
 
 _METRICS = ("compact_char_similarity", "token_f1", "token_precision", "token_recall", "extra_token_ratio", "missing_token_ratio", "char_bag_f1", "cer", "wer")
@@ -308,11 +308,17 @@ def q153_merged_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.merged_positions(boxes(spark, sf_dir).select("sample", F.col("box.x0").alias("x0")), "x0", 3)
 
 
-@query(f"""{BOXES_SQL} SELECT sample, idx, CASE WHEN idx = 0 THEN 0 ELSE 1 END::INT AS cluster FROM boxes WHERE idx < 2""")
+#: Position after position: the first cluster whose mean is near, else a new one; ms and ns: means and sizes of a sample's clusters.
+_CLUSTERS = f"""{BOXES_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, o AS (SELECT sample, idx, y0::DOUBLE AS v, row_number() OVER (PARTITION BY sample ORDER BY y0, idx) AS k FROM boxes),
+walk AS (SELECT sample, 0::BIGINT AS k, 0::INT AS idx, 0::BIGINT AS c, []::DOUBLE[] AS ms, []::DOUBLE[] AS ns FROM (SELECT DISTINCT sample FROM o)
+  UNION ALL SELECT sample, k, idx, c, list_transform(range(1, greatest(len(ms), c) + 1), lambda i: CASE WHEN i <> c THEN ms[i] WHEN i > len(ms) THEN v ELSE ms[i] + (v - ms[i]) / (ns[i] + 1) END), list_transform(range(1, greatest(len(ms), c) + 1), lambda i: CASE WHEN i <> c THEN ns[i] WHEN i > len(ns) THEN 1 ELSE ns[i] + 1 END)
+  FROM (SELECT w.sample, o.k, o.idx, o.v, w.ms, w.ns, coalesce(list_filter(range(1, len(w.ms) + 1), lambda i: abs(o.v - w.ms[i]) <= 4)[1], len(w.ms) + 1) AS c FROM walk w JOIN o ON o.sample = w.sample AND o.k = w.k + 1))"""
+
+
+@query(f"{_CLUSTERS} SELECT sample, idx, (c - 1)::INT AS cluster FROM walk WHERE k > 0")
 def q154_running_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions far apart: as many clusters as there are."""
-    rows = boxes(spark, sf_dir).where("idx < 2").select("sample", "idx", (F.col("idx") * 100).cast("double").alias("y"))
-    return b.cluster_positions(rows, "y", 5)
+    """Upper edges that join clusters whose means drift."""
+    return b.cluster_positions(boxes(spark, sf_dir).select("sample", "idx", F.col("box.y0").cast("double").alias("y")), "y", 4)
 
 
 @query("SELECT 'run/checkpoint-' || max(o_orderkey) AS path, max(o_orderkey)::BIGINT AS step FROM orders WHERE o_orderkey % 2 = 0")
@@ -434,13 +440,35 @@ def _similar(name: str) -> Column:
     return t.kernel_column(lambda a, c: float(kernel(a, c)), F.col("a"), F.col("b"), kind="double").alias(name)
 
 
-@query("SELECT p_partkey::BIGINT AS k, 2e0 * length(p_name) / (2 * length(p_name) + 3) AS indel, 2e0 * length(p_name) / (2 * length(p_name) + 3) AS ratio FROM part")
+@query("WITH n AS (SELECT p_partkey::BIGINT AS k, length(p_name)::DOUBLE AS n FROM part), s AS (SELECT k, CASE k % 3 WHEN 0 THEN 2 * n / (2 * n + 3) WHEN 1 THEN 2 * (n - 3) / (2 * n) ELSE 2 * (n - 3) / (2 * n - 3) END AS v FROM n) SELECT k, v AS indel, v AS ratio FROM s")
 def q174_sequence_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text against itself with three characters more, whose similarity follows from the lengths."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), F.col("p_name").alias("a"), F.concat("p_name", F.lit("#@#")).alias("b"))
+    """A text against itself with three characters more in the middle, other ones there, or without the last three: the similarity follows from the lengths."""
+    k, n = F.col("p_partkey"), F.length("p_name")
+    half = F.floor(n / 2).cast("int")
+    first, rest = F.substring(F.col("p_name"), F.lit(1), half), lambda more: F.substring(F.col("p_name"), half + 1 + more, n)
+    other = F.when(k % 3 == 0, F.concat(first, F.lit("#@#"), rest(0))).when(k % 3 == 1, F.concat(first, F.lit("#@#"), rest(3))).otherwise(F.substring(F.col("p_name"), F.lit(1), n - 3))
+    rows = table(spark, sf_dir, "part").select(k.cast("long").alias("k"), F.col("p_name").alias("a"), other.alias("b"))
     return rows.select("k", _similar("indel"), _similar("ratio"))
 
 
+#: Words as single characters: their edit distance is that of texts. Multisets share, of each item, the smaller number.
+_AGREEMENT = """WITH o AS (SELECT p_partkey::BIGINT AS k, lower(p_name) AS c, coalesce(lower(lead(p_name, 3) OVER (ORDER BY p_partkey)), 'end of list') AS r FROM part), w AS (SELECT k, c, r, string_split(c, ' ') AS cw, string_split(r, ' ') AS rw, replace(c, ' ', '') AS cd, replace(r, ' ', '') AS rd FROM o),
+v AS (SELECT list(word ORDER BY word) AS words FROM (SELECT DISTINCT unnest(cw || rw) AS word FROM w)),
+m AS (SELECT w.*, array_to_string(list_transform(cw, lambda x: chr((32 + list_position(words, x))::INT)), '') AS cs, array_to_string(list_transform(rw, lambda x: chr((32 + list_position(words, x))::INT)), '') AS rs FROM w, v),
+b AS (SELECT *, list_sum(list_transform(list_distinct(cw), lambda x: least(len(list_filter(cw, lambda y: y = x)), len(list_filter(rw, lambda y: y = x)))))::DOUBLE AS both_words, list_sum(list_transform(list_distinct(string_split(cd, '')), lambda x: least(length(cd) - length(replace(cd, x, '')), length(rd) - length(replace(rd, x, '')))))::DOUBLE AS both_chars FROM m)"""
+
+
+@query(f"""{_AGREEMENT} SELECT k, c = r AS exact, length(cd) / length(rd)::DOUBLE AS length_ratio, levenshtein(c, r) / length(r)::DOUBLE AS cer, 1 - levenshtein(c, r) / greatest(length(c), length(r))::DOUBLE AS char_similarity, 1 - levenshtein(cd, rd) / greatest(length(cd), length(rd))::DOUBLE AS compact_char_similarity, levenshtein(cs, rs) / len(rw)::DOUBLE AS wer,
+  both_words / len(cw) AS token_precision, both_words / len(rw) AS token_recall, (len(rw) - both_words) / len(rw) AS missing_token_ratio, (len(cw) - both_words) / len(rw) AS extra_token_ratio, round(2 * both_words / (len(cw) + len(rw)), 12) AS token_f1, round(2 * both_chars / (length(cd) + length(rd)), 12) AS char_bag_f1 FROM b""")
+def q175b_agreement_of_other_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's name against that of the third part after it."""
+    ahead = sets.numbered(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), "p_name"), ["k"])
+    later = ahead.select((F.col("index") - 3).alias("index"), F.col("p_name").alias("later"))
+    both = ahead.join(later, "index", "left").select("k", t.metrics_column(F.col("p_name"), F.coalesce("later", F.lit("end of list"))).alias("m")).select("k", "m.*")
+    exact = ("exact", "length_ratio", "cer", "char_similarity", "compact_char_similarity", "wer", "token_precision", "token_recall", "missing_token_ratio", "extra_token_ratio")
+    return both.select("k", *exact, F.round("token_f1", 12).alias("token_f1"), F.round("char_bag_f1", 12).alias("char_bag_f1"))
+
+
 @query("""WITH a AS (SELECT p_partkey::BIGINT AS k, lower(p_name) AS c, lower(p_name || ' ' || p_brand) AS r FROM part)
 SELECT k, false AS exact, length(replace(c, ' ', '')) / length(replace(r, ' ', ''))::DOUBLE AS length_ratio, (length(r) - length(c)) / length(r)::DOUBLE AS cer, 1 - (length(r) - length(c)) / length(r)::DOUBLE AS char_similarity, 1 / len(string_split(r, ' '))::DOUBLE AS missing_token_ratio, 0e0 AS extra_token_ratio,
   1e0 AS token_precision, len(string_split(c, ' ')) / len(string_split(r, ' '))::DOUBLE AS token_recall, 1 / len(string_split(r, ' '))::DOUBLE AS wer FROM a""")
@@ -494,11 +522,11 @@ def q181_padded_page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes(spark, sf_dir).select("sample", "idx", training.padded_page_box(F.col("box"), crop, page, 2.0, 3.0).alias("b")).select("sample", "idx", "b.*")
 
 
-@query(f"{BOXES_SQL} SELECT sample, idx, ((x1 - x0) / 8e0 / nullif(y1 - y0, 0)) * 0 + 1.25e0 AS x, 0.875e0 AS y FROM boxes")
+@query(f"{BOXES_SQL} SELECT sample, idx, round_even((x1 + y0) / nullif((x1 - x0) * (idx % 3), 0)::DOUBLE, 3) AS x, round_even((y1 + x0) / (y1 - y0)::DOUBLE, 3) AS y FROM boxes")
 def q182_page_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = F.col("box.x1") - F.col("box.x0")
-    high = F.col("box.y1") - F.col("box.y0")
-    return boxes(spark, sf_dir).select("sample", "idx", training.page_fit(wide * 4, high * 8, wide * 5, high * 7).alias("f")).select("sample", "idx", "f.*")
+    """Ratios of all kinds, some of a crop without a width (null)."""
+    b = F.col("box")
+    return boxes(spark, sf_dir).select("sample", "idx", training.page_fit((b["x1"] - b["x0"]) * (F.col("idx") % 3), b["y1"] - b["y0"], b["x1"] + b["y0"], b["y1"] + b["x0"]).alias("f")).select("sample", "idx", "f.*")
 
 
 @query(f"{BOXES_SQL}, w AS (SELECT sample, idx, x0, x1, unnest(['ab', 'cdef', 'gh']) AS word, unnest([0, 1, 2]) AS k, unnest([0, 2, 6]) AS before, unnest([2, 6, 8]) AS upto FROM boxes) SELECT sample, idx, k::INT AS word_idx, word, x0 + (x1 - x0)::DOUBLE * before / 8e0 AS x0, CASE k WHEN 2 THEN x1::DOUBLE ELSE x0 + (x1 - x0)::DOUBLE * upto / 8e0 END AS x1 FROM w")
@@ -526,7 +554,7 @@ def q185_grouped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q186_logical_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logical cells of two rows and one column each, as boxes of the grid."""
     rows = boxes(spark, sf_dir).select("sample", "idx", g.box(F.lit(0), F.col("idx"), F.lit(1), F.col("idx") + 2).alias("box"))
-    return b.pairs(rows, rows, F.lit(True)).select("sample", "idx", "other", g.iou(F.col("box"), F.col("other_box")).alias("iou"))
+    return b.all_pairs(rows, rows).select("sample", "idx", "other", g.iou(F.col("box"), F.col("other_box")).alias("iou"))
 
 
 @query("WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderkey) - 1 AS i FROM orders) SELECT (i // 200)::BIGINT AS batch, count(*) AS n, min(o_orderkey)::BIGINT AS first FROM r GROUP BY 1")
