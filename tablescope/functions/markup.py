@@ -59,8 +59,9 @@ class Node:
 
     def span(self, name: str) -> int:
         """A span of at least 1; what is no whole number counts as 1."""
-        value = self.attrs.get(name, "1").strip()
-        return max(1, int(value)) if re.fullmatch(r"\d{1,6}", value, re.ASCII) else 1
+        if (value := self.attrs.get(name)) is None:
+            return 1
+        return max(1, int(value)) if re.fullmatch(r"\d{1,6}", value.strip(), re.ASCII) else 1
 
     def markup(self) -> str:
         attrs = "".join(f' {k}="{v}"' for k, v in self.attrs.items())
@@ -591,7 +592,7 @@ def renaming(a: tuple) -> Callable[[tuple], float]:
 
 
 #: Pairs of nodes from which on rows of arrays are the quicker way to the same distance.
-SMALL = 2_000
+SMALL = 1_000
 
 
 def shape_distance(a: Tree, b: Tree) -> float:
@@ -618,6 +619,9 @@ def shape_distance(a: Tree, b: Tree) -> float:
     for i in keys_a:
         for j in keys_b:
             io, jo = left_a[i], left_b[j]
+            if io == i and jo == j:
+                whole[i][j] = rename(la[i], lb[j])  # two leaves
+                continue
             n, m = i - io + 2, j - jo + 2
             forest = [[0.0] * m for _ in range(n)]
             for x in range(1, n):

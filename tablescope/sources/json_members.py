@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import written
+
 _COMMA, _QUOTE, _BACK = ord(","), ord('"'), ord("\\")
 #: Bytes that are looked at together; a longer piece between two commas is one part.
 PART = 1 << 22
@@ -160,7 +162,7 @@ def members(spark: SparkSession, path: str, opening: str) -> DataFrame:
             cutter.end()
             yield taken()
 
-    rows = found.join(F.broadcast(states(found)), ["file", "block"]).select("value", "file", "block", "in_string", "depth")
+    rows = found.join(F.broadcast(written(states(found), "states")), ["file", "block"]).select("value", "file", "block", "in_string", "depth")
     parts = rows.mapInArrow(cut, "file string, block long, nth long, kind int, member string")
     ends = parts.where(F.col("kind") != WHOLE)
     number = F.sum((F.col("kind") == BEGUN).cast("int")).over(W.partitionBy("file").orderBy("block", "nth"))
