@@ -76,6 +76,30 @@ def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 # What SQL can say of operators that it cannot express as a whole
 
 
+def part1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every maximal repeat of 200 bytes or more: its length, number of places, first and last place, and a sum over all of them."""
+    python_path(spark)
+    found = repeats.Repeats(repeats.with_rows(table(spark, sf_dir, "documents"))).groups()
+    place = F.struct(F.col("doc").alias("doc_id"), "start")
+    each = found.groupBy("repeat", "length").agg(F.count("*").alias("places"), F.min(place).alias("first"), F.max(place).alias("last"), F.sum((F.col("doc") * 31 + F.col("start")) % 1000003).alias("sum"))
+    return each.select("length", "places", *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("first", "last") for c in ("doc_id", "start")], "sum")
+
+
+#: Pairs of equal windows in runs along their diagonals: each run is a pair of places that differ before and behind, so that its string is a maximal repeat. All places of that string are as far equal to one of them.
+PART1_SQL = """
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lower(hex(encode(coalesce(text, '')))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT rid * 1000000000 + i AS p, md5_number(substr(h, (2 * i + 1)::INT, 400)) AS k FROM (SELECT rid, h, unnest(range(0, n - 199)) AS i FROM t WHERE n >= 200)),
+u AS (SELECT p, k FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+pairs AS (SELECT a.p AS a, b.p AS b, b.p - a.p AS d, a.p // 1000000000 AS rid FROM u a JOIN u b ON a.k = b.k AND a.p < b.p),
+islands AS (SELECT *, a - row_number() OVER (PARTITION BY d, rid ORDER BY a) AS island FROM pairs),
+alike AS (SELECT a, b, 200 + max(a) OVER whole - a AS size, min(a) OVER whole AS first FROM islands WINDOW whole AS (PARTITION BY d, rid, island)),
+names AS (SELECT size AS length, md5(substr(h, (2 * (a % 1000000000) + 1)::INT, (2 * size)::INT)) AS name, min(a) AS one FROM alike JOIN t ON rid = a // 1000000000 WHERE a = first GROUP BY 1, 2),
+places AS (SELECT name, length, one AS p FROM names UNION SELECT name, length, b FROM names JOIN alike ON a = one AND size >= length UNION SELECT name, length, a FROM names JOIN alike ON b = one AND size >= length),
+found AS (SELECT name, length, doc_id, p % 1000000000 AS start FROM places JOIN t ON rid = p // 1000000000)
+SELECT length::BIGINT AS length, count(*) AS places, min(doc_id) AS first_doc_id, arg_min(start, (doc_id, start)) AS first_start, max(doc_id) AS last_doc_id, arg_max(start, (doc_id, start)) AS last_start, sum((doc_id * 31 + start) % 1000003)::BIGINT AS sum FROM found GROUP BY name, length
+"""
+
+
 def part4_word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op4_ppm that follow from word counts; the sum of logs to four places."""
     return op4_ppm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
@@ -96,9 +120,9 @@ FROM d JOIN held ON d.doc_id IS NOT DISTINCT FROM held.doc_id LEFT JOIN per USIN
 
 
 def part5_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of op5_quality: whether scores are shares and predictions follow from them, by document."""
+    """Of op5_quality: which documents are held out, and whether scores are shares and predictions follow from them."""
     rows = op5_quality(spark, sf_dir)
-    return rows.select("doc_id", F.col("score").between(0, 1).alias("share"), (F.col("predicted") == (F.col("score") >= 0.5).cast("int")).alias("follows"))
+    return rows.select("doc_id", "held_out", F.col("score").between(0, 1).alias("share"), (F.col("predicted") == (F.col("score") >= 0.5).cast("int")).alias("follows"))
 
 
 def part8_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +158,7 @@ def _crc32() -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_repeats, op2_topk, op3_near_dedup, op4_ppm, op5_quality, op6_licenses, op7_mixing, op8_packing, op9_line_dedup, op10_media, op11_variants, op12_urls, op13_resampling, part4_word_scores, part5_held_out, part8_sequences, part10_payloads)
+    for f in (op1_repeats, op2_topk, op3_near_dedup, op4_ppm, op5_quality, op6_licenses, op7_mixing, op8_packing, op9_line_dedup, op10_media, op11_variants, op12_urls, op13_resampling, part1_groups, part4_word_scores, part5_held_out, part8_sequences, part10_payloads)
 }
 SQL: dict[str, str] = {
     "op1_repeats": repeats.OP1_SQL,
@@ -145,8 +169,9 @@ SQL: dict[str, str] = {
     "op11_variants": variants.OP11_SQL,
     "op12_urls": url_filter.OP12_SQL,
     "op13_resampling": importance.OP13_SQL,
+    "part1_groups": PART1_SQL,
     "part4_word_scores": PART4_SQL.replace("{remainder}", _crc32()),
-    "part5_held_out": "SELECT doc_id, true AS share, true AS follows FROM documents",
+    "part5_held_out": f"SELECT doc_id, {_crc32()} % 3 = 1 AS held_out, true AS share, true AS follows FROM documents",
     "part8_sequences": "SELECT count(*) AS documents, 0::BIGINT AS misplaced, 0::BIGINT AS odd, 0::BIGINT AS broken FROM documents",
     "part10_payloads": PART10_SQL,
 }
