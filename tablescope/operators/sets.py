@@ -81,27 +81,13 @@ def with_status(a: DataFrame, b: DataFrame, key: str, missing: str = "missing_pr
     return joined.withColumn("status", F.when(F.col("__there"), "evaluated").otherwise(missing)).drop("__there")
 
 
-def numbered(rows: DataFrame, order: Sequence[str], parts: int = 64) -> DataFrame:
-    """`index` from 0 over a total order, and the number of rows `of`. Ranges of the order are numbered apart and moved on by the ranges before, so that no task holds all rows.
+def numbered(rows: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:
+    """`index` from 0 over a total order, and the number of rows `of`, in ranges of the order, so that no task holds all rows. Nulls come first."""
+    placed = cumulated(rows, [], [F.asc(c) for c in order], F.lit(1).cast("long"), parts)
+    return placed.withColumnRenamed("ahead", "index")
 
-    The ranges' edges are order columns, of any types, of a bounded sample by hash: all columns count, so that a frequent
-    first value is cut as well. The edges decide how even the ranges are, never the result. Nulls come first.
-    """
-    key = F.struct(*order)
-    sample = rows.select(*order).orderBy(F.xxhash64(*order)).limit(parts * 16)  # a bounded number of rows comes to the driver
-    types = {f.name: f.dataType for f in sample.schema.fields}
-    held = [r["k"] for r in sample.select(key.alias("k")).distinct().orderBy("k").collect()]
-    edges = [F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, held[len(held) * i // parts], strict=True)]) for i in range(1, parts)] if held else []
-    part = sum((F.when(key >= e, 1).otherwise(0) for e in edges), F.lit(0))
-    keyed = rows.withColumn("__part", part)
-    sizes = keyed.groupBy("__part").agg(F.count("*").alias("__n"))
-    whole = W.orderBy("__part")  # `parts` rows
-    sizes = sizes.select("__part", F.coalesce(F.sum("__n").over(whole.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__n").over(W.partitionBy(F.lit(0))).alias("of"))
-    inside = F.row_number().over(W.partitionBy("__part").orderBy(*order)) - 1
-    return keyed.withColumn("__inside", inside).join(F.broadcast(sizes), "__part").withColumn("index", (F.col("__inside") + F.col("__before")).cast("long")).drop("__part", "__inside", "__before")
-
-
-def cumulated(rows: DataFrame, group: Sequence[str], order: Sequence[Column], n: Column) -> DataFrame:
+
+def cumulated(rows: DataFrame, group: Sequence[str], order: Sequence[Column], n: Column, parts: int | None = None) -> DataFrame:
     """Rows with `ahead`, the sum of n over the rows of their group that come before, and `of`, the sum over the group.
 
     The rows are ranged by group and order and written, so that a group of any size is spread over many ranges, and what is
@@ -109,7 +95,7 @@ def cumulated(rows: DataFrame, group: Sequence[str], order: Sequence[Column], n:
     within a group; null groups are groups.
     """
     names = list(group)
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = written(rows.withColumn("__n", n).repartitionByRange(parts, *names, *order).withColumn("__range", F.spark_partition_id()), "ranges")
     per = ranged.groupBy("__range", *names).agg(F.sum("__n").alias("__sum"))
     whole = W.partitionBy(*names)
@@ -140,9 +126,9 @@ def range_shard(index: Column, of: Column, shards: int) -> Column:
 def document_split(rows: DataFrame, document: str, fraction: float, seed: int = 42) -> DataFrame:
     """document, n and split of each document: whole documents, in the order of a hash, until the validation part is full.
 
-    The rank runs over a row for each document, cut into ranges of the hash so that no task holds them all.
+    The rank runs over a row for each document, cut into 4,096 ranges of the hash so that no task holds them all.
     """
-    per = rows.groupBy(document).agg(F.count("*").alias("n")).withColumn("h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(document).cast("string")), 256)).withColumn("range", F.substring("h", 1, 2))
+    per = rows.groupBy(document).agg(F.count("*").alias("n")).withColumn("h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(document).cast("string")), 256)).withColumn("range", F.substring("h", 1, 3))
     before = per.groupBy("range").agg(F.sum("n").alias("rows")).select("range", F.coalesce(F.sum("rows").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("rows").over(W.partitionBy(F.lit(0))).alias("total"))
     inside = F.sum("n").over(W.partitionBy("range").orderBy("h")) - F.col("n")
     placed = per.withColumn("inside", inside).join(F.broadcast(before), "range")

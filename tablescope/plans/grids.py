@@ -477,6 +477,21 @@ def q109_nearest_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.nearest_line(guesses, lines, F.lit(100.0)).select("sample", "idx", "position")
 
 
+@query(f"""{TABLES_SQL}, k AS (SELECT l_orderkey AS sample, count(*) AS cells, count(*) FILTER (l_suppkey % 3 <> 0) AS mapped, sum(length(l_partkey::VARCHAR)) AS size, coalesce(sum(length(l_partkey::VARCHAR)) FILTER (l_suppkey % 3 <> 0), 0) AS covered FROM items GROUP BY 1),
+r AS (SELECT *, CASE WHEN mapped = 0 THEN 'no_regions' WHEN covered / size::DOUBLE < 0.78 THEN 'low_coverage' ELSE 'accepted' END AS reason FROM k)
+SELECT reason, count(*) AS n, sum(cells)::BIGINT AS cells, sum(mapped)::BIGINT AS mapped_cells, 0::BIGINT AS skipped_regions, round(sum(covered / size::DOUBLE), 6) AS coverage FROM r GROUP BY 1""")
+def q27b_funnel_of_lost_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with the numbers of parts against the regions of most of them: what is left out lowers the coverage, nothing else."""
+    li = table(spark, sf_dir, "lineitem")
+    idx = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*ORDER))
+    rows = li.select(F.col("l_orderkey").alias("sample"), F.struct(idx.alias("idx"), F.col("l_partkey").cast("string").alias("t"), (F.col("l_suppkey") % 3 != 0).alias("there")).alias("x"))
+    lists = rows.groupBy("sample").agg(F.array_sort(F.collect_list("x")).alias("x")).repartition(spark.sparkContext.defaultParallelism, F.xxhash64("sample"))
+    texts = lambda some: F.transform(some, lambda x: x["t"])
+    report = lists.select(tables.alignment(texts("x"), texts(F.filter("x", lambda x: x["there"]))).alias("r")).select("r.*")
+    total = lambda c: F.sum(c).cast("long").alias(c)
+    return report.groupBy("reason").agg(F.count("*").alias("n"), *map(total, ("cells", "mapped_cells", "skipped_regions")), F.round(F.sum("coverage"), 6).alias("coverage"))
+
+
 #: Texts of one letter each: their common subsequence is as long as that letter is frequent in both. v: the best values of the first i cells against each number of first regions.
 _ALIGN = f"""{TABLES_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, t AS (SELECT l_orderkey AS sample, idx, lower(l_returnflag) AS f, 1 + l_quantity::BIGINT % 4 AS n, l_partkey AS p, l_suppkey AS s FROM items),
 c AS (SELECT sample, list(repeat(f, n::INT) ORDER BY idx) AS cells, flatten(list(CASE p % 3 WHEN 0 THEN [f, repeat(f, n::INT)] WHEN 1 THEN [repeat(f, n::INT + 1)] ELSE [repeat(f, n::INT)] END || CASE WHEN s % 4 = 0 THEN ['zz'] ELSE [] END ORDER BY idx)) AS r FROM t GROUP BY 1),

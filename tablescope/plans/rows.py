@@ -509,6 +509,21 @@ def q179_scaled_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes(spark, sf_dir).select("sample", "idx", reconstruct.scaled(d, 2.0, F.lit(50.0), F.lit(40.0)).alias("s")).select("sample", "idx", "s.mode")
 
 
+#: Of boxes that are held inside bounds first: flipped or not, held, then as they are; whichever first has over a pixel.
+_HELD = f"""{BOXES_SQL}, b AS (SELECT sample, idx, x0, y0, x1, y1, greatest(least(x0, 30), 12) AS hx0, greatest(least(x1, 30), 12) AS hx1, greatest(least(y0, 25), 8) AS hy0, greatest(least(y1, 25), 8) AS hy1 FROM boxes),
+four AS (SELECT sample, idx, unnest([1, 2, 3, 4]) AS nth, unnest(['clamp_flip', 'clamp_noflip', 'raw_flip', 'raw_noflip']) AS mode, unnest([hx0, hx0, x0, x0]) * 2e0 AS a, unnest([40 - hy1, hy0, 40 - y1, y0]) * 2e0 AS b, unnest([hx1, hx1, x1, x1]) * 2e0 AS c, unnest([40 - hy0, hy1, 40 - y0, y1]) * 2e0 AS d FROM b),
+cut AS (SELECT sample, idx, nth, mode, least(greatest(a, 0), 70e0) AS x0, least(greatest(b, 0), 80e0) AS y0, least(greatest(c, 0), 70e0) AS x1, least(greatest(d, 0), 80e0) AS y1 FROM four),
+good AS (SELECT * FROM cut WHERE x1 - x0 > 1 AND y1 - y0 > 1 UNION ALL SELECT sample, idx, 5, 'invalid', x0, y0, x1, y1 FROM cut WHERE nth = 3)"""
+
+
+@query(f"{_HELD} SELECT sample, idx, arg_min(mode, nth) AS mode, arg_min(x0, nth) AS x0, arg_min(y0, nth) AS y0, arg_min(x1, nth) AS x1, arg_min(y1, nth) AS y1 FROM good GROUP BY 1, 2")
+def q179b_held_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes inside of, over and outside of the bounds, some of them off the page."""
+    d = g.box(*(F.col(f"box.{c}").cast("double") for c in ("x0", "y0", "x1", "y1")))
+    bounds = g.box(*(F.lit(float(v)) for v in (12, 8, 30, 25)))
+    return boxes(spark, sf_dir).select("sample", "idx", reconstruct.scaled(d, 2.0, F.lit(35.0), F.lit(40.0), bounds).alias("s")).select("sample", "idx", "s.mode", "s.box.*")
+
+
 @query(f"""{BOXES_SQL}, r AS (SELECT sample, idx, CASE idx % 3 WHEN 1 THEN 80 - y1 WHEN 2 THEN y0 ELSE x0 END AS a, CASE idx % 3 WHEN 1 THEN x0 WHEN 2 THEN 90 - x1 ELSE y0 END AS b, CASE idx % 3 WHEN 1 THEN 80 - y0 WHEN 2 THEN y1 ELSE x1 END AS c, CASE idx % 3 WHEN 1 THEN x1 WHEN 2 THEN 90 - x0 ELSE y1 END AS d FROM boxes)
 SELECT sample, idx, least(greatest(a, 0), 80) AS x0, least(greatest(b, 0), 90) AS y0, least(greatest(c, 0), 80) AS x1, least(greatest(d, 0), 90) AS y1 FROM r""")
 def q180_unrotated_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,8 @@ def test_key_checks(spark):
         sets.union_disjoint([a.distinct(), b], "k")
     with pytest.raises(ValueError, match="missing"):
         sets.require_all(a, b, "k")
+    with pytest.raises(ValueError, match="shards"):
+        sets.union_shards(a.withColumn("shard", F.lit(0)), "shard", 2)
     with pytest.raises(ValueError, match="shards"):
         sets.union_shards(a.withColumn("s", F.lit(0)), "s", 2)
     with pytest.raises(ValueError, match="too few"):
