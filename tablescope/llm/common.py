@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Bytes of text that a Python worker handles at a time: numpy's temporary arrays stay under about 50 times this.
 CHUNK_BYTES = 1 << 21
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -141,31 +141,9 @@ def encoded(column: pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-_SHIPPED: set[str] = set()
-
-
 def python_path(spark: SparkSession) -> None:
-    """Lets Python workers import this package wherever the driver's program was started: by the path in a local session, else by a copy that Spark sends to the executors once."""
+    """Lets Python workers import this package, wherever the driver's program was started."""
     ship(spark)
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
-
-
-def ship(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.master.split("[")[0] == "local" or context.applicationId in _SHIPPED:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="tablescope-"), "tablescope.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for folder, _, names in os.walk(package):
-            for name in sorted(n for n in names if n.endswith(".py")):
-                whole = os.path.join(folder, name)
-                out.write(whole, os.path.relpath(whole, os.path.dirname(package)))
-    context.addPyFile(path)
-    _SHIPPED.add(context.applicationId)
 
 
 def packed_rows(docs: DataFrame, *more: F.Column) -> DataFrame:

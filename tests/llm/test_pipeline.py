@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from test_cluster import rows_on_a_cluster
 from test_ops import classes_by_force, cuts_by_definition
 
 import corpus_pipeline
@@ -102,3 +103,9 @@ def test_the_run_is_its_stages(spark, sf_dir, steps):
     got = corpus_pipeline.run(spark, sf_dir)
     key = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])
     assert Counter(map(key, got.collect())) == Counter(map(key, steps[5]))
+
+
+def test_on_a_cluster(spark, sf_dir, tmp_path, steps):
+    """With Python workers in other processes, one query after another in one session, which ships the package once."""
+    n = table(spark, sf_dir, "documents").count()
+    assert rows_on_a_cluster(("op1_repeats", "op9_line_dedup", "op5_quality", "pipeline"), sf_dir, tmp_path) == {"op1_repeats": n, "op9_line_dedup": n, "op5_quality": n, "pipeline": len(steps[5])}
