@@ -723,5 +723,5 @@ def test_transform_equals_its_definition():
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES if q.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES if q.startswith("op")}
     assert set(queries.SQL) <= set(queries.QUERIES)
