@@ -280,7 +280,7 @@ def sorted_spans(found: DataFrame, length: int) -> DataFrame:
     return keyed.groupBy("bucket").applyInArrow(each, SPAN)
 
 
-def asked(rows: DataFrame, cut: Callable, judge: Callable, give: Callable, out: str) -> DataFrame:
+def asked(rows: DataFrame, cut: Callable, judge: Callable, give: Callable, out: str, limit: int = 4 << 20) -> DataFrame:
     """Asks even parts of the hash values about hashes. `cut` makes of some rows (ascending hashes, a note of 16 bits for each, anything); `judge` answers a byte for each of a part's hashes and notes, which come from all rows; `give` makes the resulting table of anything and the answers in order."""
     buckets = partitions(rows.sparkSession)
     edges = (np.arange(1, buckets, dtype=np.float64) / buckets * 2.0**64).astype(np.uint64)
@@ -288,7 +288,7 @@ def asked(rows: DataFrame, cut: Callable, judge: Callable, give: Callable, out:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
-        for part in chunked(batches, "bytes", 4 << 20):
+        for part in chunked(batches, "bytes", limit):
             hashes, notes, rest = cut(part)
             name, number = (TaskContext.get().partitionId() << 32) + number, number + 1
             at = np.concatenate(([0], np.searchsorted(hashes, edges), [len(hashes)]))
@@ -386,7 +386,7 @@ def starts(entries: DataFrame, length: int) -> DataFrame:
         }
         return pa.table({c: pa.array(v, kinds[c]) for c, v in columns.items()})
 
-    return asked(entries.select("entry", "n", "bytes"), cut, judge, give, STARTS)
+    return asked(entries.select("entry", "n", "bytes"), cut, judge, give, STARTS, 1 << 18)  # each start brings the rest of its run
 
 
 def maximal_repeats(suffixes: DataFrame, length: int) -> DataFrame:
