@@ -104,12 +104,16 @@ def by_file(rows: DataFrame, path: str = "path", text: str = "text") -> None:
 
 
 def json_documents(rows: DataFrame, path: str, brackets: str, member: str, order: str, document: str = "document") -> None:
-    """A folder for each document with one file: its members, texts of JSON, a line each in their order, between brackets."""
-    first = F.row_number().over(W.partitionBy(document).orderBy(order)) == 1
-    lines = rows.select(document, F.lit(1).alias("part"), F.col(order).alias("order"), F.concat(F.when(first, F.lit("")).otherwise(F.lit(",")), member).alias("line"))
-    ends = rows.select(document).distinct().select(document, F.explode(F.array(F.struct(F.lit(0).alias("part"), F.lit(brackets[0]).alias("line")), F.struct(F.lit(2).alias("part"), F.lit(brackets[1]).alias("line")))).alias("e"))
-    every = lines.unionByName(ends.select(document, "e.part", F.lit(None).cast(rows.schema[order].dataType).alias("order"), "e.line"))
-    every.repartition(document).sortWithinPartitions(document, "part", "order").select(document, "line").write.partitionBy(document).text(path)
+    """A folder for each document with one file: its members, texts of JSON, a line each in their order, between brackets.
+
+    The brackets stand in the first and the last member's lines: as rows of their own, in a union, they could come to other
+    tasks than the members, and so into other files.
+    """
+    w = W.partitionBy(document).orderBy(order)
+    placed = rows.select(document, F.col(member).alias("member"), F.row_number().over(w).alias("place"), F.lead(F.lit(1)).over(w).isNull().alias("last"))
+    line = F.concat(F.when(F.col("place") == 1, F.lit(f"{brackets[0]}\n")).otherwise(F.lit(",")), "member", F.when(F.col("last"), F.lit(f"\n{brackets[1]}")).otherwise(F.lit("")))
+    lines = placed.select(document, "place", line.alias("line")).repartition(document).sortWithinPartitions(document, "place")
+    lines.select(document, "line").write.partitionBy(document).text(path)
 
 
 def mark_ready(spark: SparkSession, folder: str, name: str = "READY") -> None:

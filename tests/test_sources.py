@@ -75,6 +75,15 @@ def test_written_documents_are_read_back(spark, tmp_path):
     assert sorted(r["v"] for r in readers.json_array(spark, f"file://{tmp_path}/docs/*", "v string").collect()) == sorted(f'a,"{k}' for k in range(300))
 
 
+def test_a_document_is_one_file_whatever_its_size(spark, tmp_path):
+    """Shuffles of several megabytes, whose parts are joined unlike those of a row for each document."""
+    rows = spark.range(30_000).select("id", F.concat(F.lit('"'), F.col("id").cast("string"), F.lit('": "'), *[F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(k))), 512) for k in range(4)], F.lit('"')).alias("member"), (F.col("id") % 5).alias("document"))
+    writers.json_documents(rows, f"file://{tmp_path}/docs", "{}", "member", "id")
+    files = sorted((tmp_path / "docs").rglob("part-*.txt"))
+    assert [p.parent.name for p in files] == [f"document={k}" for k in range(5)]
+    assert [list(json.loads(p.read_text())) for p in files] == [[str(i) for i in range(k, 30_000, 5)] for k in range(5)]
+
+
 def test_a_file_for_each_row(spark, tmp_path):
     rows = spark.range(20).select(F.concat(F.lit(f"file://{tmp_path}/d"), (F.col("id") % 3).cast("string"), F.lit("/f"), F.col("id").cast("string"), F.lit(".txt")).alias("path"), F.concat(F.lit("té"), "id").alias("text"))
     writers.by_file(rows)
