@@ -92,11 +92,20 @@ def alignment(cells: Column, regions: Column) -> Column:
     """The alignment report of two arrays of texts."""
 
     def each(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([align.judge(list(x), list(y)) for x, y in zip(a, b, strict=True)])
+        return pd.DataFrame(align.judge_all([(list(x), list(y)) for x, y in zip(a, b, strict=True)]), columns=[f.split()[0] for f in ALIGNED.split(", ")])
 
     return F.pandas_udf(each, ALIGNED)(cells, regions)
 
 
+def alignment_value(cells: Column, regions: Column) -> Column:
+    """The value of the best path of two arrays of texts."""
+
+    def each(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([value for _, _, value in align.align_all([(list(x), list(y)) for x, y in zip(a, b, strict=True)])], dtype=float)
+
+    return F.pandas_udf(each, "double")(cells, regions)
+
+
 def markup_counts(html: Column) -> list[Column]:
     """Counts of tags and attributes as plain substrings; '<th' counts '<thead' too."""
     n = lambda part, name: occurrences(html, part).alias(name)

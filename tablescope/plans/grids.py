@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import align, diffs, markup, structure
+from ..functions import diffs, markup, structure
 from ..functions import geometry as g
 from ..functions.text import kernel_column
 from ..operators import boxes as b
@@ -512,8 +512,7 @@ def q110_alignment_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = F.when(F.col("l_suppkey") % 4 == 0, F.array(F.lit("zz"))).otherwise(F.array().cast("array<string>"))
     rows = li.select(F.col("l_orderkey").alias("sample"), F.struct(idx.alias("idx"), F.repeat(f, n).alias("c"), F.concat(some, more).alias("r")).alias("x")).groupBy("sample").agg(F.array_sort(F.collect_list("x")).alias("x"))
     both = rows.select("sample", F.transform("x", lambda x: x["c"]).alias("c"), F.flatten(F.transform("x", lambda x: x["r"])).alias("r")).repartition(spark.sparkContext.defaultParallelism, F.xxhash64("sample"))
-    value = _html(lambda c, r: align.align(list(c), list(r))[2], F.col("c"), F.col("r"), kind="double")
-    return both.select("sample", F.size("c").alias("cells"), F.size("r").alias("regions"), F.round(value, 6).alias("value"))
+    return both.select("sample", F.size("c").alias("cells"), F.size("r").alias("regions"), F.round(tables.alignment_value(F.col("c"), F.col("r")), 6).alias("value"))
 
 
 @query(f"{_GRID} SELECT sample, max(idx // 3 + 1)::INT AS num_rows, 3::INT AS num_cols, count(*) AS total_cells, 1::BIGINT AS reconstructed_bboxes, max(CASE WHEN idx = 1 AND text = 'N' THEN 1 ELSE 0 END)::BIGINT AS reconstructed_empty_bboxes FROM boxes JOIN grid USING (sample) GROUP BY 1")
