@@ -364,3 +364,28 @@ def test_alignments_of_many_tables_are_those_of_each():
     begun = time.perf_counter()
     assert {x["reason"] for x in A.judge_all([(x, x) for x in plain])} == {"accepted"}
     assert time.perf_counter() - begun < 3
+
+
+def test_plain_markup_is_read_once_and_by_one_pattern(monkeypatch):
+    """Comments are plain markup, regular tables need no tree, and no kernel parses its input twice; all equal to the library parser's."""
+
+    def library(text: str) -> M.Node:
+        builder = M._Builder()
+        builder.feed(text)
+        builder.close()
+        return builder.tree.open[0]
+
+    for text in ("<p>a</p><!-- c --><table><tr><td>1</td></tr><!----></table>", "<!--x-y--><table></table>", "<table><!--> --></table>", "<table><tr><td>a<!-- b -->c</td></tr></table>"):
+        assert M.parse(text) == library(text)
+    assert M._plain_tree("<table><tr><td>a<!-- b -->c</td></tr></table>") is not None
+    regular = ["<table></table>", "<table><tr></tr></table>", "<table><tr><td></td><td> a  b\n</td></tr><tr><td>é</td></tr></table>"]
+    other = ["<table><tr><td>a</td></tr></table> ", "<table><tr><td>&lt;</td></tr></table>", "<table><tr><td>a</td></table>", "<table><tr><td><b>a</b></td></tr></table>"]
+    for text in regular + other:
+        rows = [[(1, 1, " ".join(c.text().split()), False) for c in row.elements()] for row in library(text).children[0].elements()]
+        assert M.logical_cells(text) == M.logical_cells(text, True) == M.place(rows)
+    parsed = []
+    whole = M.parse
+    monkeypatch.setattr(M, "parse", lambda text: parsed.append(text) or whole(text))
+    assert M.logical_cells(regular[2]) and not parsed
+    assert M.tree_statistics(other[3])["cells"] == 1 and len(parsed) == 1
+    assert S.difference_callouts(other[3], other[2]) == ["markup"] and len(parsed) == 3
