@@ -283,8 +283,10 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = every.groupBy("node").agg(F.min(F.struct("doc", "row")).alias("of"), F.first("bands").alias("bands"))
     spread = nodes.where("bands IS NOT NULL").select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
     hubs = spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = spread.join(hubs, "bucket").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = components(stars, "candidates")
+    # a node's buckets are one through it: it goes to its least hub, and hubs are linked among each other, of which there are few in a group of copies
+    met = written(spread.join(hubs, "bucket").groupBy("node").agg(F.min("hub").alias("low"), F.collect_set("hub").alias("hubs")), "hubs")
+    among = components(met.select(F.col("low").alias("a"), F.explode("hubs").alias("b")), "candidates")
+    groups = written(met.select("node", "low").join(among.withColumnRenamed("node", "low"), "low", "left").select("node", F.coalesce("label", "low").alias("label")), "candidates")
     sizes = written(groups.groupBy("label").agg(F.count("*").alias("size")), "group-sizes")
     placed = groups.join(sizes, "label").select("node", "label", "size", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP).cast("long")).alias("part"))
     chosen = placed.join(nodes, "node").select("of.doc", "of.row", "node", "label", "size", "part", "bands")

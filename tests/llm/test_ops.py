@@ -725,3 +725,20 @@ def test_transform_equals_its_definition():
 def test_registered():
     assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES if q.startswith("op")}
     assert set(queries.SQL) <= set(queries.QUERIES)
+
+
+def test_near_copies_are_candidates_by_few_edges(spark, monkeypatch):
+    """A group of near copies is held together by its hubs: far fewer edges than its texts have buckets."""
+    edges = {}
+    whole = near_dedup.components
+
+    def counted(links, tag):
+        edges[tag] = links.where("a <> b").distinct().count()
+        return whole(links, tag)
+
+    monkeypatch.setattr(near_dedup, "components", counted)
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join([*words[:k], f"x{k}", *words[k + 1 :]]) for k in range(120)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["class_id"], r["class_size"]) for r in near_dedup.near_duplicates(rows).collect()} == {(0, 120)}
+    assert edges["candidates"] < len(texts)
