@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACED, Words, mix, partitions, texts, written
+from .common import LOWER, SPACED, Words, chunked, mix, partitions, texts, written
 
 ORDER = 5
 END = 256
@@ -194,12 +194,36 @@ def totals(lists: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 def sums_of(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different keys, ascending, and how many of each are trained."""
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")  # of ascending lists one after the other: they are merged
     keys, trained = keys[order], trained[order]
+    del order
     lead = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     return keys[lead], np.add.reduceat(trained, lead) if len(lead) else np.zeros(0, np.int64)
 
 
+class Sums:
+    """Sums by key that are added up as they come: a list is merged with held ones that are not over twice as long, so that what is held is less than twice the longest list of different keys."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        while self.held and len(self.held[-1][0]) <= 2 * len(keys):
+            keys, counts = self.with_last(keys, counts)
+        self.held.append((keys, counts))
+
+    def with_last(self, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        other, many = self.held.pop()
+        return sums_of(np.concatenate([other, keys]), np.concatenate([many, counts]))
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        """The different keys, ascending, and their sums; nothing is held after that."""
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        while self.held:
+            keys, counts = self.with_last(keys, counts)
+        return keys, counts
+
+
 def slices(rows: list[bytes], limit: int) -> Iterator[slice]:
     """Neighbours of about `limit` bytes together, or a single one."""
     first, size = 0, 0
@@ -224,8 +248,8 @@ def sent(docs: DataFrame, buckets: int, limit: int = PIECE_BYTES) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, chunk, doc = [], 0, TaskContext.get().partitionId() << 40, TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for doc_id, train, text in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+        for part in (p for batch in batches for p in chunked([batch], limit=limit)):
+            for doc_id, train, text in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
                 for before, piece, last in pieces(text, limit):
                     if held and size + len(piece) > CHUNK * limit:
                         yield from out(held, chunk)
@@ -238,14 +262,14 @@ def sent(docs: DataFrame, buckets: int, limit: int = PIECE_BYTES) -> DataFrame:
 
     def out(held: list[tuple], chunk: int) -> list[pa.RecordBatch]:
         doc, ids, train, before, rows, closes = map(list, zip(*held, strict=True))
-        trained, found, said = np.asarray(train, np.int64), [], []
+        trained, found, said = np.asarray(train, np.int64), Sums(), Sums()
         for some in slices(rows, limit):
             context, symbol, text = symbols(rows[some], ORDER, before[some], closes[some])
-            found.append(sums_of(context * 512 + symbol, trained[some][text]))
+            found.add(*sums_of(context * 512 + symbol, trained[some][text]))
             of = Words(rows[some], SPACED, LOWER)
-            said.append(sums_of(of.hash.view(np.int64), trained[some][of.doc]))
-        grams, n, _ = totals(*map(list, zip(*found, strict=True)))
-        hashes, m, _ = totals(*map(list, zip(*said, strict=True)))
+            said.add(*sums_of(of.hash.view(np.int64), trained[some][of.doc]))
+            del context, symbol, text, of
+        (grams, n), (hashes, m) = found.all(), said.all()
         (g, edge), (w, cut) = dealt(grams, buckets), dealt(hashes, buckets)
         table = [
             {"bucket": b, "chunk": chunk, "grams": packed(grams[g[i:j]], True), "n": packed(n[g[i:j]]), "words": packed(hashes[w[k:x]], True), "m": packed(m[w[k:x]])}
@@ -262,6 +286,14 @@ def entries(group: pa.Table, keys: str, many: str) -> tuple[list[np.ndarray], li
     return [unpacked(k, ascending=True) for k in group.column(keys).to_pylist()], [unpacked(v) for v in group.column(many).to_pylist()]
 
 
+def summed(group: pa.Table, keys: str, many: str) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys of all entries, ascending, and their sums; the entries are opened one at a time."""
+    found = Sums()
+    for k, v in zip(group.column(keys), group.column(many), strict=True):
+        found.add(unpacked(k.as_py(), ascending=True), unpacked(v.as_py()))
+    return found.all()
+
+
 def counted(chunks: DataFrame, buckets: int) -> DataFrame:
     """The buckets' sums, as COUNTED."""
 
@@ -272,7 +304,7 @@ def counted(chunks: DataFrame, buckets: int) -> DataFrame:
         cut = np.cumsum([0, *map(len, hashes)])
         out = [{"kind": 0, "at": chunk, "keys": k, "values": packed(c[at[a:b]])} for chunk, k, a, b in zip(group.column("chunk").to_pylist(), group.column("words").to_pylist(), cut, cut[1:], strict=False) if a < b]
         out.append({"kind": 3, "kinds": int((c > 0).sum()), "tokens": int(c.sum())})
-        keys, n, _ = totals(*entries(group, "grams", "n"))
+        keys, n = summed(group, "grams", "n")
         order, edge = dealt(keys >> 9 & 0xFFFFFF, buckets)
         out += [{"kind": 1, "at": b, "part": here, "keys": packed(keys[order[i:j]], True), "values": packed(n[order[i:j]])} for b, (i, j) in enumerate(zip(edge, edge[1:], strict=False)) if i < j]
         seen = n > 0
@@ -288,7 +320,7 @@ def order_two(sums: DataFrame) -> Counts:
     """All counts of order 2, added up in PARTS parts: at most 65,536 contexts of at most 257 symbols, as packed numbers."""
 
     def each(group: pa.Table) -> pa.Table:
-        keys, n, _ = totals(*entries(group, "keys", "values"))
+        keys, n = summed(group, "keys", "values")
         return pa.table({"keys": pa.array([packed(keys, True)], pa.binary()), "values": pa.array([packed(n)], pa.binary())})
 
     found = sums.where("kind = 2").select("at", "keys", "values").groupBy("at").applyInArrow(each, "keys binary, values binary").collect()

@@ -332,6 +332,29 @@ def test_word_scores_equal_brute_force(small):
     assert np.allclose([x[5] for x in got], [x[5] for x in want], rtol=1e-9)
 
 
+def test_ppm_sums_hold_each_key_a_few_times():
+    """Pieces of a chunk share most of their symbols in context: what is held follows the different ones, not the pieces."""
+    import tracemalloc
+
+    keys, ones = np.arange(50_000, dtype=np.int64), np.ones(50_000, np.int64)
+    tracemalloc.start()
+    found = ppm.Sums()
+    for _ in range(64):
+        found.add(keys.copy(), ones.copy())
+    got, many = found.all()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == keys).all() and (many == 64).all()
+    assert most < 16 * (keys.nbytes + ones.nbytes)  # all at once: over 64 times
+    parts = [ppm.sums_of(np.random.default_rng(k).integers(0, 99, 60), np.arange(60)) for k in range(7)]
+    for some in (parts[:k] for k in range(8)):
+        found = ppm.Sums()
+        for p in some:
+            found.add(*p)
+        got, (want, sums, _) = found.all(), ppm.totals([k for k, _ in some], [n for _, n in some])
+        assert got[0].tolist() == want.tolist() and got[1].tolist() == sums.tolist()
+
+
 def ppm_by_definition(learned: list[bytes], text: bytes) -> float:
     """log10 probability of a text, from counting in all training texts anew for each symbol and order."""
     held = [b"\0" * 5 + t for t in learned]
