@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 import time
 import tracemalloc
 
@@ -389,3 +390,20 @@ def test_plain_markup_is_read_once_and_by_one_pattern(monkeypatch):
     assert M.logical_cells(regular[2]) and not parsed
     assert M.tree_statistics(other[3])["cells"] == 1 and len(parsed) == 1
     assert S.difference_callouts(other[3], other[2]) == ["markup"] and len(parsed) == 3
+
+
+def plain_table(rows: list[list[str]]) -> str:
+    return "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in row) + "</tr>" for row in rows) + "</table>"
+
+
+def test_plain_tables_are_scored_without_a_parser(monkeypatch):
+    """Equal rows at the ends of plain tables are found in the text; the scores are those of the parsed trees."""
+    rng = random.Random(11)
+    made = [plain_table([[rng.choice(("", "1", "12", "a>b", " é ", "xyz")) for _ in range(rng.randint(0, 3))] for _ in range(rng.randint(0, 5))]) for _ in range(60)]
+    pairs = [(rng.choice(made), rng.choice(made)) for _ in range(300)] + [(None, made[0]), ("", made[1]), (made[2], made[2])]
+    with monkeypatch.context() as m:
+        m.setattr(M, "_plain_rows", lambda _: None)
+        want = [M.similarities(*p) for p in pairs]
+    assert [M.similarities(*p) for p in pairs] == want
+    monkeypatch.setattr(M, "parse", None)
+    assert [M.similarities(*p) for p in pairs] == want
