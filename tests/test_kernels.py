@@ -407,3 +407,19 @@ def test_plain_tables_are_scored_without_a_parser(monkeypatch):
     assert [M.similarities(*p) for p in pairs] == want
     monkeypatch.setattr(M, "parse", None)
     assert [M.similarities(*p) for p in pairs] == want
+
+
+def test_plain_policies_are_texts(monkeypatch):
+    """A table that is plainly written as its policy wants it is not parsed; others give what their trees give."""
+    head, row = "<thead><tr><td>a</td><td><b>b</b></td></tr></thead>", "<tr><td>1</td><td></td></tr>"
+    known = {("wrapped", f"<table>{head}{row}{row}</table>"): f"<table>{head}<tbody>{row}{row}</tbody></table>", ("wrapped", f"<table>{head}</table>"): f"<table>{head}</table>", ("stripped", "<table><tr><td> <b> x </b></td><td> y </td></tr></table>"): "<table><thead><tr><td><b> x </b></td><td>y</td></tr></thead><tbody></tbody></table>"}
+    others = [("wrapped", f"<table>{head}<tr><td>a>b</td></tr></table>"), ("wrapped", f"<table>{head}<tr><th>x</th></tr></table>"), ("wrapped", f"<table>{row}</table>"), ("wrapped", None), ("stripped", None), ("stripped", "<table><tr><td>&lt;</td></tr></table>")]
+    never = re.compile("(?!)")
+    with monkeypatch.context() as m:
+        m.setattr(M, "_SECTIONED", never)
+        m.setattr(M, "_LOOSE", never)
+        want = {(policy, text): M.under_policy(text, policy) for policy, text in [*known, *others]}
+    assert {(policy, text): M.under_policy(text, policy) for policy, text in [*known, *others]} == want
+    monkeypatch.setattr(M, "parse", None)
+    for (policy, text), made in known.items():
+        assert M.under_policy(text, policy) == made == want[policy, text]
