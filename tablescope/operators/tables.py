@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import align, geometry, markup
+from ..functions import align, geometry, markup, trees
 from ..functions.text import kernel_column, occurrences, rich_text, without_tags
 from . import reconstruct
 
@@ -81,7 +81,7 @@ def scored_pairs(pred: DataFrame, true: DataFrame, policy: str = "none", parts:
         both = both.repartition(parts, F.xxhash64("sample"))
     scored = both.withColumn("s", similarity(F.col("pred"), F.col("true"), policy, ignore))
     p = F.coalesce("pred", F.lit(""))
-    distance = F.levenshtein(p, F.col("true")) / F.greatest(F.length(p), F.length("true"), F.lit(1))
+    distance = kernel_column(trees.text_distance, p, F.col("true"), kind="int") / F.greatest(F.length(p), F.length("true"), F.lit(1))
     return scored.select("sample", F.lit(policy).alias("policy"), distance.alias("edit_distance"), "s.teds_s", "s.teds", "s.error")
 
 

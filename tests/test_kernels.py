@@ -423,3 +423,28 @@ def test_plain_policies_are_texts(monkeypatch):
     monkeypatch.setattr(M, "parse", None)
     for (policy, text), made in known.items():
         assert M.under_policy(text, policy) == made == want[policy, text]
+
+
+@pytest.mark.parametrize("policy", ["canonical", "flattened", "wrapped"])
+def test_plain_tables_under_policies_are_scored_without_a_parser(monkeypatch, policy):
+    rng = random.Random(12)
+    made = [plain_table([[rng.choice(("", "1", "1 2", "xyz")) for _ in range(rng.randint(0, 3))] for _ in range(rng.randint(0, 5))]) for _ in range(40)]
+    pairs = [(rng.choice(made), rng.choice(made)) for _ in range(150)]
+    blanks = [(plain_table([[" a  b", "c"]]), plain_table([["a b", "c "]])), (plain_table([["a\u00a0 b"]]), plain_table([["a b"], []]))]
+    with monkeypatch.context() as m:
+        m.setattr(M, "_plain_rows", lambda _: None)
+        want = [M.similarities(*p, policy) for p in [*pairs, *blanks]]
+    assert [M.similarities(*p, policy) for p in [*pairs, *blanks]] == want
+    monkeypatch.setattr(M, "parse", None)
+    assert [M.similarities(*p, policy) for p in pairs] == want[: len(pairs)]
+
+
+@given(st.text("abé\U0001f600", max_size=9), st.text("abé\U0001f600", max_size=9))
+def test_text_distance_equals_its_definition(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    assert trees.text_distance(a, b) == row[-1]
+    assert trees.text_distance(None, b) is trees.text_distance(a, None) is None
