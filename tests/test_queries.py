@@ -40,3 +40,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_lists_of_texts_bring_no_cells_together(spark, sf_dir):
+    from tablescope.plans import grids
+
+    exchanges = lambda rows: rows._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert exchanges(grids._lists(spark, sf_dir)) == exchanges(grids.markup_tables(spark, sf_dir)) > 0
