@@ -636,6 +636,17 @@ def cuts_by_definition(data: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+def test_chunks_of_many_texts_are_cut_at_once(monkeypatch):
+    rng = random.Random(12)
+    rows = [b"", *("\n".join(prose(rng, rng.randint(0, 3)) for _ in range(rng.randint(0, 40))).encode() + b"\n" * rng.randint(0, 2) for _ in range(60)), b"", b"\n", b"a"]
+    calls = []
+    monkeypatch.setattr(line_dedup, "run_hashes", lambda *a, f=line_dedup.run_hashes: calls.append(1) or f(*a))
+    of, start, end, lines, _ = line_dedup.cut_all(rows)
+    assert calls == [1]
+    assert list(zip(of.tolist(), start.tolist(), end.tolist(), lines.tolist())) == [(k, *x) for k, row in enumerate(rows) for x in cuts_by_definition(row)]
+    assert [len(x) for x in line_dedup.cut_all([])] == [0] * 5
+
+
 def test_line_chunks_equal_brute_force(small):
     rows = sorted({(r["doc_id"], r["text"]) for r in small.select("doc_id", "text").where("doc_id IS NOT NULL AND NOT (doc_id = 7 AND n_chars = 1)").collect() if r["text"] is not None})
     seen: dict[bytes, tuple] = {}
