@@ -6,14 +6,16 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tablescope.llm import license_scan, line_dedup, media, mixing, near_dedup, packing, ppm, quality, queries, repeats, topk
+from tablescope.llm import common, license_scan, line_dedup, media, mixing, near_dedup, packing, ppm, quality, queries, repeats, topk
 from tablescope.llm.common import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -470,6 +472,18 @@ def test_stages_take_columns_of_any_name(spark, small):
         assert rows and all(r[c] == f"own {c}" for r in rows for c in CLASHING)
 
 
+def test_scoring_holds_little_beside_the_texts():
+    rng = random.Random(5)
+    batch = pa.RecordBatch.from_arrays([pa.array([prose(rng, 300) for _ in range(2000)])], names=["text"])
+    score = quality.scorer(np.zeros((1 << quality.BITS) + 1, np.float32))
+    tracemalloc.start()
+    for part in common.chunked([batch]):
+        score(common.encoded(part.column("text")))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 3 << 20 and most < 60 << 20, (batch.nbytes, most)
+
+
 def test_quality_edges(spark, small, empty):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     got = quality.scored(small, labels).collect()
