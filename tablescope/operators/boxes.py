@@ -15,6 +15,8 @@ from ..session import written
 HOT = 1024
 #: Boxes to a tile, about.
 PER_TILE = 8
+#: Boxes of a sample, of both sides, up to which it is matched in one row.
+MANY = 64
 
 
 def pairs(a: DataFrame, b: DataFrame, test: Column | None = None, hot: int = HOT) -> DataFrame:
@@ -75,14 +77,21 @@ def best_match(a: DataFrame, b: DataFrame, least: float = 0.1) -> DataFrame:
     return out.select("sample", "idx", "mode", F.when(F.col("mode") == "iou", F.col("by_iou")).when(F.col("mode") == "iop", F.col("by_iop")).alias("other"), F.when(F.col("mode") == "iou", F.col("iou")).when(F.col("mode") == "iop", F.col("iop")).alias("value"))
 
 
-def greedy_matches(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
+def greedy_matches(a: DataFrame, b: DataFrame, least: float = 0.5, many: int = MANY) -> DataFrame:
     """One-to-one pairs of a sample's boxes, from the highest IoU on, ties to higher idx, then other: sample, idx, other.
 
-    In that order no two pairs are equal. A pair that is the best of both its boxes is taken by the walk from the top whatever
-    else there is, so all such pairs are taken at once, pairs of their boxes go, and so on until none is left: as many rounds as
-    the longest chain of boxes whose pairs get better and better. No sample is gathered.
+    Samples of up to `many` boxes, of both sides, are walked from the top in one row. In larger ones, which are never gathered, a
+    pair that is the best of both its boxes is taken by that walk whatever else there is, as no two pairs are equal in that order:
+    all such pairs are taken at once, pairs of their boxes go, and so on until none is left: as many rounds as the longest chain
+    of boxes whose pairs get better and better.
     """
-    left = written(pairs(a, b).select("sample", "idx", "other", g.iou(F.col("box"), F.col("other_box")).alias("iou")).where(F.col("iou") >= least), "pairs")
+    sides = a.select("sample").union(b.select("sample"))
+    large = written(sides.groupBy("sample").agg(F.count("*").alias("n")).where(F.col("n") > many).select("sample"), "large")
+    if large.isEmpty():
+        return _walked(_scored(a, b, least))
+    only = lambda rows, how: rows.join(large, "sample", how)
+    walked = _walked(_scored(only(a, "left_anti"), only(b, "left_anti"), least))
+    left = written(_scored(only(a, "left_semi"), only(b, "left_semi"), least), "pairs")
     taken = left.select("sample", "idx", "other").limit(0)
     while not left.isEmpty():
         order = F.struct("iou", "idx", "other")
@@ -90,7 +99,22 @@ def greedy_matches(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
         now = written(left.withColumns({"mine": best("idx"), "yours": best("other")}).where((F.col("mine") == order) & (F.col("yours") == order)).select("sample", "idx", "other"), "taken")
         taken = taken.union(now)
         left = written(left.join(now.select("sample", "idx"), ["sample", "idx"], "left_anti").join(now.select("sample", "other"), ["sample", "other"], "left_anti").select("sample", "idx", "other", "iou"), "pairs")
-    return taken
+    return walked.union(taken)
+
+
+def _scored(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    return pairs(a, b).select("sample", "idx", "other", g.iou(F.col("box"), F.col("other_box")).alias("iou")).where(F.col("iou") >= least)
+
+
+def _walked(scored: DataFrame) -> DataFrame:
+    """Of pairs of small samples those that a walk from the best on takes."""
+    kind = {f.name: f.dataType.simpleString() for f in scored.schema}
+    none = F.struct(*(F.array().cast(f"array<{kind[c]}>").alias(c) for c in ("idx", "other")))
+    free = lambda got, x: ~F.array_contains(got["idx"], x["idx"]) & ~F.array_contains(got["other"], x["other"])
+    more = lambda got, x: F.struct(*(F.concat(got[c], F.array(x[c])).alias(c) for c in ("idx", "other")))
+    order = F.sort_array(F.collect_list(F.struct("iou", "idx", "other")), asc=False)  # bounded by a small sample's boxes
+    lists = scored.groupBy("sample").agg(F.aggregate(order, none, lambda got, x: F.when(free(got, x), more(got, x)).otherwise(got)).alias("got"))
+    return lists.select("sample", F.inline(F.arrays_zip(F.col("got.idx").alias("idx"), F.col("got.other").alias("other"))))
 
 
 def match_rates(a: DataFrame, b: DataFrame, matches: DataFrame) -> DataFrame:

@@ -122,3 +122,15 @@ def test_quantile_picks_of_a_hot_group(spark):
     got = sorted((r["grp"], r["v"]) for r in scores.quantile_picks(rows, "grp", [F.asc("v")]).collect())
     hot = sorted(k * 7 % 4001 for k in range(4000))
     assert got == [*(("hot", hot[k]) for k in (0, 1000, 2000, 3000, 3999)), ("one", 4000 * 7 % 4001)]
+
+
+def test_small_samples_are_matched_without_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    side = lambda: [(s, k, (x := rng.uniform(0, 30)), (y := rng.uniform(0, 30)), x + rng.uniform(5, 20), y + rng.uniform(5, 20)) for s in range(6) for k in range(5 + 10 * (s == 0))]
+    rows = lambda some: spark.createDataFrame(some, "sample long, idx int, x0 double, y0 double, x1 double, y1 double").select("sample", "idx", F.struct("x0", "y0", "x1", "y1").alias("box"))
+    a, c = rows(side()), rows(side())
+    tags = []
+    monkeypatch.setattr(b, "written", lambda rows, tag, f=b.written: tags.append(tag) or f(rows, tag))
+    want = found(b.greedy_matches(a, c, 0.05))
+    assert tags == ["large"] and len(want) > 12
+    assert found(b.greedy_matches(a, c, 0.05, 0)) == want == found(b.greedy_matches(a, c, 0.05, 20)) == matches_by_walk(a, c, 0.05)
