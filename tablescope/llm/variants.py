@@ -4,8 +4,8 @@ A word's bigrams are put in one global order, the rarest in the vocabulary first
 most, and leaves the others in their order, either at their places or, behind an insertion, one place further on. So two words
 that are one edit apart share one of the THREE rarest bigrams of each, at the same place if they are equally long, else at
 the same place or one further on in the longer word (position and length limits). The edit is on one side of that bigram, so
-that what stands on the other side is equal too. Words meet by bigram, place, length and a hash of one side, and what meets is
-verified by the edit distance itself: the result is that of comparing all pairs.
+that what stands on the other side is equal too. Words meet by a hash of bigram, place, length and that side, where it is short
+also of one half of the edited side, and what meets is verified by the edit distance itself: the result is that of comparing all pairs.
 
 Occurrences are added up before they are shuffled, so that a very frequent word is one row a task. Bigrams of an alphabet of
 90 letters are 8,100 at most; their frequencies are all that is broadcast.
@@ -23,6 +23,10 @@ LEAST = 5
 RATIO = 5
 #: An edit changes two bigrams of a word at most, so that the third rarest at the latest is shared.
 THREE = 3
+#: A side of a bigram of fewer letters is shared by many words.
+SHORT = 3
+#: Words in a file of an intermediate table. Every file costs processes that set its rights, which hold a JVM's memory a second time while they start.
+FILE_WORDS = 250_000
 DAMAGE = 199
 #: Anything but letters; upper case A-Z has been folded.
 GAP = "[^a-zÀ-ÿ]+"
@@ -44,40 +48,62 @@ def counted(docs: DataFrame, shortest: int = SHORTEST, least: int = LEAST, every
 
 
 def rarest(words: DataFrame) -> DataFrame:
-    """id and the THREE rarest bigrams (gram, at) of each word of words (id, word)."""
-    letters = words.select("id", F.split("word", "").alias("letters"))
+    """id, word, n and the THREE rarest bigrams (gram, at) of each word of words (id, word, n)."""
+    letters = words.select("id", "word", "n", F.split("word", "").alias("letters"))
     pairs = F.transform(F.slice("letters", 1, F.size("letters") - 1), lambda c, i: F.concat(c, F.get("letters", i + 1)))
-    grams = letters.select("id", F.posexplode(pairs).alias("at", "gram"))
-    seen = written(grams.groupBy("gram").agg(F.count("*").alias("seen")), "bigrams")
+    grams = letters.select("id", "word", "n", F.posexplode(pairs).alias("at", "gram"))
+    seen = grams.groupBy("gram").agg(F.count("*").alias("seen"))
     first = F.slice(F.array_sort(F.collect_list(F.struct("seen", "gram", "at"))), 1, THREE)
-    few = grams.join(F.broadcast(seen), "gram").groupBy("id").agg(first.alias("few"))
-    return few.select("id", F.inline("few")).select("id", "gram", "at")
+    few = grams.join(F.broadcast(seen), "gram").groupBy("id", "word", "n").agg(first.alias("few"))
+    return few.select("id", "word", "n", F.inline("few")).select("id", "word", "n", "gram", "at")
+
+
+def meetings(less: int) -> Column:
+    """Names of the places where a word (word, gram, at) meets words that have `less` letters less: one for each part that the edit may have left alone.
+
+    The bigram, its place, the length, and the side of the bigram that is equal. A side of under SHORT letters says little, so
+    that one half of the other side, as the shorter word has it, is added: the edit is in one half and leaves the other alone.
+    """
+    size, at, word = F.length("word"), F.col("at"), F.col("word")
+    ahead, behind = F.left(word, at), F.substring(word, at + 3, size)
+
+    def key(side: int, place: Column, *parts: Column) -> Column:
+        return F.xxhash64(F.col("gram"), place, size - less, F.lit(side), *parts)
+
+    def names(side: int, place: Column, equal: Column, other: Column) -> Column:
+        n = F.length(other) - less
+        half = F.floor(n / 2).cast("int")
+        return F.when(F.length(equal) >= SHORT, F.array(key(side, place, equal))).otherwise(F.array(key(side + 2, place, equal, F.left(other, half)), key(side + 4, place, equal, F.right(other, n - half))))
+
+    return F.concat(names(0, at, ahead, behind), names(1, at - less, behind, ahead))
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """All pairs of words (id, word, n) that are one edit apart: the fields of both, as a and b, each pair once."""
-    length, side = F.length("word"), lambda n: F.lit(n).alias("side")
-    ahead, behind = F.xxhash64(F.substring(F.col("word"), F.lit(1), F.col("at"))).alias("rest"), F.xxhash64(F.substring(F.col("word"), F.col("at") + 3, length)).alias("rest")
-    keys = rarest(words).join(words, "id").select("gram", "at", length.alias("size"), F.struct("id", "word", "n").alias("b"), F.inline(F.array(F.struct(side(0), ahead), F.struct(side(1), behind))))
-    keys = written(keys, "bigram-keys")
-    # equally long words share what is ahead of the bigram or what is behind it; a longer one shares what is ahead, or, one place further on, what is behind
-    shifts = F.when(F.col("side") == 0, F.array(F.struct(F.lit(0).alias("less"), F.lit(0).alias("back")), F.struct(F.lit(1).alias("less"), F.lit(0).alias("back")))).otherwise(F.array(F.struct(F.lit(0).alias("less"), F.lit(0).alias("back")), F.struct(F.lit(1).alias("less"), F.lit(1).alias("back"))))
-    asking = keys.select("gram", "at", "size", "side", "rest", F.col("b").alias("a"), F.inline(shifts)).select("gram", (F.col("at") - F.col("back")).alias("at"), (F.col("size") - F.col("less")).alias("size"), "side", "rest", "a", "less")
-    met = asking.join(keys, ["gram", "at", "size", "side", "rest"]).where((F.col("less") == 1) | (F.col("a.id") < F.col("b.id")))
-    close = met.where(F.levenshtein(F.col("a.word"), F.col("b.word"), 1) == 1)
-    return close.select("a", "b").dropDuplicates(["a", "b"])
+    """All pairs of words (id, word, n) that are one edit apart: a_id, a_word, a_n, b_id, b_word, b_n, each pair once."""
+    few = rarest(words)
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("id", "word", "n")]
+    keys = few.select(F.explode(meetings(0)).alias("key"), *side("b"))
+    ways = F.array(*(F.struct(F.lit(less).alias("less"), meetings(less).alias("keys")) for less in (0, 1)))
+    asking = few.select(*side("a"), F.inline(ways)).select(F.explode("keys").alias("key"), *(f"a_{c}" for c in ("id", "word", "n")), "less")
+    met = asking.join(keys, "key").where((F.col("less") == 1) | (F.col("a_id") < F.col("b_id")))
+    return met.where(F.levenshtein("a_word", "b_word", 1) == 1).drop("key", "less").distinct()
 
 
 def related(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """word, n, n_near, form and form_n of all words (word, n): the near words and, of these, the most frequent one (ties: the smallest) if it is `ratio` times as frequent."""
     named = written(words.select(F.monotonically_increasing_id().alias("id"), "word", "n"), "vocabulary")
-    pairs = near_pairs(named)
-    both = F.array(F.struct(F.col("a.id").alias("id"), F.col("b.word").alias("word"), F.col("b.n").alias("n")), F.struct(F.col("b.id").alias("id"), F.col("a.word").alias("word"), F.col("a.n").alias("n")))
-    sides = pairs.select(F.inline(both)).groupBy("id").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n")).alias("less"), "word")).alias("best"))
+    both = F.array(*(F.struct(F.col(f"{a}_id").alias("id"), F.col(f"{b}_word").alias("word"), F.col(f"{b}_n").alias("n")) for a, b in ("ab", "ba")))
+    sides = near_pairs(named).select(F.inline(both)).groupBy("id").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n")).alias("less"), "word")).alias("best"))
     rows = named.join(sides, "id", "left")
     best_n = -F.col("best.less")
     formed = best_n >= F.col("n") * ratio
-    return rows.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(formed, F.col("best.word")).alias("form"), F.when(formed, best_n).alias("form_n"))
+    found = rows.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(formed, F.col("best.word")).alias("form"), F.when(formed, best_n).alias("form_n"))
+    return written(found, "variants", files(named))
+
+
+def files(words: DataFrame) -> int:
+    """How many files a row for each word takes: few for few words, whatever the number of partitions is."""
+    return words.count() // FILE_WORDS + 1
 
 
 def roots(words: DataFrame) -> DataFrame:
@@ -86,13 +112,15 @@ def roots(words: DataFrame) -> DataFrame:
     Each round lets a word take the root that its root has, so that chains are halved. A form is more frequent than its word, so
     that there is no circle, and with a ratio of 5 a chain of counts under 2 ** 63 has 27 words at most: five rounds.
     """
-    chain = written(words.where("form IS NOT NULL").select("word", F.col("form").alias("root")), "forms")
+    some = words.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
+    few = files(some)
+    chain = written(some, "forms", few)
     while True:
         onward = chain.select(F.col("word").alias("root"), F.col("root").alias("onward"))
         further = chain.join(onward, "root", "left")
         if further.where("onward IS NOT NULL").isEmpty():
             return chain
-        chain = written(further.select("word", F.coalesce("onward", "root").alias("root")), "forms")
+        chain = written(further.select("word", F.coalesce("onward", "root").alias("root")), "forms", few)
 
 
 def grouped(words: DataFrame, ratio: int = RATIO) -> DataFrame:
@@ -100,7 +128,7 @@ def grouped(words: DataFrame, ratio: int = RATIO) -> DataFrame:
 
     No words, no rows. A word without a near word has n_near 0, no form, and is its own root.
     """
-    rows = written(related(words, ratio), "variants")
+    rows = related(words, ratio)
     return rows.join(roots(rows), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 

@@ -12,7 +12,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tablescope.llm import importance, url_filter, variants
+from tablescope.llm import common, importance, url_filter, variants
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 FOLD = {i: i + 32 for i in range(65, 91)}
@@ -231,3 +231,28 @@ def test_ranks_go_on_over_ranges(spark):
     got = importance.ranked(rows, F.col("score").desc(), F.col("id")).orderBy("rank").collect()
     assert [r["rank"] for r in got] == list(range(1, 5001))
     assert [(r["score"], r["id"]) for r in got] == sorted(((r["score"], r["id"]) for r in got), key=lambda x: (-x[0], x[1]))
+
+
+def test_words_that_share_a_rare_beginning_do_not_all_meet(spark):
+    """A bigram at a word's edge has nothing on one side: its words do not all meet, and none that are near are lost."""
+    rng = random.Random(11)
+    some = sorted({"zq" + "".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(400)})
+    some += [w[:4] + "h" + w[5:] for w in some[:40]] + [w[:6] + w[7:] for w in some[40:80]] + [w[1:] for w in some[80:90]] + ["x" + w for w in some[90:100]]
+    words = spark.createDataFrame([(k, w, 5) for k, w in enumerate(sorted(set(some)))], "id long, word string, n long")
+    few = variants.rarest(words)
+    keys = few.select(F.explode(variants.meetings(0)).alias("key")).groupBy("key").count()
+    assert keys.agg(F.max("count")).first()[0] < 100
+    pairs = words.alias("a").join(words.alias("b"), F.col("a.id") != F.col("b.id")).where(F.levenshtein("a.word", "b.word", 1) == 1)
+    want = {frozenset(r) for r in pairs.select("a.word", "b.word").collect()}
+    got = [frozenset(r) for r in variants.near_pairs(words).select("a_word", "b_word").collect()]
+    assert len(want) >= 90 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_intermediate_tables_of_words_have_few_files(spark, monkeypatch):
+    """Whatever the number of partitions is, tables of a row a word are few files, since each costs processes of the executor's size."""
+    seen = []
+    monkeypatch.setattr(variants, "written", lambda df, tag, files=None: seen.append((tag, files)) or common.written(df, tag, files))
+    words = spark.createDataFrame([("abcdef", 100), ("abcdeg", 10), ("abcdeh", 1)], "word string, n long")
+    assert variants.grouped(words).count() == 3
+    assert [x for x in seen if x[0] != "vocabulary"] and all(n == 1 for tag, n in seen if tag != "vocabulary")
+    assert not {tag for tag, _ in seen} & {"bigrams", "bigram-keys"}
