@@ -2,13 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import diffs
-from ..functions.text import kernel_column
 
-EDGES = "struct<edges: array<double>, source: string>"
+#: Tables of more different positions are done one by one, by halves.
+MANY = 32
+
+
+def edges_of_batch(batch: pa.RecordBatch) -> tuple[list, list[str]]:
+    """Edges and source of each row of a batch (positions, times, lines, n, low, high): tables of equally many positions and tracks at once."""
+    column = lambda c: batch.column(batch.schema.get_field_index(c))
+    length = lambda c: np.asarray(pc.list_value_length(column(c)).fill_null(0)).astype(np.int64)
+    size, ruled = length("positions"), length("lines")
+    known = np.ones(len(size), bool)
+    for c in ("n", "low", "high"):
+        known &= np.asarray(column(c).is_valid())
+    n, low, high = (np.asarray(column(c).fill_null(0)) for c in ("n", "low", "high"))
+    x, times = (np.asarray(column(c).flatten()) for c in ("positions", "times"))
+    start = np.cumsum(size) - size
+    quick = known & (n > 0) & (ruled <= n) & (size > 0) & (size <= MANY) & (n <= MANY)
+    edges, source = [None] * len(size), ["distribution"] * len(size)
+    for m, k in np.unique(np.column_stack((size, n))[quick], axis=0).tolist():
+        mine = np.flatnonzero(quick & (size == m) & (n == k))
+        at = start[mine][:, None] + np.arange(m)
+        mine, at = (v[(np.diff(x[at], axis=1) > 0).all(axis=1) & np.isfinite(x[at]).all(axis=1)] for v in (mine, at))
+        middle = diffs.centres_of_many(x[at], times[at], k)
+        whole = np.column_stack((low[mine], np.rint((middle[:, 1:] + middle[:, :-1]) / 2), high[mine]))
+        for row, found in zip(mine.tolist(), whole.tolist(), strict=True):
+            edges[row] = found
+    for row in (r for r, e in enumerate(edges) if e is None):
+        lines, places, many, *rest = (column(c)[row].as_py() for c in ("lines", "positions", "times", "n", "low", "high"))
+        edges[row], source[row] = diffs.grid_edges(lines or [], places or [], int(rest[0]), *rest[1:], many or [])
+    return edges, source
 
 
 def track_edges(items: DataFrame, sizes: DataFrame, ruled: DataFrame | None = None) -> DataFrame:
@@ -20,16 +52,17 @@ def track_edges(items: DataFrame, sizes: DataFrame, ruled: DataFrame | None = No
     """
     counted = items.where("position IS NOT NULL").groupBy("sample", F.col("position").cast("double").alias("position")).agg(F.count("*").alias("times"))
     places = counted.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("position", "times"))).alias("places"))
+    places = places.select("sample", F.col("places.position").alias("positions"), F.col("places.times").alias("times"))
     rows = sizes.select("sample", "n", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high")).join(places, "sample", "left")
     if ruled is None:
         rows = rows.withColumn("lines", F.array().cast("array<double>"))
     else:
         rows = rows.join(ruled.groupBy("sample").agg(F.sort_array(F.collect_set(F.col("position").cast("double"))).alias("lines")), "sample", "left")
 
-    def edges(places: list | None, lines: list | None, n: int, low: float, high: float) -> dict:
-        places = [] if places is None else list(places)
-        found, source = diffs.grid_edges([] if lines is None else list(lines), [p["position"] for p in places], int(n), low, high, [p["times"] for p in places])
-        return {"edges": found, "source": source}
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edges, source = edges_of_batch(batch)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(edges, pa.list_(pa.float64())), pa.array(source, pa.string())], names=["sample", "edges", "source"])
 
-    found = rows.withColumn("e", kernel_column(edges, F.col("places"), F.col("lines"), F.col("n"), F.col("low"), F.col("high"), kind=EDGES))
-    return found.select("sample", F.posexplode("e.edges").alias("k", "edge"), F.col("e.source").alias("source"))
+    found = rows.select("sample", "positions", "times", "lines", "n", "low", "high").mapInArrow(each, f"sample {rows.schema['sample'].dataType.simpleString()}, edges array<double>, source string")
+    return found.select("sample", F.posexplode("edges").alias("k", "edge"), "source")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tablescope import session
-from tablescope.functions import markup
+from tablescope.functions import diffs, markup
 from tablescope.operators import table_functions, tracks
 from tablescope.sources import json_members, readers, writers
 
@@ -121,6 +122,23 @@ def test_tracks(spark):
     assert got == {1: [(e, "distribution") for e in (0.0, 6.0, 20.0)], 2: [(e, "distribution") for e in (0.0, 5.0, 5.0, 9.0)], 3: [(e, "uniform") for e in (0.0, 5.0, 10.0)], 4: [(e, "line") for e in (1.0, 3.0, 7.0)]}
 
 
+def test_tracks_of_many_tables_at_once(monkeypatch):
+    """Small tables of one size are one pass of arrays, with the edges that each has by itself; only others are done one by one."""
+    rng, rows = random.Random(5), []
+    for _ in range(600):
+        places = sorted(rng.sample(range(30), rng.randint(0, 9)))
+        rows.append((places, [rng.randint(1, 3) for _ in places], sorted(rng.sample(range(50), rng.choice((0, 0, 0, 3)))), rng.randint(0, 4), 0.0, 100.0))
+    rows.append((list(range(0, 120, 3)), [1] * 40, [], 3, 0.0, 200.0))
+    names, kinds = ("positions", "times", "lines", "n", "low", "high"), (pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.int32(), pa.float64(), pa.float64())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    want = [diffs.grid_edges(list(map(float, lines)), list(map(float, x)), n, low, high, times) for x, times, lines, n, low, high in rows]
+    single, one = [], diffs.grid_edges
+    monkeypatch.setattr(diffs, "grid_edges", lambda *a: single.append(a) or one(*a))
+    edges, source = tracks.edges_of_batch(batch)
+    assert [(list(map(float, e)), s) for e, s in zip(edges, source, strict=True)] == want
+    assert len(single) == sum(not x or n == 0 or len(lines) > n or len(x) > tracks.MANY for x, _, lines, n, *_ in rows) < 400
+
+
 def test_written_rows_and_the_shared_folder(spark):
     assert session.written(spark.range(5), "some").count() == 5
     assert session.folder(spark, "x").startswith(session.shared_folder(spark))
