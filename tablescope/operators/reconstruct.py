@@ -140,17 +140,30 @@ def diagnostics(cells: DataFrame, extents: DataFrame, huge: float = 8.0, overlap
     return joined.withColumn("causes", F.array_join(causes, ";"))
 
 
+def boxed_words(text: Column, b: Column) -> Column:
+    """Array of struct(word_idx, word, box), a word of the text each: left to right in the box, as wide as the word is long. A row is all that is needed: no window over its words."""
+    words = F.split(F.trim(text), "\\s+")
+    sums = F.aggregate(words, F.array(F.lit(0.0)), lambda a, w: F.concat(a, F.array(F.element_at(a, -1) + F.length(w).cast("double"))))
+    wide = F.greatest(F.lit(1.0), (b["x1"] - b["x0"]).cast("double"))
+
+    def placed(words: Column, sums: Column, last: Column) -> Column:
+        total = F.greatest(F.element_at(sums, -1), F.lit(1.0))  # no letters, no word
+
+        def one(word: Column, k: Column) -> Column:
+            a = b["x0"] + wide * F.get(sums, k) / total
+            z = F.when(k == last, b["x1"].cast("double")).otherwise(b["x0"] + wide * F.get(sums, k + 1) / total)
+            return F.struct(k.alias("word_idx"), word.alias("word"), g.box(a, b["y0"].cast("double"), F.greatest(a, z), b["y1"].cast("double")).alias("box"))
+
+        return F.filter(F.transform(words, one), lambda x: x["word"] != "")
+
+    # words, sums and the last word's place are bound once for all words
+    last = F.array_max(F.transform(words, lambda w, k: F.when(w != "", k)))
+    return F.get(F.transform(F.array(F.struct(words.alias("w"), sums.alias("s"), last.alias("z"))), lambda t: placed(t["w"], t["s"], t["z"])), F.lit(0))
+
+
 def word_boxes(rows: DataFrame) -> DataFrame:
     """A box for each word of `text`, left to right in the row's box, as wide as the word is long."""
-    w = W.partitionBy("sample", "idx").orderBy("word_idx")
-    words = rows.select("sample", "idx", "box", F.posexplode(F.split(F.trim("text"), "\\s+")).alias("word_idx", "word")).where("word <> ''")
-    size = F.length("word").cast("double")
-    total, before = F.sum(size).over(W.partitionBy("sample", "idx")), F.coalesce(F.sum(size).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    b = F.col("box")
-    wide = F.greatest(F.lit(1.0), (b["x1"] - b["x0"]).cast("double"))
-    last = F.row_number().over(W.partitionBy("sample", "idx").orderBy(F.desc("word_idx"))) == 1
-    placed = words.withColumns({"a": b["x0"] + wide * before / total, "z": F.when(last, b["x1"].cast("double")).otherwise(b["x0"] + wide * (before + size) / total)})
-    return placed.select("sample", "idx", "word_idx", "word", g.box(F.col("a"), b["y0"].cast("double"), F.greatest("a", "z"), b["y1"].cast("double")).alias("box"))
+    return rows.select("sample", "idx", F.inline(boxed_words(F.col("text"), F.col("box")))).select("sample", "idx", "word_idx", "word", "box")
 
 
 def scaled(b: Column, scale: float, page_width: Column, page_height: Column, bounds: Column | None = None, origin_y: Column | None = None) -> Column:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,12 +21,17 @@ CELLS = "sample long, cell_idx int, r0 int, r1 int, c0 int, c1 int, text string,
 def logical_cells(tables: DataFrame, nested: bool = False) -> DataFrame:
     """A row for each logical cell, half-open, of tables (sample, markup)."""
 
-    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = [(s, k, c.r0, c.r1, c.c0, c.c1, c.text, c.header) for s, m in zip(part["sample"], part["markup"], strict=True) for k, c in enumerate(markup.logical_cells(m, nested))]
-            yield pd.DataFrame(rows, columns=["sample", "cell_idx", "r0", "r1", "c0", "c1", "text", "header"])
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [markup.logical_cells(m, nested) for m in batch.column(1).to_pylist()]
+            many = np.fromiter(map(len, found), np.int64, len(found))
+            of = np.repeat(np.arange(len(found)), many)
+            cells = [c for some in found for c in some]
+            numbers = [np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many), *([getattr(c, side) for c in cells] for side in ("r0", "r1", "c0", "c1"))]
+            columns = [batch.column(0).cast(pa.int64()).take(pa.array(of)), *(pa.array(v, pa.int32()) for v in numbers), pa.array([c.text for c in cells], pa.string()), pa.array([bool(c.header) for c in cells], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["sample", "cell_idx", "r0", "r1", "c0", "c1", "text", "header"])
 
-    return tables.select("sample", "markup").mapInPandas(each, CELLS)
+    return tables.select("sample", "markup").mapInArrow(each, CELLS)
 
 
 def annotation_cells(rows: DataFrame) -> DataFrame:
@@ -40,11 +47,13 @@ def recognised_tokens(cells: DataFrame, words: bool = False, include_empty: bool
     shown = F.trim(without_tags(F.col("text")))
     some = cells.where("box IS NOT NULL").withColumn("text", F.when(shown == "", F.lit(" ")).otherwise(F.col("text")) if include_empty else F.col("text"))
     some = some if include_empty else some.where(shown != "")
-    if words:
-        split = reconstruct.word_boxes(some.select("sample", F.col("cell_idx").alias("idx"), "text", "box"))
-        found = split.select("sample", F.col("idx").alias("line"), F.col("word_idx").alias("index_in_line"), F.col("word").alias("text"), "box")
-    else:
-        found = some.select("sample", F.col("cell_idx").alias("line"), F.lit(0).alias("index_in_line"), "text", "box")
+    if words:  # cells are numbered, not their words: half the rows or less are sorted
+        w = W.partitionBy("sample").orderBy("cell_idx").rowsBetween(W.unboundedPreceding, -1)
+        many = F.size(F.filter(F.split(F.trim("text"), "\\s+"), lambda x: x != ""))
+        lines = some.select("sample", "cell_idx", "text", "box", F.coalesce(F.sum(many).over(w), F.lit(0)).alias("before"))
+        split = lines.select("sample", "before", F.col("cell_idx").alias("line"), F.posexplode(reconstruct.boxed_words(F.col("text"), F.col("box"))).alias("nth", "w"))
+        return split.select("sample", (F.col("before") + F.col("nth") + 1).cast("int").alias("id"), F.col("w.word").alias("text"), F.col("w.box").alias("box"), "line", F.col("w.word_idx").alias("index_in_line"), F.lit(1.0).alias("confidence"))
+    found = some.select("sample", F.col("cell_idx").alias("line"), F.lit(0).alias("index_in_line"), "text", "box")
     at = F.row_number().over(W.partitionBy("sample").orderBy("line", "index_in_line"))
     return found.select("sample", at.alias("id"), "text", "box", "line", "index_in_line", F.lit(1.0).alias("confidence"))
 

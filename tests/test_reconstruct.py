@@ -57,6 +57,23 @@ def test_word_boxes(spark):
     assert [(r["word"], r["box"]["x0"], r["box"]["x1"]) for r in R.word_boxes(rows).orderBy("word_idx").collect()] == [("ab", 0, 20), ("c", 20, 30)]
 
 
+def test_word_boxes_of_odd_blanks(spark):
+    """Empty pieces at either end keep their places, as they had in a window over a row's words."""
+    rows = spark.createDataFrame([(1, 0, (0.0, 0.0, 60.0, 5.0), "\tab  c\n"), (1, 1, (0.0, 0.0, 30.0, 5.0), None), (1, 2, (0.0, 0.0, 0.5, 5.0), "ab c")], "sample long, idx int, box struct<x0: double, y0: double, x1: double, y1: double>, text string")
+    got = [(r["idx"], r["word_idx"], r["word"], r["box"]["x0"], r["box"]["x1"]) for r in R.word_boxes(rows).orderBy("idx", "word_idx").collect()]
+    assert got == [(0, 1, "ab", 0, 40), (0, 2, "c", 40, 60), (2, 0, "ab", 0, 2 / 3), (2, 1, "c", 2 / 3, 2 / 3)]
+
+
+def test_words_are_numbered_by_their_cells(spark):
+    """One shuffle by table, for cells; none for words."""
+    from tablescope.operators import tables
+
+    rows = spark.createDataFrame([(1, 1, "a <b>bb</b> c", (0.0, 0.0, 9.0, 1.0)), (1, 0, "x y", (0.0, 0.0, 9.0, 1.0)), (1, 2, " ", (0.0, 0.0, 9.0, 1.0)), (2, 0, "z", (0.0, 0.0, 9.0, 1.0))], "sample long, cell_idx int, text string, box struct<x0: double, y0: double, x1: double, y1: double>")
+    found = tables.recognised_tokens(rows, words=True)
+    assert [tuple(r) for r in found.select("sample", "id", "text", "line", "index_in_line").orderBy("sample", "id").collect()] == [(1, 1, "x", 0, 0), (1, 2, "y", 0, 1), (1, 3, "a", 1, 0), (1, 4, "<b>bb</b>", 1, 1), (1, 5, "c", 1, 2), (2, 1, "z", 0, 0)]
+    assert tables.recognised_tokens(rows, words=True)._jdf.queryExecution().sparkPlan().toString().count("Window ") == 1
+
+
 def test_scaling_modes(spark):
     box = lambda *x: g.box(*(F.lit(float(v)) for v in x))
     mode = lambda b, **k: spark.range(1).select(R.scaled(b, 2.0, F.lit(100.0), F.lit(100.0), **k).alias("s")).first()["s"]
