@@ -347,6 +347,15 @@ def counted(found: DataFrame, length: int) -> DataFrame:
     return asked(found.select("doc", "row", "lo", "edge", "copies", "bytes"), cut, judge, give, SPAN)
 
 
+def several_before(hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Of each window whether over all of its equals there are several bytes before it, or none (negative) somewhere."""
+    _, at = np.unique(hashes, return_inverse=True)
+    low, high = np.full(int(at.max(initial=-1)) + 1, 1000, np.int16), np.full(int(at.max(initial=-1)) + 1, -1000, np.int16)
+    np.minimum.at(low, at, before)
+    np.maximum.at(high, at, before)
+    return ((low < 0) | (low != high))[at]
+
+
 STARTS = "window long, entry long, at int, before int, n long, bytes binary"
 
 
@@ -365,13 +374,6 @@ def starts(entries: DataFrame, length: int) -> DataFrame:
         order = np.argsort(hashes, kind="stable")
         return hashes[order], before[order], (part.column("entry").to_pylist(), part.column("n").to_pylist(), body, order, hashes, before)
 
-    def judge(hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
-        _, at = np.unique(hashes, return_inverse=True)
-        low, high = np.full(int(at.max(initial=-1)) + 1, 1000, np.int16), np.full(int(at.max(initial=-1)) + 1, -1000, np.int16)
-        np.minimum.at(low, at, before)
-        np.maximum.at(high, at, before)
-        return ((low < 0) | (low != high))[at]
-
     def give(rest: tuple, known: np.ndarray) -> pa.Table:
         entry, n, body, order, hashes, before = rest
         good = np.zeros(len(order), bool)
@@ -386,7 +388,7 @@ def starts(entries: DataFrame, length: int) -> DataFrame:
         }
         return pa.table({c: pa.array(v, kinds[c]) for c, v in columns.items()})
 
-    return asked(entries.select("entry", "n", "bytes"), cut, judge, give, STARTS, 1 << 18)  # each start brings the rest of its run
+    return asked(entries.select("entry", "n", "bytes"), cut, several_before, give, STARTS, 1 << 18)  # each start brings the rest of its run
 
 
 def maximal_repeats(suffixes: DataFrame, length: int) -> DataFrame:
@@ -416,6 +418,150 @@ def maximal_repeats(suffixes: DataFrame, length: int) -> DataFrame:
     keyed = suffixes.withColumn("bucket", F.pmod(F.xxhash64("window"), F.lit(buckets)).cast("int"))
     return keyed.groupBy("bucket").applyInArrow(each, "repeat long, length long, entry long, at long")
 
+KINDS = "anchor long, kind long, entry long, lo long, more int"
+
+
+def run_kinds(entries: DataFrame, length: int, k: int) -> DataFrame:
+    """KINDS of the anchors in different runs (entry, bytes): a kind is a context with the byte before it, or none where it begins the run."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunked(batches, "bytes"):
+            body = part.column("bytes").to_pylist()
+            of, anchor, context, _, lo, hi = anchors(body, length, k)
+            size = np.fromiter(map(len, body), np.int64, len(body))
+            place = (np.cumsum(size) - size)[of] + lo
+            before = np.where(lo > 0, np.frombuffer(b"".join(body) + b" ", np.uint8)[np.maximum(place - 1, 0)].astype(np.int64), 256)
+            kind = mix(context + (before + 1).astype(np.uint64) * np.uint64(_BASE))
+            columns = [anchor.view(np.int64), kind.view(np.int64), np.asarray(part.column("entry"))[of], lo, (hi - lo).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "kind", "entry", "lo", "more"])
+
+    return entries.select("entry", "bytes").mapInArrow(each, KINDS)
+
+
+def starts_of_kinds(found: DataFrame, length: int) -> DataFrame:
+    """anchor, kind, window, off, before: the windows of the given kinds (as of `contexts`) that have several bytes before them or begin a run. Equal windows have equal anchors, so that all kinds of an anchor know all that stands before its windows."""
+
+    def windows(body: list[bytes], edge: np.ndarray) -> tuple[np.ndarray, ...]:
+        size = np.fromiter(map(len, body), np.int64, len(body))
+        first, many = np.cumsum(size) - size + edge, size - edge - length + 1
+        of = np.repeat(np.arange(len(body)), many)
+        off = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+        place = off + first[of]
+        data = np.frombuffer(b"".join(body), np.uint8)
+        hashes = Hashes(data).every(length)[place]
+        before = np.where((off > 0) | (edge[of] > 0), data[np.maximum(place - 1, 0)].astype(np.int16), -1)
+        return of, off, hashes, before, np.argsort(hashes, kind="stable")
+
+    def cut(part: pa.Table) -> tuple:
+        body, edge = part.column("bytes").to_pylist(), np.asarray(part.column("edge")).astype(np.int64)
+        _, _, hashes, before, order = windows(body, edge)
+        return hashes[order], before[order], (np.asarray(part.column("anchor")), np.asarray(part.column("context")), body, edge)
+
+    def give(rest: tuple, known: np.ndarray) -> pa.Table:
+        anchor, kind, body, edge = rest
+        of, off, hashes, before, order = windows(body, edge)
+        mine = np.sort(order[known.astype(bool)])
+        return pa.table({"anchor": anchor[of[mine]], "kind": kind[of[mine]], "window": hashes[mine].view(np.int64), "off": off[mine].astype(np.int32), "before": before[mine].astype(np.int32)})
+
+    return asked(found.select("anchor", "context", "edge", "bytes"), cut, several_before, give, "anchor long, kind long, window long, off int, before int", 1 << 20)
+
+
+def dealt(members: DataFrame) -> DataFrame:
+    """The starts of each run (entry, n, bytes, starts) by parts of the windows: a part gets the bytes of a run once, from the first of its starts on."""
+    buckets = 4 * partitions(members.sparkSession)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                text, starts = batch.column(2)[k].as_py(), batch.column(3)[k].values
+                bucket = (np.asarray(starts.field("window")).view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+                at = np.asarray(starts.field("at")).astype(np.int64)
+                order = np.lexsort((at, bucket))
+                lead = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1])))
+                some = len(lead)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[order][lead], pa.int32()), pa.array([batch.column(1)[k].as_py()] * some, pa.int64()), pa.array(at[order][lead], pa.int64()), pa.array([text[a:] for a in at[order][lead].tolist()], pa.binary()), pa.ListArray.from_arrays(pa.array([*lead, len(order)], pa.int32()), starts.take(pa.array(order)))],
+                    names=["bucket", "n", "from", "bytes", "starts"],
+                )
+
+    kind = members.schema["starts"].dataType.simpleString()
+    return members.select("entry", "n", "bytes", "starts").mapInArrow(each, f"bucket int, n long, from long, bytes binary, starts {kind}")
+
+
+def suffix_order(data: bytes, start: list[int], end: list[int], step: int = 1024) -> list[int]:
+    """The suffixes data[start:end] in order, looking at so many bytes of each at a time."""
+    out: list[int] = []
+    todo = [(list(range(len(start))), 0)]
+    while todo:
+        some, skip = todo.pop()
+        if len(some) == 1:
+            out += some
+            continue
+        key = {k: data[start[k] + skip : min(end[k], start[k] + skip + step)] for k in some}
+        some.sort(key=key.__getitem__)
+        lead = [i for i in range(len(some)) if not i or key[some[i]] != key[some[i - 1]]]
+        for a, b in reversed(list(zip(lead, [*lead[1:], len(some)], strict=True))):
+            if len(key[some[a]]) < step:  # equal to their ends
+                todo += [([k], 0) for k in reversed(some[a:b])]
+            else:
+                todo.append((some[a:b], skip + step))
+    return out
+
+
+def extremes(values: np.ndarray, first: np.ndarray, last: np.ndarray, best: np.ufunc) -> np.ndarray:
+    """best of values[first : last + 1] of each pair, by a table of stretches of powers of two."""
+    level, out, width = values, np.zeros(len(first), values.dtype), last - first + 1
+    size = 1
+    while len(first) and size <= int(width.max()):
+        mine = (width >= size) & (width < 2 * size)
+        out[mine] = best(level[first[mine]], level[last[mine] - size + 1])
+        level = best(level[: len(level) - size], level[size:]) if len(level) > size else level
+        size *= 2
+    return out
+
+
+SUMMARY = "length long, places long, first_doc_id long, first_start long, last_doc_id long, last_start long, sum long"
+
+
+def summed_repeats(parts: DataFrame, length: int) -> DataFrame:
+    """SUMMARY of each maximal repeat: the sums over the intervals of the sorted suffixes, whose members are never listed, as a periodic run has as many as the square of its length."""
+
+    def each(group: pa.Table) -> pa.Table:
+        body, n, base = group.column("bytes").to_pylist(), np.asarray(group.column("n")), np.asarray(group.column("from"))
+        size = np.fromiter(map(len, body), np.int64, len(body))
+        lists = pa.concat_arrays(group.column("starts").chunks)
+        of, starts = np.repeat(np.arange(len(body)), np.asarray(lists.value_lengths())), lists.flatten()
+        col = {name: np.asarray(starts.field(name)) for name in ("window", "at", "before", "places", "first_doc", "first_start", "last_doc", "last_start", "sum")}
+        end = np.cumsum(size)[of]
+        start = end - size[of] + col["at"] - base[of]
+        order = np.argsort(col["window"], kind="stable")
+        edges = np.flatnonzero(np.concatenate(([True], np.diff(col["window"][order]) != 0, [True]))).tolist()
+        data, out = b"".join(body), [np.zeros((0, 7), np.int64)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            # a run that is there several times is in the array twice, its first suffix without a common byte before it
+            mine = np.repeat(order[a:b], np.minimum(n[of[order[a:b]]], 2))
+            once = np.concatenate(([True], mine[1:] != mine[:-1]))
+            x, y = start[mine].tolist(), end[mine].tolist()
+            sort = suffix_order(data, x, y)
+            common = np.asarray([0, *(shared(data[x[i] : y[i]], data[x[j] : y[j]]) for i, j in zip(sort, sort[1:], strict=False))])
+            mine, once = mine[sort], once[sort]
+            before = col["before"][mine]
+            found = np.asarray(intervals(common, np.where(before >= 0, before, -1 - np.arange(len(mine))), length), np.int64).reshape(-1, 3)
+            long, first, last = found.T
+            sums = [np.concatenate(([0], np.cumsum(col[c][mine] * once))) for c in ("places", "sum")]
+            columns = [long, sums[0][last + 1] - sums[0][first]]
+            for side, best in (("first", np.minimum), ("last", np.maximum)):
+                pair = np.lexsort((col[f"{side}_start"][mine], col[f"{side}_doc"][mine]))
+                rank = np.empty(len(mine), np.int64)
+                rank[pair] = np.arange(len(mine))
+                at = mine[pair[extremes(rank, first, last, best)]]
+                columns += [col[f"{side}_doc"][at], col[f"{side}_start"][at]]
+            out.append(np.column_stack([*columns, sums[1][last + 1] - sums[1][first]]))
+        names = [f.split()[0] for f in SUMMARY.split(", ")]
+        return pa.table(dict(zip(names, np.concatenate(out).T.copy(), strict=True)))
+
+    return parts.groupBy("bucket").applyInArrow(each, SUMMARY)
+
 
 class Repeats:
     """The steps over a corpus; `docs` has doc, row and text (bytes)."""
@@ -429,7 +575,7 @@ class Repeats:
         several = written(self.kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several-contexts")
         wanted = self.kinds.join(several, "anchor").select("anchor", "context", "copies", (F.col("kinds") > wide).alias("wide"), "at.doc", "at.row", "at.lo", "at.more")
         self.contexts = written(contexts(docs, wanted, length), "context-bytes")
-        self.docs, self.length = docs, length
+        self.docs, self.length, self.k = docs, length, k
 
     def spans(self) -> DataFrame:
         """SPAN of repeated bytes; spans of a row may overlap."""
@@ -451,14 +597,35 @@ class Repeats:
 
         return self.docs.select("doc", "row", "text").join(spans, ["doc", "row"]).mapInArrow(each, "doc long, row long, start long, bytes binary")
 
-    def groups(self) -> DataFrame:
-        """repeat, length, doc, row, start: every maximal repeat of at least `length` bytes with all its occurrences, of equal rows once for each."""
+    def different(self) -> tuple[DataFrame, DataFrame]:
+        """The different runs (entry, n, bytes), and where they stand (entry, doc, row, start)."""
         runs = written(self.runs(), "runs")
         entries = written(runs.groupBy("bytes").agg(F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("entry"), "n", "bytes"), "different-runs")
-        places = written(runs.join(entries.select("entry", "bytes"), "bytes").select("entry", "doc", "row", "start"), "run-places")
+        return entries, written(runs.join(entries.select("entry", "bytes"), "bytes").select("entry", "doc", "row", "start"), "run-places")
+
+    def groups(self) -> DataFrame:
+        """repeat, length, doc, row, start: every maximal repeat of at least `length` bytes with all its occurrences, of equal rows once for each."""
+        entries, places = self.different()
         found = maximal_repeats(starts(entries, self.length), self.length)
         return found.join(places, "entry").select("repeat", "length", "doc", "row", (F.col("start") + F.col("at")).alias("start"))
 
+    def summary(self) -> DataFrame:
+        """SUMMARY of every group of `groups`, from runs that are sent once to a part, and without a row for each occurrence."""
+        entries, places = self.different()
+        found = written(run_kinds(entries, self.length, self.k), "run-kinds")
+        kinds = written(found.groupBy("anchor", "kind").agg(F.min(F.struct("entry", "lo", "more")).alias("one")), "kinds")
+        several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("one.lo").alias("lo")).where("kinds > 1 OR lo = 0").select("anchor")
+        one, whole = F.lit(1).cast("long"), F.lit(0).cast("long").alias("row")
+        wanted = kinds.join(several, "anchor").select("anchor", F.col("kind").alias("context"), one.alias("copies"), F.lit(True).alias("wide"), F.col("one.entry").alias("doc"), whole, "one.lo", "one.more")
+        known = written(starts_of_kinds(contexts(entries.select(F.col("entry").alias("doc"), whole, F.col("bytes").alias("text")), wanted, self.length), self.length), "kind-starts")
+        begun = found.join(known, ["anchor", "kind"]).groupBy("entry").agg(F.collect_list(F.struct((F.col("lo") + F.col("off")).alias("at"), "window", "before")).alias("starts"))  # bounded by a run's length
+        each = begun.join(places, "entry").select("entry", "doc", "start", F.explode("starts").alias("s"))
+        place = F.struct("doc", (F.col("start") + F.col("s.at")).alias("start"))
+        told = each.groupBy("entry", "s").agg(F.count("*").alias("places"), F.min(place).alias("first"), F.max(place).alias("last"), F.sum((F.col("doc") * 31 + F.col("start") + F.col("s.at")) % 1000003).alias("sum"))
+        start = F.struct("s.*", "places", *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("first", "last") for c in ("doc", "start")], "sum")
+        members = told.groupBy("entry").agg(F.collect_list(start).alias("starts")).join(entries, "entry")
+        return summed_repeats(dealt(members), self.length)
+
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []

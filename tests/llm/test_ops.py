@@ -135,6 +135,35 @@ def test_groups_equal_brute_force(spark, wide):
     assert got == groups_by_force([x.encode() for x in texts], 12)
 
 
+@pytest.mark.parametrize("wide", [128, 1])
+def test_summaries_equal_brute_force(spark, wide):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    a, c = word(40), word(30)
+    texts = [word(9) + a + word(7), word(5) + a + c + word(4), a + c, a + c, word(6) + a[5:] + word(8), "ab" * 30, "ab" * 30, "x" * 24, word(12), "", word(20) + c + word(3) + c, c + "é" + a]
+    texts += [a[:25] + word(6) for _ in range(6)] + [word(6) + a + c]
+    docs = repeats.with_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = sorted((len(s), len(some), *min(some), *max(some), sum((d * 31 + at) % 1000003 for d, at in some)) for s, some in groups_by_force([x.encode() for x in texts], 12))
+    assert sorted(map(tuple, repeats.Repeats(docs, 12, 6, wide).summary().collect())) == want
+
+
+def test_a_run_is_sent_once_to_a_part(spark):
+    """A periodic run has starts in its whole length: its bytes with each of them would be the square of it."""
+    n = 6000
+    starts = [{"at": at, "window": at % 7, "before": 97} for at in range(n)]
+    members = spark.createDataFrame([(0, 1, b"abcdefg" * (n // 7 + 60), starts)], "entry long, n long, bytes binary, starts array<struct<at: long, window: long, before: int>>")
+    rows = repeats.dealt(members).collect()
+    assert sorted(s["at"] for r in rows for s in r["starts"]) == list(range(n)) and sum(len(r["bytes"]) for r in rows) <= 7 * (n + 500)
+    assert all(r["from"] == min(s["at"] for s in r["starts"]) for r in rows)
+
+
+def test_suffixes_are_sorted_by_pieces():
+    data = b"ababab" * 400 + b"b"
+    start = [0, 2, 4, 5, 4, 2400 - 3, 1]
+    order = repeats.suffix_order(data, start, [len(data)] * 6 + [700], 16)
+    assert [data[start[k] : 700 if k == 6 else None] for k in order] == sorted(data[start[k] : 700 if k == 6 else None] for k in range(7))
+
+
 def test_intervals_of_a_tree():
     # aXbc, aXbd, cXbc: sorted suffixes Xbc, Xbc, Xbd
     assert sorted(repeats.intervals(np.asarray([0, 3, 2]), np.asarray([97, 99, 97]), 2)) == [(2, 0, 2), (3, 0, 1)]
