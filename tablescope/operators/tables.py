@@ -34,12 +34,52 @@ def logical_cells(tables: DataFrame, nested: bool = False) -> DataFrame:
     return tables.select("sample", "markup").mapInArrow(each, CELLS)
 
 
+def cell_lists(tables: DataFrame) -> DataFrame:
+    """sample, n (rows) and the texts of the cells in order, of tables (sample, markup) that have cells."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [markup.cell_texts(m) for m in batch.column(1).to_pylist()]
+            kept = [k for k, (_, texts) in enumerate(found) if texts]
+            texts = pa.array([found[k][1] for k in kept], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(pa.array(kept, pa.int64())), pa.array([found[k][0] for k in kept], pa.int32()), texts], names=["sample", "n", "texts"])
+
+    return tables.select("sample", "markup").mapInArrow(each, "sample long, n int, texts array<string>")
+
+
+def annotation_places(tokens: pa.Array, contents: pa.Array) -> pa.Array:
+    """The places (r0, r1, c0, c1) of the annotated cells of each list of structure tokens with so many contents. Equal ones are read once: annotations have few structures."""
+    text = tokens.flatten().cast(pa.string())
+    if tokens.null_count or text.null_count or contents.null_count:
+        keys, lists = list(range(len(tokens))), tokens.to_pylist()
+    else:
+        _, offsets, data = text.buffers()
+        ends = np.frombuffer(offsets, np.int32)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int32)
+        data = memoryview(data) if data else memoryview(b"")
+        edge = np.concatenate(([0], np.cumsum(np.asarray(tokens.value_lengths()))))
+        sizes, of = np.diff(ends), edge.tolist()
+        keys = [(n, data[x:y].tobytes(), sizes[a:b].tobytes()) for n, a, b, x, y in zip(contents.to_pylist(), of[:-1], of[1:], ends[edge[:-1]].tolist(), ends[edge[1:]].tolist(), strict=True)]
+        lists = None
+    number: dict = {}
+    which = np.fromiter((number.setdefault(k, len(number)) for k in keys), np.int64, len(keys))
+    one = np.zeros(len(number), np.int64)
+    one[which[::-1]] = np.arange(len(keys))[::-1]
+    found = [markup.annotated_cells(list(lists[k] if lists else tokens[k].as_py()), int(contents[k].as_py()))[0] for k in one.tolist()]
+    many = np.fromiter(map(len, found), np.int64, len(found))
+    first, size = np.cumsum(many) - many, many[which]
+    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[which], size)
+    sides = [np.fromiter((getattr(c, side) for cells in found for c in cells), np.int32, int(many.sum()))[place] for side in ("r0", "r1", "c0", "c1")]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.StructArray.from_arrays([pa.array(v) for v in sides], ["r0", "r1", "c0", "c1"]))
+
+
 def annotation_cells(rows: DataFrame) -> DataFrame:
     """Of annotations (sample, tokens, cells: array of struct(tokens, bbox)) each logical cell with its content: sample, cell_idx, r0, r1, c0, c1, text, numbers, box. A table ends at the first cell without a content."""
-    places = kernel_column(lambda tokens, n: [{"r0": c.r0, "r1": c.r1, "c0": c.c0, "c1": c.c1} for c in markup.annotated_cells(list(tokens), int(n))[0]], F.col("tokens"), F.size("cells"), kind="array<struct<r0: int, r1: int, c0: int, c1: int>>")
-    both = rows.withColumn("__p", places).select("sample", "cells", F.posexplode("__p").alias("cell_idx", "p"))
-    content = F.get("cells", F.col("cell_idx"))
-    return both.select("sample", "cell_idx", "p.*", rich_text(content["tokens"]).alias("text"), content["bbox"].alias("numbers"), geometry.from_numbers(content["bbox"]).alias("box"))
+    places = F.arrow_udf(annotation_places, "array<struct<r0: int, r1: int, c0: int, c1: int>>")(F.col("tokens"), F.size("cells"))
+    # each place has its content beside it, so that no row carries all of its table's
+    both = F.transform("__p", lambda p, i: F.struct(p.alias("p"), F.get("cells", i).alias("content")))
+    found = rows.withColumn("__p", places).select("sample", F.posexplode(both).alias("cell_idx", "c"))
+    content = F.col("c.content")
+    return found.select("sample", "cell_idx", "c.p.*", rich_text(content["tokens"]).alias("text"), content["bbox"].alias("numbers"), geometry.from_numbers(content["bbox"]).alias("box"))
 
 
 def recognised_tokens(cells: DataFrame, words: bool = False, include_empty: bool = False) -> DataFrame:

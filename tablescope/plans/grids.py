@@ -33,12 +33,8 @@ def _sectioned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sample, n, and the texts of the cells in order."""
-    def found(text: str) -> list[dict]:
-        cells = markup.logical_cells(text)
-        return [{"n": max(c.r1 for c in cells), "texts": [c.text for c in cells]}] if cells else []
-
     # a table is in one row as it is: no shuffle brings its cells together
-    return markup_tables(spark, sf_dir).select("sample", F.inline(_html(found, kind="array<struct<n: int, texts: array<string>>>")))
+    return tables.cell_lists(markup_tables(spark, sf_dir))
 
 
 def _tokens(row: list[str], n: Column) -> Column:

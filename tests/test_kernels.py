@@ -448,3 +448,27 @@ def test_text_distance_equals_its_definition(a, b):
             row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
     assert trees.text_distance(a, b) == row[-1]
     assert trees.text_distance(None, b) is trees.text_distance(a, None) is None
+
+
+def test_equal_structures_are_read_once(monkeypatch):
+    """q73: the places of annotations are those of each one alone, and a structure that many tables have is parsed once."""
+    import pyarrow as pa
+    from tablescope.operators import tables
+
+    row = ["<tr>", "<td>", "</td>", "<td", ' colspan="2"', ">", "</td>", "</tr>"]
+    some = [row * 2, ["<t", "r>"], [], row * 2, ["<tr>", "<td></td>"], row * 3, ["", *row * 2], row * 2] * 3
+    contents = [4, 0, 0, 4, 1, 5, 4, 3] * 3
+    want = [[{"r0": c.r0, "r1": c.r1, "c0": c.c0, "c1": c.c1} for c in M.annotated_cells(t, n)[0]] for t, n in zip(some, contents, strict=True)]
+    calls, kernel = [], M.annotated_cells
+    monkeypatch.setattr(M, "annotated_cells", lambda t, n: calls.append(n) or kernel(t, n))
+    tokens, n = pa.array(some, pa.list_(pa.string())), pa.array(contents, pa.int32())
+    assert tables.annotation_places(tokens, n).to_pylist() == want and len(calls) == 7
+    assert tables.annotation_places(tokens.slice(5, 9), n.slice(5, 9)).to_pylist() == want[5:14]
+    assert tables.annotation_places(tokens.slice(0, 0), n.slice(0, 0)).to_pylist() == []
+    assert tables.annotation_places(pa.array([[]], pa.list_(pa.string())), n.slice(0, 1)).to_pylist() == [[]]
+
+
+@pytest.mark.parametrize("text", [None, "", "x", "<table></table>", "<table><tr></tr><tr><td> a  b </td><td></td></tr><tr></tr></table>", "<table><tr><td rowspan=3>a</td><th>b</th></tr></table>", "<table><tr><td>a&amp;b</td></tr></table>"])
+def test_cell_texts_are_those_of_the_cells(text):
+    cells = M.logical_cells(text)
+    assert M.cell_texts(text) == (max((c.r1 for c in cells), default=0), [c.text for c in cells])
