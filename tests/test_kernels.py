@@ -472,3 +472,19 @@ def test_equal_structures_are_read_once(monkeypatch):
 def test_cell_texts_are_those_of_the_cells(text):
     cells = M.logical_cells(text)
     assert M.cell_texts(text) == (max((c.r1 for c in cells), default=0), [c.text for c in cells])
+
+
+def test_like_tables_are_compared_along_a_band(monkeypatch):
+    """q26: of two tables that differ in a letter at either end, only the nodes near the diagonal are compared, not all pairs; the distance is that of all pairs."""
+    table = lambda *last: "<table>" + "".join(f"<tr><td>{1000 + r}</td><td>A{r}</td><td>{x}</td></tr>" for r, x in enumerate(last)) + "</table>"
+    a, b = table("ab", *"cdefg", "hi"), table("aX", *"cdefg", "hX")
+    calls, distance = [], trees.Pattern.distance
+    monkeypatch.setattr(trees.Pattern, "distance", lambda self, items: calls.append(items) or distance(self, items))
+    size = 7 + 21
+    assert M.similarities(a, b) == (1.0, 1.0 - 1.0 / size, None) and len(calls) <= 8 * size
+    # a row in place of another, one more at the end, cells dropped: with all pairs in arrays
+    for x, y in ((a, table("ab", *"cdef", "hi", "z")), (table(*"abc"), table(*"xyzuvw")), (a.replace("<td>d</td>", ""), b), (table(*"ab"), a.replace("</tr><tr>", "", 3))):
+        some = M.similarities(x, y)
+        monkeypatch.setattr(M, "SMALL", 0)
+        assert M.similarities(x, y)[:2] == pytest.approx(some[:2])
+        monkeypatch.setattr(M, "SMALL", 1 << 40)
